@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, token_files
+from . import gif, mixing, sharding, simhash, token_files
 from ._common import table
 
 SHARDS = 24
@@ -31,6 +31,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_segments(token_files.write_segments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as GIF frames and read back, with digests and histograms of what was read."""
+    return gif.read_digests(gif.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,6 +44,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lpt": op1_shard_lpt,
     "op3_token_files": op3_token_files,
+    "op5_gif_frames": op5_gif_frames,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
