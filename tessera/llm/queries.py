@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, sharding, simhash, token_files
-from ._common import table
+from . import gif, mixing, quality, sharding, simhash, token_files
+from ._common import id_crc32, table
 
 SHARDS = 24
 
@@ -19,6 +19,13 @@ def op1_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; ids whose CRC-32 leaves 2 modulo 4 are held out of the fit."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_crc32("doc_id") % 4 == 2)
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"))
+    return quality.scores(docs, model).select("doc_id", (id_crc32("doc_id") % 4 == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of the sources at weights 5, 2, 1 takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -46,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op5_gif_frames": op5_gif_frames,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLE_SQL: dict[str, str] = {"op10_mix_sources": mixing.ORACLE}
