@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ SAMPLE = 256
 SEGMENT_IDS = 1 << 21
 #: Text rows that share a bucket of ids on average.
 BUCKET_ROWS = 8_192
-#: Chunks that a worker remembers the ids of.
-CACHE = 400_000
+#: Pieces in one of a worker's two generations of known ids.
+CACHE = 500_000
 END_ID = 0
 
 
@@ -108,14 +110,19 @@ class Segment:
 
 
 class CachedEncoder:
-    """Encodes by the tokenizers library, remembering chunks that repeat.
+    """Encodes by the tokenizers library, remembering pieces that repeat.
 
     A byte-level pre-tokenizer always cuts before a single space between two characters that aren't white space, so a text's
-    ids are those of its chunks between such spaces.  Chunks not yet known are encoded by the library in one batch.
+    ids are those of its chunks between such spaces.  Chunks of Latin characters are cut further by the tokenizer's own
+    pattern (fixed, below) into words, which go to its model at once; any other chunk goes through the whole tokenizer.
+    Known words are kept in two generations: when the younger is full, the older is forgotten.
     """
 
+    #: Fixed: the pre-tokenizer's pattern.
+    _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    _LATIN = re.compile(r"[\t\n\r -~\u00a1-\u024f]+")
     _CUT = re.compile(r"(?<=\S) (?=\S)")
-    _RUN = re.compile(r"\s\s|^\s|\s\Z")
+    _MARKS = frozenset(".,;:!?")
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -123,22 +130,73 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache, self.first, self.later = cache, {}, {}
+        self.code = "H" if self.width == 2 else "I"
+        self.model, self.cache, self.young, self.old = self.tokenizer.model, cache, {}, {}
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 up, in order.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = iter(range(256, 512))
+        self.alphabet = {b: b if b in plain else next(other) for b in range(256)}
+        self.space = chr(self.alphabet[32])
+        self.mark = {m: self._whole(m) for m in self._MARKS}
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and letters."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(self.space + mapped)]).tobytes()
+
+    def _find(self, chunk: str) -> bytes | None:
+        """Ids of a space and the chunk, by way of what is known; None if there is other white space beside a space."""
+        found = self.old.get(chunk)
+        if found is None:
+            if chunk[-1:] in self.mark and chunk[:-1].isalpha():
+                body = chunk[:-1]
+                return (self.young.get(body) or self._find(body)) + self.mark[chunk[-1]]
+            if chunk.isalpha():
+                found = self._word(chunk)
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                return None
+            elif self._LATIN.fullmatch(chunk) and len(pieces := self._PATTERN.findall(" " + chunk)) > 1:
+                return b"".join(map(self._piece, pieces))
+            else:
+                found = self._whole(" " + chunk)
+        if len(self.young) >= self.cache:
+            self.old, self.young = self.young, {}
+        self.young[chunk] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one word of the pattern; those without a space before them are known under a line feed, which starts no chunk."""
+        if piece[0] == " " and not piece.isspace():
+            return self.young.get(piece[1:]) or self._find(piece[1:])
+        key = "\n" + piece
+        found = self.young.get(key) or self.old.get(key)
+        if found is None:
+            found = self._whole(piece)
+        self.young[key] = found
+        return found
+
+    def _one(self, text: str) -> bytes:
+        chunks = text.split(" ")
+        if len(chunks) == 1 or not chunks[0] or chunks[0][-1].isspace():
+            return self._spaced(text)
+        known = list(map(self.young.get, chunks))
+        known[0] = self._whole(chunks[0])
+        for i in [i for i, found in enumerate(known) if found is None]:
+            known[i] = self._find(chunks[i])
+            if known[i] is None:
+                return self._spaced(text)
+        return b"".join(known)
+
+    def _spaced(self, text: str) -> bytes:
+        """A text with runs of white space: cut only at spaces between other characters."""
+        chunks = self._CUT.split(text)
+        return self._whole(chunks[0]) + b"".join(self.young.get(c) or self._find(c) or self._whole(" " + c) for c in chunks[1:])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [x.split(" ") if not self._RUN.search(x) else self._CUT.split(x) for x in texts]
-        out: list[bytes] = []
-        for at in range(0, len(cut), 64):
-            some = cut[at : at + 64]
-            for known, chunks, lead in ((self.first, {c[0] for c in some}, ""), (self.later, set().union(*(c[1:] for c in some)), " ")):
-                if len(known) > self.cache:
-                    known.clear()
-                if new := [c for c in chunks if c not in known]:
-                    encoded = self.tokenizer.encode_batch_fast([lead + c for c in new], add_special_tokens=False)
-                    known.update((c, np.array(e.ids, f"<u{self.width}").tobytes()) for c, e in zip(new, encoded))
-            get = self.later.__getitem__
-            out += [self.first[c[0]] + b"".join(map(get, c[1:])) for c in some]
-        return out
+        return [self._one(text) for text in texts]
 
 
 _encoders: dict[str, CachedEncoder] = {}
