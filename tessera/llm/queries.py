@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, quality, sharding, simhash, token_files
+from . import gif, language, mixing, quality, sharding, simhash, token_files
 from ._common import id_crc32, table
 
 SHARDS = 24
@@ -31,6 +31,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; ids whose CRC-32 leaves 2 modulo 4 are held out of the dictionaries."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_languages(docs, id_crc32("doc_id") % 4 != 2)
+    return language.identify(docs, model).select("doc_id", (id_crc32("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to segments with Elias-Fano boundaries and read back."""
     import public_tokenizers
@@ -50,6 +57,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lpt": op1_shard_lpt,
+    "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op5_gif_frames": op5_gif_frames,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
