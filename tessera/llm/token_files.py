@@ -168,10 +168,10 @@ class CachedEncoder:
         return found
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of one word of the pattern; those without a space before them are known under a line feed, which starts no chunk."""
+        """Ids of one word of the pattern; those without a space before them are known under a space more, which no chunk starts with."""
         if piece[0] == " " and not piece.isspace():
             return self.young.get(piece[1:]) or self._find(piece[1:])
-        key = "\n" + piece
+        key = " " + piece
         found = self.young.get(key) or self.old.get(key)
         if found is None:
             found = self._whole(piece)
