@@ -1,12 +1,13 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of sample texts.  A text is compressed once with every dictionary and
-belongs to the language whose dictionary makes it smallest.  The margin is the share by which the second smallest is larger;
-a margin under ``min_margin`` is rejected.
+Each language has a zstandard raw-content dictionary: the words of its sample texts, each once, the most frequent last.  A text
+is compressed with every dictionary, all of it, in blocks of ``BLOCK`` bytes so that it can't learn from itself, and belongs to the
+language whose dictionary makes it smallest.  The margin is the share by which the second smallest is larger; a margin under
+``min_margin`` is rejected.
 
 Texts are folded before: lower case, every run of other characters than letters one space.  So a text has the same language
 with shouting, digits or junk marks.  The dictionaries are fitted on a bounded sample: of each language the ``SAMPLE_ROWS``
-labelled texts of the lowest id hash, whole texts up to ``DICTIONARY_BYTES`` (a longer one alone gives its last bytes).
+labelled texts of the lowest id hash, and of their words the most frequent ones up to ``DICTIONARY_BYTES``.
 
 Null texts and texts without a letter are ``und`` with score 0.  Without any labelled text every text is ``und``.  Ties go to the
 language with more sample bytes, then to the first by name; repeated rows are repeated.  An empty table gives no rows; other columns are ignored.
@@ -15,6 +16,7 @@ language with more sample bytes, then to the first by name; repeated rows are re
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +29,9 @@ from ._common import bounded_batches
 
 #: Sample texts of a language at most.
 SAMPLE_ROWS = 200
-DICTIONARY_BYTES = 96 << 10
-LEVEL = 3
+DICTIONARY_BYTES = 64 << 10
+LEVEL = 6
+BLOCK = 600
 MIN_MARGIN = 0.002
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -38,13 +41,20 @@ def fold(text: str) -> bytes:
 
 
 def dictionaries(samples: list[tuple[str, str]], limit: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw dictionary content of each language from (language, text) in order; sorted by falling size, then name."""
-    out: dict[str, bytes] = {}
+    """Raw dictionary content of each language from (language, text); by falling sample size, then name."""
+    words: dict[str, Counter[bytes]] = {}
     for lang, text in samples:
-        raw = fold(text)
-        if raw and (lang not in out or len(out[lang]) + len(raw) < limit):
-            out[lang] = (raw[-limit:] + b" " + out.get(lang, b""))[:limit]
-    return dict(sorted(out.items(), key=lambda x: (-len(x[1]), x[0])))
+        words.setdefault(lang, Counter()).update(fold(text).split())
+    out = {}
+    for lang, counts in sorted(words.items(), key=lambda x: (-x[1].total(), x[0])):
+        kept, size = [], 1
+        for word, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+            if (size := size + len(word) + 1) > limit:
+                break
+            kept.append(word)
+        if kept:
+            out[lang] = b" " + b" ".join(reversed(kept)) + b" "
+    return out
 
 
 @dataclass
@@ -66,7 +76,8 @@ class LanguageModel:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=self.level)
                 self._compressors.append((lang, zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False)))
-        return [(lang, len(c.compress(raw))) for lang, c in self._compressors]
+        blocks = [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)]
+        return [(lang, sum(len(c.compress(x)) for x in blocks)) for lang, c in self._compressors]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, whether the margin is too narrow)."""
