@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, language, mixing, quality, sharding, simhash, token_files
+from . import decontaminate, gif, language, mixing, quality, sharding, simhash, token_files
 from ._common import id_crc32, table
 
 SHARDS = 24
@@ -45,6 +45,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_segments(token_files.write_segments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document leaks."""
+    return decontaminate.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as GIF frames and read back, with digests and histograms of what was read."""
     return gif.read_digests(gif.store_texts(table(spark, sf_dir, "documents")))
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lpt": op1_shard_lpt,
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
+    "op4_decontaminate": op4_decontaminate,
     "op5_gif_frames": op5_gif_frames,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
