@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gif, language, mixing, quality, sharding, simhash, token_files
+from . import brown, decontaminate, gif, language, mixing, quality, sharding, simhash, token_files
 from ._common import id_crc32, table
 
 SHARDS = 24
@@ -19,6 +19,14 @@ def op1_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based and unigram log probabilities of every document; ids whose CRC-32 leaves 2 modulo 7 are held out of all counts."""
+    docs = table(spark, sf_dir, "documents")
+    model, counts = brown.fit(docs, id_crc32("doc_id") % 7 != 2)
+    return brown.scores(docs, model, counts).select(
+        "doc_id", (id_crc32("doc_id") % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; ids whose CRC-32 leaves 2 modulo 4 are held out of the fit."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_crc32("doc_id") % 4 == 2)
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_gif_frames": op5_gif_frames,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_brown_lm": op8_brown_lm,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_mix_sources": op10_mix_sources,
 }
