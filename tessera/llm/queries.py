@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, gif, language, mixing, quality, sharding, simhash, token_files
+from . import brown, decontaminate, gif, language, licenses, mixing, quality, sharding, simhash, token_files
 from ._common import id_crc32, table
 
 SHARDS = 24
@@ -63,6 +63,11 @@ def op5_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.read_digests(gif.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_decontaminate": op4_decontaminate,
     "op5_gif_frames": op5_gif_frames,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_brown_lm": op8_brown_lm,
     "op9_quality_classifier": op9_quality_classifier,
