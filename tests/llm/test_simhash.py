@@ -1,0 +1,103 @@
+"""Fingerprints and components against brute force."""
+
+import random
+import re
+
+import numpy as np
+import xxhash
+
+from tessera.llm import simhash
+from tessera.llm.components import roots
+
+SCHEMA = "doc_id long, text string, fp long, tile int"
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(ids, fps, radius=2):
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, x in zip(ids, fps):
+        for b, y in zip(ids, fps):
+            if a < b and (x ^ y).bit_count() <= radius and find(a) != find(b):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}
+
+
+def texts(n, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    out = []
+    for i in range(n):
+        if out and rng.random() < 0.4:
+            t = rng.choice(out).split(" ")
+            t[rng.randrange(len(t))] = rng.choice(words)
+            out.append(" ".join(t))
+        else:
+            out.append(" ".join(rng.choices(words, k=rng.choice((1, 2, 3, 60, 400)))))
+    return out
+
+
+def test_fingerprints():
+    cases = ["", None, "a", "A b", "a b c", "a b c d", "É é x y", "x\x0by\tz\r\nw", "a b", "rep " * 50, "w " * 40_000, *texts(40, 1)]
+    for t in cases:
+        assert simhash.fingerprint((t or "").encode()) == plain_fingerprint(t)
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    all_texts = [None, "", " \n", *texts(300, 2), "same same", "same same"]
+    rows = [(i * 3, t, 1, 2) for i, t in enumerate(all_texts)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    fps = [plain_fingerprint(t) for _, t, _, _ in rows]
+    assert {r["doc_id"]: r["fingerprint"] for r in got} == {r[0]: f"{f:016x}" for r, f in zip(rows, fps)}
+    assert {r["doc_id"]: r["component_id"] for r in got} == plain_components([r[0] for r in rows], fps)
+
+
+def test_tiles_and_chunks_lose_no_link(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    fps = set(base.tolist())
+    for b in base.tolist():
+        for _ in range(8):
+            x = b
+            for _ in range(3):
+                for bit in rng.integers(0, 64, 2):
+                    x ^= 1 << int(bit)
+                fps.add(x)
+    fps = sorted(fps | {0, 1, (1 << 64) - 1, 3 << 62})
+    rows = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    for tile_rows in (3, 1 << 14):
+        found = {r["a"]: r["b"] for r in roots(simhash.near_links(rows, 2, tile_rows)).collect()}
+        signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+        expected = plain_components(signed, fps)
+        assert {f: found.get(f, f) for f in signed} == expected
+
+
+def test_roots_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(100)] + [(200, 200 + i) for i in range(1, 60)] + [(5, 5)]
+    random.Random(1).shuffle(links)
+    got = {r["a"]: r["b"] for r in roots(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 101)} | {200 + i: 200 for i in range(1, 60)}
+    assert roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_component_stays(spark):
+    rows = [(5, "a b c d e", 0, 0), (3, "a b c d e", 0, 0), (9, "x y z", 0, 0), (9, "x y z", 0, 0), (1, None, 0, 0), (2, "", 0, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 9]
+    assert simhash.keep_first(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
