@@ -4,7 +4,7 @@ Every document gets a hash-random key.  Documents are range-partitioned by key w
 summed per range, the sums are turned into prefix sums, and a running sum inside each range completes them.
 A source's budget is cut exactly where the prefix sum meets it; a budget above the source's size repeats whole epochs.
 
-* A hot source is divided into as many key ranges as its row count asks for, so no task holds a whole source.
+* A source of n rows is divided into about sqrt(n) key ranges of sqrt(n) rows, so neither a range nor a source's list of ranges is large.
 * Null sources form a source of their own, last in order; null texts have size 0; an empty table gives no rows.
 * Repeated rows are separate documents with equal keys; they are ordered by id and size, and equal rows are interchangeable.
 * Other columns of the input are ignored by `mix` and kept by `mixed_rows`.
@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, small, staged
 
-#: Rows that one key range of a source has on average.
-RANGE_ROWS = 20_000
-
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -62,7 +59,7 @@ def _planned(docs: DataFrame, doc_id: str, text: str, source: str, seed: str, **
     budgets = source_targets(slim.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")), **shares)
     budgets = budgets.withColumn("budget", F.floor("target")).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
-    ).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).withColumn("ranges", F.ceil(F.col("n") / F.lit(RANGE_ROWS)))
+    ).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).withColumn("ranges", F.ceil(F.sqrt("n")))
     budgets = small(staged(budgets.withColumnRenamed("source", "of"), "mix-budgets"))
     rows = slim.join(budgets, slim["source"].eqNullSafe(budgets["of"])).drop("of").withColumn(
         "range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(2**32)))
