@@ -16,6 +16,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
@@ -25,8 +26,6 @@ from ._common import staged
 
 BUNDLES = 8192
 FINENESS = 256
-#: Rows that one piece of a shard has on average while slots are counted.
-PIECE_ROWS = 20_000
 
 
 def lpt(items: Iterable[tuple[str, int]], n_shards: int) -> dict[str, int]:
@@ -56,7 +55,8 @@ def assign_shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text:
     placed = lpt(((r["item"], r["bytes"]) for r in groups.groupBy("item").agg(F.sum("bytes").alias("bytes")).toLocalIterator()), n_shards)
     singles = spark.createDataFrame([(k, v) for k, v in placed.items() if len(k) == 32], "`group` string, own int")
     packed = spark.createDataFrame([(int(k), v) for k, v in placed.items() if len(k) < 32], "bundle long, shared int")
-    pieces = max(1, -(-rows // (n_shards * PIECE_ROWS)))
+    # A shard's slots are counted in about as many pieces as a piece has rows.
+    pieces = max(1, math.isqrt(rows // n_shards))
     out = (
         slim.join(F.broadcast(singles), "group", "left").withColumn("bundle", bundle).join(F.broadcast(packed), "bundle", "left")
         .withColumn("shard", F.coalesce("own", "shared"))
