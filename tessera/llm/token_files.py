@@ -254,7 +254,7 @@ def write_segments(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
     tokens = slim.mapInArrow(tokenize, "bucket int, doc_id long, ids binary")
-    placed = tokens.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id")
+    placed = tokens.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id")
     return staged(placed.mapInArrow(pack, "bucket int, part int, doc_ids array<long>, payload binary"), "token-segments")
 
 
