@@ -38,7 +38,7 @@ SEGMENT_IDS = 1 << 21
 #: Text rows that share a bucket of ids on average.
 BUCKET_ROWS = 8_192
 #: Pieces in one of a worker's two generations of known ids.
-CACHE = 500_000
+CACHE = 700_000
 END_ID = 0
 
 
@@ -156,36 +156,51 @@ class CachedEncoder:
                 return (self.young.get(body) or self._find(body)) + self.mark[chunk[-1]]
             if chunk.isalpha():
                 found = self._word(chunk)
+            elif chunk[:1] == "\n":
+                # A line feed of `_one`'s, with no space before it: the word after it has none either.
+                if len(chunk) == 1 or chunk[1].isspace() or chunk[-1].isspace():
+                    return None
+                found = b"".join(map(self._piece, self._PATTERN.findall(chunk))) if self._LATIN.fullmatch(chunk) else self._whole(chunk)
             elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
                 return None
             elif self._LATIN.fullmatch(chunk) and len(pieces := self._PATTERN.findall(" " + chunk)) > 1:
                 return b"".join(map(self._piece, pieces))
             else:
                 found = self._whole(" " + chunk)
+        self._keep(chunk, found)
+        return found
+
+    def _keep(self, key: str, found: bytes) -> None:
         if len(self.young) >= self.cache:
             self.old, self.young = self.young, {}
-        self.young[chunk] = found
-        return found
+        self.young[key] = found
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one word of the pattern; those without a space before them are known under a space more, which no chunk starts with."""
         if piece[0] == " " and not piece.isspace():
             return self.young.get(piece[1:]) or self._find(piece[1:])
         key = " " + piece
-        found = self.young.get(key) or self.old.get(key)
+        found = self.young.get(key)
         if found is None:
-            found = self._whole(piece)
-        self.young[key] = found
+            found = self.old.get(key) or self._whole(piece)
+            self._keep(key, found)
         return found
 
     def _one(self, text: str) -> bytes:
-        chunks = text.split(" ")
+        # A single line feed is cut like a space, but stays with the word after it.
+        chunks = text.replace("\n", " \n").split(" ")
         if len(chunks) == 1 or not chunks[0] or chunks[0][-1].isspace():
             return self._spaced(text)
-        known = list(map(self.young.get, chunks))
+        get, marks = self.young.get, self.mark.get
+        known = list(map(get, chunks))
         known[0] = self._whole(chunks[0])
         for i in [i for i, found in enumerate(known) if found is None]:
-            known[i] = self._find(chunks[i])
+            chunk = chunks[i]
+            mark = marks(chunk[-1:])
+            if mark is not None and (body := chunk[:-1]).isalpha() and (found := get(body)) is not None:
+                known[i] = found + mark
+                continue
+            known[i] = self._find(chunk)
             if known[i] is None:
                 return self._spaced(text)
         return b"".join(known)
@@ -193,7 +208,7 @@ class CachedEncoder:
     def _spaced(self, text: str) -> bytes:
         """A text with runs of white space: cut only at spaces between other characters."""
         chunks = self._CUT.split(text)
-        return self._whole(chunks[0]) + b"".join(self.young.get(c) or self._find(c) or self._whole(" " + c) for c in chunks[1:])
+        return self._whole(chunks[0]) + b"".join(self._whole(" " + c) if c[0].isspace() else self.young.get(c) or self._find(c) or self._whole(" " + c) for c in chunks[1:])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self._one(text) for text in texts]
