@@ -11,7 +11,7 @@ A retrieved item counts as leaked if its wording is in the passage: of the 5-wor
 answer (the last sentence), ``OVERLAP`` at least are in the passage, for each of both.  A part of fewer than five words is one shingle.
 
 The index is cut into blocks of items of ``SHARD_BYTES`` of text each; every block is broadcast in turn, so what is broadcast is bounded
-however many items there are.  Words are in lower case (A-Z) between ASCII white space.
+however many items there are.  Words are in lower case (A-Z) between ASCII white space, without ASCII punctuation.
 
 Null texts and texts without words leak nothing, and items without words can't leak.  Items of equal wording are all reported;
 repeated rows give repeated results.  Empty tables give no rows; other columns are ignored.
@@ -20,6 +20,7 @@ repeated rows give repeated results.  Empty tables give no rows; other columns a
 from __future__ import annotations
 
 import math
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,10 +40,11 @@ BLOCK = 4
 #: Bytes of item texts in one broadcast index.
 SHARD_BYTES = 2 << 20
 STRIDE = 32
+PUNCTUATION = string.punctuation.encode()
 
 
 def words_of(text: str | bytes) -> list[bytes]:
-    return (text.encode("utf-8", "ignore") if isinstance(text, str) else text).translate(LOWER_AZ).split()
+    return (text.encode("utf-8", "ignore") if isinstance(text, str) else text).translate(LOWER_AZ, PUNCTUATION).split()
 
 
 def shingles(words: list[bytes]) -> set[bytes]:
