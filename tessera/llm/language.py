@@ -7,7 +7,7 @@ language whose dictionary makes it smallest.  The margin is the share by which t
 
 Texts are folded before: lower case, every run of other characters than letters one space.  So a text has the same language
 with shouting, digits or junk marks.  The dictionaries are fitted on a bounded sample: of each language the ``SAMPLE_ROWS``
-labelled texts of the lowest id hash, and of their words the most frequent ones up to ``DICTIONARY_BYTES``.
+labelled texts of the lowest id hash (texts over ``SAMPLE_BYTES`` aren't sampled), and of their words the most frequent ones up to ``DICTIONARY_BYTES``.
 
 Null texts and texts without a letter are ``und`` with score 0.  Without any labelled text every text is ``und``.  Ties go to the
 language with more sample bytes, then to the first by name; repeated rows are repeated.  An empty table gives no rows; other columns are ignored.
@@ -29,6 +29,8 @@ from ._common import bounded_batches
 
 #: Sample texts of a language at most.
 SAMPLE_ROWS = 200
+#: Longest sample text, in bytes, so that a sample is bounded.
+SAMPLE_BYTES = 200_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 6
 BLOCK = 600
@@ -82,7 +84,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, whether the margin is too narrow)."""
         raw = fold(text or "")
-        if not raw or not self.content:
+        if not raw or not self.content or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         found = self.sizes(raw)
         if len(found) == 1:
@@ -94,7 +96,7 @@ class LanguageModel:
 
 def fit_languages(docs: DataFrame, trainable: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Only text and non-null language of the rows for which ``trainable`` holds; ids only order the sample."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (trainable if trainable is not None else F.lit(True)))
+    usable = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES) & (trainable if trainable is not None else F.lit(True)))
     nth = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("i"), "i"))
     chosen = usable.select(F.col(doc_id).alias("i"), F.col(lang).alias("of")).withColumn("nth", nth).where(F.col("nth") <= sample_rows)
     rows = usable.join(F.broadcast(chosen), (F.col(doc_id) == F.col("i")) & (F.col(lang) == F.col("of"))).select("of", "nth", "i", F.col(text).alias("t"))

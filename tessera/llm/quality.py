@@ -7,7 +7,7 @@ neighbours in the training sample (random indexing); tokens not seen there have
 into the mean of its vectors, the length of that mean, the share of distinct words and the logarithm of its length.
 The network has one hidden layer; its temperature is fitted on a fifth of the sample that the weights never see.
 
-Fitted on a bounded sample: ``SAMPLE_ROWS`` labelled rows, those of the lowest hash of their id.  Labels are the only thing
+Fitted on a bounded sample: ``SAMPLE_ROWS`` labelled rows of at most ``SAMPLE_BYTES``, those of the lowest hash of their id.  Labels are the only thing
 taken from elsewhere; language, source and id are never inputs of a score.
 
 Null and empty texts get the score of a document without tokens.  Rows without labels, ties and repeated rows are scored
@@ -32,6 +32,8 @@ from ._common import bounded_batches
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE_ROWS = 4_000
+#: Longest sample text, in bytes, so that a sample is bounded.
+SAMPLE_BYTES = 200_000
 DIM = 48
 WINDOW = 2
 NONZERO = 4
@@ -188,7 +190,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Fit on at most ``sample_rows`` labelled documents for which ``trainable`` holds."""
     marks = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__labelled")).agg(F.min("quality").alias("__quality"))
-    ids = docs.where(trainable if trainable is not None else F.lit(True)).select(F.col(doc_id).alias("__id")).distinct()
+    docs = docs.where((F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES) & (trainable if trainable is not None else F.lit(True)))
+    ids = docs.select(F.col(doc_id).alias("__id")).distinct()
     chosen = marks.join(ids, F.col("__id") == F.col("__labelled")).select("__labelled", "__quality").orderBy(F.xxhash64("__labelled"), "__labelled").limit(sample_rows)
     rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__labelled")).select(F.col("__labelled").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col("__quality").alias("q"))
     found = sorted((xxhash.xxh64_intdigest(str(r["i"])), r["i"], r["t"], r["q"]) for r in rows.limit(2 * sample_rows).toLocalIterator())
