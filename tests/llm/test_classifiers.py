@@ -5,6 +5,7 @@ import pickle
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -26,7 +27,7 @@ def labelled(n, seed, words=(20, 60)):
 
 
 SCHEMA = "doc_id long, text string, lang string, score double, body string"
-ODD = [None, "", " \n", "12 !! 34", "a", "word " * 60_000, "THE OF AND!!", "日本語"]
+ODD = [None, "", " \n", "12 !! ² ½ 34", "a", "word " * 60_000, "THE OF AND!!", "日本語"]
 
 
 def frame(spark, rows):
@@ -59,6 +60,17 @@ def test_language_of_odd_texts(spark):
     assert one.predict("words") == ("xx", 1.0, False)
 
 
+def test_staged_tables_can_be_dropped(spark):
+    from tessera.llm._common import drop_staged, staged
+
+    kept = staged(spark.range(3), "some")
+    assert kept.count() == 3
+    folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists()
+    drop_staged(spark)
+    assert not folder.exists()
+
+
 def test_narrow_margins_are_rejected():
     model = language.LanguageModel({"a": b" same same words ", "b": b" same same words "})
     lang, score, rejected = model.predict("same words")
