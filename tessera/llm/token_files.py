@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ SEGMENT_IDS = 1 << 21
 #: Text rows that share a bucket of ids on average.
 BUCKET_ROWS = 8_192
 #: Pieces in one of a worker's two generations of known ids.
-CACHE = 700_000
+CACHE = 600_000
 END_ID = 0
 
 
@@ -157,7 +158,7 @@ class CachedEncoder:
             if chunk.isalpha():
                 found = self._word(chunk)
             elif chunk[:1] == "\n":
-                # A line feed of `_one`'s, with no space before it: the word after it has none either.
+                # A line feed that `encode` cut at, with no space before it: the word after it has none either.
                 if len(chunk) == 1 or chunk[1].isspace() or chunk[-1].isspace():
                     return None
                 found = b"".join(map(self._piece, self._PATTERN.findall(chunk))) if self._LATIN.fullmatch(chunk) else self._whole(chunk)
@@ -186,32 +187,54 @@ class CachedEncoder:
             self._keep(key, found)
         return found
 
-    def _one(self, text: str) -> bytes:
-        # A single line feed is cut like a space, but stays with the word after it.
-        chunks = text.replace("\n", " \n").split(" ")
-        if len(chunks) == 1 or not chunks[0] or chunks[0][-1].isspace():
-            return self._spaced(text)
-        get, marks = self.young.get, self.mark.get
-        known = list(map(get, chunks))
-        known[0] = self._whole(chunks[0])
-        for i in [i for i, found in enumerate(known) if found is None]:
-            chunk = chunks[i]
-            mark = marks(chunk[-1:])
-            if mark is not None and (body := chunk[:-1]).isalpha() and (found := get(body)) is not None:
-                known[i] = found + mark
-                continue
-            known[i] = self._find(chunk)
-            if known[i] is None:
-                return self._spaced(text)
-        return b"".join(known)
-
     def _spaced(self, text: str) -> bytes:
         """A text with runs of white space: cut only at spaces between other characters."""
         chunks = self._CUT.split(text)
         return self._whole(chunks[0]) + b"".join(self._whole(" " + c) if c[0].isspace() else self.young.get(c) or self._find(c) or self._whole(" " + c) for c in chunks[1:])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._one(text) for text in texts]
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> pa.Array:
+        """Ids of every text as packed bytes, each text's with ``end_id`` after them; null texts are empty.
+
+        Arrow cuts all texts at spaces and numbers their different chunks, so Python sees a chunk once in a batch.  A line feed is
+        cut like a space but stays with the word after it; one put before each text makes its first chunk such a word.
+        """
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return pa.array([], pa.binary())
+        cut = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        chunks = pc.list_flatten(cut).dictionary_encode()
+        number = chunks.indices.to_numpy()
+        bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))
+        get, ids = self.young.get, []
+        for chunk in chunks.dictionary.to_pylist():
+            found = get(chunk)
+            if found is None:
+                found = self._find(chunk)
+                get = self.young.get
+            ids.append(found)
+        bad = np.fromiter((x is None for x in ids), bool, len(ids))
+        slow = np.flatnonzero(np.logical_or.reduceat(bad[number], bounds[:-1])) if bad.any() else np.empty(0, np.int64)
+        # Texts with runs of white space are encoded one by one: each is its own first chunk, and its other chunks are empty.
+        fed, empty = self._whole("\n"), len(ids)
+        end = b"" if end_id is None else array(self.code, [end_id]).tobytes()
+        ids = [*(x or b"" for x in ids), b"", end, *(fed + self._spaced(texts[int(i)].as_py()) for i in slow)]
+        chosen = number.astype(np.int64)
+        for k, i in enumerate(slow.tolist()):
+            chosen[bounds[i] : bounds[i + 1]] = empty
+            chosen[bounds[i]] = empty + 2 + k
+        chosen = np.insert(chosen, bounds[1:], empty + 1)
+        closed = bounds + np.arange(len(bounds))
+        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        starts, lengths = (np.cumsum(sizes) - sizes)[chosen], sizes[chosen]
+        # The line feed that was put before each text goes.
+        skip = len(fed) // self.width
+        starts[closed[:-1]] += skip
+        lengths[closed[:-1]] -= skip
+        after = np.cumsum(lengths)
+        out = flat[np.repeat(starts - (after - lengths), lengths) + np.arange(after[-1])]
+        offsets = np.concatenate(([0], after[closed[1:] - 1])) * self.width
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
 _encoders: dict[str, CachedEncoder] = {}
@@ -231,7 +254,7 @@ def write_segments(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     id follow each other.  An empty table gives no segment.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, records=2048)
+    bounded_batches(spark, records=4096, megabytes=4)
     width = _encoder(tokenizer).width
     ids_only = docs.select(F.col(doc_id).cast("long").alias("i"))
     buckets = max(1, -(-ids_only.count() // BUCKET_ROWS))
@@ -239,13 +262,11 @@ def write_segments(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     cuts = sorted(set(cuts or []))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), np.array([end_id], f"<u{width}").tobytes()
-        edges = np.array(cuts, np.int64)
+        encoder, edges = _encoder(tokenizer), np.array(cuts, np.int64)
         for batch in batches:
-            ids = [x + end for x in encoder.encode([x or "" for x in batch.column(1).to_pylist()])]
             keys = batch.column(0).to_pylist()
             bucket = [0 if k is None else int(np.searchsorted(edges, k, "left")) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), batch.column(0), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), batch.column(0), encoder.encode(batch.column(1), end_id)], ["bucket", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, part, held, keys, size = None, 0, [], [], 0

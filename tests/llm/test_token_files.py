@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import token_files as tf
@@ -26,9 +27,12 @@ def test_cached_encoding_is_the_library_s(library):
     alphabet = " \n\t\r aaBs'é1!<|endoftext|>\x1c\x85​  日本 .,;ñ'll're"
     texts = ["", " ", "a", " a", "a ", "\n", "don't we'll", "<|endoftext|>", "x" * 5000] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     encoder = tf.CachedEncoder(PATH, cache=500)
-    for _ in range(2):
-        for text, raw in zip(texts, encoder.encode(texts)):
-            assert np.frombuffer(raw, "<u2").tolist() == library(text), repr(text)
+    for size, end in ((len(texts), None), (1, 0), (7, 0), (500, None)):
+        for at in range(0, len(texts), size):
+            some = texts[at : at + size]
+            for text, raw in zip(some, encoder.encode(pa.array(some, pa.string()), end).to_pylist(), strict=True):
+                assert np.frombuffer(raw, "<u2").tolist() == library(text) + ([] if end is None else [end]), repr(text)
+    assert encoder.encode(pa.array([None, "a"], pa.string())).to_pylist()[0] == b"" and len(encoder.encode(pa.array([], pa.string()))) == 0
 
 
 @pytest.mark.parametrize("n, u", [(1, 0), (1, 5), (3, 0), (700, 100_000), (5000, 7), (300, 300), (257, 1 << 20)])
