@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,13 +22,14 @@ def clean_articles(pages: DataFrame, **options) -> DataFrame:
 
 
 def first_by_name(rows: DataFrame, name: str = "name", sequence: str = "ingest_seq") -> DataFrame:
-    """The first row of each name, case-sensitively.
+    """The first row of each name, case-sensitively; of equal sequence numbers any one row.
 
-    The first sequence number of a name is aggregated before anything is shuffled, so a name that many rows share
-    costs one row a task, and only (name, number) pairs travel to find it.
+    One pass: each task keeps the first row of a name before anything is shuffled, so a name that many rows share costs
+    one row a task.
     """
-    first = rows.groupBy(name).agg(F.min(sequence).alias("__first"))
-    return rows.join(first.withColumnRenamed(name, "__name"), (F.col(name) == F.col("__name")) & (F.col(sequence) == F.col("__first")), "left_semi")
+    others = [c for c in rows.columns if c != name]
+    first = rows.groupBy(name).agg(F.min_by(F.struct(*others), F.col(sequence)).alias("__first"))
+    return first.select(*[F.col(name) if c == name else F.col(f"__first.`{c}`").alias(c) for c in rows.columns])
 
 
 def not_stored(rows: DataFrame, stored: DataFrame, name: str = "name") -> DataFrame:
@@ -41,11 +42,6 @@ def new_documents(pages: DataFrame, stored: DataFrame | None = None, owner: str
     rows = clean_articles(pages, **options)
     if stored is not None:
         rows = not_stored(rows, stored)
-    rows = first_by_name(rows, sequence=sequence)
+    rows = first_by_name(rows.select("name", "document", sequence), sequence=sequence)
     return rows.select("name", T.article_url(F.col("name")).alias("external_id"), "document", F.lit(owner).alias("owner"), F.lit(category).alias("category"))
 
-
-def first_by_window(rows: DataFrame, name: str = "name", sequence: str = "ingest_seq") -> DataFrame:
-    """`first_by_name` by ranking, for sequences that repeat: of equal numbers any one row stays."""
-    nth = F.row_number().over(Window.partitionBy(name).orderBy(sequence))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")

@@ -30,7 +30,8 @@ def top(rows: DataFrame, count: int, offset: int = 0, key: str = "document_id")
     """
     if count < 0 or offset < 0:
         raise ValueError("count and offset must not be negative")
-    return rows.where("similarity IS NOT NULL").orderBy(F.desc("similarity"), key).offset(offset).limit(count)
+    # Nulls come last and go after the limit: tested before it, every similarity would be computed twice.
+    return rows.orderBy(F.desc_nulls_last("similarity"), key).offset(offset).limit(count).where("similarity IS NOT NULL")
 
 
 def search(embeddings: DataFrame, vector: Sequence[float], count: int = 20, offset: int = 0, key: str = "document_id") -> DataFrame:

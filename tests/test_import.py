@@ -4,7 +4,7 @@ import bz2
 
 import pytest
 
-from tessera.operators.importer import first_by_window, new_documents
+from tessera.operators.importer import first_by_name, new_documents
 from tessera.sources.dump import read_pages
 from tessera.sources.store import append_documents, read_documents
 from tessera.streaming.incremental import start_import
@@ -67,4 +67,4 @@ def test_stream_adds_what_is_new(spark, tmp_path):
 
 def test_repeated_sequence_numbers(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "name string, ingest_seq int")
-    assert sorted(r["name"] for r in first_by_window(rows).collect()) == ["a", "b"]
+    assert sorted(r["name"] for r in first_by_name(rows).collect()) == ["a", "b"]
