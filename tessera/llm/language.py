@@ -97,10 +97,10 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, trainable: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Only text and non-null language of the rows for which ``trainable`` holds; ids only order the sample."""
     usable = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES) & (trainable if trainable is not None else F.lit(True)))
-    nth = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("i"), "i"))
-    chosen = usable.select(F.col(doc_id).alias("i"), F.col(lang).alias("of")).withColumn("nth", nth).where(F.col("nth") <= sample_rows)
-    rows = usable.join(F.broadcast(chosen), (F.col(doc_id) == F.col("i")) & (F.col(lang) == F.col("of"))).select("of", "nth", "i", F.col(text).alias("t"))
-    found = sorted((r["of"], r["nth"], r["t"]) for r in rows.toLocalIterator())
+    nth = F.row_number().over(Window.partitionBy("__of").orderBy(F.xxhash64("__i"), "__i"))
+    chosen = usable.select(F.col(doc_id).alias("__i"), F.col(lang).alias("__of")).withColumn("__nth", nth).where(F.col("__nth") <= sample_rows)
+    rows = usable.join(F.broadcast(chosen), (usable[doc_id] == chosen["__i"]) & (usable[lang] == chosen["__of"])).select("__of", "__nth", usable[text].alias("__t"))
+    found = sorted((r["__of"], r["__nth"], r["__t"]) for r in rows.toLocalIterator())
     return LanguageModel(dictionaries([(x[0], x[2]) for x in found]))
 
 

@@ -26,7 +26,7 @@ def labelled(n, seed, words=(20, 60)):
     return [(i, prose(lang := rng.choice(list(LANGUAGES)), rng, rng.randint(*words)), lang) for i in range(n)]
 
 
-SCHEMA = "doc_id long, text string, lang string, score double, body string"
+SCHEMA = "doc_id long, text string, lang string, score double, `of` string"
 ODD = [None, "", " \n", "12 !! ² ½ 34", "a", "word " * 60_000, "THE OF AND!!", "日本語"]
 
 
