@@ -2,13 +2,14 @@
 
 A document's fingerprint has a bit set if more than half of its 3-word shingles' XXH64 values (seed 42) have it set.
 All distinct fingerprints are compared: tiles of fingerprints meet in numpy, exclusive-or and bit counts give the
-exact distances.  A tile holds the fingerprints with the same population counts in four 16-bit lanes (and so the same
-total count).  Two fingerprints differ in at least as many bits as their lane counts differ in sum, so tile pairs
-beyond the radius are skipped without loss; each tile meets at most 20 others above it and itself.
+exact distances.  A tile holds the fingerprints with the same population counts in four 16-bit lanes, or in eight 8-bit lanes
+where there are so many fingerprints that finer tiles cost less.  Two fingerprints differ in at least as many bits as their
+lane counts differ in sum, so tile pairs beyond the radius are skipped without loss; at radius 2 a tile of four lanes meets at
+most 20 others above it and itself, one of eight lanes 72.
 
 * Equal fingerprints meet once.  A tile of more than ``TILE_ROWS`` is cut into chunks by hash, and chunk pairs are separate units of work.
 * A unit returns links of a spanning forest of what it found, not all pairs, so a large group of near copies stays linear.
-* Tile counts are at most 17**4 rows, the only table that is broadcast besides fingerprints that hold over a 2000th of all rows.
+* What is broadcast: tile counts while they are few (17**4 rows with four lanes), and fingerprints that hold over a 2000th of all rows.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other.  Very long texts are
 counted in blocks.  Repeated rows and ties share fingerprint and component.  Rows of a null id get their fingerprint's
@@ -18,7 +19,7 @@ component.  An empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,6 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 2
 TILE_ROWS = 16_384
-_LANES = 4
 _BLOCK = 1 << 14
 
 
@@ -149,23 +149,43 @@ def _compare(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def _moves(lanes: int, radius: int) -> list[int]:
+    """Steps from a tile to those above it that are within the radius."""
+    steps = {0: 0}  # of the lanes so far: step -> bits it takes
+    for k in range(lanes):
+        steps = {s + d * 32**k: used + abs(d) for s, used in steps.items() for d in range(-radius, radius + 1) if used + abs(d) <= radius}
+    return sorted(s for s in steps if s > 0)
+
+
+def lanes_for(n: int, radius: int = RADIUS) -> int:
+    """The number of lanes that costs least for n fingerprints: about 1 ns a comparison and 1000 ns a row sent.
+
+    Of two random fingerprints, all counts of lanes of b bits are equal with chance (C(2b, b) / 4**b) ** lanes.
+    """
+    def cost(lanes: int) -> float:
+        bits, moves = 64 // lanes, len(_moves(lanes, radius))
+        return n * n * (moves + 0.5) * (comb(2 * bits, bits) / 4**bits) ** lanes + 1000.0 * n * (moves + 1)
+
+    return min((4, 8), key=cost)
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, lanes: int | None = None) -> DataFrame:
     """(a, b): links that connect what is within ``radius`` bits among distinct fingerprints in ``fp``.
 
     Lanes are digits of base 32 from 4 up, so a step out of a lane's range never meets a tile.
     """
     if radius > 4:
         raise ValueError("tiles are laid out for radii up to 4")
-    step = [32**k for k in range(_LANES)]
-    lane = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) + F.lit(4) for k in range(_LANES)]
-    tiled = fps.select("fp", sum((x * F.lit(s) for x, s in zip(lane[1:], step[1:])), lane[0]).cast("int").alias("tile"))
-    tiles = F.broadcast(tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("chunks")))
-    moves = [sum(d * s for d, s in zip(v, step)) for v in product(range(-radius, radius + 1), repeat=_LANES) if sum(map(abs, v)) <= radius]
+    lanes = lanes or lanes_for(fps.count(), radius)
+    bits = 64 // lanes
+    lane = [(F.bit_count(F.shiftrightunsigned("fp", bits * k).bitwiseAND(F.lit((1 << bits) - 1))) + F.lit(4)).cast("long") * F.lit(32**k) for k in range(lanes)]
+    tiled = fps.select("fp", sum(lane[1:], lane[0]).alias("tile"))
+    tiles = small(tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("chunks")))
     own = tiled.join(tiles, "tile").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    key = lambda tile, chunk: tile.cast("long") * F.lit(1 << 24) + chunk
+    key = lambda tile, chunk: tile * F.lit(1 << 20) + chunk
     home = own.select(key(F.col("tile"), F.col("chunk")).alias("unit"), F.lit(0).alias("guest"), "fp")
     beside = own.where("chunk > 0").select("tile", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)).alias("chunk"), "fp")
-    across = tiled.select(F.explode(F.array(*[F.col("tile") + F.lit(m) for m in sorted(moves) if m > 0])).alias("tile"), "fp").join(tiles, "tile")
+    across = tiled.select(F.explode(F.array(*[F.col("tile") + F.lit(m) for m in _moves(lanes, radius)])).alias("tile"), "fp").join(tiles, "tile")
     across = across.select("tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "fp")
     guests = beside.unionByName(across).select(key(F.col("tile"), F.col("chunk")).alias("unit"), F.lit(1).alias("guest"), "fp")
     units = home.unionByName(guests).repartition(partitions(fps.sparkSession), "unit").sortWithinPartitions("unit", "guest")

@@ -78,11 +78,15 @@ def test_tiles_and_chunks_lose_no_link(spark):
                 fps.add(x)
     fps = sorted(fps | {0, 1, (1 << 64) - 1, 3 << 62})
     rows = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    for tile_rows in (3, 1 << 14):
-        found = {r["a"]: r["b"] for r in roots(simhash.near_links(rows, 2, tile_rows)).collect()}
-        signed = [int(np.uint64(f).view(np.int64)) for f in fps]
-        expected = plain_components(signed, fps)
-        assert {f: found.get(f, f) for f in signed} == expected
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    for tile_rows, lanes, radius in ((3, 4, 2), (1 << 14, 4, 2), (2, 8, 2), (1 << 14, 8, 4), (5, 4, 0)):
+        found = {r["a"]: r["b"] for r in roots(simhash.near_links(rows, radius, tile_rows, lanes)).collect()}
+        assert {f: found.get(f, f) for f in signed} == plain_components(signed, fps, radius)
+
+
+def test_steps_between_tiles():
+    assert [len(simhash._moves(lanes, 2)) for lanes in (4, 8)] == [20, 72] and simhash._moves(4, 0) == []
+    assert simhash.lanes_for(1000) == 4 and simhash.lanes_for(10**9) == 8
 
 
 def test_roots_of_chains_and_stars(spark):
