@@ -43,3 +43,32 @@ def embed(documents: DataFrame, embedder: Embedder, document_id: str = "document
 
     slim = documents.select(F.col(document_id).cast("long").alias("document_id"), F.col(text).alias("document"))
     return slim.mapInArrow(run, "document_id long, embedding array<float>")
+
+
+def embed_or_report(documents: DataFrame, embedder: Embedder, document_id: str = "document_id", text: str = "document", batch: int = 32, attempts: int = 3, parallel: int | None = None) -> DataFrame:
+    """(document_id, embedding, error): like `embed`, but what a model keeps failing on is reported, not lost.
+
+    A batch that fails is tried again, then its texts one by one; ``error`` is null where there is an embedding.  ``parallel`` bounds
+    how many tasks call the model at once.
+    """
+    def tried(texts: list[str]) -> tuple[np.ndarray | None, str | None]:
+        error = None
+        for _ in range(attempts):
+            try:
+                return embedder(texts), None
+            except Exception as e:  # a model's client can raise anything
+                error = f"{type(e).__name__}: {e}"
+        return None, error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                vectors, error = tried(texts)
+                single = [tried([t]) for t in texts] if error else [([v], None) for v in vectors]
+                found = [None if e else [float(x) for x in v[0]] for v, e in single]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float32())), pa.array([e for _, e in single], pa.string())], ["document_id", "embedding", "error"])
+
+    slim = documents.select(F.col(document_id).cast("long").alias("document_id"), F.col(text).alias("document"))
+    return (slim.repartition(parallel) if parallel else slim).mapInArrow(run, "document_id long, embedding array<float>, error string")

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import centroids as C
 from ..operators import importer as I
-from ..operators import lsh, search, stats, summary
+from ..operators import lsh, progress, search, stats, summary
 from ..operators.embed import HashEmbedder, embed
+from ..sources.dump import read_pages
+from ..sources.scratch import scratch_path
+from ..sources.store import append_documents, append_embeddings, read_documents
+from ..streaming.incremental import start_import
 from .service import answer_json, parsed_requests
 
 _PREFIXES = [p.capitalize() for p in T.NAMESPACE_PREFIXES]
@@ -212,6 +216,47 @@ def import_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.new_documents(rows.withColumn("ingest_seq", F.col("doc_id")), stored)
 
 
+def import_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = marked(spark, sf_dir)
+    stored = rows.where("lang = 'de'").select(T.trimmed(F.col("title")).alias("name"))
+    return progress.import_funnel(rows.withColumn("ingest_seq", F.col("doc_id")), stored)
+
+
+def _dump(spark: SparkSession, sf_dir: str) -> str:
+    """``documents`` as a compressed dump, every row a page."""
+    path = scratch_path(spark, "dump")
+    page = _table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("Article "), F.floor(F.col("doc_id") / 3).cast("string")).alias("title"), F.lit(0).alias("ns"), F.col("doc_id").alias("id"), F.struct(F.col("doc_id").alias("id"), "text").alias("revision"))
+    page.write.format("xml").options(rowTag="page", rootTag="mediawiki", compression="bzip2", declaration="").save(path)
+    return path
+
+
+def dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read back from a dump of all documents."""
+    return read_pages(spark, _dump(spark, sf_dir)).select("page_id", "title", "text")
+
+
+def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The import of ``import_pipeline`` appended to a store and read by tenant."""
+    path = scratch_path(spark, "store")
+    append_documents(import_pipeline(spark, sf_dir), path)
+    return read_documents(spark, path).where("owner = 'wikipedia' AND category = 'wikipedia'").select("name", "external_id", "document")
+
+
+def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of dumps imported by a stream; the first page of a name can come from any of a batch's files."""
+    path = scratch_path(spark, "stream-store")
+    start_import(spark, _dump(spark, sf_dir), path, scratch_path(spark, "stream-progress")).awaitTermination()
+    return read_documents(spark, path).select("name", "external_id")
+
+
+def ivf_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings stored by centroid; probing reads the partitions of the nearest centroids alone."""
+    means, path = _label_centroids(spark, sf_dir), scratch_path(spark, "embeddings")
+    append_embeddings(C.assign(_table(spark, sf_dir, "embeddings"), means), path)
+    return _rounded(C.probed_search(spark.read.parquet(path), means, _first_vector(spark, sf_dir), n_probe=4))
+
+
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return stats.table_counts(rows, _table(spark, sf_dir, "documents"), rows.select("label").distinct())
@@ -276,7 +321,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         search_exact_topk, search_offset_page, search_batch_topk, search_tenant_filter, search_score_percent, doc_score_max, clean_markup, strip_page_entities,
-        namespace_filter, disambiguation_filter, article_url, dedup_first_title, anti_join_imported, import_pipeline, table_counts, counts_display,
+        namespace_filter, disambiguation_filter, article_url, dedup_first_title, anti_join_imported, import_pipeline, import_funnel, dump_scan, document_store, stream_import, ivf_store, table_counts, counts_display,
         centroid_means, centroid_assign, ivf_search, prompt_build, doc_lookup, request_json, response_json, kmeans_refresh, hash_embed_search, lsh_approximate,
     )
 } | {name: _step(function) for name, function in _STEPS.items()}
@@ -303,6 +348,13 @@ ORACLE_SQL: dict[str, str] = {
         fresh AS (SELECT * FROM cleaned c WHERE document <> '' AND NOT EXISTS (SELECT 1 FROM named s WHERE s.lang = 'de' AND s.name = c.name)),
         firsts AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS n FROM fresh)
         SELECT name, {_sql_url('name')} AS external_id, document, 'wikipedia' AS owner, 'wikipedia' AS category FROM firsts WHERE n = 1""",
+    "import_funnel": f"""WITH {_MARKED}, named AS (SELECT *, {_sql_trim('title')} AS name FROM marked), titled AS (SELECT * FROM named WHERE name <> ''),
+        articles AS (SELECT * FROM titled WHERE NOT {_sql_namespaced('name')}), plain AS (SELECT * FROM articles WHERE NOT {_sql_disambiguation('text')}),
+        cleaned AS (SELECT * FROM plain WHERE {_sql_clean('text')} <> ''), fresh AS (SELECT * FROM cleaned c WHERE NOT EXISTS (SELECT 1 FROM named s WHERE s.lang = 'de' AND s.name = c.name))
+        SELECT 'pages' AS step, count(*) AS rows FROM named UNION ALL SELECT 'titled', count(*) FROM titled UNION ALL SELECT 'articles', count(*) FROM articles
+        UNION ALL SELECT 'plain', count(*) FROM plain UNION ALL SELECT 'cleaned', count(*) FROM cleaned UNION ALL SELECT 'fresh', count(*) FROM fresh UNION ALL SELECT 'first', count(DISTINCT name) FROM fresh""",
+    "dump_scan": "SELECT doc_id AS page_id, 'Article ' || (doc_id // 3)::VARCHAR AS title, text FROM documents",
+    "stream_import": f"SELECT DISTINCT 'Article ' || (doc_id // 3)::VARCHAR AS name, {_sql_url("'Article ' || (doc_id // 3)::VARCHAR")} AS external_id FROM documents WHERE {_sql_clean('text')} <> '' AND NOT {_sql_disambiguation('text')}",
     "table_counts": "SELECT (SELECT count(*) FROM embeddings) AS embeddings, (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT label) FROM embeddings) AS centroids",
     "counts_display": "SELECT format('{:,}', (SELECT count(*) FROM embeddings)) AS embeddings, format('{:,}', (SELECT count(*) FROM documents)) AS documents, format('{:,}', (SELECT count(DISTINCT label) FROM embeddings)) AS centroids",
     "centroid_means": f"WITH {_MEANS} SELECT centroid_id, (d - 1)::BIGINT AS dim, round(mean, 8) AS mean FROM means",
@@ -313,3 +365,5 @@ ORACLE_SQL: dict[str, str] = {
     "doc_lookup": "SELECT doc_id AS document_id, text AS document FROM documents WHERE doc_id IN (3, 5, 8, 99999999)",
     "request_json": "WITH b AS (SELECT event_id, to_json({'text': event_type, 'count': user_id, 'offset': event_id})::VARCHAR AS body FROM events) SELECT event_id, body, body->>'$.text' AS text, (body->>'$.count')::BIGINT AS \"count\", (body->>'$.offset')::BIGINT AS \"offset\" FROM b",
 } | {name: f"WITH {_MARKED} SELECT doc_id, {step('text')} AS document FROM marked" for name, step in _SQL_STEPS.items()}
+ORACLE_SQL["ivf_store"] = ORACLE_SQL["ivf_search"]
+ORACLE_SQL["document_store"] = f"SELECT name, external_id, document FROM ({ORACLE_SQL['import_pipeline']})"

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions.vector import cosine
 from tessera.operators import centroids as C
 from tessera.operators import search as S
-from tessera.operators.embed import HashEmbedder, embed
+from tessera.operators.embed import HashEmbedder, embed, embed_or_report
+from tessera.operators.progress import observed
 from tessera.operators.stats import CountMemo
 from tessera.plans.service import BadRequest, Client, SearchRequest, SearchService
 from tessera.sources.config import Settings, load_settings, parse_settings
@@ -155,3 +156,22 @@ def test_settings(tmp_path):
     assert stat.S_IMODE(path.stat().st_mode) == 0o600
     made = parse_settings('{"AI": {"embed": {"url": ["a", "b"]}}, "unknown": 1}')
     assert made.upload_parallelism == 20 and made.storage == Settings().storage
+
+
+def test_failing_texts_are_reported(spark):
+    documents = spark.createDataFrame([(i, "bad" if i == 3 else f"text {i}") for i in range(10)], "document_id long, document string")
+
+    def model(texts):
+        if "bad" in texts:
+            raise ValueError("no vector")
+        return HashEmbedder(4)(texts)
+
+    got = {r["document_id"]: r for r in embed_or_report(documents, model, batch=4, parallel=2).collect()}
+    assert len(got) == 10 and got[3]["error"] == "ValueError: no vector" and got[3]["embedding"] is None
+    assert all(r["error"] is None and len(r["embedding"]) == 4 for i, r in got.items() if i != 3)
+
+
+def test_observed_rows(spark):
+    rows, seen = observed(spark.createDataFrame([("ab",), (None,), ("c",)], "document string"))
+    rows.collect()
+    assert seen.get == {"rows": 3, "characters": 3}
