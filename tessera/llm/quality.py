@@ -5,7 +5,7 @@ capitals, small letters, digits and other characters, so case and junk marks are
 Each token has a sparse random index vector, derived from a hash.  A token's word vector adds up the index vectors of its
 neighbours in the training sample (random indexing); tokens not seen there have their index vector.  A document is pooled
 into the mean of its vectors, the length of that mean, the share of distinct words and the logarithm of its length.
-The network has one hidden layer; its temperature is fitted on a fifth of the sample that the weights never see.
+Words are those between Unicode white space.  The network has one hidden layer; its temperature is fitted on a fifth of the sample that the weights never see.
 
 Fitted on a bounded sample: ``SAMPLE_ROWS`` labelled rows of at most ``SAMPLE_BYTES``, those of the lowest hash of their id.  Labels are the only thing
 taken from elsewhere; language, source and id are never inputs of a score.
@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,22 +49,36 @@ def _shape(word: str) -> str:
     return "".join("X" if m[1] else "x" if m[2] else "0" if m[3] else m[0][:3] for m in _SHAPES.finditer(word))[:24]
 
 
+_CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
+_MARKS = frozenset(".,;:!?")
+
+
 def _tokens(word: str) -> tuple[str, str]:
+    """A word's letters in lower case, and its shape; the common shapes without a pattern."""
+    body, mark = (word[:-1], word[-1]) if word[-1:] in _MARKS else (word, "")
+    if body.isalpha():
+        if body.islower():
+            return body, f"\0x{mark}"
+        if body[0] in _CAPITALS and body[1:].islower():
+            return body.lower(), f"\0Xx{mark}"
     return "".join(_LETTERS.findall(word)).lower(), f"\0{_shape(word)}"
 
 
-def index_vector(token: str, dim: int = DIM) -> np.ndarray:
-    """Sparse and ternary, from the token's hash alone."""
-    out = np.zeros(dim, np.float32)
+def index_vectors(tokens: list[str]) -> np.ndarray:
+    """Sparse, ternary and of unit length, each from its token's hash alone."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens), np.uint64, len(tokens))
+    out = np.zeros((len(tokens), DIM), np.float32)
+    rows = np.arange(len(tokens))
     for k in range(NONZERO):
-        h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), k)
-        out[h % dim] += 1.0 if h >> 63 else -1.0
-    return out
+        place = (hashes >> np.uint64(12 * k) & np.uint64(4095)) % np.uint64(DIM)
+        out[rows, place.astype(np.int64)] += np.where(hashes >> np.uint64(63 - k) & np.uint64(1), 1.0, -1.0)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
 @dataclass
 class QualityModel:
-    vectors: dict[str, np.ndarray] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)  # token -> row of vectors
+    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM), np.float32))
     layers: tuple[np.ndarray, ...] | None = None
     temperature: float = 1.0
     shift: np.ndarray | None = None
@@ -80,54 +95,76 @@ class QualityModel:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _vector(self, token: str) -> np.ndarray:
-        found = self.vectors.get(token)
-        if found is None:
-            found = index_vector(token)
-            found = found / max(1e-6, float(np.linalg.norm(found)))
-        return found
-
-    def _learn_rows(self, words: list[str]) -> None:
-        """Remember each word's vector, the mean of its tokens'."""
-        if len(self._rows) + len(words) > _CACHE:
-            self._rows.clear()
-        start, stop = len(self._rows), len(self._rows) + len(words)
-        if stop > len(self._matrix):
-            grown = np.empty((max(stop, min(_CACHE, 2 * stop)), DIM), np.float32)
-            grown[:start] = self._matrix[:start]
-            self._matrix = grown
-        for i, word in enumerate(words, start):
-            core, shape = _tokens(word)
-            self._matrix[i] = (self._vector(core) + self._vector(shape)) / 2
-            self._rows[word] = i
-
-    def pool(self, text: str) -> np.ndarray:
-        counts = Counter(text.split())
-        n = counts.total()
-        if not n:
-            return np.zeros(DIM + 3, np.float32)
-        mean = np.zeros(DIM)
-        words = list(counts)
-        for k in range(0, len(words), _CACHE // 4):
-            part = words[k : k + _CACHE // 4]
-            if new := [w for w in part if w not in self._rows]:
-                self._learn_rows(new)
-                if lost := [w for w in part if w not in self._rows]:
-                    self._learn_rows(lost)
-            ids = list(map(self._rows.__getitem__, part))
-            mean += np.array(list(map(counts.__getitem__, part)), np.float32) @ self._matrix[ids]
-        mean /= n
-        return np.concatenate([mean, [np.linalg.norm(mean), len(words) / n**0.9, np.log1p(n)]]).astype(np.float32)
+    def _token_vectors(self, tokens: list[str]) -> np.ndarray:
+        rows = np.fromiter((self.known.get(t, -1) for t in tokens), np.int64, len(tokens))
+        out = np.empty((len(tokens), DIM), np.float32)
+        out[rows >= 0] = self.vectors[rows[rows >= 0]]
+        new = np.flatnonzero(rows < 0)
+        out[new] = index_vectors([tokens[i] for i in new])
+        return out
+
+    def _word_vectors(self, words: list[str]) -> np.ndarray:
+        """Each different word's vector, the mean of its tokens'; up to ``_CACHE`` words are remembered."""
+        rows = np.fromiter((self._rows.get(w, -1) for w in words), np.int64, len(words))
+        out = np.empty((len(words), DIM), np.float32)
+        out[rows >= 0] = self._matrix[rows[rows >= 0]]
+        lost = np.flatnonzero(rows < 0)
+        if len(lost):
+            new = [words[i] for i in lost]
+            cores, shapes = zip(*map(_tokens, new))
+            found = (self._token_vectors(list(cores)) + self._token_vectors(list(shapes))) / 2
+            out[lost] = found
+            if len(self._rows) + len(new) > _CACHE:
+                self._rows, self._matrix = {}, np.empty((0, DIM), np.float32)
+            kept = new[:_CACHE]
+            start = len(self._rows)
+            if start + len(kept) > len(self._matrix):
+                grown = np.empty((min(_CACHE, max(2 * start, start + len(kept))), DIM), np.float32)
+                grown[:start] = self._matrix[:start]
+                self._matrix = grown
+            self._matrix[start : start + len(kept)] = found[: len(kept)]
+            self._rows.update(zip(kept, range(start, start + len(kept))))
+        return out
+
+    def pool(self, texts: pa.Array) -> np.ndarray:
+        """A row for each text.  Arrow numbers the different words of all texts, so each is looked up once."""
+        n = len(texts)
+        out = np.zeros((n, DIM + 3), np.float32)
+        cut = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        words = pc.list_flatten(cut).dictionary_encode()
+        if not len(words):
+            return out
+        different = words.dictionary.to_pylist()
+        sizes = pc.list_value_length(cut).to_numpy()
+        pairs, counts = np.unique(np.repeat(np.arange(n), sizes) * len(different) + words.indices.to_numpy(), return_counts=True)
+        doc, word = pairs // len(different), pairs % len(different)
+        if "" in different:
+            keep = word != different.index("")
+            doc, word, counts = doc[keep], word[keep], counts[keep]
+        if not len(doc):
+            return out
+        vectors = self._word_vectors(different)
+        total = np.bincount(doc, counts, n)
+        for at in range(0, len(doc), 100_000):
+            part = slice(at, at + 100_000)
+            starts = np.flatnonzero(np.diff(doc[part], prepend=-1))
+            out[doc[part][starts], :DIM] += np.add.reduceat(vectors[word[part]] * counts[part, None].astype(np.float32), starts)
+        some = total > 0
+        out[some, :DIM] /= total[some, None]
+        out[some, DIM] = np.linalg.norm(out[some, :DIM], axis=1)
+        out[some, DIM + 1] = np.bincount(doc, minlength=n)[some] / total[some] ** 0.9
+        out[some, DIM + 2] = np.log1p(total[some])
+        return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
         return np.maximum(((pooled - self.shift) / self.scale) @ w1 + b1, 0) @ w2 + b2
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        if self.layers is None:
+    def score(self, texts: pa.Array | list[str | None]) -> np.ndarray:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if self.layers is None or not len(texts):
             return np.full(len(texts), 0.5)
-        z = self.logits(np.stack([self.pool(t) for t in texts])) if texts else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(z / self.temperature, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(self.pool(texts)) / self.temperature, -40, 40)))
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
@@ -144,7 +181,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
         counts.update(tokens)
         sequences.append(tokens)
     known = {t: i for i, (t, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
-    index = np.stack([index_vector(t) for t in known])
+    index = index_vectors(list(known))
     context = np.zeros_like(index)
     for tokens in sequences:
         ids = np.array([known.get(t, -1) for t in tokens])
@@ -154,11 +191,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
             np.add.at(context, a[both], index[b[both]])
             np.add.at(context, b[both], index[a[both]])
     norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-6)
-    vectors = norm(norm(context) + 0.7 * norm(index)).astype(np.float32)
-    model.vectors = dict(zip(known, vectors))
+    model.known, model.vectors = known, norm(norm(context) + 0.7 * index).astype(np.float32)
 
     rng = np.random.default_rng(seed)
-    x, y = np.stack([model.pool(t) for t in texts]), np.array(labels, np.float64)
+    x, y = np.concatenate([model.pool(pa.array(texts[k : k + 500], pa.string())) for k in range(0, len(texts), 500)]), np.array(labels, np.float64)
     apart = np.arange(len(y)) % 5 == 4
     # The share of distinct words weighs more than one of the vector's many dimensions.
     emphasis = np.array([1.0] * DIM + [1.0, 4.0, 1.0])
@@ -201,13 +237,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trainable: Column | None = N
 def scores(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     spark = docs.sparkSession
-    bounded_batches(spark, records=2048)
+    bounded_batches(spark, records=4096, megabytes=4)
     shared = spark.sparkContext.broadcast(model)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.score([x or "" for x in batch.column(1).to_pylist()])
+            found = shared.value.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, score double")
@@ -216,13 +252,13 @@ def scores(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: s
 def keep_quality(docs: DataFrame, model: QualityModel, text: str = "text", at_least: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``at_least``."""
     spark = docs.sparkSession
-    bounded_batches(spark, records=2048)
+    bounded_batches(spark, records=4096, megabytes=4)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.score([x or "" for x in batch.column(at).to_pylist()])
+            found = shared.value.score(batch.column(at))
             yield batch.filter(pa.array(found >= at_least))
 
     return docs.mapInArrow(run, docs.schema)
