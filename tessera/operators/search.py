@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
+from ..sources.scratch import scratch_path
 
 #: Query vectors that one pass over the embeddings holds.
 QUERY_BLOCK = 1024
@@ -53,7 +54,8 @@ def with_documents(found: DataFrame, documents: DataFrame) -> DataFrame:
 def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding") -> DataFrame:
     """(query_id, key, similarity, rank) of the k nearest of every query.
 
-    Queries go out in blocks of ``QUERY_BLOCK`` vectors, whatever their number.  A task multiplies Arrow batches by the block and
+    Queries go out in blocks of ``QUERY_BLOCK`` vectors, whatever their number; all blocks but the last write their results to
+    the shared folder before the next goes out.  A task multiplies Arrow batches by the block and
     keeps k rows a query, so what is shuffled is k rows a query and task.
     """
     spark = embeddings.sparkSession
@@ -82,16 +84,18 @@ def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: st
         slim = embeddings.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column)
         return slim.mapInArrow(run, f"{query_key} long, {key} long, similarity double")
 
-    parts, block = [], []
+    def ranked(found: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("similarity"), key))
+        return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+
+    path, block = None, []
     for row in queries.where(F.col(column).isNotNull()).select(F.col(query_key).cast("long"), column).toLocalIterator():
-        block.append(row)
         if len(block) == QUERY_BLOCK:
-            parts.append(one(block))
+            path = path or scratch_path(spark, "search")
+            ranked(one(block)).write.mode("append").parquet(path)
             block = []
-    if block or not parts:
-        parts.append(one(block) if block else embeddings.limit(0).select(F.lit(0).cast("long").alias(query_key), F.col(key).cast("long").alias(key), F.lit(0.0).alias("similarity")))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    ranked = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("similarity"), key))
-    return found.withColumn("rank", ranked.cast("long")).where(F.col("rank") <= k)
+        block.append(row)
+    if not block:
+        return ranked(embeddings.limit(0).select(F.lit(0).cast("long").alias(query_key), F.col(key).cast("long").alias(key), F.lit(0.0).alias("similarity")))
+    last = ranked(one(block))
+    return spark.read.schema(last.schema).parquet(path).unionByName(last) if path else last
