@@ -10,8 +10,8 @@ can are opened.  Both are bounds, so nothing above the threshold is lost.
 A retrieved item counts as leaked if its wording is in the passage: of the 5-word shingles of its question and of its
 answer (the last sentence), ``OVERLAP`` at least are in the passage, for each of both.  A part of fewer than five words is one shingle.
 
-The index is cut into blocks of items of ``SHARD_BYTES`` of text each; every block is broadcast in turn, so what is broadcast is bounded
-however many items there are.  Words are in lower case (A-Z) between ASCII white space, without ASCII punctuation.
+The index is cut into blocks of items of ``SHARD_BYTES`` of text each, with the statistics of all items; every block is broadcast in turn,
+so what is broadcast is bounded however many items there are.  Words are in lower case (A-Z) between ASCII white space, without ASCII punctuation.
 
 Null texts and texts without words leak nothing, and items without words can't leak.  Items of equal wording are all reported;
 repeated rows give repeated results.  Empty tables give no rows; other columns are ignored.
@@ -23,6 +23,7 @@ import math
 import string
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,19 +62,18 @@ def question_and_answer(text: str) -> tuple[str, str]:
 class Index:
     """Postings of items, sorted by item, with the largest weight of each block of ``BLOCK`` items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: tuple[dict[bytes, int], int, float, int] | None = None):
+        """``statistics`` of all items, if these are only some: items by word, items, mean length, longest length."""
         kept = [(i, words_of(t), t) for i, t in items]
         kept = [x for x in kept if x[1]]
         self.ids = [x[0] for x in kept]
         self.parts = [tuple(shingles(words_of(p)) for p in question_and_answer(x[2])) for x in kept]
-        self.longest = max((len(x[1]) for x in kept), default=1)
-        self.stride = max(STRIDE, self.longest)
         counts = [Counter(x[1]) for x in kept]
-        df = Counter(w for c in counts for w in c)
-        mean = sum(c.total() for c in counts) / max(1, len(counts))
+        df, n_items, mean, longest = statistics or (Counter(w for c in counts for w in c), len(kept), sum(c.total() for c in counts) / max(1, len(kept)), max((len(x[1]) for x in kept), default=1))
+        self.stride = max(STRIDE, longest)
         postings: dict[bytes, list[tuple[int, float]]] = {}
         for n, c in enumerate(counts):
-            weight = {w: math.log(1 + (len(counts) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * c.total() / mean)) for w, tf in c.items()}
+            weight = {w: math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * c.total() / mean)) for w, tf in c.items()}
             whole = sum(weight.values())
             for w, x in weight.items():
                 postings.setdefault(w, []).append((n, x / whole))
@@ -211,6 +211,31 @@ class Index:
         return [(self.ids[i], -r[3] * self.stride, r[0], r[1], r[2]) for i, r in sorted(best.items())]
 
 
+def item_shards(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
+    """Indexes over blocks of items of about ``SHARD_BYTES``, all with the statistics of all items; a block at a time is on the driver."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, words)), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))], ["i", "t", "n", "words"])
+
+    bounded_batches(items.sparkSession, records=2048)
+    slim = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"))
+    split_items = staged(slim.mapInArrow(split, "i long, t string, n long, words array<binary>").where("n > 0").withColumn("row", F.monotonically_increasing_id()), "items")
+    n_items, mean, longest = split_items.agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
+    by_word = split_items.select("row", F.explode("words").alias("word"))
+    df = by_word.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    of_item = by_word.join(df, "word").groupBy("row").agg(F.collect_list(F.struct("word", "df")).alias("known"))
+    shard, size, known = [], 0, {}
+    for r in split_items.join(of_item, "row").select("i", "t", "known").sort("i", "t").toLocalIterator():
+        if shard and size + len(r["t"]) > SHARD_BYTES:
+            yield Index(shard, (known, n_items, mean, longest))
+            shard, size, known = [], 0, {}
+        shard.append((r["i"], r["t"]))
+        size += len(r["t"])
+        known.update((bytes(w), n) for w, n in r["known"])
+    yield Index(shard, (known, n_items, mean, longest) if shard else None)
+
+
 RESULT = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
 
 
@@ -219,7 +244,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     spark = docs.sparkSession
     bounded_batches(spark, records=2048)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    out, shard, size = [], [], 0
 
     def search(index: Index) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
@@ -234,17 +258,13 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
         return slim.mapInArrow(run, RESULT)
 
-    wanted = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long"), F.col(item_text)).sort(item_id, item_text)
-    for i, t in wanted.toLocalIterator():
-        if shard and size + len(t) > SHARD_BYTES:
-            out.append(staged(search(Index(shard)), "leaks"))
-            shard, size = [], 0
-        shard.append((i, t))
-        size += len(t)
-    found = search(Index(shard))
-    for x in out:
-        found = found.unionByName(x)
-    return found
+    parts: list[DataFrame] = []
+    for index in item_shards(items, item_id, item_text):
+        if parts:
+            # With several blocks, each one's results are written before the next goes out.
+            parts[-1] = staged(parts[-1], "leaks")
+        parts.append(search(index))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

@@ -66,12 +66,11 @@ def test_blocks_of_items_change_nothing(spark, corpus, monkeypatch):
     items, docs = corpus
     table = spark.createDataFrame(items, "item_id long, text string")
     rows = spark.createDataFrame(docs, "doc_id long, text string")
-    whole = {(r["doc_id"], r["item_id"]) for r in D.leaked_items(rows, table).collect()}
+    found = lambda: Counter((r["doc_id"], r["item_id"], r["passage_start"], round(r["score"], 9)) for r in D.leaked_items(rows, table).collect())
+    whole = found()
     monkeypatch.setattr(D, "SHARD_BYTES", 2000)
-    parts = {(r["doc_id"], r["item_id"]) for r in D.leaked_items(rows, table).collect()}
-    # Weights follow the items of a block, so scores differ a little; copies are found either way.
-    exact = {(i, k) for i, t in docs for k, item in items if item and len(item.split()) > 5 and f" {item.lower()} " in f" {(t or '').lower()} "}
-    assert exact <= whole and exact <= parts and len(exact) > 10
+    assert len(list(D.item_shards(table))) > 3
+    assert found() == whole
 
 
 @pytest.mark.parametrize("seed", range(4))
