@@ -18,7 +18,6 @@ An empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -172,19 +171,26 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
     model = QualityModel()
     if len(set(labels)) < 2:
         return model
-    counts, sequences, split = Counter(), [], {}
+    number: dict[str, int] = {}
+    tokens_of: dict[str, tuple[int, int]] = {}
+    sequences = []
     for text in texts:
-        for word in text.split():
-            if word not in split:
-                split[word] = _tokens(word)
-        tokens = [t for w in text.split() for t in split[w]]
-        counts.update(tokens)
-        sequences.append(tokens)
-    known = {t: i for i, (t, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
+        words = text.split()
+        for word in words:
+            if word not in tokens_of:
+                tokens_of[word] = tuple(number.setdefault(t, len(number)) for t in _tokens(word))
+        sequences.append(np.array([tokens_of[w] for w in words], np.int32).reshape(-1))
+    del tokens_of
+    counts = np.bincount(np.concatenate(sequences), minlength=len(number))
+    most = sorted(number.items(), key=lambda x: (-counts[x[1]], x[0]))[:VOCABULARY]
+    place = np.full(len(number) + 1, -1)
+    place[[i for _, i in most]] = np.arange(len(most))
+    known = {t: k for k, (t, _) in enumerate(most)}
+    del number, most
     index = index_vectors(list(known))
     context = np.zeros_like(index)
-    for tokens in sequences:
-        ids = np.array([known.get(t, -1) for t in tokens])
+    while sequences:
+        ids = place[sequences.pop()]
         for step in range(1, WINDOW + 1):
             a, b = ids[:-step], ids[step:]
             both = (a >= 0) & (b >= 0)
@@ -220,6 +226,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
         want = np.where(y[apart] > 0, (ones + 1) / (ones + 2), 1 / (len(out) - ones + 2))
         loss = lambda temp: np.mean(np.logaddexp(0, out / temp) - want * out / temp)
         model.temperature = float(min(np.geomspace(0.05, 20, 120), key=loss))
+    model.__post_init__()  # forgets the words of the sample
     return model
 
 
