@@ -3,12 +3,41 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seconds that counting may take.
+COUNT_SECONDS = 600
+_T = TypeVar("_T")
+
+
+def within(spark: SparkSession, seconds: float, action: Callable[[], _T]) -> _T:
+    """The action's result; after ``seconds`` its jobs are cancelled and TimeoutError is raised."""
+    tag, late = f"within-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"not done within {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
+
+
 def table_counts(embeddings: DataFrame, documents: DataFrame, centroids: DataFrame) -> DataFrame:
     """(embeddings, documents, centroids): three counts, each from Parquet metadata where that serves."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.embed import Embedder
 from ..operators.search import search, with_documents
-from ..operators.stats import CountMemo, table_counts
+from ..operators.stats import COUNT_SECONDS, CountMemo, table_counts, within
 from ..operators.summary import summary_stream
 
 
@@ -93,7 +93,8 @@ class SearchService:
     def __init__(self, documents: DataFrame, embeddings: DataFrame, centroids: DataFrame, embedder: Embedder, chat: Callable[[str], Iterable[str]] | None = None, owner: str = "wikipedia", category: str = "wikipedia"):
         tenant = (F.col("owner") == owner) & (F.col("category") == category)
         self.documents, self.embeddings, self.embedder, self.chat = documents.where(tenant), embeddings, embedder, chat
-        self.counts = CountMemo(lambda: table_counts(embeddings, documents, centroids).first().asDict())
+        spark = documents.sparkSession
+        self.counts = CountMemo(lambda: within(spark, COUNT_SECONDS, lambda: table_counts(embeddings, documents, centroids).first().asDict()))
 
     def search(self, request: SearchRequest) -> DataFrame:
         vector = self.embedder([request.text])[0]

@@ -14,7 +14,7 @@ from tessera.operators import centroids as C
 from tessera.operators import search as S
 from tessera.operators.embed import HashEmbedder, embed, embed_or_report
 from tessera.operators.progress import observed
-from tessera.operators.stats import CountMemo
+from tessera.operators.stats import CountMemo, within
 from tessera.plans.service import BadRequest, Client, SearchRequest, SearchService
 from tessera.sources.config import Settings, load_settings, parse_settings
 
@@ -175,3 +175,11 @@ def test_observed_rows(spark):
     rows, seen = observed(spark.createDataFrame([("ab",), (None,), ("c",)], "document string"))
     rows.collect()
     assert seen.get == {"rows": 3, "characters": 3}
+
+
+def test_jobs_end_in_time(spark):
+    assert within(spark, 60, lambda: spark.range(5).count()) == 5
+    with pytest.raises(TimeoutError):
+        within(spark, 1, lambda: spark.range(10**13).selectExpr("sum(id * id % 7)").collect())
+    with pytest.raises(ZeroDivisionError):
+        within(spark, 60, lambda: 1 / 0)
