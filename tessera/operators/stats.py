@@ -17,16 +17,20 @@ _T = TypeVar("_T")
 
 
 def within(spark: SparkSession, seconds: float, action: Callable[[], _T]) -> _T:
-    """The action's result; after ``seconds`` its jobs are cancelled and TimeoutError is raised."""
-    tag, late = f"within-{uuid.uuid4().hex}", threading.Event()
-
-    def stop() -> None:
-        late.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
-    timer.start()
+    """The action's result; after ``seconds`` its jobs are cancelled, those that start later too, and TimeoutError is raised."""
+    context, tag = spark.sparkContext, f"within-{uuid.uuid4().hex}"
+    late, done = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        wait = seconds
+        while not done.wait(wait):
+            late.set()
+            context.cancelJobsWithTag(tag)
+            wait = 0.5
+
+    context.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
         return action()
     except Exception as e:
@@ -34,8 +38,9 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], _T]) -> _T:
             raise TimeoutError(f"not done within {seconds} s") from e
         raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        done.set()
+        watcher.join()
+        context.removeJobTag(tag)
 
 
 def table_counts(embeddings: DataFrame, documents: DataFrame, centroids: DataFrame) -> DataFrame:
