@@ -64,9 +64,15 @@ def pipe_count(text: Column) -> Column:
 
 
 def is_prose(line: Column) -> Column:
-    """Whether a line stays: not blank, no file reference, no legend, at most one pipe unless it is a heading."""
-    x = trimmed(line)
-    return (x != "") & ~F.lower(x).startswith("file:") & ~x.contains("|legend|") & ((pipe_count(x) <= 1) | x.startswith("=="))
+    """Whether a line stays: not blank, no file reference, no legend, at most one pipe unless it is a heading.
+
+    The one-element array binds the trimmed line, which is then trimmed once; most lines have no pipe and stop there.
+    """
+    def keeps(x: Column) -> Column:
+        piped = ~x.contains("|legend|") & ((pipe_count(x) <= 1) | x.startswith("=="))
+        return (x != "") & ~F.lower(F.substring(x, 1, 5)).startswith("file:") & (~x.contains("|") | piped)
+
+    return F.exists(F.array(trimmed(line)), keeps)
 
 
 def filter_lines(text: Column) -> Column:
