@@ -1,7 +1,7 @@
 """A corpus from documents to shards, in five stages.
 
 1. quality: fits the quality classifier on the labelled rows of its input whose id's CRC-32 doesn't leave 2 modulo 4 and drops what scores under 0.7.
-2. near_dedup: keeps the document of the smallest id of every SimHash component.
+2. near_dedup: keeps the document of the smallest id of every component of near copies, texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 3. decontaminate: drops documents that leak a benchmark item.
 4. mix: repeats or drops documents so that the sources meet their target weights; a repeated document is a repeated row.
 5. shard: one row per row of the mix with its shard and slot, equal texts together.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, mixing, quality, sharding, simhash
+from tessera.llm import decontaminate, mixing, near_copies, quality, sharding
 from tessera.llm._common import id_crc32, staged, table
 
 SHARDS = 24
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return near_copies.keep_first(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
