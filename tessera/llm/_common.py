@@ -65,6 +65,11 @@ def id_crc32(column: str | Column) -> Column:
     return F.crc32(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit("")))
 
 
+def text_key(text: str | Column) -> Column:
+    """A 64-bit hash that tells texts apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit("").cast("binary")))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (Spark then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,11 +1,11 @@
-"""Connected components by alternating large-star and small-star steps, each written to the shared folder."""
+"""Connected components by alternating large-star and small-star steps, each written to the shared folder; one row of each component."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import small, staged, text_key
 
 
 def _stars(links: DataFrame, small_star: bool) -> DataFrame:
@@ -34,3 +34,19 @@ def roots(links: DataFrame) -> DataFrame:
         if now == state:
             return links
         state = now
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id, null ids last; ``groups`` is (key, component) by `text_key`.
+
+    A text that isn't in ``groups`` is a component of its own.  Rows are told apart by id and text, so different texts of one id,
+    or without an id, don't stand for each other.
+    """
+    texts = staged(docs.groupBy(text_key(text).alias("key")).agg(F.min(doc_id).alias("first"), F.count(F.lit(1)).alias("n")), "texts")
+    member = groups.join(texts, "key")
+    best = member.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))["key"].alias("best"))
+    gone = small(staged(member.join(best, "component").where("key != best").select(F.col("key").alias("__key")), "gone"))
+    kept = docs.withColumn("__key", text_key(text)).join(gone, "__key", "left_anti")
+    repeated = small(texts.where("n > 1").select(F.col("key").alias("__key"), F.col("first").alias("__first")))
+    once = kept.join(repeated, "__key").where(F.col(doc_id).eqNullSafe(F.col("__first"))).dropDuplicates(["__key"]).select(docs.columns)
+    return kept.join(repeated, "__key", "left_anti").select(docs.columns).unionByName(once)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_AZ, bounded_batches, small, staged
+from ._common import LOWER_AZ, bounded_batches, small, staged, text_key
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -267,8 +267,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     return reduce(DataFrame.unionByName, parts)
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that leak an item, all columns kept."""
-    leaked = staged(leaked_items(docs, items, doc_id=doc_id, **options).select("doc_id").distinct(), "leaked")
-    gone = small(leaked.select(F.col("doc_id").alias("__leaked")))
-    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["__leaked"]), "left_anti")
+def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that leak an item, all columns kept; a text alone decides, whatever its id."""
+    keyed = docs.select(text_key(text).alias("__key"), text)
+    gone = small(staged(leaked_items(keyed, items, doc_id="__key", text=text, **options).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked"))
+    return docs.join(gone, text_key(docs[text]) == gone["__leaked"], "left_anti")

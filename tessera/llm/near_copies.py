@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, LOWER_AZ, bounded_batches, partitions, small, staged
-from .components import roots
+from ._common import BROADCAST_ROWS, LOWER_AZ, bounded_batches, partitions, small, staged, text_key
+from .components import keep_one, roots
 
 SEED = 42
 SHINGLE = 5
@@ -54,23 +54,19 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * inside >= 4 * (len(a) + len(b) - inside)
 
 
-def text_key(text: str | Column) -> Column:
-    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit("").cast("binary")))
-
-
-def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, n, parity, shingles) of every row."""
+def _sets(docs: DataFrame, text: str) -> DataFrame:
+    """(key, n, parity, shingles) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(x or b"") for x in batch.column(2).to_pylist()]
+            found = [shingle_set(x or b"") for x in batch.column(1).to_pylist()]
             parity = [np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) % 2 == 1).tobytes() for s in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(parity, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["doc_id", "key", "n", "parity", "shingles"])
+                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(parity, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
+                ["key", "n", "parity", "shingles"])
 
     bounded_batches(docs.sparkSession, records=1024, megabytes=8)
-    slim = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
-    return staged(slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, key long, n long, parity binary, shingles binary"), "copies-sets")
+    slim = docs.select(text_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
+    return staged(slim.mapInArrow(run, "key long, n long, parity binary, shingles binary"), "copies-sets")
 
 
 def _frequent(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,13 +223,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Rows are told apart by id and text, so different texts of one id, or without an id, don't stand for each other.
     """
-    sets = _sets(docs, doc_id, text)
-    texts = staged(sets.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "copies-texts")
-    linked = _linked(sets)
-    member = linked.unionByName(linked.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "key").join(texts, "key")
-    best = member.groupBy("b").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))["key"].alias("best"))
-    gone = small(staged(member.join(best, "b").where("key != best").select(F.col("key").alias("__key")), "copies-gone"))
-    kept = docs.withColumn("__key", text_key(text)).join(gone, "__key", "left_anti")
-    repeated = small(texts.where("n > 1").select(F.col("key").alias("__key"), F.col("first").alias("__first")))
-    once = kept.join(repeated, "__key").where(F.col(doc_id).eqNullSafe(F.col("__first"))).dropDuplicates(["__key"]).select(docs.columns)
-    return kept.join(repeated, "__key", "left_anti").select(docs.columns).unionByName(once)
+    linked = _linked(_sets(docs, text))
+    groups = linked.unionByName(linked.select(F.col("b").alias("a"), "b").distinct())
+    return keep_one(docs, groups.select(F.col("a").alias("key"), F.col("b").alias("component")), doc_id, text)

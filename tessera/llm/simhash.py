@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_AZ, bounded_batches, partitions, small, staged
-from .components import roots
+from ._common import LOWER_AZ, bounded_batches, partitions, small, staged, text_key
+from .components import keep_one, roots
 
 SEED = 42
 SHINGLE = 3
@@ -213,14 +213,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, that of its smallest id; an id that repeats stays once."""
-    found = staged(near_duplicates(docs, doc_id, text, radius), "simhash-found")
-    gone = small(found.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]), "left_anti")
-    again = found.where("doc_id = component_id OR doc_id IS NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if again.limit(1).count() == 0:
-        return kept
-    again = again.select(F.col("doc_id").alias("__again"))
-    match = docs[doc_id].eqNullSafe(again["__again"])
-    once = kept.join(again, match, "left_semi").dropDuplicates([doc_id])
-    return kept.join(again, match, "left_anti").unionByName(once)
+    """``docs`` with one row of each component, that of the smallest id, null ids last.
+
+    Rows are told apart by id and text, so different texts of one id, or without an id, don't stand for each other.
+    """
+    bounded_batches(docs.sparkSession)
+    texts = staged(fingerprints(docs.select(text_key(text).alias("key"), text), "key", text).distinct(), "simhash-texts")
+    fps = staged(texts.select("fp").distinct(), "simhash-distinct")
+    bounded_batches(docs.sparkSession, records=65_536)
+    linked = roots(near_links(fps, radius))
+    groups = texts.join(linked.select(F.col("a").alias("fp"), "b"), "fp", "left").select(F.col("doc_id").alias("key"), F.coalesce("b", "fp").alias("component"))
+    return keep_one(docs, groups, doc_id, text)
