@@ -54,10 +54,13 @@ def drop_staged(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, records: int = 4096, megabytes: int = 16) -> None:
-    """Bound what one Arrow batch holds, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, whatever the length of the texts.
+
+    The same bounds for all operators, so a plan doesn't depend on which was built last: rows of numbers reach the first, texts the second.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def id_crc32(column: str | Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small, staged, text_key
+from ._common import staged, text_key
+
+#: Texts that hold more than this share of all rows are looked up by broadcast: there are at most as many as the share's inverse.
+HOT_SHARE = 1 / 2000
 
 
 def _stars(links: DataFrame, small_star: bool) -> DataFrame:
@@ -31,7 +34,7 @@ def roots(links: DataFrame) -> DataFrame:
     while True:
         links = staged(_stars(_stars(links, False), True), "links")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             return links
         state = now
 
@@ -40,13 +43,21 @@ def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: s
     """``docs`` with one row of each component, that of the smallest id, null ids last; ``groups`` is (key, component) by `text_key`.
 
     A text that isn't in ``groups`` is a component of its own.  Rows are told apart by id and text, so different texts of one id,
-    or without an id, don't stand for each other.
+    or without an id, don't stand for each other; of rows of equal id and text one stays, with any of their other columns.
+
+    What stays is decided on (key, id) alone.  Whole rows then meet the decisions once, by key and id, so copies of one text are spread;
+    rows that repeat id and text so often that they'd make a task large are picked by broadcast and combined before they are shuffled.
     """
-    texts = staged(docs.groupBy(text_key(text).alias("key")).agg(F.min(doc_id).alias("first"), F.count(F.lit(1)).alias("n")), "texts")
+    slim = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("id"))
+    pairs = slim.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
+    texts = staged(pairs.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first")).select("key", "first.id", "first.none", "first.n"), "texts")
     member = groups.join(texts, "key")
-    best = member.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))["key"].alias("best"))
-    gone = small(staged(member.join(best, "component").where("key != best").select(F.col("key").alias("__key")), "gone"))
-    kept = docs.withColumn("__key", text_key(text)).join(gone, "__key", "left_anti")
-    repeated = small(texts.where("n > 1").select(F.col("key").alias("__key"), F.col("first").alias("__first")))
-    once = kept.join(repeated, "__key").where(F.col(doc_id).eqNullSafe(F.col("__first"))).dropDuplicates(["__key"]).select(docs.columns)
-    return kept.join(repeated, "__key", "left_anti").select(docs.columns).unionByName(once)
+    best = member.groupBy("component").agg(F.min(F.struct("none", "id", "key"))["key"].alias("best"))
+    gone = member.join(best, "component").where("key != best").select("key")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    kept = staged(texts.join(gone, "key", "left_anti").select(F.col("key").alias("__text"), named("id").alias("__id"), F.col("n").alias("__n")), "kept")
+    hot = F.broadcast(kept.where(F.col("__n") > F.greatest(F.lit(1), F.lit(docs.count() * HOT_SHARE))).select("__text", "__id"))
+    keyed, both = docs.withColumns({"__text": text_key(text), "__id": named(doc_id)}), ["__text", "__id"]
+    many = keyed.join(hot, both).dropDuplicates(both)
+    few = keyed.join(hot, both, "left_anti").join(kept.select(both), both).dropDuplicates(both)
+    return few.select(docs.columns).unionByName(many.select(docs.columns))

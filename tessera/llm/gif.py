@@ -259,7 +259,7 @@ FRAME_SCHEMA = "frame int, x int, y int, width int, height int, delay_ms int, st
 
 def frames(media: DataFrame, gif: str = "gif", keep: tuple[str, ...] = (), pixels: bool = True) -> DataFrame:
     """One row per frame with the columns in ``keep``: place, timing, disposal, histograms of the shown canvas, its RGBA bytes."""
-    bounded_batches(media.sparkSession, records=256)
+    bounded_batches(media.sparkSession)
     fields = FRAME_SCHEMA.split(", ")
     names = [f.split()[0] for f in fields]
     slim = media.select(*keep, F.col(gif).cast("binary").alias("__gif"))
@@ -284,7 +284,7 @@ def frames(media: DataFrame, gif: str = "gif", keep: tuple[str, ...] = (), pixel
 
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, gif) in the shared folder: whole texts as UTF-8, padded by spaces to lines of 192, as grey frames."""
-    bounded_batches(docs.sparkSession, records=1024, megabytes=4)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +299,7 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def read_digests(media: DataFrame) -> DataFrame:
     """Digests of stored texts from their frames: the samples drawn, the stored bytes, times and grey histogram."""
-    bounded_batches(media.sparkSession, records=1024, megabytes=4)
+    bounded_batches(media.sparkSession)
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,7 +107,7 @@ def fit_languages(docs: DataFrame, trainable: Column | None = None, doc_id: str
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected): the closest language, and whether its margin is too narrow to trust."""
     spark = docs.sparkSession
-    bounded_batches(spark, records=2048)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("body"))
 

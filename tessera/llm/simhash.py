@@ -9,7 +9,7 @@ most 20 others above it and itself, one of eight lanes 72.
 
 * Equal fingerprints meet once.  A tile of more than ``TILE_ROWS`` is cut into chunks by hash, and chunk pairs are separate units of work.
 * A unit returns links of a spanning forest of what it found, not all pairs, so a large group of near copies stays linear.
-* What is broadcast: tile counts while they are few (17**4 rows with four lanes), and fingerprints that hold over a 2000th of all rows.
+* What is broadcast by this module: fingerprints that hold over a 2000th of all rows, 2000 at most.  Tile counts are joined as Spark plans it.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other.  Very long texts are
 counted in blocks.  Repeated rows and ties share fingerprint and component.  Rows of a null id get their fingerprint's
@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_AZ, bounded_batches, partitions, small, staged, text_key
-from .components import keep_one, roots
+from ._common import LOWER_AZ, bounded_batches, partitions, staged
+from .components import roots
 
 SEED = 42
 SHINGLE = 3
@@ -77,8 +77,31 @@ def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = root[root]
 
 
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 256, columns: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of rows of a and b, fingerprints of one or more words in the order of their population counts, within ``radius`` bits.
+
+    Tile pairs whose population counts differ by more are skipped.  With ``b is a`` every pair comes once, i < j.
+    """
+    ones_a, ones_b = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
+    for r in range(0, len(a), rows):
+        tile, ones = a[r : r + rows], ones_a[r : r + rows]
+        for c in range(r if b is a else 0, len(b), columns):
+            others = b[c : c + columns]
+            if ones_b[c] - ones[-1] > radius or ones[0] - ones_b[c + len(others) - 1] > radius:
+                continue
+            apart = np.bitwise_count(tile[:, None, 0] ^ others[None, :, 0])
+            for k in range(1, a.shape[1]):
+                apart = apart + np.bitwise_count(tile[:, None, k] ^ others[None, :, k])
+            i, j = np.nonzero(apart <= radius)
+            i, j = i + r, j + c
+            if b is a:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield i, j
+
+
 class _Unit:
-    """A home chunk of a tile, and what visits it."""
+    """A home chunk of a tile, and what visits it; all of one have the same population counts."""
 
     def __init__(self, radius: int):
         self.radius, self.parts, self.own, self.out = radius, [], None, []
@@ -89,16 +112,9 @@ class _Unit:
         for i, j in self._near(self.own):
             _merge(self.root, i, j)
 
-    def _near(self, others: np.ndarray, rows: int = 256, columns: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for r in range(0, len(self.own), rows):
-            a = self.own[r : r + rows, None]
-            for c in range(r if others is self.own else 0, len(others), columns):
-                i, j = np.nonzero(np.bitwise_count(a ^ others[None, c : c + columns]) <= self.radius)
-                i, j = i + r, j + c
-                if others is self.own:
-                    i, j = i[i < j], j[i < j]
-                if len(i):
-                    yield i, j
+    def _near(self, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = self.own[:, None]
+        return close_pairs(own, own if others is self.own else others[:, None], self.radius)
 
     def visit(self, others: np.ndarray) -> None:
         if self.own is None:
@@ -180,7 +196,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS,
     bits = 64 // lanes
     lane = [(F.bit_count(F.shiftrightunsigned("fp", bits * k).bitwiseAND(F.lit((1 << bits) - 1))) + F.lit(4)).cast("long") * F.lit(32**k) for k in range(lanes)]
     tiled = fps.select("fp", sum(lane[1:], lane[0]).alias("tile"))
-    tiles = small(tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("chunks")))
+    tiles = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("chunks"))
     own = tiled.join(tiles, "tile").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     key = lambda tile, chunk: tile * F.lit(1 << 20) + chunk
     home = own.select(key(F.col("tile"), F.col("chunk")).alias("unit"), F.lit(0).alias("guest"), "fp")
@@ -197,7 +213,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bounded_batches(docs.sparkSession)
     slim = staged(fingerprints(docs, doc_id, text), "simhash")
     fps = staged(slim.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
-    bounded_batches(docs.sparkSession, records=65_536)
     linked = roots(near_links(fps, radius))
     # A root links to itself too, so that its first id counts.
     member = linked.unionByName(linked.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "fp").join(fps, "fp")
@@ -210,17 +225,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cold = rows.where("hot IS NULL").select("doc_id", "fp").join(of.select("fp", "component_id"), "fp")
     all_rows = rows.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(cold.select("doc_id", "fp", "component_id"))
     return all_rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id, null ids last.
-
-    Rows are told apart by id and text, so different texts of one id, or without an id, don't stand for each other.
-    """
-    bounded_batches(docs.sparkSession)
-    texts = staged(fingerprints(docs.select(text_key(text).alias("key"), text), "key", text).distinct(), "simhash-texts")
-    fps = staged(texts.select("fp").distinct(), "simhash-distinct")
-    bounded_batches(docs.sparkSession, records=65_536)
-    linked = roots(near_links(fps, radius))
-    groups = texts.join(linked.select(F.col("a").alias("fp"), "b"), "fp", "left").select(F.col("doc_id").alias("key"), F.coalesce("b", "fp").alias("component"))
-    return keep_one(docs, groups, doc_id, text)

@@ -254,7 +254,7 @@ def write_segments(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     id follow each other.  An empty table gives no segment.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, records=4096, megabytes=4)
+    bounded_batches(spark)
     width = _encoder(tokenizer).width
     ids_only = docs.select(F.col(doc_id).cast("long").alias("i"))
     buckets = max(1, -(-ids_only.count() // BUCKET_ROWS))
@@ -299,7 +299,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
 
     ``start`` counts the ids of all documents before it over all segments.
     """
-    bounded_batches(segments.sparkSession, records=16)
+    bounded_batches(segments.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,8 +3,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tessera.llm import near_copies, simhash
+from tessera.llm import components, near_copies, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -49,20 +51,55 @@ def test_the_stage_finds_edited_copies(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 3]
 
 
-def test_kept_rows_equal_brute_force(spark):
-    for seed, star_rounds in ((1, 2), (2, 0)):
+def test_kept_rows_equal_brute_force(spark, monkeypatch):
+    for seed, hubs, chunk_rows, small in ((1, near_copies.HUBS, None, near_copies.SMALL), (2, 1, 4, 3)):
+        monkeypatch.setattr(near_copies, "SMALL", small)
         rng = random.Random(seed)
         rows = [(i, t) for i, t in enumerate([*edited(250, seed), "a b", "A  b\n", "x x x x x x x x"])]
         rng.shuffle(rows)
-        near_copies.STAR_ROUNDS, was = star_rounds, near_copies.STAR_ROUNDS
-        try:
-            kept = near_copies.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
-        finally:
-            near_copies.STAR_ROUNDS = was
+        docs = spark.createDataFrame(rows, SCHEMA)
+        linked = near_copies.near_copy_roots(docs, hubs=hubs, chunk_rows=chunk_rows)
+        groups = linked.unionByName(linked.select(F.col("b").alias("a"), "b").distinct()).toDF("key", "component")
+        kept = components.keep_one(docs, groups).collect()
         assert sorted(map(tuple, kept)) == sorted(plain_kept(rows))
         assert 50 < len(kept) < 230
 
 
+def test_shingle_sets_and_sketches():
+    """Sets have the sizes and overlaps of plain sets; sketches follow their definitions."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", None, "a", "A b", "a b c d e", "a b c d e f", "\x0b a\tb  c\r\n", "É é x y z w", "x " * 50_000, *edited(60, 4)]
+    found, plain = near_copies.shingle_sets(pa.array(texts)), [plain_set(t) for t in texts]
+    for i, a in enumerate(plain):
+        assert len(found[i]) == len(a)
+        for j in range(i):
+            assert len(np.intersect1d(found[i], found[j])) == len(a & plain[j])
+    for own in found:
+        bits = np.unpackbits(np.frombuffer(near_copies.sketch(own), np.uint8))
+        for half, hashes in ((bits[:64], own), (bits[64:128], near_copies._mixed(own, 0xFF51AFD7ED558CCD))):
+            assert half.tolist() == [int(2 * sum(int(h) >> (8 * (b // 8) + 7 - b % 8) & 1 for h in hashes) > len(own)) for b in range(64)]
+        assert bits[near_copies.BITS :].tolist() == [int((own & np.uint64(255) == b).sum() % 2) for b in range(near_copies.PARITY)]
+
+
+def test_the_radius_holds_pairs_of_the_similarity():
+    """Of random pairs of sets at a similarity of just 0.8, of many sizes, none is further apart than the radius."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    worst = 0
+    for n in (5, 10, 40, 90, 270, 900):
+        for _ in range(300):
+            shared, own = rng.integers(0, 1 << 63, (4 * n) // 5 * 2, dtype=np.uint64) * np.uint64(2), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            side = len(shared) // 8
+            a, b = np.concatenate([shared, own[:side]]), np.concatenate([shared, own[side : 2 * side]])
+            if near_copies.alike(np.unique(a), np.unique(b)):
+                x, y = (np.unpackbits(np.frombuffer(near_copies.sketch(s)[: near_copies.BITS // 8], np.uint8)) for s in (a, b))
+                worst = max(worst, int((x != y).sum()))
+    assert 25 < worst <= near_copies.RADIUS
+
+
 def test_ids_that_repeat_or_are_missing(spark):
     a, b, c = edited(3, 3, (60,))[0], "one two three four five six", "seven eight"
     rows = [(5, a), (5, b), (3, b), (None, c), (None, "nine ten"), (None, a), (5, a), (7, None), (8, ""), (None, " ")]

@@ -1,6 +1,6 @@
 """Rows that share an id, or have none, in the pipeline's stages."""
 
-from tessera.llm import decontaminate, simhash
+from tessera.llm import decontaminate, near_copies
 
 SCHEMA = "doc_id long, text string"
 ITEM = "one two three four five six seven. eight nine ten eleven twelve."
@@ -13,7 +13,7 @@ def kept(rows):
 def test_first_rows_by_id_and_text(spark):
     rows = [(5, "a b c d e"), (5, "x y z u v"), (3, "x y z u v"), (None, "p q r s"), (None, "k l m n o"), (None, "a b c d e"), (5, "a b c d e")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert kept(simhash.keep_first(docs)) == sorted(map(str, [(5, "a b c d e"), (3, "x y z u v"), (None, "p q r s"), (None, "k l m n o")]))
+    assert kept(near_copies.keep_first(docs)) == sorted(map(str, [(5, "a b c d e"), (3, "x y z u v"), (None, "p q r s"), (None, "k l m n o")]))
 
 
 def test_only_leaking_texts_go(spark):
