@@ -7,8 +7,9 @@ neighbours in the training sample (random indexing); tokens not seen there have
 into the mean of its vectors, the length of that mean, the share of distinct words and the logarithm of its length.
 Words are those between Unicode white space.  The network has one hidden layer; its temperature is fitted on a fifth of the sample that the weights never see.
 
-Fitted on a bounded sample: ``SAMPLE_ROWS`` labelled rows of at most ``SAMPLE_BYTES``, those of the lowest hash of their id.  Labels are the only thing
-taken from elsewhere; language, source and id are never inputs of a score.
+Fitted on a bounded sample, in one task: of the different labelled texts the ``SAMPLE_ROWS`` of the lowest hash of id and text, as far as they have
+``SAMPLE_BYTES`` together.  A row that repeats id and text counts once.  Labels are the only thing taken from elsewhere; language, source and id are never
+inputs of a score.
 
 Null and empty texts get the score of a document without tokens.  Rows without labels, ties and repeated rows are scored
 like any other; an id with several labels trains on the smallest.  Without any usable label every score is 0.5.
@@ -17,6 +18,7 @@ An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,15 +27,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, staged, text_key
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE_ROWS = 4_000
-#: Longest sample text, in bytes, so that a sample is bounded.
-SAMPLE_BYTES = 200_000
+#: Bytes of all sample texts at most.
+SAMPLE_BYTES = 32 << 20
 DIM = 48
 WINDOW = 2
 NONZERO = 4
@@ -230,21 +232,34 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Fit on at most ``sample_rows`` labelled documents for which ``trainable`` holds."""
-    marks = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__labelled")).agg(F.min("quality").alias("__quality"))
-    docs = docs.where((F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES) & (trainable if trainable is not None else F.lit(True)))
-    ids = docs.select(F.col(doc_id).alias("__id")).distinct()
-    chosen = marks.join(ids, F.col("__id") == F.col("__labelled")).select("__labelled", "__quality").orderBy(F.xxhash64("__labelled"), "__labelled").limit(sample_rows)
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__labelled")).select(F.col("__labelled").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col("__quality").alias("q"))
-    found = sorted((xxhash.xxh64_intdigest(str(r["i"])), r["i"], r["t"], r["q"]) for r in rows.limit(2 * sample_rows).toLocalIterator())
-    return fit([x[2] for x in found], [int(x[3]) for x in found])
+def fit_quality(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """Fit on a sample of the labelled documents for which ``trainable`` holds, in one task; only the model reaches the driver."""
+    bounded_batches(docs.sparkSession)
+    marks = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__quality"))
+    slim = (docs.where(trainable) if trainable is not None else docs).select(
+        F.col(doc_id).alias("__id"), text_key(text).alias("__key"), F.coalesce(F.octet_length(text), F.lit(0)).alias("__bytes"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    texts = slim.groupBy("__id", "__key").agg(F.min("__bytes").alias("__bytes")).where(F.col("__bytes") <= sample_bytes)
+    first = texts.join(marks, "__id").withColumn("__order", F.xxhash64("__id", "__key")).orderBy("__order", "__id", "__key").limit(sample_rows)
+    # At most sample_rows rows are left here.
+    so_far = F.sum("__bytes").over(Window.orderBy("__order", "__id", "__key").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = staged(first.withColumn("__so_far", so_far).where(F.col("__so_far") <= sample_bytes).select("__id", "__key", "__order", "__quality"), "quality-sample")
+    rows = slim.join(F.broadcast(chosen), ["__id", "__key"]).select("__order", "__id", "__key", "__text", "__quality").dropDuplicates(["__id", "__key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marked = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            marked += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, [int(x) for x in marked]))], pa.binary())], ["model"])
+
+    ordered = rows.repartition(1).sortWithinPartitions("__order", "__id", "__key").select("__text", "__quality")
+    return pickle.loads(ordered.mapInArrow(run, "model binary").first()["model"])
 
 
 def scores(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     spark = docs.sparkSession
-    bounded_batches(spark, records=4096, megabytes=4)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("body"))
 
@@ -259,7 +274,7 @@ def scores(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: s
 def keep_quality(docs: DataFrame, model: QualityModel, text: str = "text", at_least: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``at_least``."""
     spark = docs.sparkSession
-    bounded_batches(spark, records=4096, megabytes=4)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
