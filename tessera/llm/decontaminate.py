@@ -7,11 +7,12 @@ All items of at least ``THRESHOLD`` are retrieved by block-max WAND.  Before tha
 a document's passages in all blocks of postings: a passage in which no block can reach the threshold has no pivot, and only blocks that
 can are opened.  Both are bounds, so nothing above the threshold is lost.
 
-A retrieved item counts as leaked if its wording is in the passage: of the 5-word shingles of its question and of its
-answer (the last sentence), ``OVERLAP`` at least are in the passage, for each of both.  A part of fewer than five words is one shingle.
+A retrieved item counts as leaked if its wording is in the passage: of the words of its question and of its answer (the last sentence), ``OVERLAP`` at
+least stand there in the same order and about as close (``SLACK`` words), for each of both; a part may always lack one word of three or more.  So a
+leak with a word changed is a leak.
 
-The index is cut into blocks of items of ``SHARD_BYTES`` of text each, with the statistics of all items; every block is broadcast in turn,
-so what is broadcast is bounded however many items there are.  Words are in lower case (A-Z) between ASCII white space, without ASCII punctuation.
+The index is cut into blocks of items of ``SHARD_BYTES`` of text each, with the statistics of all items.  Each block is one broadcast; every batch of the
+corpus meets all of them in one pass, and a worker holds at most ``HELD`` at a time.  Very long texts are searched in slabs of strides.  Words are in lower case (A-Z) between ASCII white space, without ASCII punctuation.
 
 Null texts and texts without words leak nothing, and items without words can't leak.  Items of equal wording are all reported;
 repeated rows give repeated results.  Empty tables give no rows; other columns are ignored.
@@ -19,28 +20,36 @@ repeated rows give repeated results.  Empty tables give no rows; other columns a
 
 from __future__ import annotations
 
+import difflib
 import math
+import re
 import string
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_AZ, bounded_batches, small, staged, text_key
+from ._common import LOWER_AZ, bounded_batches, staged
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
-SHINGLE = 5
+SLACK = 2
 #: Items in a block of postings.
 BLOCK = 4
 #: Bytes of item texts in one broadcast index.
 SHARD_BYTES = 2 << 20
+#: Blocks of the index that a worker holds at most.
+HELD = 16
 STRIDE = 32
+#: Bounds of (stride, block of postings) that are taken at a time, and bytes of text that are cut into words at a time.
+SLAB_CELLS = 1 << 20
+SLICE = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 PUNCTUATION = string.punctuation.encode()
 
 
@@ -48,8 +57,34 @@ def words_of(text: str | bytes) -> list[bytes]:
     return (text.encode("utf-8", "ignore") if isinstance(text, str) else text).translate(LOWER_AZ, PUNCTUATION).split()
 
 
-def shingles(words: list[bytes]) -> set[bytes]:
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+def slabs(text: bytes, stride: int, strides: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first stride, words) of runs of at most ``strides`` strides; each begins with the last stride of the one before."""
+    ahead, held, at = 0, [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + SLICE)
+        to = gap.start() if gap else len(text)
+        held += words_of(text[at:to])
+        at = to
+        while len(held) > strides * stride:
+            yield ahead, held[: strides * stride]
+            held, ahead = held[(strides - 1) * stride :], ahead + strides - 1
+    if held:
+        yield ahead, held
+
+
+def aligned(part: list[bytes], words: list[bytes]) -> float:
+    """The share of a part's words that stand in the passage in the part's order, around its longest common run and no further apart than in the part."""
+    if not part:
+        return 1.0
+    run = difflib.SequenceMatcher(None, words, part, autojunk=False).find_longest_match()
+    begin = run.a - run.b
+    window = words[max(0, begin - SLACK) : begin + len(part) + SLACK] if run.size else []
+    return sum(m.size for m in difflib.SequenceMatcher(None, window, part, autojunk=False).get_matching_blocks()) / len(part)
+
+
+def enough(share: float, part: list[bytes], overlap: float) -> bool:
+    """A part of three words or more may always lack one."""
+    return share >= overlap or len(part) > 2 and round((1 - share) * len(part)) <= 1
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -67,7 +102,7 @@ class Index:
         kept = [(i, words_of(t), t) for i, t in items]
         kept = [x for x in kept if x[1]]
         self.ids = [x[0] for x in kept]
-        self.parts = [tuple(shingles(words_of(p)) for p in question_and_answer(x[2])) for x in kept]
+        self.parts = [tuple(words_of(p) for p in question_and_answer(x[2])) for x in kept]
         counts = [Counter(x[1]) for x in kept]
         df, n_items, mean, longest = statistics or (Counter(w for c in counts for w in c), len(kept), sum(c.total() for c in counts) / max(1, len(kept)), max((len(x[1]) for x in kept), default=1))
         self.stride = max(STRIDE, longest)
@@ -180,35 +215,30 @@ class Index:
 
     def leaks(self, text: bytes, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
         """(item id, first word of the passage, score, question overlap, answer overlap): each leaked item once, by its best passage."""
-        words = words_of(text)
-        if not words or not self.ids:
+        best: dict[int, tuple] = {}
+        if not self.ids:
             return []
-        get, missing = self.terms.get, -1
-        found = np.array([get(w, missing) for w in words], np.int64)
-        n_strides = -(-len(words) // self.stride)
+        for ahead, words in slabs(text, self.stride, max(2, SLAB_CELLS // max(1, self.n_blocks))):
+            for row in self._in_slab(words, ahead, threshold, overlap):
+                if row[0] not in best or row[1] > best[row[0]]:
+                    best[row[0]] = row[1]
+        return [(self.ids[i], -r[3] * self.stride, r[0], r[1], r[2]) for i, r in sorted(best.items())]
+
+    def _in_slab(self, words: list[bytes], ahead: int, threshold: float, overlap: float) -> Iterator[tuple[int, tuple]]:
+        """(item number, (score, overlaps, -passage)) of every leak in a run of strides that begins with stride ``ahead`` of the text."""
+        found = np.fromiter(map(self.terms.get, words, [-1] * len(words)), np.int64, len(words))
         at = np.flatnonzero(found >= 0)
         if not len(at):
-            return []
+            return
         key = np.unique(at // self.stride * len(self.terms) + found[at])
         strides, terms = key // len(self.terms), key % len(self.terms)
-        best: dict[int, tuple] = {}
-        for passage, blocks in self.open_blocks(strides, terms, n_strides, threshold).items():
+        for passage, blocks in self.open_blocks(strides, terms, -(-len(words) // self.stride), threshold).items():
             own = np.unique(terms[(strides == passage) | (strides == passage + 1)]).tolist()
-            inside = None
+            inside = words[passage * self.stride : (passage + 2) * self.stride]
             for item, score in self.wand(own, threshold, blocks):
-                if inside is None:
-                    inside = shingles(words[passage * self.stride : (passage + 2) * self.stride])
-                    low = words[passage * self.stride : (passage + 2) * self.stride]
-                    every = b" " + b" ".join(low) + b" "
-                share = []
-                for part in self.parts[item]:
-                    hit = sum(s in inside or (s.count(b" ") < SHINGLE - 1 and b" " + s + b" " in every) for s in part)
-                    share.append(hit / len(part) if part else 1.0)
-                if min(share) >= overlap:
-                    row = (score, share[0], share[1], -passage)
-                    if item not in best or row > best[item]:
-                        best[item] = row
-        return [(self.ids[i], -r[3] * self.stride, r[0], r[1], r[2]) for i, r in sorted(best.items())]
+                share = [aligned(part, inside) for part in self.parts[item]]
+                if all(enough(x, part, overlap) for x, part in zip(share, self.parts[item])):
+                    yield item, (score, share[0], share[1], -passage - ahead)
 
 
 def item_shards(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
@@ -218,7 +248,7 @@ def item_shards(items: DataFrame, item_id: str = "item_id", text: str = "text")
             words = [words_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, words)), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))], ["i", "t", "n", "words"])
 
-    bounded_batches(items.sparkSession, records=2048)
+    bounded_batches(items.sparkSession)
     slim = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"))
     split_items = staged(slim.mapInArrow(split, "i long, t string, n long, words array<binary>").where("n > 0").withColumn("row", F.monotonically_increasing_id()), "items")
     n_items, mean, longest = split_items.agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
@@ -239,36 +269,48 @@ def item_shards(items: DataFrame, item_id: str = "item_id", text: str = "text")
 RESULT = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
 
 
+def _shared(items: DataFrame, item_id: str, item_text: str) -> list[Broadcast]:
+    return [items.sparkSession.sparkContext.broadcast(index) for index in item_shards(items, item_id, item_text)]
+
+
+def _indexes(shared: list[Broadcast]) -> Iterator[Index]:
+    """The blocks one after the other; those over ``HELD`` are read from the executor's disk again when their turn comes."""
+    for k, block in enumerate(shared):
+        yield block.value
+        if k >= HELD:
+            del block._value
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, passage_start, score, question_overlap, answer_overlap) of every item that a document leaks."""
-    spark = docs.sparkSession
-    bounded_batches(spark, records=2048)
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
+    shared = _shared(items, item_id, item_text)
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    types = [pa.int64()] * 3 + [pa.float64()] * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(i, *x) for index in _indexes(shared) for i, body in zip(ids, bodies) for x in index.leaks(body or b"", threshold, overlap)]
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    return slim.mapInArrow(run, RESULT)
+
 
-    def search(index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = [x.split()[0] for x in RESULT.split(", ")]
-            types = [pa.int64()] * 3 + [pa.float64()] * 3
-            for batch in batches:
-                rows = [(i, *x) for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in shared.value.leaks(body or b"", threshold, overlap)]
-                columns = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-        return slim.mapInArrow(run, RESULT)
-
-    parts: list[DataFrame] = []
-    for index in item_shards(items, item_id, item_text):
-        if parts:
-            # With several blocks, each one's results are written before the next goes out.
-            parts[-1] = staged(parts[-1], "leaks")
-        parts.append(search(index))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that leak an item, all columns kept; a text alone decides, whatever its id."""
-    keyed = docs.select(text_key(text).alias("__key"), text)
-    gone = small(staged(leaked_items(keyed, items, doc_id="__key", text=text, **options).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked"))
-    return docs.join(gone, text_key(docs[text]) == gone["__leaked"], "left_anti")
+def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """``docs`` without the documents that leak an item, all columns kept; a text alone decides, whatever its id.  One pass, nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
+    shared, at = _shared(items, item_id, item_text), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [x if isinstance(x, bytes) else (x or "").encode("utf-8", "ignore") for x in batch.column(at).to_pylist()]
+            clean = [True] * len(bodies)
+            for index in _indexes(shared):
+                for i, body in enumerate(bodies):
+                    clean[i] = clean[i] and not index.leaks(body, threshold, overlap)
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

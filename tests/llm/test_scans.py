@@ -1,6 +1,10 @@
 """Benchmark decontamination and license scans against exhaustive versions."""
 
+import difflib
+import math
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -34,22 +38,46 @@ def corpus():
     return items, [*docs, (900, None), (901, ""), (902, docs[4][1]), (902, docs[4][1]), (903, items[0][1])]
 
 
+def plain_words(text):
+    return [w for w in re.sub(r"[!-/:-@\[-`{-~]", "", re.sub("[A-Z]", lambda m: m[0].lower(), text)).encode().split() if w]
+
+
+def plain_parts(text):
+    """Words of the question and of the last sentence."""
+    body = text.strip()
+    cuts = [m.end() for m in re.finditer(r"[.?!\n](?=\s)", body)]
+    return [plain_words(body[: cuts[-1]]), plain_words(body[cuts[-1] :])] if cuts else [plain_words(body), []]
+
+
+def plain_overlap(part, passage):
+    """The most of the part's words, in order, in the window around one of its longest runs that stands first."""
+    if not part:
+        return True
+    size, a, b = max(((next((k for k in range(len(part)) if passage[i : i + k + 1] != part[j : j + k + 1] or i + k >= len(passage) or j + k >= len(part)), len(part) - j), -i, -j) for i in range(len(passage)) for j in range(len(part)) if passage[i] == part[j]), default=(0, 0, 0))
+    if not size:
+        return False
+    window = passage[max(0, b - a - 2) :][: len(part) + 2 + min(2, max(0, b - a))]
+    runs = difflib.SequenceMatcher(None, window, part, autojunk=False).get_matching_blocks()
+    hit = sum(m.size for m in runs)
+    return hit >= 0.8 * len(part) or len(part) > 2 and hit >= len(part) - 1
+
+
 def exhaustive(items, text):
-    """Every passage against every item: scores of all, then wording."""
-    index = D.Index([x for x in items if x[1]])
-    words, out = D.words_of(text or ""), {}
-    for start in range(0, max(1, len(words)), index.stride):
-        passage = words[start : start + 2 * index.stride]
-        scores = Counter()
-        for w in set(passage):
-            if w in index.terms:
-                for n, x in index.postings[index.terms[w]]:
-                    scores[n] += x
-        line = b" " + b" ".join(passage) + b" "
-        for n, s in scores.items():
-            shares = [sum(b" " + g + b" " in line for g in part) / len(part) if part else 1 for part in index.parts[n]]
-            if s >= D.THRESHOLD - 1e-9 and min(shares) >= D.OVERLAP:
-                out[index.ids[n]] = max(out.get(index.ids[n], 0), s)
+    """Every passage against every item: BM25 scores of all from their definition, then wording."""
+    own = [(i, plain_words(t), plain_parts(t)) for i, t in items if t and plain_words(t)]
+    df, mean = Counter(w for _, ws, _ in own for w in set(ws)), sum(len(ws) for _, ws, _ in own) / max(1, len(own))
+    stride, words, out = max([32, *(len(ws) for _, ws, _ in own)]), plain_words(text or ""), {}
+    weights = []
+    for _, ws, _ in own:
+        tf = Counter(ws)
+        weights.append({w: math.log(1 + (len(own) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, n in tf.items()})
+    for start in range(0, max(1, len(words)), stride):
+        passage = words[start : start + 2 * stride]
+        held = set(passage)
+        for (i, _, parts), weight in zip(own, weights):
+            score = sum(x for w, x in weight.items() if w in held) / sum(weight.values())
+            if score >= D.THRESHOLD - 1e-9 and all(plain_overlap(p, passage) for p in parts):
+                out[i] = max(out.get(i, 0), score)
     return out
 
 
@@ -143,3 +171,44 @@ def test_scan_table(spark):
     found = Counter((r["doc_id"], r["license"]) for r in got.collect())
     assert found == Counter([*((i, name) for i, (_, name, _) in enumerate(NOTICES) if name), (50, "LicenseRef-all-rights-reserved"), (51, "Apache-2.0"), (51, "Apache-2.0")])
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_an_item_with_a_changed_word_is_found(spark):
+    item = "What do the seven old bridges of that town have in common? They were all built of red stone."
+    changed = item.replace("old", "ancient").replace("red", "grey")
+    docs = spark.createDataFrame([(1, f"before it {changed} and after"), (2, item.replace("?", ",") + " x" * 500), (3, "seven bridges of a town were built of stone, all in common use")], "doc_id long, text string")
+    found = D.leaked_items(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2]
+
+
+def test_very_long_texts_are_searched_in_slabs(monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, sentences(rng, words, 20) + ". " + sentences(rng, words, 6) + ".") for i in range(40)]
+    index = D.Index(items)
+    text = " ".join(rng.choices(words, k=4000))
+    places = sorted(rng.sample(range(len(text)), 6))
+    for k, at in enumerate(places):
+        text = text[:at] + " " + items[k][1] + " " + text[at:]
+    whole = index.leaks(text.encode())
+    monkeypatch.setattr(D, "SLAB_CELLS", 20)
+    monkeypatch.setattr(D, "SLICE", 100)
+    assert index.leaks(text.encode()) == whole and {r[0] for r in whole} >= set(range(6)) - {0}
+    assert {r[0]: r[2] for r in whole} == pytest.approx(exhaustive(items, text))
+
+
+def test_a_text_of_five_million_words():
+    item = (1, " ".join(f"rare{i}" for i in range(20)) + ". " + " ".join(f"end{i}" for i in range(5)) + ".")
+    text = b"word other " * 2_500_000 + item[1].encode() + b" tail" * 10
+    began = time.time()
+    assert [r[0] for r in D.Index([item, (2, "word nothing else. here at all")]).leaks(text)] == [1]
+    assert time.time() - began < 60
+
+
+def test_more_blocks_than_a_worker_holds(spark, corpus, monkeypatch):
+    items, docs = corpus
+    rows, table = spark.createDataFrame(docs[:40], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, D.leaked_items(rows, table).collect()))
+    monkeypatch.setattr(D, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(D, "HELD", 1)
+    assert sorted(map(str, D.leaked_items(rows, table).collect())) == whole
