@@ -1,7 +1,8 @@
 """A corpus from documents to shards, in five stages.
 
 1. quality: fits the quality classifier on the labelled rows of its input whose id's CRC-32 doesn't leave 2 modulo 4 and drops what scores under 0.7.
-2. near_dedup: keeps the document of the smallest id of every component of near copies, texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+2. near_dedup: SimHash near-dedup over five-word shingles, each pair within the radius checked for a Jaccard similarity of 0.8 or more;
+   the document of the smallest id of every component stays.
 3. decontaminate: drops documents that leak a benchmark item.
 4. mix: repeats or drops documents so that the sources meet their target weights; a repeated document is a repeated row.
 5. shard: one row per row of the mix with its shard and slot, equal texts together.
