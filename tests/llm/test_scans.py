@@ -138,7 +138,19 @@ NOTICES = [
     ("Licensed under the Apache License, Version 2.0.", "Apache-2.0", 0),
     ("intro text\nReleased under the MIT License.\nmore", "MIT", 0),
     ("LICENSED UNDER CC BY-NC 4.0", "CC-BY-NC-4.0", 0),
-    ("# Licensed under\n# CC BY-SA 4.0.", None, 0),
+    ("# Licensed under\n# CC BY-SA 4.0.", "CC-BY-SA-4.0", 0),
+    ("// Licensed under\n// the MIT License.", "MIT", 0),
+    (" * Licensed under the Apache\n *   License 2.0", "Apache-2.0", 1),
+    ("Licensed under the CC BY 4.0", "CC-BY-4.0", 1),
+    ("Licensed under the BSD License.", None, 0),
+    ("x SPDX-License-Identifier: GPL-2.0-or-later y", "GPL-2.0-or-later", 0),
+    (L._GNU.format("This program", "Affero ", "3"), "AGPL-3.0", 0),
+    (L._GNU.format("This program", "Affero ", "3").replace("This program", "Our tool").replace(" ", "\n", 9), "AGPL-3.0", 2),
+    (L._GNU.format("This library", "Lesser ", "3"), "LGPL-3.0", 0),
+    ("Copyright 2020 X\n" + L._BSD + L._BSD_2 + L._BSD_AS_IS, "BSD-2-Clause", 0),
+    (L._BSD + L._BSD_2 + L._BSD_3 + L._BSD_AS_IS, "BSD-3-Clause", 0),
+    (L._BSD, "LicenseRef-BSD", 0),
+    (L._ISC + "." + L._ISC_AS_IS, None, 0),
     ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", 0),
     ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0", 0),
     ("This work is licensed under the GNU General Public License, version 9.", None, 0),
@@ -165,6 +177,53 @@ def test_every_template_finds_itself():
         assert len(scanner.scan(f"{text}\nx\n{text}")) == 2
 
 
+def plain_findings(text):
+    """Every template at every word of a text; the place goes to most words in common less changes, then to the larger reduction of the whole text."""
+    words, found = L.words_of(text), {}
+    scanner = L.Scanner()
+    rank = {k: i for i, k in enumerate(scanner.ranked(words))}
+    for t, (name, template) in enumerate(L.TEMPLATES):
+        template = L.words_of(template)
+        n, slack = len(template), len(template) // 10 + 2
+        for i in range(-slack, len(words)):
+            window = words[max(0, i - slack) : i + n + slack]
+            got = (i, n, []) if i >= 0 and words[i : i + n] == template else None
+            if got is None and len(set(template) - set(window)) <= L.allowed(n) and (d := L.difference(window, template)) and L.same_license(d[2], n):
+                got = (max(0, i - slack) + d[0], d[1], d[2])
+            if got:
+                found.setdefault((got[0], got[1], t), (name, got[2]))
+    out = []
+    for (first, n, t), (name, d) in sorted(found.items(), key=lambda x: (3 * len(x[1][1]) - x[0][1], rank.get(x[0][2], 999), x[0])):
+        if all(first + n <= a or a + m <= first for a, m, _ in out):
+            out.append((first, n, name))
+    return sorted(out)
+
+
+def test_findings_equal_every_template_at_every_place():
+    rng = random.Random(3)
+    common = [w for _, t in L.TEMPLATES for w in t.split()]
+    scanner, total = L.Scanner(), 0
+    for case in range(25):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            parts += rng.choices(common, k=rng.randint(0, 12))
+            notice = rng.choice(L.TEMPLATES)[1].split()
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                notice[rng.randrange(len(notice))] = rng.choice(("other", "word", rng.choice(common)))
+            parts += notice
+        text = " ".join(parts)
+        got = [(f.first_word, f.n_words, f.license) for f in scanner.scan(text)]
+        assert got == plain_findings(text), text
+        total += len(got)
+    assert total > 30
+
+
+def test_a_text_of_many_notices():
+    began = time.time()
+    found = L.Scanner().scan("Licensed under the MIT License.\n" * 100_000)
+    assert len(found) == 100_000 and time.time() - began < 30
+
+
 def test_scan_table(spark):
     rows = [(i, t, "x") for i, (t, _, _) in enumerate(NOTICES)] + [(50, "word " * 50_000 + "All rights reserved.", "x"), (51, NOTICES[0][0], "x"), (51, NOTICES[0][0], "x")]
     got = L.scan(spark.createDataFrame(rows, "doc_id long, text string, license string"))
