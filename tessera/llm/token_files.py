@@ -18,6 +18,7 @@ Segments are the rows of a Parquet table, in ascending id order by (bucket, part
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -27,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, small, staged
+from ._common import bounded_batches, staged
 
 MAGIC = b"TSRSEG01"
 SAMPLE = 256
@@ -38,6 +40,8 @@ SAMPLE = 256
 SEGMENT_IDS = 1 << 21
 #: Text rows that share a bucket of ids on average.
 BUCKET_ROWS = 8_192
+#: Buckets at most, but for those of single ids.
+BUCKETS = 1 << 16
 #: Pieces in one of a worker's two generations of known ids.
 CACHE = 600_000
 END_ID = 0
@@ -110,6 +114,16 @@ class Segment:
         return self.ids[self.select(i - 1) if i else 0 : self.select(i)]
 
 
+def _byte_level(file: dict) -> bool:
+    """Whether a tokenizer's file says what `CachedEncoder` takes for granted."""
+    rule, model = file["pre_tokenizer"] or {}, file["model"]
+    return (
+        file["normalizer"] is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") is True and rule.get("add_prefix_space") is False and model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in file["added_tokens"])
+    )
+
+
 class CachedEncoder:
     """Encodes by the tokenizers library, remembering pieces that repeat.
 
@@ -117,6 +131,9 @@ class CachedEncoder:
     ids are those of its chunks between such spaces.  Chunks of Latin characters are cut further by the tokenizer's own
     pattern (fixed, below) into words, which go to its model at once; any other chunk goes through the whole tokenizer.
     Known words are kept in two generations: when the younger is full, the older is forgotten.
+
+    A text that holds one of the tokenizer's added tokens (such as ``<|endoftext|>``, which the library gives its own id) goes through the
+    library whole, and so does every text of a tokenizer that isn't byte-level BPE with that pattern, as its file says.
     """
 
     #: Fixed: the pre-tokenizer's pattern.
@@ -129,7 +146,8 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known_rule = _byte_level(json.loads(self.tokenizer.to_str()))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.model, self.cache, self.young, self.old = self.tokenizer.model, cache, {}, {}
@@ -138,7 +156,7 @@ class CachedEncoder:
         other = iter(range(256, 512))
         self.alphabet = {b: b if b in plain else next(other) for b in range(256)}
         self.space = chr(self.alphabet[32])
-        self.mark = {m: self._whole(m) for m in self._MARKS}
+        self.mark = {m: self._whole(m) for m in self._MARKS} if self.known_rule else {}
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -201,6 +219,9 @@ class CachedEncoder:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return pa.array([], pa.binary())
+        if not self.known_rule:
+            end = b"" if end_id is None else array(self.code, [end_id]).tobytes()
+            return pa.array([self._whole(t) + end for t in texts.to_pylist()], pa.binary())
         cut = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
         chunks = pc.list_flatten(cut).dictionary_encode()
         number = chunks.indices.to_numpy()
@@ -213,11 +234,14 @@ class CachedEncoder:
                 get = self.young.get
             ids.append(found)
         bad = np.fromiter((x is None for x in ids), bool, len(ids))
-        slow = np.flatnonzero(np.logical_or.reduceat(bad[number], bounds[:-1])) if bad.any() else np.empty(0, np.int64)
-        # Texts with runs of white space are encoded one by one: each is its own first chunk, and its other chunks are empty.
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        slow = np.flatnonzero(np.logical_or.reduceat(bad[number], bounds[:-1]) | whole) if bad.any() or whole.any() else np.empty(0, np.int64)
+        # Texts with runs of white space, or an added token, are encoded one by one: each is its own first chunk, and its other chunks are empty.
         fed, empty = self._whole("\n"), len(ids)
         end = b"" if end_id is None else array(self.code, [end_id]).tobytes()
-        ids = [*(x or b"" for x in ids), b"", end, *(fed + self._spaced(texts[int(i)].as_py()) for i in slow)]
+        ids = [*(x or b"" for x in ids), b"", end, *(fed + (self._whole if whole[i] else self._spaced)(texts[int(i)].as_py()) for i in slow)]
         chosen = number.astype(np.int64)
         for k, i in enumerate(slow.tolist()):
             chosen[bounds[i] : bounds[i + 1]] = empty
@@ -249,24 +273,39 @@ def _encoder(path: str) -> CachedEncoder:
 def write_segments(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Tokenize whole texts into the segment table (bucket, part, doc_ids, payload) in the shared folder.
 
-    Null texts are empty; each document's ids end with ``end_id``.  Buckets are ranges of ids cut at quantiles of the id
-    column alone, so texts are tokenized once and only their ids are shuffled.  Null ids come first; rows that repeat an
+    Null texts are empty; each document's ids end with ``end_id``.  Buckets are ranges of ids, cut by Spark's range partitioning of
+    the id column alone, so texts are tokenized once and only their ids are shuffled; there are ``BUCKETS`` at most.  Ids that hold more
+    rows than a few buckets have buckets of their own, as many as they need.  Null ids come first; rows that repeat an
     id follow each other.  An empty table gives no segment.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     width = _encoder(tokenizer).width
     ids_only = docs.select(F.col(doc_id).cast("long").alias("i"))
-    buckets = max(1, -(-ids_only.count() // BUCKET_ROWS))
-    cuts = ids_only.agg(F.percentile_approx("i", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else []
-    cuts = sorted(set(cuts or []))
+    rows = ids_only.count()
+    buckets = min(BUCKETS, max(1, -(-rows // BUCKET_ROWS)))
+    each = max(1, rows // buckets)
+    # The last id of every range, and of ids with many rows how many buckets they take: both bounded by the number of buckets.
+    ranged = ids_only.where("i IS NOT NULL").repartitionByRange(buckets, "i").groupBy(F.spark_partition_id().alias("b")).agg(F.max("i").alias("last"))
+    cuts = {r["last"]: 1 for r in ranged.select("last").collect()}
+    hot = {r["i"]: -(-r["n"] // each) for r in ids_only.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * each).collect()}
+    nulls = hot.pop(None, 1)
+    for i, n in hot.items():
+        cuts.setdefault(i - 1, 1)
+        cuts[i] = n
+    edges = np.array(sorted(cuts), np.int64)
+    parts = np.array([nulls, *(cuts[i] for i in edges.tolist()), 1], np.int64)
+    first = np.cumsum(parts) - parts
+    total = int(parts.sum())
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, edges = _encoder(tokenizer), np.array(cuts, np.int64)
+        encoder, turn = _encoder(tokenizer), TaskContext.get().partitionId()
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            bucket = [0 if k is None else int(np.searchsorted(edges, k, "left")) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), batch.column(0), encoder.encode(batch.column(1), end_id)], ["bucket", "doc_id", "ids"])
+            key = batch.column(0)
+            place = np.where(key.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(edges, key.fill_null(0).to_numpy(), "left"))
+            bucket = first[place] + (turn + np.arange(len(key))) % parts[place]
+            turn += len(key)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), key, encoder.encode(batch.column(1), end_id)], ["bucket", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, part, held, keys, size = None, 0, [], [], 0
@@ -290,7 +329,7 @@ def write_segments(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
     tokens = slim.mapInArrow(tokenize, "bucket int, doc_id long, ids binary")
-    placed = tokens.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id")
+    placed = tokens.repartitionById(total, "bucket").sortWithinPartitions("bucket", "doc_id")
     return staged(placed.mapInArrow(pack, "bucket int, part int, doc_ids array<long>, payload binary"), "token-segments")
 
 
@@ -305,7 +344,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for bucket, part, keys, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 segment = Segment(payload)
-                ends = segment.ends()
+                ends = np.fromiter(map(segment.select, range(segment.n)), np.int64, segment.n)
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 crc = [zlib.crc32(segment.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
                 n = len(keys)
@@ -317,5 +356,5 @@ def read_segments(segments: DataFrame) -> DataFrame:
     ahead = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = whole.select("bucket", ahead(Window.orderBy("bucket")).alias("before_bucket"))
     parts = sizes.select("bucket", "part", ahead(Window.partitionBy("bucket").orderBy("part")).alias("before_part"))
-    bases = small(staged(parts.join(whole, "bucket").select("bucket", "part", (F.col("before_bucket") + F.col("before_part")).alias("base")), "token-bases"))
+    bases = staged(parts.join(whole, "bucket").select("bucket", "part", (F.col("before_bucket") + F.col("before_part")).alias("base")), "token-bases")
     return rows.join(bases, ["bucket", "part"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

@@ -18,7 +18,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -32,6 +31,7 @@ def test_cached_encoding_is_the_library_s(library):
             some = texts[at : at + size]
             for text, raw in zip(some, encoder.encode(pa.array(some, pa.string()), end).to_pylist(), strict=True):
                 assert np.frombuffer(raw, "<u2").tolist() == library(text) + ([] if end is None else [end]), repr(text)
+    assert library("a <|endoftext|> b") == [64, 220, 50256, 275]
     assert encoder.encode(pa.array([None, "a"], pa.string())).to_pylist()[0] == b"" and len(encoder.encode(pa.array([], pa.string()))) == 0
 
 
@@ -74,3 +74,23 @@ def test_repeated_and_null_ids(spark, library):
     rows = [(None, "n"), (4, "b"), (4, "b"), (1, "a a")]
     got = tf.read_segments(tf.write_segments(spark.createDataFrame(rows, "doc_id long, text string"), PATH)).orderBy("start").collect()
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(None, 0, 2), (1, 2, 3), (4, 5, 2), (4, 7, 2)]
+
+
+def test_other_tokenizers_are_encoded_by_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = tf.CachedEncoder(path), Tokenizer.from_file(path)
+    texts = ["It's a Text", "", "x <|endoftext|>y", "A  b\nc"]
+    got = encoder.encode(pa.array(texts), 0).to_pylist()
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_an_id_that_holds_most_rows_is_split(spark, library, monkeypatch):
+    monkeypatch.setattr(tf, "BUCKET_ROWS", 20)
+    rows = [(5, "a b c")] * 300 + [(None, "n n")] * 200 + [(i, f"text {i}") for i in range(100)] + [(6, "z")]
+    segments = tf.write_segments(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert max(len(r["doc_ids"]) for r in segments) < 150
+    got = tf.read_segments(tf.write_segments(spark.createDataFrame(rows, "doc_id long, text string"), PATH)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
