@@ -1,15 +1,21 @@
 """Class-based n-gram scores after Brown: exchange clustering, class transitions, word emissions.
 
-What is counted covers every training document: the count of every word, and the transitions between symbols.  A symbol is
-one of the ``CORE`` most frequent words, or one of a fixed number of endings that stand for all other words (the
-last letter and whether a mark follows it), or the end of a document.  Exchange clustering moves core words between
-``CLASSES`` classes for as long as that raises the likelihood of the class transitions; every ending and the end are classes of their own.  Then
+What is counted covers every training document: the count of every word, and the transitions between classes.  Clustering has two parts:
+
+* The ``CORE`` most frequent words move one at a time between ``CLASSES`` classes, from the transitions among all of them and the end
+  of a document, for as long as a move raises the likelihood of the class transitions.
+* All other words of at least ``LEAST`` occurrences among the ``HEAD`` most frequent then exchange classes in passes over the corpus: a pass
+  sums, for each word, the classes before and after it, and moves it to the class under which these are likeliest; all
+  words move at once, against the transitions of the last pass.  Passes end when fewer than ``STILL`` of the words move, or after ``PASSES``.
+
+Rarer and unknown words have fixed classes by their ending (the last letter and whether a mark follows it), and the end has its own.  Then
 
     P(word | word before) = P(class | class before) * (c + 1) / (n + v + 1)
 
 with c the word's count, and n tokens and v words in its class, so that a word that was never seen shares one count in its class.  Transitions
 are smoothed towards the classes' overall shares.
 
+Texts are cut into words once for the counts and once for the codes of their words, which are written to the shared folder; all passes read codes.
 Counts of words frequent enough to be among the ``HEAD`` first go to all executors, a bounded table; those of other words
 are joined by word, after each document has summed its own repeats.  No list of all words is ever on the driver.
 
@@ -32,10 +38,16 @@ from pyspark.sql import functions as F
 from ._common import LOWER_AZ, bounded_batches, partitions, staged
 
 CORE = 800
-CLASSES = 40
+CLASSES = 64
 HEAD = 200_000
-ROUNDS = 6
+LEAST = 2
+#: Rounds of the core at most; it has always been still long before.
+ROUNDS = 200
+PASSES = 8
+STILL = 0.01
 SMOOTH = 5.0
+#: Codes that a task counts at a time.
+HELD_CODES = 2_000_000
 #: Different words that a task holds before it hands on their counts.
 HELD_WORDS = 300_000
 #: 26 letters, other letters, digits, anything else; without and with a mark after it.
@@ -98,36 +110,43 @@ def exchange(pairs: np.ndarray, core: int, classes: int = CLASSES, rounds: int =
 
 
 @dataclass
-class BrownModel:
-    """Everything that scoring needs but the counts of words outside the head."""
+class Vocabulary:
+    """The most frequent words and what all counts add up to."""
 
     head: dict[bytes, int]  # word -> place, the most frequent first
-    head_log: np.ndarray  # log10(count + 1) by place
-    head_symbol: np.ndarray
-    core: int
+    counts: np.ndarray  # by place
+    endings: np.ndarray  # by place
     train_tokens: int
     types: int
     ends: int
     floor: int  # words of this count or more are in the head
-    classes: np.ndarray | None = None  # of a symbol
-    transition: np.ndarray | None = None  # log10, by class before and class
-    spread: np.ndarray | None = None  # log10(n + v + 1) by class
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """Places of words in the head; of others -1 less their ending."""
+        out = np.fromiter(map(self.head.get, words, [-1] * len(words)), np.int32, len(words))
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = -1 - ending(words[i])
+        return out
+
+
+@dataclass
+class BrownModel:
+    """Everything that scoring needs but the counts of words outside the head."""
+
+    words: Vocabulary
+    classes: np.ndarray  # by code: of the head's places, then of endings from the last to the first
+    transition: np.ndarray  # log10, by class before and class
+    spread: np.ndarray  # log10(n + v + 1) by class
+    clustered_share: float  # of all training words, the tokens whose class comes from clustering
+    passes: int
+    moved: int  # words that the last pass moved
 
     @property
     def end(self) -> int:
-        return self.core + ENDINGS
-
-    def symbols(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        """The words' symbols and the end's, given their places in the head or -1."""
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = self.head_symbol[places] if len(self.head_symbol) else 0
-        for i in np.flatnonzero(places < 0).tolist():
-            out[i] = self.core + ending(words[i])
-        out[-1] = self.end
-        return out
+        return len(self.transition) - 1
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.head.get, words, [-1] * len(words)), np.int64, len(words))
+    def class_of(self, word: bytes | None) -> int:
+        return self.end if word is None else int(self.classes[self.words.codes([word])[0]])
 
 
 def _bodies(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
@@ -171,112 +190,223 @@ def _added_rows(rows: DataFrame, size: int, *keys: str) -> DataFrame:
     return dealt.mapInArrow(run, "symbol int, salt int, counts binary")
 
 
-def _transitions(docs: DataFrame, text: str, model: BrownModel) -> np.ndarray:
-    """Counts of (symbol before, symbol) over all of ``docs``; the end stands before each document."""
-    size = model.end + 1
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def vocabulary(train: DataFrame, text: str = "text", head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
+    """The head, and the table (word, c) of all words."""
+    counts = _word_counts(train, text)
+    ends = train.count()
+    types, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    # The head ends at the count at which one step further down would hold too many words.
+    floor, held = 1 << 62, 0
+    for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).sort(F.desc("c")).toLocalIterator():
+        if held + r["n"] > head:
+            break
+        floor, held = r["c"], held + r["n"]
+    found = counts.where(F.col("c") >= floor).sort(F.desc("c"), "word").toArrow()
+    words = found["word"].to_pylist()
+    endings = np.fromiter(map(ending, words), np.int64, len(words))
+    return Vocabulary(dict(zip(words, range(len(words)))), found["c"].to_numpy(), endings, tokens + ends, types + (ends > 0), ends, floor), counts
+
+
+def encode(docs: DataFrame, words: Vocabulary, train: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, train, row, n_tokens, known, logs, codes, rare) of every document: all that scoring and counting read, in the shared folder."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    slim = _bodies(docs, text, F.col(doc_id).alias("doc_id"), F.coalesce(train if train is not None else F.lit(True), F.lit(False)).alias("train"))
+    kind = slim.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, total = shared.value, np.zeros(size * size, np.int64)
+        m = shared.value
+        row = TaskContext.get().partitionId() << 36
+        head_log = np.log10(m.counts + 1.0)
+        end_log, end_known = float(np.log10(m.ends + 1)), int(m.ends > 0)
+        entry = pa.struct([("word", pa.binary()), ("tf", pa.int64())])
         for batch in batches:
-            parts, held = [np.array([size - 1])], 0
-            for body in batch.column(0):
-                words = words_of(body.as_py())
-                parts.append(m.symbols(words, m.places(words)))
-                held += len(words) + 1
-                if held > 500_000:
-                    flat = np.concatenate(parts)
-                    total += np.bincount(flat[:-1] * size + flat[1:], minlength=size * size)
-                    parts, held = [np.array([size - 1])], 0
-            flat = np.concatenate(parts)
+            out: list[tuple] = []
+            for body in batch.column(2):
+                own = words_of(body.as_py())
+                codes = m.codes(own)
+                known = codes[codes >= 0]
+                rare = Counter(own[i] for i in np.flatnonzero(codes < 0).tolist())
+                out.append((row, len(own) + 1, len(known) + end_known, float(head_log[known].sum()) + end_log, codes.tobytes(), [{"word": w, "tf": n} for w, n in rare.items()]))
+                row += 1
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(entry))))], ["doc_id", "train", "row", "n_tokens", "known", "logs", "codes", "rare"])
+
+    return staged(slim.mapInArrow(run, f"doc_id {kind}, train boolean, row long, n_tokens long, known long, logs double, codes binary, rare array<struct<word: binary, tf: long>>"), "lm-rows")
+
+
+def _flat(batches: Iterator[pa.RecordBatch], lut: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, symbols) of some documents at a time, with an end before the first and after each; the end's code is the smallest."""
+    stop, held, size = np.array([_END], np.int32), [], 0
+
+    def symbols() -> tuple[np.ndarray, np.ndarray]:
+        codes = np.concatenate([stop, *held])
+        return codes, np.where(codes == _END, end, lut[np.where(codes == _END, 0, codes)] if len(lut) else end)
+
+    for batch in batches:
+        for raw in batch.column(0):
+            held += [np.frombuffer(raw.as_py(), np.int32), stop]
+            size += len(held[-2]) + 1
+            if size > HELD_CODES:
+                yield symbols()
+                held, size = [], 0
+    if held:
+        yield symbols()
+
+
+_END = np.iinfo(np.int32).min
+
+
+def _transitions(rows: DataFrame, lut: np.ndarray, size: int) -> np.ndarray:
+    """Counts of (symbol before, symbol) over all rows; the end, which is the last symbol, stands before each document."""
+    shared = rows.sparkSession.sparkContext.broadcast(lut)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for _, flat in _flat(batches, shared.value, size - 1):
             total += np.bincount(flat[:-1] * size + flat[1:], minlength=size * size)
         table = total.reshape(size, size)
         used = np.flatnonzero(table.any(1))
         salt = TaskContext.get().partitionId() % 16
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([salt] * len(used), pa.int32()), pa.array([table[i].tobytes() for i in used], pa.binary())], ["symbol", "salt", "counts"])
 
-    rows = _bodies(docs, text).mapInArrow(run, "symbol int, salt int, counts binary")
+    found = rows.select("codes").mapInArrow(run, "symbol int, salt int, counts binary")
     out = np.zeros((size, size))
-    for r in _added_rows(_added_rows(rows, size, "symbol", "salt"), size, "symbol").toLocalIterator():
+    for r in _added_rows(_added_rows(found, size, "symbol", "salt"), size, "symbol").toLocalIterator():
         out[r["symbol"]] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
-def fit(docs: DataFrame, trainable: Column | None = None, text: str = "text", core: int = CORE, classes: int = CLASSES, head: int = HEAD) -> tuple[BrownModel, DataFrame]:
-    """The model, and the table of all words' counts, from the rows for which ``trainable`` holds."""
-    spark = docs.sparkSession
-    train = docs.where(trainable) if trainable is not None else docs
-    counts = _word_counts(train, text)
-    ends = train.count()
-    types, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    # The head ends at the count at which one step further down would hold too many words.
-    floor, held = 1 << 62, 0
-    for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).sort(F.desc("c")).toLocalIterator():
-        if held + r["n"] > head:
-            break
-        floor, held = r["c"], held + r["n"]
-    frequent = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= floor).toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    core = min(core, len(frequent))
-    symbol = np.array([*range(core), *(core + ending(w) for w, _ in frequent[core:])], np.int64)
-    model = BrownModel({w: i for i, (w, _) in enumerate(frequent)}, np.log10(np.array([c for _, c in frequent], float) + 1), symbol, core, tokens + ends, types + (ends > 0), ends, floor)
+def affinity(n: np.ndarray, classes: int) -> np.ndarray:
+    """By context (a class after, then a class before) and class: what one such context adds to the likelihood of the transitions, to the first order."""
+    share = (n.sum(0) + 1) / (n.sum() + len(n))
+    p = (n + SMOOTH * share) / (n.sum(1, keepdims=True) + SMOOTH)  # P(class | class before)
+    lift = np.log(p / share)
+    return np.concatenate([lift[:classes].T, lift[:, :classes]])
+
+
+def _exchange_pass(rows: DataFrame, lut: np.ndarray, n: np.ndarray, classes: int, movable: np.ndarray) -> np.ndarray:
+    """The class of every movable place under which the classes beside it are likeliest, by (place, class) rows; others keep theirs."""
+    spark, size = rows.sparkSession, len(n)
+    shared = spark.sparkContext.broadcast((lut, movable, affinity(n, classes).astype(np.float32)))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lut, movable, _ = shared.value
+        for codes, flat in _flat(batches, lut, size - 1):
+            at = np.flatnonzero(codes >= 0)
+            at = at[movable[codes[at]]]
+            key = codes[at].astype(np.int64) * (2 * size)
+            key, n = np.unique(np.concatenate([key + flat[at + 1], key + size + flat[at - 1]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((key // (2 * size)).astype(np.int32)), pa.array((key % (2 * size)).astype(np.int32)), pa.array(n, pa.int64())], ["place", "context", "n"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sums of log likelihoods; a word's rows may go on in the next batch.
+        weight, now, total = shared.value[2], -1, np.zeros(classes)
+        done: tuple[list[int], list[int]] = ([], [])
+        for batch in batches:
+            place, context, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for a in range(0, len(place), 50_000):
+                part = slice(a, a + 50_000)
+                starts = np.flatnonzero(np.diff(place[part], prepend=-1))
+                sums = np.add.reduceat(weight[context[part]] * n[part, None], starts, axis=0, dtype=np.float64)
+                own = place[part][starts]
+                if own[0] == now:
+                    sums[0] += total
+                elif now >= 0:
+                    done[0].append(now)
+                    done[1].append(int(total.argmax()))
+                done[0].extend(own[:-1].tolist())
+                done[1].extend(sums[:-1].argmax(1).tolist())
+                now, total = int(own[-1]), sums[-1]
+        if now >= 0:
+            done[0].append(now)
+            done[1].append(int(total.argmax()))
+        yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int32()), pa.array(done[1], pa.int32())], ["place", "class"])
+
+    dealt = rows.select("codes").mapInArrow(contexts, "place int, context int, n long").repartition(partitions(spark), "place").sortWithinPartitions("place")
+    found = dealt.mapInArrow(best, "place int, class int").toArrow()
+    out = lut.copy()
+    out[found["place"].to_numpy()] = found["class"].to_numpy()
+    return out
+
 
-    pairs = _transitions(train, text, model)
+def cluster(rows: DataFrame, words: Vocabulary, counts: DataFrame, core: int = CORE, classes: int = CLASSES, least: int = LEAST) -> BrownModel:
+    """The model from encoded training rows."""
+    size = len(words.counts)
+    core = min(core, size)
     classes = max(1, min(classes, core))
+    lut = np.concatenate([np.arange(core), core + words.endings[core:], core + np.arange(ENDINGS)[::-1]])
+    pairs = _transitions(rows, lut, core + ENDINGS + 1)
     of = exchange(pairs, core, classes)
-    total = int(of.max()) + 1
-    member = np.zeros((len(of), total))
+    member = np.zeros((len(of), classes + ENDINGS + 1))
     member[np.arange(len(of)), of] = 1
-    n, tokens_in = member.T @ pairs @ member, pairs.sum(0) @ member
-
-    # Words in each class: those of the core, and the others by their endings, counted over the table of all words.
-    shared = spark.sparkContext.broadcast(set(w for w, _ in frequent[:core]))
+    lut, n = of[lut], member.T @ pairs @ member
+    movable = (np.arange(size) >= core) & (words.counts >= least)
+    passes = moved = 0
+    while movable.any() and passes < PASSES and (not passes or moved > STILL * movable.sum()):
+        new = _exchange_pass(rows, lut, n, classes, movable)
+        passes, moved, lut = passes + 1, int((new != lut).sum()), new
+        n = _transitions(rows, lut, len(n))
+    total, tokens_in = len(n), n.sum(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[int] = Counter()
         for batch in batches:
-            found.update(ending(w) for w in batch.column(0).to_pylist() if w not in shared.value)
+            found.update(map(ending, batch.column(0).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["ending", "n"])
 
-    words_in = member[:core].sum(0)
-    for r in counts.select("word").mapInArrow(run, "ending int, n long").groupBy("ending").agg(F.sum("n").alias("n")).collect():
-        words_in[of[core + r["ending"]]] += r["n"]
-    words_in[of[-1]] += ends > 0
+    # Words in each class: those of the head, and the others by their endings, counted over the table of all words.
+    words_in = np.bincount(lut[:size], minlength=total).astype(float)
+    for r in counts.where(F.col("c") < words.floor).select("word").mapInArrow(run, "ending int, n long").groupBy("ending").agg(F.sum("n").alias("n")).collect():
+        words_in[classes + r["ending"]] += r["n"]
+    words_in[-1] += words.ends > 0
     share = (tokens_in + 1) / (tokens_in.sum() + total)
-    model.classes = of
-    model.transition = np.log10((n + SMOOTH * share) / (n.sum(1, keepdims=True) + SMOOTH))
-    model.spread = np.log10(tokens_in + words_in + 1)
-    return model, counts
+    transition = np.log10((n + SMOOTH * share) / (n.sum(1, keepdims=True) + SMOOTH))
+    clustered = words.counts[(np.arange(size) < core) | movable].sum() / max(1, words.train_tokens - words.ends)
+    return BrownModel(words, lut, transition, np.log10(tokens_in + words_in + 1), float(clustered), passes, moved)
+
+
+def fit(docs: DataFrame, trainable: Column | None = None, text: str = "text", core: int = CORE, classes: int = CLASSES, head: int = HEAD, least: int = LEAST) -> tuple[BrownModel, DataFrame]:
+    """The model, and the table of all words' counts, from the rows for which ``trainable`` holds."""
+    train = docs.where(trainable) if trainable is not None else docs
+    words, counts = vocabulary(train, text, head)
+    return cluster(encode(train.select(F.lit(0).alias("__id"), text), words, doc_id="__id", text=text), words, counts, core, classes, least), counts
 
 
 def scores(docs: DataFrame, model: BrownModel, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score), log10 probabilities of whole texts with their end; perplexity is ``10 ** (-score / n_tokens)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    slim = _bodies(docs, text, F.col(doc_id).alias("doc_id"))
-    kind = slim.schema[0].dataType.simpleString()
+    """(doc_id, train, n_tokens, n_known, base_score, score, perplexity), log10 probabilities of whole texts with their end; perplexity is a token's."""
+    return encoded_scores(encode(docs, model.words, doc_id=doc_id, text=text), model, counts)
+
+
+def encoded_scores(rows: DataFrame, model: BrownModel, counts: DataFrame) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((model.classes, model.transition, model.spread))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "train", "row", "n_tokens", "known", "logs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        row = TaskContext.get().partitionId() << 36
-        end_log, end_known = float(np.log10(m.ends + 1)), int(m.ends > 0)
-        entry = pa.struct([("word", pa.binary()), ("tf", pa.int64())])
+        lut, transition, spread = shared.value
+        end = len(transition) - 1
         for batch in batches:
-            out: list[tuple] = []
-            for body in batch.column(1):
-                words = words_of(body.as_py())
-                places = m.places(words)
-                classes = m.classes[m.symbols(words, places)]
-                before = np.concatenate([classes[-1:], classes[:-1]])
-                known = places[places >= 0]
-                rare = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
-                out.append((row, len(words) + 1, len(known) + end_known, float(m.head_log[known].sum()) + end_log, float(m.transition[before, classes].sum() - m.spread[classes].sum()), [{"word": w, "tf": n} for w, n in rare.items()]))
-                row += 1
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(entry))))], ["doc_id", "row", "n_tokens", "known", "logs", "rest", "rare"])
-
-    rows = staged(slim.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, logs double, rest double, rare array<struct<word: binary, tf: long>>"), "lm-rows")
+            rest = []
+            for raw in batch.column(len(columns)):
+                codes = np.frombuffer(raw.as_py(), np.int32)
+                of = np.concatenate([[end], lut[codes] if len(codes) else [], [end]]).astype(np.int64)
+                rest.append(float(transition[of[:-1], of[1:]].sum() - spread[of[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(rest, pa.float64())], [*columns, "rest"])
+
+    about = rows.select(*columns, "codes").mapInArrow(run, f"doc_id {kind}, train boolean, row long, n_tokens long, known long, logs double, rest double")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.tf").alias("tf"))
-    found = rare.join(counts.where(F.col("c") < model.floor), "word").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    found = rare.join(counts.where(F.col("c") < model.words.floor), "word").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more_logs"))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return rows.drop("rare").join(found, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (logs - F.col("n_tokens") * F.lit(float(np.log10(model.train_tokens + model.types + 1)))).alias("base_score"), (logs + F.col("rest")).alias("score"))
+    base = F.lit(float(np.log10(model.words.train_tokens + model.words.types + 1)))
+    return about.join(found, "row", "left").select(
+        "doc_id", "train", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (logs - F.col("n_tokens") * base).alias("base_score"), (logs + F.col("rest")).alias("score"),
+        F.pow(F.lit(10.0), -(logs + F.col("rest")) / F.col("n_tokens")).alias("perplexity"))
+
+
+def fit_and_score(docs: DataFrame, trainable: Column, doc_id: str = "doc_id", text: str = "text", **options) -> tuple[BrownModel, DataFrame]:
+    """`fit` on the rows for which ``trainable`` holds and `scores` of all, with one encoding."""
+    words, counts = vocabulary(docs.where(trainable), text, options.pop("head", HEAD))
+    rows = encode(docs, words, trainable, doc_id, text)
+    model = cluster(rows.where("train"), words, counts, **options)
+    return model, encoded_scores(rows, model, counts)

@@ -129,29 +129,38 @@ def test_unigrams_and_classes(spark, head, core):
     rows = [*labelled(150, 6), *((1000 + i, t, None) for i, t in enumerate(ODD)), (3000, "only here only", None)]
     docs = frame(spark, rows)
     held = lambda i: i % 5 == 0
-    model, counts = brown.fit(docs, F.pmod("doc_id", F.lit(5)) != 0, core=core, classes=6, head=head)
+    model, counts = brown.fit(docs, F.pmod("doc_id", F.lit(5)) != 0, core=core, classes=6, head=head, least=2)
     got = {r["doc_id"]: r for r in brown.scores(docs, model, counts).collect()}
     c = Counter()
     for i, t, _ in rows:
         if not held(i):
             c.update([*words(t), None])
     n, v = c.total(), len(c)
-    assert (model.train_tokens, model.types) == (n, v)
-    symbol = lambda w: model.end if w is None else place if (place := model.head.get(w.encode(), core)) < min(core, len(model.head)) else model.core + brown.ending(w.encode())
-    tokens, types = Counter(), Counter()
+    assert (model.words.train_tokens, model.words.types) == (n, v)
+    of = {w: model.class_of(None if w is None else w.encode()) for t in rows for w in [*words(t[1]), None]}
+    tokens, types, pairs = Counter(), Counter(), Counter()
     for w, k in c.items():
-        tokens[model.classes[symbol(w)]] += k
-        types[model.classes[symbol(w)]] += 1
+        tokens[of[w]] += k
+        types[of[w]] += 1
+    for i, t, _ in rows:
+        if not held(i):
+            line = [of[w] for w in [None, *words(t), None]]
+            pairs.update(zip(line, line[1:]))
+    total = model.end + 1
+    table = np.array([[pairs[a, b] for b in range(total)] for a in range(total)], float)
+    share = (table.sum(0) + 1) / (table.sum() + total)
+    assert np.allclose(10**model.transition, (table + brown.SMOOTH * share) / (table.sum(1, keepdims=True) + brown.SMOOTH))
     for i, t, _ in rows:
         text = [*words(t), None]
         assert got[i]["n_tokens"] == len(text) and got[i]["n_known"] == sum(c[w] > 0 for w in text)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in text), rel=1e-9)
-        score, before = 0.0, model.classes[model.end]
+        score, before = 0.0, model.end
         for w in text:
-            k = model.classes[symbol(w)]
+            k = of[w]
             score += model.transition[before, k] + math.log10((c[w] + 1) / (tokens[k] + types[k] + 1))
             before = k
         assert got[i]["score"] == pytest.approx(score, rel=1e-9)
+        assert got[i]["perplexity"] == pytest.approx(10 ** (-score / len(text)), rel=1e-9)
     assert np.allclose((10**model.transition).sum(1), 1)
 
 
@@ -168,6 +177,57 @@ def test_exchange_finds_classes_that_alternate():
     assert len(set(of[:10])) == 1 and len(set(of[10:20])) == 1 and of[0] != of[10] and of[20] == 2
 
 
+def plain_likelihood(table, of):
+    size = of.max() + 1
+    n = np.zeros((size, size))
+    np.add.at(n, (of[:, None], of[None, :]), table)
+    f = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+    return f(n) - f(n.sum(0)) - f(n.sum(1))
+
+
+def test_exchange_ends_where_no_single_move_helps():
+    rng = np.random.default_rng(5)
+    table = rng.poisson(rng.gamma(0.4, 2, (31, 31))).astype(float)
+    of = brown.exchange(table, 28, 4)
+    best = plain_likelihood(table, of)
+    assert best > plain_likelihood(table, np.concatenate([np.arange(28) % 4, [4, 5, 6]]))
+    for w in range(28):
+        for k in range(4):
+            moved = of.copy()
+            moved[w] = k
+            assert plain_likelihood(table, moved) <= best + 1e-6
+
+
+def test_passes_put_words_beside_their_like(spark, monkeypatch):
+    """Of a language of two kinds of words in turn, words outside the core join the core's words of their kind, as sums over the corpus say."""
+    rng = random.Random(2)
+    kinds = [[f"a{i}x" for i in range(60)], [f"b{i}x" for i in range(60)]]
+    weights = [1 / (i + 1) for i in range(60)]
+    texts = [" ".join(rng.choices(kinds[i % 2], weights)[0] for i in range(rng.randint(20, 60))) for _ in range(200)]
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    model, _ = brown.fit(docs, core=20, classes=2, least=3)
+    frequent = [w for w, n in Counter(" ".join(texts).split()).items() if n >= 3]
+    got = {w: model.class_of(w.encode()) for w in frequent}
+    assert len(frequent) > 60 and {(w[0], k) for w, k in got.items()} in ({("a", 0), ("b", 1)}, {("a", 1), ("b", 0)})
+    assert model.clustered_share > 0.9 and model.moved <= 2
+
+    # One pass against plain sums.
+    words, counts = brown.vocabulary(docs)
+    rows = brown.encode(docs, words)
+    lut = np.concatenate([np.arange(len(words.counts)) % 2, 2 + np.arange(brown.ENDINGS)[::-1]])
+    n = brown._transitions(rows, lut, brown.ENDINGS + 3)
+    monkeypatch.setattr(brown, "HELD_CODES", 300)
+    got = brown._exchange_pass(rows, lut, n, 2, words.counts > 1)
+    gain, sums = brown.affinity(n, 2), np.zeros((len(words.counts), 2))
+    for t in texts:
+        places = [words.head[w.encode()] for w in t.split()]
+        line = [brown.ENDINGS + 2, *(int(lut[p]) for p in places), brown.ENDINGS + 2]
+        for k, p in enumerate(places, 1):
+            sums[p] += gain[line[k + 1]] + gain[len(n) + line[k - 1]]
+    expected = [int(s.argmax()) if c > 1 else int(k) for s, c, k in zip(sums, words.counts, lut)]
+    assert got[: len(expected)].tolist() == expected
+
+
 def test_model_without_training_rows(spark):
     docs = frame(spark, [(1, "a b", None), (2, None, None)])
     model, counts = brown.fit(docs, F.lit(False))
