@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Maps A-Z to a-z in UTF-8 bytes and leaves every other byte alone.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Largest side that an operator broadcasts, in rows, after counting them.
-BROADCAST_ROWS = 200_000
+#: Largest bitmap that is broadcast, in rows of 64 bits.
+FILTER_WORDS = 1 << 18
 
 _own_dir: list[str] = []
 _staged: list[str] = []
@@ -73,9 +73,21 @@ def text_key(text: str | Column) -> Column:
     return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit("").cast("binary")))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (Spark then shuffles)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def maybe_in(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
+    """``df`` with a column ``__maybe``: true wherever ``key`` is in ``members`` (one column ``key`` of hashes), and by chance elsewhere.
+
+    A bitmap of 16 bits a member, of at most ``FILTER_WORDS`` words of 64 bits, is broadcast, so its size is bounded whatever the data; the fuller it
+    is the more rows are true by chance.  What needs an exact answer joins the rows that are true, and all others are spared that shuffle.
+    """
+    n = members.count()
+    words = 1024
+    while words < FILTER_WORDS and words * 4 < n:
+        words *= 2
+    slot = lambda c: F.pmod(c, F.lit(64 * words).cast("long"))
+    place, bit = F.floor(F.col("__slot") / 64).cast("int").alias("__word"), F.expr("shiftleft(1L, cast(__slot % 64 as int))").alias("__bit")
+    bitmap = members.select(slot(F.col("key")).alias("__slot")).select(place, bit).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = df.withColumn("__slot", slot(key)).withColumn("__word", place).join(F.broadcast(bitmap), "__word", "left")
+    return marked.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__slot", "__word", "__bits")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, small, staged
+from ._common import WORD, staged
 
 
 def word_count(text: Column) -> Column:
@@ -60,7 +60,7 @@ def _planned(docs: DataFrame, doc_id: str, text: str, source: str, seed: str, **
     budgets = budgets.withColumn("budget", F.floor("target")).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     ).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).withColumn("ranges", F.ceil(F.sqrt("n")))
-    budgets = small(staged(budgets.withColumnRenamed("source", "of"), "mix-budgets"))
+    budgets = staged(budgets.withColumnRenamed("source", "of"), "mix-budgets")
     rows = slim.join(budgets, slim["source"].eqNullSafe(budgets["of"])).drop("of").withColumn(
         "range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(2**32)))
     # Null sources meet each other again in the join below under a name that no source can have twice.
@@ -96,8 +96,8 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     inside = F.col("start") + F.floor(F.col("size") / 2) <= F.col("rest")
     cuts = rows.where(inside & (F.col("rest") > 0)).groupBy("named").agg(F.max("key").alias("__mix_last"))
     cuts = cuts.select(F.when(~F.col("named.none"), F.col("named.name")).alias("__mix_cut_of"), "__mix_last")
-    marks = small(staged(budgets.join(cuts, budgets["of"].eqNullSafe(cuts["__mix_cut_of"]), "left").select(
-        F.col("of").alias("__mix_of"), F.col("epochs").alias("__mix_epochs"), "__mix_last"), "mix-cuts"))
+    marks = staged(budgets.join(cuts, budgets["of"].eqNullSafe(cuts["__mix_cut_of"]), "left").select(
+        F.col("of").alias("__mix_of"), F.col("epochs").alias("__mix_epochs"), "__mix_last"), "mix-cuts")
     times = F.col("__mix_epochs") + F.when(_key(F.col(doc_id), seed) <= F.col("__mix_last"), 1).otherwise(0)
     return (
         docs.join(marks, docs[source].eqNullSafe(marks["__mix_of"]))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, partitions, staged, text_key
+from ._common import bounded_batches, maybe_in, partitions, staged, text_key
 from .components import keep_one, roots
 from .simhash import close_pairs
 
@@ -169,8 +169,11 @@ def _frequent(slim: DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], found["c"].to_numpy()[order]
 
 
-def _meetings(slim: DataFrame, rows: int) -> DataFrame:
-    """(shingle, key) of prefixes, for shingles that prefixes of several texts have."""
+def _meetings(slim: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(shingle, key) of prefixes, for shingles that several texts' prefixes have, and (key, n, sketch) of every text.
+
+    Of shingles that the same texts have, one stays: near copies mostly share many.
+    """
     spark = slim.sparkSession
     step, chunk = max(1, rows // SAMPLE_ROWS), max(CHUNK_ROWS, isqrt(rows))
     shared = spark.sparkContext.broadcast(_frequent(slim, step))
@@ -181,8 +184,9 @@ def _meetings(slim: DataFrame, rows: int) -> DataFrame:
         maybe = np.zeros(1 << 22, bool)
         maybe[frequent & mask] = True
         for keys, texts in _fresh(batches):
-            first, often = [], []
+            first, often, about = [], [], []
             for own in shingle_sets(texts):
+                about.append(len(own).to_bytes(8, "little") + sketch(own))
                 n, of = prefix_length(len(own)), np.zeros(len(own), np.int64)
                 some = np.flatnonzero(maybe[own & mask])
                 if len(some):
@@ -192,50 +196,88 @@ def _meetings(slim: DataFrame, rows: int) -> DataFrame:
                     own, of = own[order], of[order]
                 first.append(own[:n])
                 often.append(of[:n])
-            shingle, often, key = np.concatenate(first), np.concatenate(often), np.repeat(keys, list(map(len, first)))
+            shingle, often, key = np.concatenate(first).view(np.int64), np.concatenate(often), np.repeat(keys, list(map(len, first)))
             # A shingle that the sample says is frequent is dealt to several tasks; that it is shared is known already.
             parts = often * step // chunk
             salt = np.where(parts > 0, 1 + (key >> 8) % np.maximum(parts, 1), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(salt), pa.array(key)], ["shingle", "salt", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(salt), pa.array(key), pa.nulls(len(key), pa.binary())], ["shingle", "salt", "key", "about"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), -1)), pa.array(keys), pa.array(about, pa.binary())], ["shingle", "salt", "key", "about"])
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Different keys of shingles of at least two, or of frequent ones; rows come sorted."""
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(sign, shingle, keys) of shingles of at least two texts, or of frequent ones, and (key, about) of texts; rows come sorted."""
         held = np.empty((3, 0), np.int64)
 
         def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            same = np.concatenate(([False], (rows[:2, 1:] == rows[:2, :-1]).all(0), [False]))
-            keep = same[1:] | same[:-1] | (rows[1] > 0)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0, keep]), pa.array(rows[2, keep])], ["shingle", "key"])
-
+            starts = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(0))))
+            sizes = np.diff(np.concatenate((starts, [rows.shape[1]])))
+            # Texts add up to a block's sign; a part of a frequent shingle can't tell and is signed by the shingle.
+            sign = np.add.reduceat(_mixed(rows[2].view(np.uint64), 0xFF51AFD7ED558CCD), starts)
+            sign = np.where(rows[1, starts] > 0, _mixed(rows[0, starts].view(np.uint64), 0xC2B2AE3D27D4EB4F), sign).view(np.int64)
+            for a in np.flatnonzero((sizes > 1) | (rows[1, starts] > 0)).tolist():
+                for at in range(starts[a], starts[a] + sizes[a], 1 << 16):
+                    yield int(sign[a]), int(rows[0, at]), rows[2, at : min(at + (1 << 16), starts[a] + sizes[a])].tobytes()
+
+        def packed(found: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            found = list(found)
+            if found:
+                sign, shingle, keys = zip(*found)
+                none = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(sign, pa.int64()), pa.array(shingle, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], ["sign", "shingle", "keys", "key", "about"])
+
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            texts = np.flatnonzero(columns[1] < 0)
+            new = texts[np.diff(columns[2][texts], prepend=columns[2][texts[:1]] - 1) != 0]
+            if len(new) and columns[2][new[0]] == last:
+                new = new[1:]
+            if len(texts):
+                last = columns[2][texts[-1]]
+            if len(new):
+                some, none = pa.array(new), len(new)
+                yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), batch.column(2).take(some), batch.column(3).take(some)], ["sign", "shingle", "keys", "key", "about"])
+            rows = np.concatenate([held, np.stack(columns)[:, columns[1] >= 0]], axis=1)
+            if not rows.shape[1]:
+                continue
             rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(0)))]
             # The last shingle's keys wait for the next batch.
             cut = int(np.searchsorted(rows[0], rows[0, -1]))
             held = rows[:, cut:]
             if cut:
-                yield from flush(rows[:, :cut])
+                yield from packed(flush(rows[:, :cut]))
         if held.shape[1]:
-            yield from flush(held)
+            yield from packed(flush(held))
 
-    dealt = slim.mapInArrow(prefixes, "shingle long, salt long, key long").repartition(partitions(spark), "shingle", "salt").sortWithinPartitions("shingle", "salt", "key")
-    return staged(dealt.mapInArrow(several, "shingle long, key long"), "copies-met")
-
-
-def _sets(slim: DataFrame, met: DataFrame) -> DataFrame:
-    """(key, n, sketch, shingles) of every text that meets another; whole texts are shuffled once, copies are combined before."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_of_sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shingle = None, None
         for batch in batches:
-            found = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(map(sketch, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["key", "n", "sketch", "shingles"])
+            found, keys = [], []
+            for sign, own, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if sign != now:
+                    now, shingle = sign, own
+                if own == shingle:
+                    keys.append(np.frombuffer(raw, np.int64))
+                    found.append(np.full(len(keys[-1]), own))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(keys))], ["shingle", "key"])
+
+    dealt = slim.mapInArrow(prefixes, "shingle long, salt long, key long, about binary").repartition(partitions(spark), "shingle", "salt").sortWithinPartitions("shingle", "salt", "key")
+    both = staged(dealt.mapInArrow(blocks, "sign long, shingle long, keys binary, key long, about binary"), "copies-blocks")
+    signed = both.where("sign IS NOT NULL").select("sign", "shingle", "keys").repartition(partitions(spark), "sign").sortWithinPartitions("sign", "shingle")
+    about = both.where("key IS NOT NULL").select("key", "about")
+    return staged(signed.mapInArrow(first_of_sign, "shingle long, key long"), "copies-met"), about
+
+
+def _sets(slim: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, shingles) of the texts in ``keys``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, texts in _fresh(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["key", "shingles"])
 
-    texts = slim.groupBy("key").agg(F.first("body").alias("body")).join(met.select("key").distinct(), "key", "left_semi")
-    return staged(texts.select("key", "body").mapInArrow(run, "key long, n long, sketch binary, shingles binary"), "copies-sets")
+    wanted = maybe_in(slim, F.col("key"), keys).where("__maybe").select("key", "body")
+    return wanted.mapInArrow(run, "key long, shingles binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 class _Rows:
@@ -273,7 +315,7 @@ class _Rows:
 
 
 def _candidates(units: DataFrame, hubs: int | None) -> DataFrame:
-    """(a, b): different pairs to check, from rows (shingle, chunk, kind, key, n, sketch, root).
+    """(a, b): different pairs to check, from rows (shingle, chunk, kind, key, about, root).
 
     With ``hubs`` small units give all their pairs and larger ones those with so many texts of theirs; without it the others' remaining pairs follow.
     ``kind`` is 0 for a whole block, 1 for a text in its own chunk of a cut block, 2 for one that visits another chunk.
@@ -325,8 +367,9 @@ def _candidates(units: DataFrame, hubs: int | None) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6)]
-            columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            packed = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3)]
+            columns += [packed[:, 0].astype(np.int64), batch.column(5).to_numpy(zero_copy_only=False), packed[:, 1:]]
             # The last unit waits for the next batch.
             last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
@@ -339,17 +382,21 @@ def _candidates(units: DataFrame, hubs: int | None) -> DataFrame:
         if held:
             yield from done([np.concatenate(x) for x in zip(*held)])
 
-    dealt = units.select("shingle", "chunk", "kind", "key", "n", "sketch", "root").repartition(partitions(units.sparkSession), "shingle", "chunk").sortWithinPartitions("shingle", "chunk", "key")
+    dealt = units.select("shingle", "chunk", "kind", "key", "about", "root").repartition(partitions(units.sparkSession), "shingle", "chunk").sortWithinPartitions("shingle", "chunk", "key")
     return staged(dealt.mapInArrow(run, "a long, b long").distinct(), "copies-pairs")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are alike."""
+def _alike(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    """The pairs whose texts' whole sets are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fit = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
+    if not pairs.limit(1).count():
+        return pairs
+    keys = staged(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "copies-keys")
+    sets = staged(_sets(slim, keys), "copies-sets")
     side = lambda k, s: sets.select(F.col("key").alias(k), F.col("shingles").alias(s))
     return staged(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "copies-links")
 
@@ -359,20 +406,19 @@ def near_copy_roots(docs: DataFrame, text: str = "text", hubs: int = HUBS, chunk
     bounded_batches(docs.sparkSession)
     slim = docs.select(text_key(text).alias("key"), F.col(text).cast("string").alias("body"))
     rows = docs.count()
-    met = _meetings(slim, rows)
-    sets = _sets(slim, met)
+    met, about = _meetings(slim, rows)
     chunk = F.lit(chunk_rows or max(CHUNK_ROWS, isqrt(rows)))
     cut = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > chunk).select("shingle", F.ceil(F.col("m") / chunk).alias("chunks"))
-    units = met.join(sets.select("key", "n", "sketch"), "key").join(cut, "shingle", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("key"), F.col("chunks")), F.lit(0)).cast("long"))
-    units = staged(units.select("shingle", "chunk", "chunks", F.col("chunks").isNotNull().cast("long").alias("kind"), "key", "n", "sketch"), "copies-units")
-    links = _alike(_candidates(units.withColumn("root", F.col("key")), hubs), sets)
+    units = met.join(about, "key").join(cut, "shingle", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("key"), F.col("chunks")), F.lit(0)).cast("long"))
+    units = staged(units.select("shingle", "chunk", "chunks", F.col("chunks").isNotNull().cast("long").alias("kind"), "key", "about"), "copies-units")
+    links = _alike(_candidates(units.withColumn("root", F.col("key")), hubs), slim)
     known = roots(links).select(F.col("a").alias("key"), F.col("b").alias("root"))
     units = units.join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    of_cut = units.where("chunks IS NOT NULL").groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("m"))
-    largest = of_cut.groupBy("shingle").agg(F.max(F.struct("m", "root"))["root"].alias("largest"))
-    away = units.where("chunks IS NOT NULL").join(largest, "shingle").where("root != largest").drop("largest")
-    away = away.withColumn("kind", F.lit(2).cast("long")).withColumn("own", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("chunk != own").drop("own")
-    more = _alike(_candidates(units.unionByName(away), None), sets)
+    in_cut = units.where("chunks IS NOT NULL")
+    largest = in_cut.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(F.max(F.struct("m", "root"))["root"].alias("largest"))
+    away = in_cut.join(largest, "shingle").where("root != largest").withColumn("own", F.col("chunk")).withColumn("kind", F.lit(2).cast("long"))
+    away = away.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("chunk != own")
+    more = _alike(_candidates(units.unionByName(away.select(units.columns)), None), slim)
     return roots(links.unionByName(more))
 
 

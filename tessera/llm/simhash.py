@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LOWER_AZ, bounded_batches, partitions, staged
-from .components import roots
+from .components import merge, roots
 
 SEED = 42
 SHINGLE = 3
@@ -66,17 +66,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return slim.mapInArrow(run, "doc_id long, fp long")
 
 
-def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the sets of i and j; ``root`` points at each set's lowest member."""
-    while len(i):
-        a, b = root[i], root[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root[:] = root[root]
-
-
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 256, columns: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) of rows of a and b, fingerprints of one or more words in the order of their population counts, within ``radius`` bits.
 
@@ -110,7 +99,7 @@ class _Unit:
         self.own = np.concatenate(self.parts) if self.parts else np.empty(0, np.uint64)
         self.root = np.arange(len(self.own))
         for i, j in self._near(self.own):
-            _merge(self.root, i, j)
+            merge(self.root, i, j)
 
     def _near(self, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         own = self.own[:, None]
@@ -124,7 +113,7 @@ class _Unit:
         for i, j in pairs:
             np.minimum.at(first, j, i)
         for i, j in pairs:
-            _merge(self.root, i, first[j])
+            merge(self.root, i, first[j])
         linked = first < len(self.own)
         self.out.append((others[linked], self.own[first[linked]]))
 
