@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space, as titles, lines and texts are trimmed of it.
-WHITE_SPACE = "\t\n\v\f\r \u0085                 　"
+WHITE_SPACE = "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Title prefixes, in lower case, of pages that aren't articles.
 NAMESPACE_PREFIXES = [
@@ -25,6 +25,8 @@ MARKERS = ["[[", "]]", "{{", "}}", "<ref>", "</ref>"]
 URL = r"http[s]?://[^\t\n\f\r ]+"
 WIKI_TABLE = r"(?s)\{\|.*?\|\}"
 HTML_TABLE = r"(?s)<table.*?>.*?</table>"
+#: The same where a ``>`` and a closing tag follow: the first ``>`` will do.
+HTML_TABLE_FIRST = r"(?s)<table[^>]*+>.*?</table>"
 ENTITY = r"&[a-zA-Z0-9#]+;"
 
 # Fixed value: what article links start with.
@@ -47,12 +49,32 @@ def strip_urls(text: Column) -> Column:
     return F.regexp_replace(text, URL, "")
 
 
+def _before_last(text: Column, mark: str) -> tuple[Column, Column]:
+    """(what stands before the last ``mark``, what stands after it); without one all stands after it."""
+    after = F.substring_index(text, mark, -1)
+    return F.left(text, F.greatest(F.length(text) - F.length(after) - F.lit(len(mark)), F.lit(0))), after
+
+
 def strip_wiki_tables(text: Column) -> Column:
-    return F.regexp_replace(text, WIKI_TABLE, "")
+    """Delete what `WIKI_TABLE` matches.
+
+    Only what ends with the last closing mark is searched: there every opening one has a match, so the time is linear however many are never closed.
+    """
+    head, tail = _before_last(text, "|}")
+    return F.when(text.contains("|}"), F.concat(F.regexp_replace(F.concat(head, F.lit("|}")), WIKI_TABLE, ""), tail)).otherwise(text)
 
 
 def strip_html_tables(text: Column) -> Column:
-    return F.regexp_replace(text, HTML_TABLE, "")
+    """Delete what `HTML_TABLE` matches, in linear time.
+
+    A match needs a ``>`` before the last closing tag.  Opening tags after the last such ``>`` can't begin one: they are masked by a
+    character that no XML has, and every opening tag before it has a match.
+    """
+    body, tail = _before_last(text, "</table>")
+    front, rest = _before_last(body, ">")
+    masked = F.concat(front, F.lit(">"), F.replace(rest, F.lit("<table"), F.lit("<\0table")), F.lit("</table>"))
+    found = F.replace(F.regexp_replace(masked, HTML_TABLE_FIRST, ""), F.lit("<\0table"), F.lit("<table"))
+    return F.when(text.contains("</table>") & body.contains(">"), F.concat(found, tail)).otherwise(text)
 
 
 def strip_entities(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 
+#: Seconds that a call of a model may take.
+UPLOAD_SECONDS = 1800
+
+
 class HashEmbedder:
     """Feature hashing of lower-case words, of unit length; needs no model file, so tests and offline runs can use it."""
 
@@ -32,31 +37,51 @@ class HashEmbedder:
         return out
 
 
-def embed(documents: DataFrame, embedder: Embedder, document_id: str = "document_id", text: str = "document", batch: int = 256) -> DataFrame:
-    """(document_id, embedding) in Arrow batches; ``embedder`` is shipped to the tasks and gets at most ``batch`` texts at once."""
+def embed(documents: DataFrame, embedder: Embedder, document_id: str = "document_id", text: str = "document", batch: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, embedding) and the columns in ``keep``, in Arrow batches; ``embedder`` is shipped to the tasks and gets at most ``batch`` texts at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
                 vectors = embedder([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(vectors), pa.list_(pa.float32()))], ["document_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(vectors), pa.list_(pa.float32())), *part.columns[2:]], ["document_id", "embedding", *keep])
 
-    slim = documents.select(F.col(document_id).cast("long").alias("document_id"), F.col(text).alias("document"))
-    return slim.mapInArrow(run, "document_id long, embedding array<float>")
+    slim = documents.select(F.col(document_id).cast("long").alias("document_id"), F.col(text).alias("document"), *keep)
+    kept = "".join(f", `{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
+    return slim.mapInArrow(run, f"document_id long, embedding array<float>{kept}")
 
 
-def embed_or_report(documents: DataFrame, embedder: Embedder, document_id: str = "document_id", text: str = "document", batch: int = 32, attempts: int = 3, parallel: int | None = None) -> DataFrame:
+def embed_or_report(documents: DataFrame, embedder: Embedder, document_id: str = "document_id", text: str = "document", batch: int = 32, attempts: int = 3, parallel: int | None = None, seconds: float = UPLOAD_SECONDS) -> DataFrame:
     """(document_id, embedding, error): like `embed`, but what a model keeps failing on is reported, not lost.
 
-    A batch that fails is tried again, then its texts one by one; ``error`` is null where there is an embedding.  ``parallel`` bounds
-    how many tasks call the model at once.
+    A batch that fails is tried again, then its texts one by one; ``error`` is null where there is an embedding.  A call that takes more than
+    ``seconds`` counts as failed and is left behind.  ``parallel`` bounds how many tasks call the model at once.
     """
+    def called(texts: list[str]) -> np.ndarray:
+        answer: list = []
+
+        def call() -> None:
+            try:
+                answer.append((embedder(texts), None))
+            except Exception as e:  # a model's client can raise anything
+                answer.append((None, e))
+
+        caller = threading.Thread(target=call, daemon=True)
+        caller.start()
+        caller.join(seconds)
+        if not answer:
+            raise TimeoutError(f"no answer within {seconds} s")
+        vectors, error = answer[0]
+        if error is not None:
+            raise error
+        return vectors
+
     def tried(texts: list[str]) -> tuple[np.ndarray | None, str | None]:
         error = None
         for _ in range(attempts):
             try:
-                return embedder(texts), None
-            except Exception as e:  # a model's client can raise anything
+                return called(texts), None
+            except Exception as e:
                 error = f"{type(e).__name__}: {e}"
         return None, error
 

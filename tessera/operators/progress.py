@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .importer import clean_articles, first_by_name, not_stored
 
 
 def observed(rows: DataFrame, text: str = "document") -> tuple[DataFrame, Observation]:
@@ -16,16 +15,17 @@ def observed(rows: DataFrame, text: str = "document") -> tuple[DataFrame, Observ
 
 
 def import_funnel(pages: DataFrame, stored: DataFrame, sequence: str = "ingest_seq") -> DataFrame:
-    """(step, rows) left after each step of an import, in the importer's order."""
+    """(step, rows) left after each step of an import, in the importer's order.
+
+    One pass over the pages: each is marked with how many steps it passes, cleaned only if it gets that far, and marks are counted by name.
+    """
     name = T.trimmed(F.coalesce("title", F.lit("")))
-    titled = pages.where(name != "")
-    articles = titled.where(~T.is_namespaced(name))
-    plain = articles.where(~T.is_disambiguation(F.coalesce("text", F.lit(""))))
-    cleaned = clean_articles(pages).select("name", sequence)
-    fresh = not_stored(cleaned, stored)
-    steps = [("pages", pages), ("titled", titled), ("articles", articles), ("plain", plain), ("cleaned", cleaned), ("fresh", fresh), ("first", first_by_name(fresh, sequence=sequence))]
-    rows = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(step).alias("step"), "rows") for step, df in steps]
-    out = rows[0]
-    for other in rows[1:]:
-        out = out.unionByName(other)
-    return out
+    body = F.coalesce("text", F.lit(""))
+    passed = F.when(name == "", 1).when(T.is_namespaced(name), 2).when(T.is_disambiguation(body), 3).when(T.clean_markup(body) == "", 4).otherwise(5)
+    marked = pages.select(name.alias("name"), passed.alias("passed"))
+    known = stored.select(F.col("name").alias("__stored")).distinct().withColumn("__known", F.lit(True))
+    by_name = marked.groupBy("name").agg(*[F.count_if(F.col("passed") > k).alias(f"n{k}") for k in range(5)]).join(known, F.col("name") == F.col("__stored"), "left")
+    fresh = F.when(F.col("__known").isNull(), F.col("n4")).otherwise(0)
+    steps = {"pages": F.sum("n0"), "titled": F.sum("n1"), "articles": F.sum("n2"), "plain": F.sum("n3"), "cleaned": F.sum("n4"), "fresh": F.sum(fresh), "first": F.count_if(fresh > 0)}
+    one = by_name.agg(*[F.coalesce(v, F.lit(0)).alias(k) for k, v in steps.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.col(k).cast("long").alias("rows")) for k in steps])).alias("r")).select("r.step", "r.rows")

@@ -14,6 +14,8 @@ from ..sources.scratch import scratch_path
 
 #: Query vectors that one pass over the embeddings holds.
 QUERY_BLOCK = 1024
+#: Ids that are pushed into a scan at most; a larger page is joined alone.
+PUSHED_IDS = 1000
 
 
 def literal_vector(vector: Sequence[float]):
@@ -45,43 +47,74 @@ def best_by_document(similarities: DataFrame, document_id: str = "document_id")
     return similarities.groupBy(document_id).agg(F.max("similarity").alias("similarity"))
 
 
+def search_documents(embeddings: DataFrame, vector: Sequence[float], count: int = 20, offset: int = 0) -> DataFrame:
+    """The nearest documents, each by the nearest of its embeddings; all are compared, and each task keeps one row a document."""
+    return top(best_by_document(scored(embeddings, vector)), count, offset)
+
+
 def with_documents(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """Search results in the service's columns; ``found`` holds a page of results, so its size is bounded by the count."""
-    return documents.join(F.broadcast(found), "document_id").select(
+    """Search results in the service's columns.
+
+    ``found`` holds a page of results, so its size is bounded by the count.  Its ids come to the driver and are pushed down into the
+    scan of ``documents``, which then skips whatever its statistics exclude.
+    """
+    page = [(r["document_id"], r["similarity"]) for r in found.collect()]
+    local = documents.sparkSession.createDataFrame(page, "document_id long, similarity double")
+    wanted = documents.where(F.col("document_id").isin([i for i, _ in page])) if len(page) <= PUSHED_IDS else documents
+    return wanted.join(F.broadcast(local), "document_id").select(
         "name", "external_id", "document", "document_id", F.col("similarity").alias("document_similarity"))
 
 
-def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding") -> DataFrame:
+def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding", probes: tuple[list[int], np.ndarray, int] | None = None) -> DataFrame:
     """(query_id, key, similarity, rank) of the k nearest of every query.
 
     Queries go out in blocks of ``QUERY_BLOCK`` vectors, whatever their number; all blocks but the last write their results to
     the shared folder before the next goes out.  A task multiplies Arrow batches by the block and
     keeps k rows a query, so what is shuffled is k rows a query and task.
+
+    ``probes``: ids of centroids, their vectors, and how many of them a query probes; embeddings then have a ``centroid_id``, and a
+    query is multiplied with those of its centroids alone.
     """
     spark = embeddings.sparkSession
 
     def one(block: list) -> DataFrame:
         ids = [r[0] for r in block]
         matrix = np.array([r[1] for r in block], np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+        unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        asks: dict[int, np.ndarray] = {}  # centroid -> the queries that probe it
+        if probes:
+            names, vectors, n = probes
+            near = unit @ (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)).T
+            chosen = np.lexsort((np.broadcast_to(names, near.shape), -near), axis=1)[:, :n]
+            asks = {names[c]: np.flatnonzero((chosen == c).any(1)) for c in range(len(names))}
+        shared = spark.sparkContext.broadcast((ids, unit, asks))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, unit = shared.value
-            best_key, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+            ids, unit, asks = shared.value
+            best_key, best = np.zeros((len(ids), 0), np.int64), np.empty((len(ids), 0))
             for batch in batches:
-                flat, keys = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
-                rows = np.array(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
                 if not len(keys):
                     continue
-                got = unit @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)).T
+                rows = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)
+                rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+                if probes:
+                    got, of = np.full((len(ids), len(keys)), -np.inf), batch.column(2).to_numpy(zero_copy_only=False)
+                    for c in np.unique(of).tolist():
+                        q, r = asks.get(c, ()), np.flatnonzero(of == c)
+                        if len(q):
+                            got[np.ix_(q, r)] = unit[q] @ rows[r].T
+                else:
+                    got = unit @ rows.T
                 best = np.hstack([best, got])
                 best_key = np.hstack([best_key, np.broadcast_to(keys, got.shape)])
                 order = np.lexsort((best_key, -best), axis=1)[:, :k]
                 best, best_key = np.take_along_axis(best, order, 1), np.take_along_axis(best_key, order, 1)
             n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(best_key.reshape(-1)), pa.array(best.reshape(-1))], [query_key, key, "similarity"])
+            asked = np.isfinite(best.reshape(-1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)[asked]), pa.array(best_key.reshape(-1)[asked]), pa.array(best.reshape(-1)[asked])], [query_key, key, "similarity"])
 
-        slim = embeddings.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column)
+        slim = embeddings.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column, *(["centroid_id"] if probes else []))
         return slim.mapInArrow(run, f"{query_key} long, {key} long, similarity double")
 
     def ranked(found: DataFrame) -> DataFrame:

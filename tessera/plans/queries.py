@@ -15,9 +15,10 @@ from ..operators import centroids as C
 from ..operators import importer as I
 from ..operators import lsh, progress, search, stats, summary
 from ..operators.embed import HashEmbedder, embed
+from ..operators.upload import import_pages
 from ..sources.dump import read_pages
 from ..sources.scratch import scratch_path
-from ..sources.store import append_documents, append_embeddings, read_documents
+from ..sources.store import append_documents, append_embeddings, read_centroids, read_documents, read_embeddings, write_version
 from ..streaming.incremental import start_import
 from .service import answer_json, parsed_requests
 
@@ -144,7 +145,7 @@ def _rounded(rows: DataFrame, key: str = "vec_id") -> DataFrame:
 
 
 def search_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search(_embeddings(spark, sf_dir), _first_vector(spark, sf_dir), 20)
+    found = search.search_documents(_embeddings(spark, sf_dir), _first_vector(spark, sf_dir), 20)
     return search.with_documents(found, _documents(spark, sf_dir)).withColumn("document_similarity", F.round("document_similarity", 6))
 
 
@@ -154,9 +155,7 @@ def search_offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 100 is a query against all."""
-    rows = _table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return search.search_batch(rows, queries, 20).withColumn("similarity", F.round("similarity", 6))
+    return search.search_batch(_table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 20).withColumn("similarity", F.round("similarity", 6))
 
 
 def search_tenant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,11 +249,47 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path).select("name", "external_id")
 
 
+def dump_bad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump in which every seventh page has a number that isn't one; these are skipped and the next ones read."""
+    path = scratch_path(spark, "dump")
+    number = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    page = _table(spark, sf_dir, "documents").select(F.concat(F.lit("Article "), F.col("doc_id").cast("string")).alias("title"), F.lit("0").alias("ns"), number.alias("id"), F.struct(F.lit("1").alias("id"), F.lit("t").alias("text")).alias("revision"))
+    page.write.format("xml").options(rowTag="page", rootTag="mediawiki", declaration="").save(path)
+    return read_pages(spark, path).select("page_id", "title")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100, as queries."""
+    return _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def ivf_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings stored by centroid; probing reads the partitions of the nearest centroids alone."""
     means, path = _label_centroids(spark, sf_dir), scratch_path(spark, "embeddings")
     append_embeddings(C.assign(_table(spark, sf_dir, "embeddings"), means), path)
-    return _rounded(C.probed_search(spark.read.parquet(path), means, _first_vector(spark, sf_dir), n_probe=4))
+    return _rounded(C.probed_search(spark.read.parquet(path), means, _first_vector(spark, sf_dir)))
+
+
+def refresh_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store whose centroids are trained anew and swapped in: its version, and what it holds then."""
+    path = scratch_path(spark, "versions")
+    rows, means = _embeddings(spark, sf_dir), _label_centroids(spark, sf_dir)
+    write_version(C.assign(rows, means, "document_id"), means, path)
+    version = C.refresh(spark, path, 10)
+    fresh, centroids = read_embeddings(spark, path), read_centroids(spark, path)
+    near = fresh.join(centroids, "centroid_id").select("document_id", F.size("centroid").alias("dims"))
+    return near.select("document_id", F.lit(version).alias("version"), "dims")
+
+
+def import_embed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump imported to the end: documents, their vectors, and the second run that adds nothing."""
+    documents, vectors = scratch_path(spark, "documents"), scratch_path(spark, "vectors")
+    dump, model = _dump(spark, sf_dir), HashEmbedder()
+    means = _label_centroids(spark, sf_dir)
+    for _ in range(2):
+        import_pages(read_pages(spark, dump), documents, vectors, model, means)
+    stored = spark.read.parquet(vectors)
+    return read_documents(spark, documents).join(stored, ["document_id", "owner", "category"]).select("name", "owner", "category", F.size("embedding").alias("dims"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("length"))
 
 
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,8 +315,9 @@ def centroid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 asks the embeddings of its nearest centroids."""
     means = _label_centroids(spark, sf_dir)
-    return _rounded(C.probed_search(C.assign(_table(spark, sf_dir, "embeddings"), means), means, _first_vector(spark, sf_dir), n_probe=4))
+    return C.probed_batch(C.assign(_table(spark, sf_dir, "embeddings"), means), means, _asked(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,12 +335,26 @@ def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search(_embeddings(spark, sf_dir), _first_vector(spark, sf_dir), 5)
-    return answer_json(search.with_documents(found, _documents(spark, sf_dir)))
+    """The answer to a search as one JSON text, and the documents parsed from it again with their places in it."""
+    found = search.search_documents(_embeddings(spark, sf_dir), _first_vector(spark, sf_dir), 5)
+    answer = answer_json(search.with_documents(found, _documents(spark, sf_dir)))
+    kind = "struct<documents: array<struct<name: string, external_id: string, document: string, document_id: long, document_similarity: double>>>"
+    parsed = answer.select(F.posexplode(F.from_json("answer", kind)["documents"]).alias("place", "d"))
+    return parsed.select(F.col("place").cast("long").alias("place"), "d.name", "d.external_id", "d.document", "d.document_id", F.round("d.document_similarity", 6).alias("document_similarity"))
 
 
 def kmeans_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.kmeans(_table(spark, sf_dir, "embeddings"), 10)
+    """How many centroids a training gives, of how many dimensions, and how many embeddings they share out."""
+    rows = _table(spark, sf_dir, "embeddings")
+    trained = C.kmeans(rows, 10)
+    shared = C.assign(rows, trained).groupBy("centroid_id").agg(F.count(F.lit(1)).alias("n"))
+    return trained.join(shared, "centroid_id", "left").agg(F.count(F.lit(1)).alias("centroids"), F.max(F.size("centroid")).cast("long").alias("dims"), F.sum("n").alias("embeddings"))
+
+
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's vector, by its number of dimensions and its length."""
+    rows = embed(_documents(spark, sf_dir), HashEmbedder())
+    return rows.select("document_id", F.size("embedding").cast("long").alias("dims"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("length"))
 
 
 def hash_embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,8 +371,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         search_exact_topk, search_offset_page, search_batch_topk, search_tenant_filter, search_score_percent, doc_score_max, clean_markup, strip_page_entities,
-        namespace_filter, disambiguation_filter, article_url, dedup_first_title, anti_join_imported, import_pipeline, import_funnel, dump_scan, document_store, stream_import, ivf_store, table_counts, counts_display,
-        centroid_means, centroid_assign, ivf_search, prompt_build, doc_lookup, request_json, response_json, kmeans_refresh, hash_embed_search, lsh_approximate,
+        namespace_filter, disambiguation_filter, article_url, dedup_first_title, anti_join_imported, import_pipeline, import_funnel, dump_scan, dump_bad_pages, document_store, stream_import, import_embed_store, ivf_store, refresh_centroids, table_counts, counts_display,
+        centroid_means, centroid_assign, ivf_search, prompt_build, doc_lookup, request_json, response_json, kmeans_refresh, hash_embed, hash_embed_search, lsh_approximate,
     )
 } | {name: _step(function) for name, function in _STEPS.items()}
 
@@ -359,11 +409,22 @@ ORACLE_SQL: dict[str, str] = {
     "counts_display": "SELECT format('{:,}', (SELECT count(*) FROM embeddings)) AS embeddings, format('{:,}', (SELECT count(*) FROM documents)) AS documents, format('{:,}', (SELECT count(DISTINCT label) FROM embeddings)) AS centroids",
     "centroid_means": f"WITH {_MEANS} SELECT centroid_id, (d - 1)::BIGINT AS dim, round(mean, 8) AS mean FROM means",
     "centroid_assign": f"WITH {_ASSIGNED} SELECT vec_id, centroid_id FROM near WHERE n = 1",
-    "ivf_search": f"""WITH {_ASSIGNED}, {_Q0}, probes AS (SELECT c.centroid_id FROM centroids c, q ORDER BY {_COS.format('c.centroid', 'q.v')} DESC, c.centroid_id LIMIT 4)
+    "ivf_search": f"""WITH {_ASSIGNED}, asked AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
+        probes AS (SELECT query_id, v, centroid_id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS.format('c.centroid', 'v')} DESC, centroid_id) AS place FROM asked, centroids c),
+        pairs AS (SELECT query_id, vec_id, {_COS.format('near.embedding', 'v')} AS s FROM probes JOIN near USING (centroid_id) WHERE near.n = 1 AND place <= ceil(0.8 * (SELECT count(*) FROM centroids))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM pairs)
+        SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM ranked WHERE rank <= 20""",
+    "ivf_store": f"""WITH {_ASSIGNED}, {_Q0}, probes AS (SELECT c.centroid_id FROM centroids c, q ORDER BY {_COS.format('c.centroid', 'q.v')} DESC, c.centroid_id LIMIT (SELECT ceil(0.8 * count(*))::BIGINT FROM centroids))
         SELECT vec_id, round({_COS.format('embedding', 'q.v')}, 6) AS similarity FROM near, q WHERE n = 1 AND centroid_id IN (SELECT centroid_id FROM probes) ORDER BY {_COS.format('embedding', 'q.v')} DESC, vec_id LIMIT 20""",
+    "dump_bad_pages": "SELECT doc_id AS page_id, 'Article ' || doc_id::VARCHAR AS title FROM documents WHERE doc_id % 7 <> 0",
+    "refresh_centroids": "SELECT vec_id AS document_id, 2 AS version, len(embedding)::INT AS dims FROM embeddings",
+    "kmeans_refresh": "SELECT 10::BIGINT AS centroids, max(len(embedding)) AS dims, count(*) AS embeddings FROM embeddings",
+    "hash_embed": "SELECT doc_id AS document_id, 64::BIGINT AS dims, CASE WHEN trim(coalesce(text, '')) = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS length FROM documents",
+    "lsh_approximate": f"WITH {_SCORED} SELECT vec_id, round(s, 6) AS similarity FROM scored ORDER BY s DESC, vec_id LIMIT 20",
+    "response_json": f"WITH {_SCORED}, best AS (SELECT vec_id, s FROM scored ORDER BY s DESC, vec_id LIMIT 5) SELECT row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS place, {_NAME} AS name, {_sql_url(_NAME)} AS external_id, text AS document, doc_id AS document_id, round(s, 6) AS document_similarity FROM best JOIN documents ON vec_id = doc_id",
     "prompt_build": f"SELECT doc_id AS document_id, concat_ws(chr(10), 'what is this about', '{T.SUMMARY_REQUEST}', text) AS prompt FROM documents",
     "doc_lookup": "SELECT doc_id AS document_id, text AS document FROM documents WHERE doc_id IN (3, 5, 8, 99999999)",
     "request_json": "WITH b AS (SELECT event_id, to_json({'text': event_type, 'count': user_id, 'offset': event_id})::VARCHAR AS body FROM events) SELECT event_id, body, body->>'$.text' AS text, (body->>'$.count')::BIGINT AS \"count\", (body->>'$.offset')::BIGINT AS \"offset\" FROM b",
 } | {name: f"WITH {_MARKED} SELECT doc_id, {step('text')} AS document FROM marked" for name, step in _SQL_STEPS.items()}
-ORACLE_SQL["ivf_store"] = ORACLE_SQL["ivf_search"]
+ORACLE_SQL["import_embed_store"] = f"SELECT name, 'wikipedia' AS owner, 'wikipedia' AS category, 64 AS dims, 1.0::DOUBLE AS length FROM ({ORACLE_SQL['stream_import']})"
 ORACLE_SQL["document_store"] = f"SELECT name, external_id, document FROM ({ORACLE_SQL['import_pipeline']})"

@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import CancelledError
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.centroids import probed
 from ..operators.embed import Embedder
-from ..operators.search import search, with_documents
+from ..operators.search import search_documents, with_documents
 from ..operators.stats import COUNT_SECONDS, CountMemo, table_counts, within
 from ..operators.summary import summary_stream
 
@@ -87,19 +89,55 @@ def answer_json(results: DataFrame) -> DataFrame:
     return results.agg(F.to_json(F.struct(F.transform(ordered, lambda x: x["r"]).alias("documents"))).alias("answer"))
 
 
+def decoded_body(body: bytes, content_encoding: str = "") -> bytes:
+    """A request's body, decompressed if its header names zstd; what isn't zstd then is a bad request."""
+    if "zstd" not in content_encoding:
+        return body
+    import zstandard
+
+    try:
+        return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    except zstandard.ZstdError as e:
+        raise BadRequest("Invalid request") from e
+
+
+def encoded_answer(answer: bytes, accept_encoding: str = "") -> tuple[bytes, str]:
+    """(body, content encoding): an answer compressed if the client's header names zstd."""
+    if "zstd" not in accept_encoding:
+        return answer, ""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(answer), "zstd"
+
+
 class SearchService:
     """Search, counts and summaries over three tables of one tenant."""
 
-    def __init__(self, documents: DataFrame, embeddings: DataFrame, centroids: DataFrame, embedder: Embedder, chat: Callable[[str], Iterable[str]] | None = None, owner: str = "wikipedia", category: str = "wikipedia"):
+    def __init__(self, documents: DataFrame, embeddings: DataFrame, centroids: DataFrame, embedder: Embedder, chat: Callable[[str], Iterable[str]] | None = None, owner: str = "wikipedia", category: str = "wikipedia", n_probe: int | None = None):
+        """Embeddings that have the tenant's columns are filtered by them, which prunes partitions; others are joined with the tenant's documents.
+
+        With ``n_probe`` a search reads the embeddings of so many centroids (they then have a ``centroid_id``); without it all are compared.
+        """
         tenant = (F.col("owner") == owner) & (F.col("category") == category)
-        self.documents, self.embeddings, self.embedder, self.chat = documents.where(tenant), embeddings, embedder, chat
+        self.documents, self.embedder, self.chat, self.centroids, self.n_probe = documents.where(tenant), embedder, chat, centroids, n_probe
+        own = {"owner", "category"} <= set(embeddings.columns)
+        self.embeddings = embeddings.where(tenant) if own else embeddings.join(self.documents.select("document_id"), "document_id", "left_semi")
         spark = documents.sparkSession
         self.counts = CountMemo(lambda: within(spark, COUNT_SECONDS, lambda: table_counts(embeddings, documents, centroids).first().asDict()))
 
     def search(self, request: SearchRequest) -> DataFrame:
         vector = self.embedder([request.text])[0]
-        own = self.embeddings.join(self.documents.select("document_id"), "document_id", "left_semi")
-        return with_documents(search(own, vector, request.count, request.offset), self.documents)
+        rows = self.embeddings if self.n_probe is None else probed(self.embeddings, self.centroids, vector, self.n_probe)
+        return with_documents(search_documents(rows, vector, request.count, request.offset), self.documents)
+
+    @contextmanager
+    def importing(self) -> Iterator[None]:
+        """While an import runs no counts are kept; when it has ended they are, from the next one on."""
+        self.counts.disable()
+        try:
+            yield
+        finally:
+            self.counts.enable()
 
     def summary(self, request: SummaryRequest) -> Iterator[str]:
         if self.chat is None:
@@ -127,6 +165,16 @@ class SearchService:
             return 500, {"error": "Request failed"}
 
 
+    def handle_bytes(self, path: str, method: str, body: bytes = b"", content_encoding: str = "", accept_encoding: str = "") -> tuple[int, bytes, str]:
+        """(status, body, content encoding) of `handle`, with bodies as they go over a wire; a summary is one body."""
+        try:
+            status, answer = self.handle(path, method, decoded_body(body, content_encoding))
+        except BadRequest as e:
+            status, answer = e.status, {"error": str(e)}
+        raw = json.dumps(answer, ensure_ascii=False) if isinstance(answer, dict) else "".join(answer)
+        return status, *encoded_answer(raw.encode(), accept_encoding)
+
+
 class Client:
     """What the web client asks of the service."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schema import DOCUMENT
+from ..schema import CENTROID, DOCUMENT
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -31,9 +31,43 @@ def append_documents(documents: DataFrame, path: str) -> None:
 
 
 def append_embeddings(embeddings: DataFrame, path: str) -> None:
-    """Append embeddings, partitioned by centroid if they have one, so probing reads those partitions alone."""
+    """Append embeddings, partitioned by what they have of tenant and centroid, so a search reads its partitions alone."""
+    by = [c for c in ("owner", "category", "centroid_id") if c in embeddings.columns]
     writer = embeddings.write.mode("append")
-    (writer.partitionBy("centroid_id") if "centroid_id" in embeddings.columns else writer).parquet(path)
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of an embedding store; its centroids are written last."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    numbers = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+    return sorted(n for n in numbers if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/centroids/_SUCCESS")))
+
+
+def write_version(assigned: DataFrame, centroids: DataFrame, path: str) -> int:
+    """Write embeddings and their centroids beside the versions that are there; it counts once its centroids are complete."""
+    version = max(_versions(assigned.sparkSession, path), default=0) + 1
+    append_embeddings(assigned, f"{path}/v{version}/embeddings")
+    centroids.write.mode("overwrite").parquet(f"{path}/v{version}/centroids")
+    return version
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the newest complete version."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no complete version in {path}")
+    return f"{path}/v{versions[-1]}"
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{current(spark, path)}/embeddings")
+
+
+def read_centroids(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CENTROID).parquet(f"{current(spark, path)}/centroids")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:

@@ -13,9 +13,12 @@ from tessera.functions.vector import cosine
 from tessera.operators import centroids as C
 from tessera.operators import search as S
 from tessera.operators.embed import HashEmbedder, embed, embed_or_report
+from tessera.operators.lsh import lsh_search
 from tessera.operators.progress import observed
 from tessera.operators.stats import CountMemo, within
+from tessera.operators.upload import import_pages
 from tessera.plans.service import BadRequest, Client, SearchRequest, SearchService
+from tessera.sources import store
 from tessera.sources.config import Settings, load_settings, parse_settings
 
 
@@ -183,3 +186,114 @@ def test_jobs_end_in_time(spark):
         within(spark, 1, lambda: spark.range(10**13).selectExpr("sum(hash(id) % 7)").collect())
     with pytest.raises(ZeroDivisionError):
         within(spark, 60, lambda: 1 / 0)
+
+
+def test_a_document_is_found_once(spark):
+    """Three vectors of document 1 are nearer than any of document 2; a page has each document once, by its nearest vector."""
+    documents = spark.createDataFrame([(i, "wikipedia", "wikipedia", f"N{i}", "u", "t") for i in (1, 2, 3)], "document_id long, owner string, category string, name string, external_id string, document string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.2]), (2, [1.0, 0.5]), (3, [0.0, 1.0]), (3, [1.0, 0.3])], "document_id long, embedding array<double>")
+    service = SearchService(documents, vectors, documents.limit(0), lambda texts: np.array([[1.0, 0.0]]))
+    status, answer = service.handle("/api/search", "POST", '{"text": "x", "count": 3}')
+    assert status == 200 and [d["document_id"] for d in answer["documents"]] == [1, 3, 2]
+    assert answer["documents"][1]["document_similarity"] == pytest.approx(1 / np.hypot(1, 0.3))
+
+
+def test_a_service_that_probes_reads_its_tenant_and_centroids_alone(spark, tmp_path):
+    documents = spark.createDataFrame([(i, "o" if i < 40 else "p", "c", f"N{i}", "u", "t") for i in range(80)], "document_id long, owner string, category string, name string, external_id string, document string")
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, "o" if i < 40 else "p", "c", rng.normal(size=4).tolist()) for i in range(80)], "document_id long, owner string, category string, embedding array<double>")
+    centroids = C.kmeans(rows, 6)
+    store.append_embeddings(C.assign(rows, centroids, "document_id"), str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    vector = [1.0, 0.0, 0.0, 0.0]
+    service = SearchService(documents, stored, centroids, lambda texts: np.array([vector]), owner="o", category="c", n_probe=2)
+    found = service.search(SearchRequest("x", 100, 0)).collect()
+    near = C.probe(centroids, vector, 2)
+    assert sorted(r["document_id"] for r in found) == sorted(r["document_id"] for r in stored.where(F.col("centroid_id").isin(near) & (F.col("owner") == "o")).collect())
+    plan = C.probed(service.embeddings, centroids, vector, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "centroid" in plan.split("PartitionFilters")[1] and "owner" in plan.split("PartitionFilters")[1]
+
+
+def _recall(found, exact):
+    return len({(r["query_id"], r["vec_id"]) for r in found} & {(r["query_id"], r["vec_id"]) for r in exact}) / len(exact)
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_recall_of_probes_and_projections(spark, kind):
+    """Against the exact way, at the defaults: vectors without any clusters are the hardest case."""
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(12, 16)) * (0 if kind == "random" else 3)
+    table = [(i, (middle[i % 12] + rng.normal(size=16)).tolist()) for i in range(1500)]
+    rows = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = S.search_batch(rows, queries, 20).collect()
+    centroids = C.kmeans(rows, 12)
+    assigned = C.assign(rows, centroids)
+    assert _recall(C.probed_batch(assigned, centroids, queries).collect(), exact) >= 0.9
+    assert _recall(C.probed_batch(assigned, centroids, queries, n_probe=12).collect(), exact) == 1
+    hits = []
+    for q in queries.limit(5).collect():
+        found = {r["vec_id"] for r in lsh_search(rows, [3 * x for x in q["embedding"]]).collect()}
+        hits.append(len(found & {r["vec_id"] for r in exact if r["query_id"] == q["query_id"]}) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_probed_batch_equals_probed_search(vectors):
+    centroids = C.kmeans(vectors, 5)
+    assigned = C.assign(vectors, centroids)
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = C.probed_batch(assigned, centroids, queries, 7, 2).collect()
+    for q in queries.collect():
+        own = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q["query_id"]]
+        assert own == [r["vec_id"] for r in C.probed_search(assigned, centroids, q["embedding"], 7, n_probe=2).collect()]
+
+
+def test_refresh_swaps_a_whole_version(spark, vectors, tmp_path):
+    path = str(tmp_path / "store")
+    with pytest.raises(FileNotFoundError):
+        store.current(spark, path)
+    first = C.kmeans(vectors, 3)
+    assert store.write_version(C.assign(vectors, first), first, path) == 1
+    assert C.refresh(spark, path, 5, seed=2, key="vec_id") == 2
+    assert store.read_centroids(spark, path).count() == 5 and store.read_embeddings(spark, path).count() == vectors.count()
+    near = {r["vec_id"]: r["centroid_id"] for r in C.assign(vectors, store.read_centroids(spark, path)).collect()}
+    assert {r["vec_id"]: r["centroid_id"] for r in store.read_embeddings(spark, path).collect()} == near
+    # A version without its centroids isn't complete: readers stay with the one before.
+    store.append_embeddings(vectors.limit(1), f"{path}/v3/embeddings")
+    assert store.current(spark, path).endswith("/v2")
+
+
+def test_zstd_bodies(service):
+    import zstandard
+
+    body = zstandard.ZstdCompressor().compress(b'{"text": "blue sky", "count": 1}')
+    status, raw, encoding = service.handle_bytes("/api/search", "POST", body, "zstd", "gzip, zstd")
+    assert (status, encoding) == (200, "zstd") and [d["document_id"] for d in json.loads(zstandard.ZstdDecompressor().decompressobj().decompress(raw))["documents"]] == [2]
+    assert service.handle_bytes("/api/search", "POST", b"plain", "zstd")[0] == 400
+    assert service.handle_bytes("/api/count", "GET")[1:] == (b'{"embeddings": 5, "documents": 5, "centroids": 2}', "")
+
+
+def test_a_model_that_hangs_is_left_behind(spark):
+    def slow(texts):
+        if "slow" in texts:
+            time.sleep(20)
+        return np.ones((len(texts), 2), np.float32)
+
+    rows = spark.createDataFrame([(1, "a"), (2, "slow"), (3, "b")], "document_id long, document string").coalesce(1)
+    began = time.time()
+    got = {r["document_id"]: r["error"] for r in embed_or_report(rows, slow, attempts=1, seconds=0.5).collect()}
+    assert got[1] is None and got[3] is None and "TimeoutError" in got[2] and time.time() - began < 19
+
+
+def test_an_import_to_the_end(spark, service, tmp_path):
+    pages = spark.createDataFrame([("A", "text of a", 1), ("B", "text of b", 2), ("A", "again", 3)], "title string, text string, ingest_seq long").withColumn("redirect", F.lit(None).cast("string"))
+    documents, vectors, model = str(tmp_path / "d"), str(tmp_path / "v"), HashEmbedder(8)
+    service.counts.enable()
+    import_pages(pages.limit(1), documents, vectors, model, service=service)
+    # An import that ended between its two writes: the next one embeds what is missing.
+    store.append_documents(spark.createDataFrame([("C", "x", "text of c", "wikipedia", "wikipedia")], "name string, external_id string, document string, owner string, category string"), documents)
+    import_pages(pages, documents, vectors, model, service=service)
+    import_pages(pages, documents, vectors, model)
+    stored = store.read_documents(spark, documents).join(spark.read.parquet(vectors), "document_id").collect()
+    assert sorted(r["name"] for r in stored) == ["A", "B", "C"]
+    assert all(np.allclose(r["embedding"], model([r["document"]])[0]) for r in stored)

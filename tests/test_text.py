@@ -1,5 +1,9 @@
 """Cleaning, titles and links on single strings."""
 
+import random
+import re
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -88,3 +92,22 @@ def test_cleaned_lines_are_never_blank(spark, seed):
             assert all(line.strip(T.WHITE_SPACE) for line in out.split("\n")) or out == ""
 
     check()
+
+
+def test_tables_are_stripped_as_the_patterns_say(spark):
+    rng = random.Random(1)
+    parts = ["{|", "|}", "{|}", "|", "}", "{", " x", "\n", "<table", "<table>", "</table>", ">", "<", "<table a=1>", "é", "||", "|}}"]
+    rows = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(5000)]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.strip_wiki_tables(F.col("t")), T.strip_html_tables(F.col("t"))).collect()
+    for text, wiki, html in got:
+        assert wiki == re.sub(T.WIKI_TABLE, "", text) and html == re.sub(T.HTML_TABLE, "", text), text
+
+
+def test_tables_that_are_never_closed_take_linear_time(spark):
+    texts = ["{|" * 500_000, "<table>" * 150_000, "<table " * 150_000 + "></table>", "<table " * 150_000 + "</table>", "{| x " * 200_000 + "|}" + "{|" * 200_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").cache()
+    rows.count()
+    began = time.time()
+    rows.select(F.length(T.strip_wiki_tables(F.col("t"))), F.length(T.strip_html_tables(F.col("t")))).collect()
+    assert time.time() - began < 10
+    rows.unpersist()
