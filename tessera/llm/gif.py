@@ -28,6 +28,8 @@ FRAME_ROWS = 340
 DELAY_CS = 4
 BINS = 8
 _FULL = 4096
+#: Pixels that a byte stands for at most: a code stands for under 4096, and one for many takes more than a byte.
+PIXELS_A_BYTE = 4096
 
 
 def _widths(minimum: int, n: int) -> np.ndarray:
@@ -189,8 +191,10 @@ def decode(raw: bytes) -> Iterator[Frame]:
         raise ValueError("not a GIF")
     word = lambda i: raw[i] | raw[i + 1] << 8
     wide, high = word(6), word(8)
+    if wide * high > PIXELS_A_BYTE * len(raw):
+        raise ValueError("a GIF canvas is larger than its data can fill")
     shared, at = _palette(raw, 13, raw[10])
-    canvas = np.zeros((high, wide, 4), np.uint8)
+    canvas = None
     disposal, delay, clear_index, clock, number = 0, 0, None, 0, 0
     try:
         while raw[at] != 0x3B:
@@ -208,6 +212,8 @@ def decode(raw: bytes) -> Iterator[Frame]:
             if colours is None or x + w > wide or y + h > high:
                 raise ValueError("a GIF frame has no palette or leaves the canvas")
             body, after = _blocks(raw, at + 1)
+            if canvas is None:
+                canvas = np.zeros((high, wide, 4), np.uint8)
             pixels = np.frombuffer(lzw_decode(body, raw[at], w * h), np.uint8)
             if len(pixels) < w * h:
                 raise ValueError("a GIF frame is cut short")
@@ -297,8 +303,14 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return staged(slim.mapInArrow(run, f"doc_id {kind}, n_bytes long, gif binary"), "gif")
 
 
+_TIMED = pa.list_(pa.struct([("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("red", "green", "blue"))]))
+
+
 def read_digests(media: DataFrame) -> DataFrame:
-    """Digests of stored texts from their frames: the samples drawn, the stored bytes, times and grey histogram."""
+    """Digests of stored texts from their frames: the samples drawn, the stored bytes, times and grey histogram; and the timed frames themselves.
+
+    ``frames`` has each frame's place in time, how it is disposed of, and its colour histograms, as `frames` gives them one a row.
+    """
     bounded_batches(media.sparkSession)
     kind = media.schema["doc_id"].dataType.simpleString()
 
@@ -306,15 +318,17 @@ def read_digests(media: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for raw in batch.column(2).to_pylist():
-                digest, tail, size, length, count, grey = hashlib.sha256(), b"", 0, 0, 0, np.zeros(BINS, np.int64)
+                digest, tail, size, length, count, grey, shown = hashlib.sha256(), b"", 0, 0, 0, np.zeros(BINS, np.int64), []
                 for f in decode(raw):
                     samples = f.area()[..., 0].tobytes()
                     digest.update(samples)
                     tail, size, length, count = (tail + samples)[-16:], size + len(samples), f.start_ms + f.delay_ms, count + 1
-                    grey += histogram(f.area())[0]
-                rows.append((size, digest.hexdigest(), zlib.crc32(tail), len(raw), hashlib.sha256(raw).hexdigest(), f"frames={count};ms={length};grey={','.join(map(str, grey.tolist()))}"))
-            columns = list(zip(*rows)) or [()] * 6
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select("doc_id", "n_bytes", "gif").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                    red, green, blue = histogram(f.area())
+                    grey += red
+                    shown.append({"frame": f.number, "start_ms": f.start_ms, "delay_ms": f.delay_ms, "disposal": f.disposal, "transparent": f.transparent, "width": f.width, "height": f.height, "red": red, "green": green, "blue": blue})
+                rows.append((size, digest.hexdigest(), zlib.crc32(tail), len(raw), hashlib.sha256(raw).hexdigest(), f"frames={count};ms={length};grey={','.join(map(str, grey.tolist()))}", shown))
+            columns = list(zip(*rows)) or [()] * 7
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), _TIMED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"])
+
+    return media.select("doc_id", "n_bytes", "gif").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<frame: int, start_ms: long, delay_ms: int, disposal: int, transparent: int, width: int, height: int, red: array<long>, green: array<long>, blue: array<long>>>")

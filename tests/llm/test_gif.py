@@ -90,6 +90,8 @@ def test_stored_texts(spark):
         assert (r["media_bytes"], r["media_sha256"]) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
         grey = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=8).tolist()
         assert r["feature"].endswith("grey=" + ",".join(map(str, grey)))
+        assert [f["frame"] for f in r["frames"]] == list(range(len(r["frames"]))) and [f["start_ms"] for f in r["frames"]] == [40 * k for k in range(len(r["frames"]))]
+        assert np.sum([f["red"] for f in r["frames"]], axis=0).tolist() == grey and all(f["red"] == f["green"] == f["blue"] for f in r["frames"])
     assert got[2][1:] == got[7][1:] and got[0][1:] == got[1][1:]
     assert gif.read_digests(gif.store_texts(docs.limit(0))).count() == 0
 
@@ -104,3 +106,10 @@ def test_frames_table(spark):
         else:
             assert r["error"] and r["frame"] is None
     assert gif.frames(spark.createDataFrame([], "gif binary")).count() == 0
+
+
+def test_a_header_alone_asks_for_no_memory():
+    for wide, high in ((20_000, 20_000), (65_535, 65_535)):
+        raw = b"GIF89a" + wide.to_bytes(2, "little") + high.to_bytes(2, "little") + b"\0\0\0\x3b\0\0\0"
+        with pytest.raises(ValueError, match="larger than its data"):
+            list(gif.decode(raw))
