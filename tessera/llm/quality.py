@@ -253,7 +253,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trainable: Column | None = N
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, [int(x) for x in marked]))], pa.binary())], ["model"])
 
     ordered = rows.repartition(1).sortWithinPartitions("__order", "__id", "__key").select("__text", "__quality")
-    return pickle.loads(ordered.mapInArrow(run, "model binary").first()["model"])
+    found = ordered.mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else QualityModel()  # no task has run where there is no row
 
 
 def scores(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

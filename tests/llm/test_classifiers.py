@@ -56,7 +56,7 @@ def test_language_of_odd_texts(spark):
     assert language.identify(docs.limit(0), model).count() == 0
     empty = language.fit_languages(docs)
     assert empty.content == {} and {r["lang_pred"] for r in language.identify(docs, empty).collect()} == {"und"}
-    one = language.LanguageModel(language.dictionaries([("xx", "some words here")]))
+    one = language.LanguageModel({"xx": language.dictionary(Counter(b"some words here".split()))})
     assert one.predict("words") == ("xx", 1.0, False)
 
 
@@ -120,6 +120,69 @@ def test_quality_of_odd_texts(spark):
     assert quality.scores(docs.limit(0), model).count() == 0
 
 
+def test_languages_equal_plain_compression(spark):
+    """Dictionaries and predictions from their definition: the sample's words by frequency, then every block with every dictionary."""
+    import zstandard
+
+    rows = labelled(90, 8)
+    rows += [(1000 + i, *rows[3][1:]) for i in range(500)]
+    model = language.fit_languages(frame(spark, rows), sample_rows=1000)
+    words: dict[str, Counter] = {}
+    for text, lang in {(t, x) for _, t, x in rows}:
+        words.setdefault(lang, Counter()).update(re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode().split())
+    assert list(model.content) == sorted(words, key=lambda x: (-words[x].total(), x))
+    for lang, counts in words.items():
+        assert model.content[lang] == b" " + b" ".join(sorted(counts, key=lambda w: (counts[w], [-b for b in w], -len(w)))) + b" " or sorted(model.content[lang].split()) == sorted(counts)
+    for r in language.identify(frame(spark, labelled(60, 9, (1, 300))), model).join(frame(spark, labelled(60, 9, (1, 300))).select("doc_id", "text"), "doc_id").collect():
+        raw = re.sub(r"[\W\d_]+", " ", r["text"].lower()).strip().encode()
+        sizes = {}
+        for lang, content in model.content.items():
+            packer = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False)
+            sizes[lang] = sum(len(packer.compress(raw[k : k + language.BLOCK])) for k in range(0, len(raw), language.BLOCK))
+        least = min(sizes.values())
+        assert abs(sizes[r["lang_pred"]] - least) <= 2
+
+
+def test_samples_are_bounded_and_repeats_count_once(spark):
+    rows = labelled(60, 3)
+    plain = language.fit_languages(frame(spark, rows))
+    again = language.fit_languages(frame(spark, rows + [(500 + i, *rows[0][1:]) for i in range(10_000)]))
+    assert again.content == plain.content
+    many = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
+    model = language.fit_languages(many.unionByName(frame(spark, rows).select("doc_id", "text", "lang")), languages=20)
+    assert len(model.content) == 20 and set(LANGUAGES) <= set(model.content)
+    texts = [(i, t, None) for i, t, _ in rows]
+    docs, marks = frame(spark, texts + [texts[0]] * 10_000), spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, quality int")
+    a, b = (quality.fit_quality(d, marks, sample_rows=50) for d in (docs, frame(spark, texts)))
+    assert a.known == b.known and np.array_equal(a.layers[0], b.layers[0])
+    small = quality.fit_quality(frame(spark, texts), marks, sample_bytes=2000)
+    assert len(small.known) < len(a.known)
+
+
+def test_scores_equal_a_plain_network():
+    """A document at a time and a word at a time: mean of token vectors, its length, distinct words, log length, two layers, temperature."""
+    rng = random.Random(4)
+    texts = [t if i % 4 else spoiled(t, rng) for i, t, _ in labelled(120, 7)]
+    model = quality.fit(texts, [int(i % 4 > 0) for i in range(120)])
+
+    def vector(token):
+        return model.vectors[model.known[token]] if token in model.known else quality.index_vectors([token])[0]
+
+    for text in ["", "a", "Some NEW words!! 12", *texts[:30]]:
+        own = text.split()
+        pooled = np.zeros(quality.DIM + 3)
+        if own:
+            vectors = []
+            for w in own:
+                shape = "".join("X" if m[1] else "x" if m[2] else "0" if m[3] else m[0][:3] for m in quality._SHAPES.finditer(w))[:24]
+                vectors.append((vector("".join(re.findall(r"[^\W\d_]+", w)).lower()) + vector("\0" + shape)) / 2)
+            pooled[: quality.DIM] = np.mean(vectors, 0)
+            pooled[quality.DIM :] = np.linalg.norm(pooled[: quality.DIM]), len(set(own)) / len(own) ** 0.9, np.log1p(len(own))
+        w1, b1, w2, b2 = model.layers
+        logit = np.maximum(((pooled - model.shift) / model.scale) @ w1 + b1, 0) @ w2 + b2
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-logit / model.temperature)), abs=1e-4)
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
