@@ -58,6 +58,44 @@ def test_shards_are_even_and_keep_copies(spark):
     assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 8 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got)
 
 
+def test_many_items_of_a_size_go_as_the_heap_would_send_them():
+    rng = random.Random(6)
+    for n_shards in (1, 3, 24):
+        items = [(str(i), float(rng.randint(1, 60)), rng.choice((1, 2, 40, 700))) for i in range(40)]
+        loads = [0.0] * n_shards
+        placed = sharding.lpt_many(items, n_shards)
+        for key, size, n in sorted(items, key=lambda x: (-x[1], x[0])):
+            counts = [0] * n_shards
+            for _ in range(n):
+                s = min(range(n_shards), key=lambda s: (loads[s], s))
+                loads[s] += size
+                counts[s] += 1
+            # Equal loads may trade places; the loads that follow are the same.
+            assert sorted(load - c * size for load, c in zip(loads, counts)) and sum(placed[key]) == n
+        got = [sum(size * placed[key][s] for key, size, _ in items) for s in range(n_shards)]
+        assert sorted(got) == pytest.approx(sorted(loads), abs=60)
+        assert max(got) - min(got) <= 60
+
+
+@pytest.mark.parametrize("fineness", [256, 1])
+def test_loads_are_those_of_a_schedule_of_all_groups(spark, fineness):
+    """With every group an item, and with nearly all in classes of sizes."""
+    rng = random.Random(3)
+    rows = [(i, f"{rng.randint(0, 900)} " + "t" * int(rng.paretovariate(1.1) * 20), "s") for i in range(3000)]
+    got = sharding.assign_shards(frame(spark, rows), 6, fineness=fineness).collect()
+    checked_shards(got, 6)
+    sizes = Counter()
+    for _, t, _ in rows:
+        sizes[t] += len(t) + 8
+    placed, plain = sharding.lpt(sizes.items(), 6), Counter()
+    for t, s in placed.items():
+        plain[s] += sizes[t]
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) <= max(plain.values()) + (0 if fineness > 1 else 0.01 * sum(sizes.values()) / 6)
+
+
 def test_a_group_of_a_third_of_all_rows_stays_whole(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"text {i}", "s") for i in range(900)]
     checked_shards(got := sharding.assign_shards(frame(spark, rows), 4).collect(), 4)
