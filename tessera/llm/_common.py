@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
     return _own_dir[0]
@@ -46,12 +49,22 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete what `staged` has written in this process; call it when no result that reads it is needed any more."""
+def staged_count() -> int:
+    """How many tables `staged` has written in this process and not dropped."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, start: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables that `staged` has written since there were ``start`` of them, all or all but the last.
+
+    Call it when no result that reads them is needed any more.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    end = len(_staged) - keep_last
+    for name in _staged[start:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _staged[start:end]
 
 
 def bounded_batches(spark: SparkSession) -> None:
