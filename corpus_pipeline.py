@@ -7,7 +7,8 @@
 4. mix: repeats or drops documents so that the sources meet their target weights; a repeated document is a repeated row.
 5. shard: one row per row of the mix with its shard and slot, equal texts together.
 
-Each stage's result is written as Parquet and read again, so a lost executor never costs more than the stage at work.
+Each stage's result is written as Parquet and read again, so a lost executor never costs more than the stage at work.  What a stage itself has
+staged goes when its result is written.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mixing, near_copies, quality, sharding
-from tessera.llm._common import id_crc32, staged, table
+from tessera.llm._common import drop_staged, id_crc32, staged, staged_count, table
 
 SHARDS = 24
 
@@ -56,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = staged_count()
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_staged(spark, before, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)
