@@ -44,10 +44,10 @@ PARITY = 256
 SAMPLE_ROWS = 5_000
 SAMPLE_SHINGLES = 200_000
 #: Texts of a chunk that all others of it meet first.
-HUBS = 3
+HUBS = 2
 #: A block isn't cut below this, and one of fewer texts than this is compared at once.
 CHUNK_ROWS = 256
-SMALL = 64
+SMALL = 4
 #: Keys of texts that a task remembers to skip their copies.
 SEEN = 200_000
 
