@@ -18,6 +18,10 @@ from ..operators.stats import COUNT_SECONDS, CountMemo, table_counts, within
 from ..operators.summary import summary_stream
 
 
+# What a client is told of a request that can't be read, and of a method that isn't taken.
+INVALID, INVALID_METHOD = "Invalid request", "Invalid request method"
+
+
 class BadRequest(ValueError):
     status = 400
 
@@ -30,18 +34,18 @@ def _object(body: bytes | str) -> dict:
     try:
         found = json.loads(body)
     except ValueError as e:
-        raise BadRequest("Invalid request") from e
+        raise BadRequest(INVALID) from e
     if found is None:
         return {}
     if not isinstance(found, dict):
-        raise BadRequest("Invalid request")
+        raise BadRequest(INVALID)
     return {str(k).lower(): v for k, v in found.items()}
 
 
 def _text(values: dict, key: str) -> str:
     value = values.get(key)
     if value is not None and not isinstance(value, str):
-        raise BadRequest("Invalid request")
+        raise BadRequest(INVALID)
     return value or ""
 
 
@@ -50,7 +54,7 @@ def _count(values: dict, key: str) -> int:
     if value is None:
         return 0
     if isinstance(value, bool) or not isinstance(value, int) or value < 0:
-        raise BadRequest("Invalid request")
+        raise BadRequest(INVALID)
     return value
 
 
@@ -98,7 +102,7 @@ def decoded_body(body: bytes, content_encoding: str = "") -> bytes:
     try:
         return zstandard.ZstdDecompressor().decompressobj().decompress(body)
     except zstandard.ZstdError as e:
-        raise BadRequest("Invalid request") from e
+        raise BadRequest(INVALID) from e
 
 
 def encoded_answer(answer: bytes, accept_encoding: str = "") -> tuple[bytes, str]:
@@ -148,7 +152,7 @@ class SearchService:
         """(status, answer): an object for JSON, an iterator of characters for a summary."""
         try:
             if method not in ("GET", "POST"):
-                raise MethodNotAllowed("Invalid request method")
+                raise MethodNotAllowed(INVALID_METHOD)
             if path == "/api/search":
                 rows = self.search(SearchRequest.parse(body)).collect()
                 return 200, {"documents": [r.asDict() for r in sorted(rows, key=lambda r: (-r["document_similarity"], r["document_id"]))]}

@@ -7,18 +7,24 @@ import os
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 
+# The sample's address of a model server, models and context sizes.
+MODEL_URL = "http://localhost:11434"
+EMBED_MODEL, TEXT_MODEL = "nomic-embed-text", "llama3.2"
+EMBED_CONTEXT, TEXT_CONTEXT = 8192, 128_000
+
+
 @dataclass
 class Model:
-    url: list[str] = field(default_factory=lambda: ["http://localhost:11434"])
+    url: list[str] = field(default_factory=lambda: [MODEL_URL])
     model: str = ""
-    num_ctx: int = 8192
+    num_ctx: int = EMBED_CONTEXT
 
 
 @dataclass
 class Models:
-    embed: Model = field(default_factory=lambda: Model(model="nomic-embed-text"))
-    generate: Model = field(default_factory=lambda: Model(model="llama3.2", num_ctx=128_000))
-    chat: Model = field(default_factory=lambda: Model(model="llama3.2", num_ctx=128_000))
+    embed: Model = field(default_factory=lambda: Model(model=EMBED_MODEL))
+    generate: Model = field(default_factory=lambda: Model(model=TEXT_MODEL, num_ctx=TEXT_CONTEXT))
+    chat: Model = field(default_factory=lambda: Model(model=TEXT_MODEL, num_ctx=TEXT_CONTEXT))
 
 
 @dataclass
