@@ -170,24 +170,22 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
     return staged(_bodies(docs, text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
 
 
-def _added_rows(rows: DataFrame, size: int, *keys: str) -> DataFrame:
-    """Sum packed rows of counts by key, one at a time."""
+def _added_rows(rows: DataFrame, size: int) -> DataFrame:
+    """Sum the packed rows of counts of each symbol, one at a time; every task sends at most one of each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[-1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["symbol", "salt", "counts"])
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["symbol", "counts"])
         for batch in batches:
-            for symbol, salt, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                key = (symbol, salt) if "salt" in keys else (symbol, 0)
-                if key != now:
+            for symbol, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if symbol != now:
                     if now is not None:
                         yield pack()
-                    now, total = key, np.zeros(size, np.int64)
+                    now, total = symbol, np.zeros(size, np.int64)
                 total += np.frombuffer(counts, np.int64)
         if now is not None:
             yield pack()
 
-    dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "symbol int, salt int, counts binary")
+    return rows.repartition(partitions(rows.sparkSession), "symbol").sortWithinPartitions("symbol").mapInArrow(run, "symbol int, counts binary")
 
 
 def vocabulary(train: DataFrame, text: str = "text", head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
@@ -266,12 +264,10 @@ def _transitions(rows: DataFrame, lut: np.ndarray, size: int) -> np.ndarray:
             total += np.bincount(flat[:-1] * size + flat[1:], minlength=size * size)
         table = total.reshape(size, size)
         used = np.flatnonzero(table.any(1))
-        salt = TaskContext.get().partitionId() % 16
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([salt] * len(used), pa.int32()), pa.array([table[i].tobytes() for i in used], pa.binary())], ["symbol", "salt", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([table[i].tobytes() for i in used], pa.binary())], ["symbol", "counts"])
 
-    found = rows.select("codes").mapInArrow(run, "symbol int, salt int, counts binary")
     out = np.zeros((size, size))
-    for r in _added_rows(_added_rows(found, size, "symbol", "salt"), size, "symbol").toLocalIterator():
+    for r in _added_rows(rows.select("codes").mapInArrow(run, "symbol int, counts binary"), size).collect():
         out[r["symbol"]] = np.frombuffer(r["counts"], np.int64)
     return out
 
