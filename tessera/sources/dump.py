@@ -30,9 +30,12 @@ def _kept(pages: DataFrame) -> DataFrame:
         F.btrim("ns").cast("long").alias("ns"), F.col("redirect._title").alias("redirect"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(title, text, page_id, ns, redirect, ingest_seq) of a dump; ``ingest_seq`` follows the order of the file."""
-    raw = spark.read.format("xml").options(**_OPTIONS).schema(_SCHEMA).load(path)
+def read_pages(spark: SparkSession, path: str, skip_corrupt_files: bool = False) -> DataFrame:
+    """(title, text, page_id, ns, redirect, ingest_seq) of a dump; ``ingest_seq`` follows the order of the file.
+
+    A file that ends inside a compressed block fails the read, or with ``skip_corrupt_files`` gives the pages before that place.
+    """
+    raw = spark.read.format("xml").options(**_OPTIONS).option("ignoreCorruptFiles", str(skip_corrupt_files).lower()).schema(_SCHEMA).load(path)
     return _kept(raw).withColumn("ingest_seq", F.monotonically_increasing_id())
 
 

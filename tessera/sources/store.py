@@ -75,5 +75,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def append_jdbc(rows: DataFrame, url: str, table: str, **options) -> None:
+    """Append to a relational table, over the connection options given; Spark writes a partition in a transaction."""
+    rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+
+
 def write_json(rows: DataFrame, path: str, compression: str = "zstd") -> None:
     rows.write.mode("append").option("compression", compression).json(path)
