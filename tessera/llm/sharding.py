@@ -77,8 +77,8 @@ def assign_shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text:
     groups = staged(groups.withColumn("class", F.when(~alone, size_class.cast("long"))).withColumn("range", F.pmod(F.xxhash64("group"), F.lit(max(1, math.isqrt(rows))))), "shard-groups")
 
     # At most 2 * fineness * n_shards groups and some thousands of classes come to the driver.
-    singles = [(r["group"], float(r["bytes"]), 1) for r in groups.where("class IS NULL").toLocalIterator()]
-    classes = [(str(r["class"]), r["mean"], r["n"]) for r in groups.where("class IS NOT NULL").groupBy("class").agg(F.avg("bytes").alias("mean"), F.count(F.lit(1)).alias("n")).toLocalIterator()]
+    singles = [(r["group"], float(r["bytes"]), 1) for r in groups.where("class IS NULL").collect()]
+    classes = [(str(r["class"]), r["mean"], r["n"]) for r in groups.where("class IS NOT NULL").groupBy("class").agg(F.avg("bytes").alias("mean"), F.count(F.lit(1)).alias("n")).collect()]
     placed = lpt_many(singles + classes, n_shards)
     own = spark.createDataFrame([(k, placed[k].index(1)) for k, _, _ in singles], "`group` string, own int")
     ends = spark.createDataFrame([(int(k), [sum(placed[k][: s + 1]) for s in range(n_shards)]) for k, _, _ in classes], "class long, ends array<long>")
