@@ -83,8 +83,23 @@ class SummaryRequest:
 
 
 def parsed_requests(body: Column) -> Column:
-    """Many search requests at once: a JSON column as struct<text, count, offset>, null where it isn't JSON."""
-    return F.from_json(body, "text string, count long, offset long")
+    """Many search requests at once: a JSON column as struct<text, count, offset> by the rules of `SearchRequest.parse`, null where that refuses one."""
+    values = F.try_variant_get(F.try_parse_json(body), "$", "map<string, variant>")
+
+    def last(key: str) -> Column:
+        return F.try_element_at(F.filter(F.map_entries(values), lambda e: F.lower(e["key"]) == key), F.lit(-1))["value"]
+
+    def missing(value: Column) -> Column:
+        return value.isNull() | F.is_variant_null(value)
+
+    text, numbers = last("text"), {k: last(k) for k in ("count", "offset")}
+    fine = missing(text) | (F.schema_of_variant(text) == "STRING")
+    for value in numbers.values():
+        fine &= missing(value) | ((F.schema_of_variant(value) == "BIGINT") & (F.try_variant_get(value, "$", "long") >= 0))
+    count, offset = (F.coalesce(F.try_variant_get(v, "$", "long"), F.lit(0)).alias(k) for k, v in numbers.items())
+    whole = F.struct(F.coalesce(F.try_variant_get(text, "$", "string"), F.lit("")).alias("text"), count, offset)
+    # JSON null is an empty request.
+    return F.when(values.isNotNull() & fine, whole).when(F.btrim(body) == "null", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("offset")))
 
 
 def answer_json(results: DataFrame) -> DataFrame:

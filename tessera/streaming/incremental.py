@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.embed import Embedder
 from ..operators.importer import new_documents
+from ..operators.upload import import_pages
 from ..sources.dump import stream_pages
 from ..sources.store import append_documents, read_documents
 
 
-def import_batch(pages: DataFrame, store: str, owner: str, category: str) -> None:
-    """Add a batch of pages; run again on the same pages, it adds none."""
-    spark = pages.sparkSession
-    stored = read_documents(spark, store).where((F.col("owner") == owner) & (F.col("category") == category))
-    append_documents(new_documents(pages.withColumn("ingest_seq", F.monotonically_increasing_id()), stored, owner, category), store)
+def import_batch(pages: DataFrame, store: str, owner: str, category: str, embeddings: str | None = None, embedder: Embedder | None = None) -> None:
+    """Add a batch of pages, with an embedder their vectors too; run again on the same pages, it adds none."""
+    pages = pages.withColumn("ingest_seq", F.monotonically_increasing_id())
+    if embedder is not None and embeddings is not None:
+        import_pages(pages, store, embeddings, embedder, owner=owner, category=category)
+        return
+    stored = read_documents(pages.sparkSession, store).where((F.col("owner") == owner) & (F.col("category") == category))
+    append_documents(new_documents(pages, stored, owner, category), store)
 
 
-def start_import(spark: SparkSession, folder: str, store: str, checkpoint: str, owner: str = "wikipedia", category: str = "wikipedia", once: bool = True) -> StreamingQuery:
+def start_import(spark: SparkSession, folder: str, store: str, checkpoint: str, owner: str = "wikipedia", category: str = "wikipedia", once: bool = True, embeddings: str | None = None, embedder: Embedder | None = None) -> StreamingQuery:
     """A streaming query over a folder of dumps; ``once`` ends it when all that is there is imported."""
     writer = stream_pages(spark, folder).writeStream.option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(lambda pages, _: import_batch(pages, store, owner, category))
+    writer = writer.foreachBatch(lambda pages, _: import_batch(pages, store, owner, category, embeddings, embedder))
     return (writer.trigger(availableNow=True) if once else writer).start()

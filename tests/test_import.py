@@ -4,6 +4,7 @@ import bz2
 
 import pytest
 
+from tessera.operators.embed import HashEmbedder
 from tessera.operators.importer import first_by_name, new_documents
 from tessera.sources.dump import read_pages
 from tessera.sources.store import append_documents, read_documents
@@ -61,8 +62,11 @@ def test_stream_adds_what_is_new(spark, tmp_path):
         start_import(spark, str(folder), store, str(tmp_path / "checkpoint")).awaitTermination(120)
         assert {r["name"]: r["document"] for r in read_documents(spark, store).collect()} == EXPECTED
     (folder / "b.xml").write_text(DUMP.replace("Twice", "Other"))
-    start_import(spark, str(folder), store, str(tmp_path / "checkpoint")).awaitTermination(120)
-    assert {r["name"] for r in read_documents(spark, store).collect()} == {*EXPECTED, "Other"}
+    vectors = str(tmp_path / "vectors")
+    start_import(spark, str(folder), store, str(tmp_path / "checkpoint"), embeddings=vectors, embedder=HashEmbedder(8)).awaitTermination(120)
+    stored = read_documents(spark, store)
+    assert {r["name"] for r in stored.collect()} == {*EXPECTED, "Other"}
+    assert stored.join(spark.read.parquet(vectors), "document_id").count() == len(EXPECTED) + 1
 
 
 def test_repeated_sequence_numbers(spark):

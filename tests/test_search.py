@@ -17,7 +17,7 @@ from tessera.operators.lsh import lsh_search
 from tessera.operators.progress import observed
 from tessera.operators.stats import CountMemo, within
 from tessera.operators.upload import import_pages
-from tessera.plans.service import BadRequest, Client, SearchRequest, SearchService
+from tessera.plans.service import BadRequest, Client, SearchRequest, SearchService, parsed_requests
 from tessera.sources import store
 from tessera.sources.config import Settings, load_settings, parse_settings
 
@@ -297,3 +297,15 @@ def test_an_import_to_the_end(spark, service, tmp_path):
     stored = store.read_documents(spark, documents).join(spark.read.parquet(vectors), "document_id").collect()
     assert sorted(r["name"] for r in stored) == ["A", "B", "C"]
     assert all(np.allclose(r["embedding"], model([r["document"]])[0]) for r in stored)
+
+
+def test_many_requests_are_parsed_like_one(spark):
+    bodies = ["", "x", "{}", "null", "[]", "3", '{"count": -1}', '{"count": "5"}', '{"text": 3}', '{"offset": 1.5}', '{"TEXT": "a", "Count": 7, "more": [1]}', '{"text": null, "offset": 9}', '{"text": "é \\" ok", "count": 0, "offset": 12345678901}', '{"count": true}']
+    got = {r["b"]: r["r"] for r in spark.createDataFrame([(b,) for b in bodies], "b string").select("b", parsed_requests(F.col("b")).alias("r")).collect()}
+    for body in bodies:
+        try:
+            expected = SearchRequest.parse(body)
+        except BadRequest:
+            assert got[body] is None, body
+        else:
+            assert (got[body]["text"], got[body]["count"], got[body]["offset"]) == (expected.text, expected.count, expected.offset), body
