@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -49,6 +50,15 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps hold: plans, shuffle files and broadcasts go once neither Python nor the JVM refers to them.
+
+    Spark would only see that when the driver's memory runs short; an operator of many steps calls this between them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def staged_count() -> int:
     """How many tables `staged` has written in this process and not dropped."""
     return len(_staged)

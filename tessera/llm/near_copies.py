@@ -32,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, maybe_in, partitions, staged, text_key
+from ._common import bounded_batches, maybe_in, partitions, release, staged, text_key
 from .components import keep_one, roots
 from .simhash import close_pairs
 
 SHINGLE = 5
 BITS = 128
 RADIUS = 44
-PARITY = 256
+PARITY = 1024
 #: Texts whose shingles are counted for the order, about, and the most of these shingles that are kept.
 SAMPLE_ROWS = 5_000
 SAMPLE_SHINGLES = 200_000
@@ -271,13 +271,13 @@ def _meetings(slim: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _sets(slim: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, shingles) of the texts in ``keys``."""
+    """(key, shingles) of the texts in ``keys``, and of some others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, texts in _fresh(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["key", "shingles"])
 
     wanted = maybe_in(slim, F.col("key"), keys).where("__maybe").select("key", "body")
-    return wanted.mapInArrow(run, "key long, shingles binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return wanted.mapInArrow(run, "key long, shingles binary").dropDuplicates(["key"])
 
 
 class _Rows:
@@ -407,11 +407,14 @@ def near_copy_roots(docs: DataFrame, text: str = "text", hubs: int = HUBS, chunk
     slim = docs.select(text_key(text).alias("key"), F.col(text).cast("string").alias("body"))
     rows = docs.count()
     met, about = _meetings(slim, rows)
+    release(docs.sparkSession)
     chunk = F.lit(chunk_rows or max(CHUNK_ROWS, isqrt(rows)))
     cut = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > chunk).select("shingle", F.ceil(F.col("m") / chunk).alias("chunks"))
     units = met.join(about, "key").join(cut, "shingle", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("key"), F.col("chunks")), F.lit(0)).cast("long"))
     units = staged(units.select("shingle", "chunk", "chunks", F.col("chunks").isNotNull().cast("long").alias("kind"), "key", "about"), "copies-units")
+    release(docs.sparkSession)
     links = _alike(_candidates(units.withColumn("root", F.col("key")), hubs), slim)
+    release(docs.sparkSession)
     known = roots(links).select(F.col("a").alias("key"), F.col("b").alias("root"))
     units = units.join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
     in_cut = units.where("chunks IS NOT NULL")
@@ -419,7 +422,9 @@ def near_copy_roots(docs: DataFrame, text: str = "text", hubs: int = HUBS, chunk
     away = in_cut.join(largest, "shingle").where("root != largest").withColumn("own", F.col("chunk")).withColumn("kind", F.lit(2).cast("long"))
     away = away.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("chunk != own")
     more = _alike(_candidates(units.unionByName(away.select(units.columns)), None), slim)
-    return roots(links.unionByName(more))
+    found = roots(links.unionByName(more))
+    release(docs.sparkSession)
+    return found
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -80,7 +80,7 @@ def test_shingle_sets_and_sketches():
         bits = np.unpackbits(np.frombuffer(near_copies.sketch(own), np.uint8))
         for half, hashes in ((bits[:64], own), (bits[64:128], near_copies._mixed(own, 0xFF51AFD7ED558CCD))):
             assert half.tolist() == [int(2 * sum(int(h) >> (8 * (b // 8) + 7 - b % 8) & 1 for h in hashes) > len(own)) for b in range(64)]
-        assert bits[near_copies.BITS :].tolist() == [int((own & np.uint64(255) == b).sum() % 2) for b in range(near_copies.PARITY)]
+        assert bits[near_copies.BITS :].tolist() == [int((own & np.uint64(near_copies.PARITY - 1) == b).sum() % 2) for b in range(near_copies.PARITY)]
 
 
 def test_the_radius_holds_pairs_of_the_similarity():
