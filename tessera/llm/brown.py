@@ -43,11 +43,11 @@ HEAD = 200_000
 LEAST = 2
 #: Rounds of the core at most; it has always been still long before.
 ROUNDS = 200
-PASSES = 8
+PASSES = 4
 STILL = 0.01
 SMOOTH = 5.0
 #: Codes that a task counts at a time.
-HELD_CODES = 2_000_000
+HELD_CODES = 1_000_000
 #: Different words that a task holds before it hands on their counts.
 HELD_WORDS = 300_000
 #: 26 letters, other letters, digits, anything else; without and with a mark after it.
@@ -252,6 +252,7 @@ def _flat(batches: Iterator[pa.RecordBatch], lut: np.ndarray, end: int) -> Itera
 
 
 _END = np.iinfo(np.int32).min
+_CONTEXT = np.dtype([("context", "<u2"), ("n", "<u4")])
 
 
 def _transitions(rows: DataFrame, lut: np.ndarray, size: int) -> np.ndarray:
@@ -286,24 +287,31 @@ def _exchange_pass(rows: DataFrame, lut: np.ndarray, n: np.ndarray, classes: int
     shared = spark.sparkContext.broadcast((lut, movable, affinity(n, classes).astype(np.float32)))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(place, packed contexts and counts): a row for each word of some documents."""
         lut, movable, _ = shared.value
         for codes, flat in _flat(batches, lut, size - 1):
             at = np.flatnonzero(codes >= 0)
             at = at[movable[codes[at]]]
             key = codes[at].astype(np.int64) * (2 * size)
             key, n = np.unique(np.concatenate([key + flat[at + 1], key + size + flat[at - 1]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((key // (2 * size)).astype(np.int32)), pa.array((key % (2 * size)).astype(np.int32)), pa.array(n, pa.int64())], ["place", "context", "n"])
+            packed, place = np.empty(len(key), _CONTEXT), key // (2 * size)
+            packed["context"], packed["n"] = key % (2 * size), n
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            offsets = (np.append(starts, len(key)) * _CONTEXT.itemsize).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place[starts].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])], ["place", "contexts"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sums of log likelihoods; a word's rows may go on in the next batch.
         weight, now, total = shared.value[2], -1, np.zeros(classes)
         done: tuple[list[int], list[int]] = ([], [])
         for batch in batches:
-            place, context, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            raw = batch.column(1).to_pylist()
+            packed = np.frombuffer(b"".join(raw), _CONTEXT)
+            place = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.fromiter(map(len, raw), np.int64, len(raw)) // _CONTEXT.itemsize)
             for a in range(0, len(place), 50_000):
                 part = slice(a, a + 50_000)
                 starts = np.flatnonzero(np.diff(place[part], prepend=-1))
-                sums = np.add.reduceat(weight[context[part]] * n[part, None], starts, axis=0, dtype=np.float64)
+                sums = np.add.reduceat(weight[packed["context"][part]] * packed["n"][part, None], starts, axis=0, dtype=np.float64)
                 own = place[part][starts]
                 if own[0] == now:
                     sums[0] += total
@@ -318,7 +326,7 @@ def _exchange_pass(rows: DataFrame, lut: np.ndarray, n: np.ndarray, classes: int
             done[1].append(int(total.argmax()))
         yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int32()), pa.array(done[1], pa.int32())], ["place", "class"])
 
-    dealt = rows.select("codes").mapInArrow(contexts, "place int, context int, n long").repartition(partitions(spark), "place").sortWithinPartitions("place")
+    dealt = rows.select("codes").mapInArrow(contexts, "place int, contexts binary").repartition(partitions(spark), "place").sortWithinPartitions("place")
     found = dealt.mapInArrow(best, "place int, class int").toArrow()
     out = lut.copy()
     out[found["place"].to_numpy()] = found["class"].to_numpy()
