@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_AZ, bounded_batches, partitions, staged
+from ._common import LOWER_AZ, bounded_batches, partitions, release, staged
 
 CORE = 800
 CLASSES = 64
@@ -350,6 +350,7 @@ def cluster(rows: DataFrame, words: Vocabulary, counts: DataFrame, core: int = C
         new = _exchange_pass(rows, lut, n, classes, movable)
         passes, moved, lut = passes + 1, int((new != lut).sum()), new
         n = _transitions(rows, lut, len(n))
+        release(rows.sparkSession)  # the pass's shuffle files
     total, tokens_in = len(n), n.sum(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
