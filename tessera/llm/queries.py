@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, gif, language, licenses, mixing, quality, sharding, simhash, token_files
+from . import brown, decontaminate, fill_middle, gif, language, licenses, mixing, pieces, prefix_trie, quality, sharding, simhash, token_files
 from ._common import id_crc32, table
 
 SHARDS = 24
@@ -72,6 +72,30 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with the bytes they stand for, and the text they decode to."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.encode(table(spark, sf_dir, "documents"), model).withColumn("decoded", pieces.decoded(F.col("ids"), model))
+    hexed = lambda text: F.sha2(text, 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hexed(F.array_join("ids", ",")).alias("ids_sha256"), hexed(F.col("decoded")).alias("decoded_sha256"),
+                        hexed(F.concat_ws(" ", F.array_join("begins", ","), F.array_join("ends", ","))).alias("spans_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    nodes = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select(*[F.col(c) if c == "ends_sha256" else F.col(c).cast("long").alias(c) for c in nodes.columns])
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix and put in another order, and put back."""
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text, 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lpt": op1_shard_lpt,
     "op2_language_id": op2_language_id,
@@ -83,5 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_brown_lm": op8_brown_lm,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_mix_sources": op10_mix_sources,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mix_sources": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op10_mix_sources": mixing.ORACLE, "op12_conversation_trie": prefix_trie.ORACLE}
