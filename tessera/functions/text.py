@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,13 +56,21 @@ def _before_last(text: Column, mark: str) -> tuple[Column, Column]:
     return F.left(text, F.greatest(F.length(text) - F.length(after) - F.lit(len(mark)), F.lit(0))), after
 
 
+def _bound(text: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of a text that it uses more than once: the one-element array binds it, so what it is made of stands in the plan once."""
+    return F.transform(F.array(text), step)[0]
+
+
 def strip_wiki_tables(text: Column) -> Column:
     """Delete what `WIKI_TABLE` matches.
 
     Only what ends with the last closing mark is searched: there every opening one has a match, so the time is linear however many are never closed.
     """
-    head, tail = _before_last(text, "|}")
-    return F.when(text.contains("|}"), F.concat(F.regexp_replace(F.concat(head, F.lit("|}")), WIKI_TABLE, ""), tail)).otherwise(text)
+    def cut(t: Column) -> Column:
+        head, tail = _before_last(t, "|}")
+        return F.when(t.contains("|}"), F.concat(F.regexp_replace(F.concat(head, F.lit("|}")), WIKI_TABLE, ""), tail)).otherwise(t)
+
+    return _bound(text, cut)
 
 
 def strip_html_tables(text: Column) -> Column:
@@ -70,11 +79,14 @@ def strip_html_tables(text: Column) -> Column:
     A match needs a ``>`` before the last closing tag.  Opening tags after the last such ``>`` can't begin one: they are masked by a
     character that no XML has, and every opening tag before it has a match.
     """
-    body, tail = _before_last(text, "</table>")
-    front, rest = _before_last(body, ">")
-    masked = F.concat(front, F.lit(">"), F.replace(rest, F.lit("<table"), F.lit("<\0table")), F.lit("</table>"))
-    found = F.replace(F.regexp_replace(masked, HTML_TABLE_FIRST, ""), F.lit("<\0table"), F.lit("<table"))
-    return F.when(text.contains("</table>") & body.contains(">"), F.concat(found, tail)).otherwise(text)
+    def cut(t: Column) -> Column:
+        body, tail = _before_last(t, "</table>")
+        front, rest = _before_last(body, ">")
+        masked = F.concat(front, F.lit(">"), F.replace(rest, F.lit("<table"), F.lit("<\0table")), F.lit("</table>"))
+        found = F.replace(F.regexp_replace(masked, HTML_TABLE_FIRST, ""), F.lit("<\0table"), F.lit("<table"))
+        return F.when(t.contains("</table>") & body.contains(">"), F.concat(found, tail)).otherwise(t)
+
+    return _bound(text, cut)
 
 
 def strip_entities(text: Column) -> Column:

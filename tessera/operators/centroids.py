@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
-from ..sources.store import read_embeddings, write_version
+from ..sources.commits import Table
+from ..sources.store import write_version
+from .assign import assign
 from .search import literal_vector, search, search_batch
 
 #: Share of all centroids that are probed by default.
@@ -40,18 +42,6 @@ def kmeans(embeddings: DataFrame, k: int, seed: int = 1, iterations: int = 20, c
     return embeddings.sparkSession.createDataFrame(rows, "centroid_id long, centroid array<double>")
 
 
-def assign(embeddings: DataFrame, centroids: DataFrame, key: str = "vec_id", column: str = "embedding", most: int = 100_000) -> DataFrame:
-    """Embeddings with the ``centroid_id`` of the most similar centroid, ties to the lowest id.
-
-    Centroids are counted first: a broadcast of one array of them all is only made up to ``most``.
-    """
-    if centroids.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centroids; cluster the centroids first")
-    every = centroids.agg(F.array_sort(F.collect_list(F.struct("centroid_id", "centroid"))).alias("__every"))
-    near = F.transform("__every", lambda c: F.struct(cosine(F.col(column), c["centroid"]).alias("s"), (-c["centroid_id"]).alias("i")))
-    return embeddings.crossJoin(F.broadcast(every)).withColumn("centroid_id", -F.array_max(near)["i"]).drop("__every")
-
-
 def default_probes(n: int) -> int:
     """How many of n centroids are probed unless a caller says otherwise.
 
@@ -89,8 +79,11 @@ def probed_batch(assigned: DataFrame, centroids: DataFrame, queries: DataFrame,
 def refresh(spark: SparkSession, path: str, k: int, seed: int = 1, key: str = "document_id") -> int:
     """Retrain the centroids of a store, assign its embeddings anew and swap both in; returns the new version.
 
-    Readers go on with the version before until the new one is complete, and an interrupted refresh leaves no trace for them.
+    Readers go on with the version before until the new one is committed, an interrupted refresh leaves no trace for them, and embeddings
+    that an import adds meanwhile stay.
     """
-    rows = read_embeddings(spark, path)
+    table = Table(spark, path)
+    base = table.snapshot()
+    rows = table.read(base)
     centroids = kmeans(rows, k, seed)
-    return write_version(assign(rows.drop("centroid_id"), centroids, key), centroids, path)
+    return write_version(assign(rows.drop("centroid_id"), centroids, key), centroids, path, base, key)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,26 @@ class HashEmbedder:
         return out
 
 
+class InTurn:
+    """Several models of the same kind, such as servers at several addresses, each called in turn; where one fails the next one is asked."""
+
+    def __init__(self, embedders: Sequence[Embedder]):
+        if not embedders:
+            raise ValueError("no model")
+        self.embedders, self._calls = list(embedders), 0
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        task, error = TaskContext.get(), None
+        first = (task.partitionId() if task else 0) + self._calls
+        self._calls += 1
+        for i in range(len(self.embedders)):
+            try:
+                return self.embedders[(first + i) % len(self.embedders)](texts)
+            except Exception as e:  # a model's client can raise anything
+                error = e
+        raise error
+
+
 def embed(documents: DataFrame, embedder: Embedder, document_id: str = "document_id", text: str = "document", batch: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
     """(document_id, embedding) and the columns in ``keep``, in Arrow batches; ``embedder`` is shipped to the tasks and gets at most ``batch`` texts at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,8 +72,8 @@ def embed(documents: DataFrame, embedder: Embedder, document_id: str = "document
     return slim.mapInArrow(run, f"document_id long, embedding array<float>{kept}")
 
 
-def embed_or_report(documents: DataFrame, embedder: Embedder, document_id: str = "document_id", text: str = "document", batch: int = 32, attempts: int = 3, parallel: int | None = None, seconds: float = UPLOAD_SECONDS) -> DataFrame:
-    """(document_id, embedding, error): like `embed`, but what a model keeps failing on is reported, not lost.
+def embed_or_report(documents: DataFrame, embedder: Embedder, document_id: str = "document_id", text: str = "document", batch: int = 32, attempts: int = 3, parallel: int | None = None, seconds: float = UPLOAD_SECONDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, embedding, error) and the columns in ``keep``: like `embed`, but what a model keeps failing on is reported, not lost.
 
     A batch that fails is tried again, then its texts one by one; ``error`` is null where there is an embedding.  A call that takes more than
     ``seconds`` counts as failed and is left behind.  ``parallel`` bounds how many tasks call the model at once.
@@ -93,7 +114,8 @@ def embed_or_report(documents: DataFrame, embedder: Embedder, document_id: str =
                 vectors, error = tried(texts)
                 single = [tried([t]) for t in texts] if error else [([v], None) for v in vectors]
                 found = [None if e else [float(x) for x in v[0]] for v, e in single]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float32())), pa.array([e for _, e in single], pa.string())], ["document_id", "embedding", "error"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float32())), pa.array([e for _, e in single], pa.string()), *part.columns[2:]], ["document_id", "embedding", "error", *keep])
 
-    slim = documents.select(F.col(document_id).cast("long").alias("document_id"), F.col(text).alias("document"))
-    return (slim.repartition(parallel) if parallel else slim).mapInArrow(run, "document_id long, embedding array<float>, error string")
+    slim = documents.select(F.col(document_id).cast("long").alias("document_id"), F.col(text).alias("document"), *keep)
+    kept = "".join(f", `{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
+    return (slim.repartition(parallel) if parallel else slim).mapInArrow(run, f"document_id long, embedding array<float>, error string{kept}")

@@ -132,17 +132,18 @@ def encoded_answer(answer: bytes, accept_encoding: str = "") -> tuple[bytes, str
 class SearchService:
     """Search, counts and summaries over three tables of one tenant."""
 
-    def __init__(self, documents: DataFrame, embeddings: DataFrame, centroids: DataFrame, embedder: Embedder, chat: Callable[[str], Iterable[str]] | None = None, owner: str = "wikipedia", category: str = "wikipedia", n_probe: int | None = None):
+    def __init__(self, documents: DataFrame, embeddings: DataFrame, centroids: DataFrame, embedder: Embedder, chat: Callable[[str], Iterable[str]] | None = None, owner: str = "wikipedia", category: str = "wikipedia", n_probe: int | None = None, counts: Callable[[], dict[str, int]] | None = None):
         """Embeddings that have the tenant's columns are filtered by them, which prunes partitions; others are joined with the tenant's documents.
 
         With ``n_probe`` a search reads the embeddings of so many centroids (they then have a ``centroid_id``); without it all are compared.
+        ``counts`` counts the tables in another way than by scanning them, such as `stored_counts` of two stores.
         """
         tenant = (F.col("owner") == owner) & (F.col("category") == category)
         self.documents, self.embedder, self.chat, self.centroids, self.n_probe = documents.where(tenant), embedder, chat, centroids, n_probe
         own = {"owner", "category"} <= set(embeddings.columns)
         self.embeddings = embeddings.where(tenant) if own else embeddings.join(self.documents.select("document_id"), "document_id", "left_semi")
         spark = documents.sparkSession
-        self.counts = CountMemo(lambda: within(spark, COUNT_SECONDS, lambda: table_counts(embeddings, documents, centroids).first().asDict()))
+        self.counts = CountMemo(lambda: within(spark, COUNT_SECONDS, counts or (lambda: table_counts(embeddings, documents, centroids).first().asDict())))
 
     def search(self, request: SearchRequest) -> DataFrame:
         vector = self.embedder([request.text])[0]

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.embed import Embedder
 from ..operators.importer import new_documents
 from ..operators.upload import import_pages
+from ..sources.commits import Table
 from ..sources.dump import stream_pages
 from ..sources.store import append_documents, read_documents
 
@@ -19,8 +20,9 @@ def import_batch(pages: DataFrame, store: str, owner: str, category: str, embedd
     if embedder is not None and embeddings is not None:
         import_pages(pages, store, embeddings, embedder, owner=owner, category=category)
         return
-    stored = read_documents(pages.sparkSession, store).where((F.col("owner") == owner) & (F.col("category") == category))
-    append_documents(new_documents(pages, stored, owner, category), store)
+    before = Table(pages.sparkSession, store).snapshot()
+    stored = read_documents(pages.sparkSession, store, before).where((F.col("owner") == owner) & (F.col("category") == category))
+    append_documents(new_documents(pages, stored, owner, category), store, before)
 
 
 def start_import(spark: SparkSession, folder: str, store: str, checkpoint: str, owner: str = "wikipedia", category: str = "wikipedia", once: bool = True, embeddings: str | None = None, embedder: Embedder | None = None) -> StreamingQuery:

@@ -7,7 +7,7 @@ import pytest
 from tessera.operators.embed import HashEmbedder
 from tessera.operators.importer import first_by_name, new_documents
 from tessera.sources.dump import read_pages
-from tessera.sources.store import append_documents, read_documents
+from tessera.sources.store import append_documents, read_documents, read_embeddings
 from tessera.streaming.incremental import start_import
 
 DUMP = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/"><siteinfo><sitename>S</sitename></siteinfo>
@@ -66,7 +66,7 @@ def test_stream_adds_what_is_new(spark, tmp_path):
     start_import(spark, str(folder), store, str(tmp_path / "checkpoint"), embeddings=vectors, embedder=HashEmbedder(8)).awaitTermination(120)
     stored = read_documents(spark, store)
     assert {r["name"] for r in stored.collect()} == {*EXPECTED, "Other"}
-    assert stored.join(spark.read.parquet(vectors), "document_id").count() == len(EXPECTED) + 1
+    assert stored.join(read_embeddings(spark, vectors), "document_id").count() == len(EXPECTED) + 1
 
 
 def test_repeated_sequence_numbers(spark):
