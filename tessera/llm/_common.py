@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Largest bitmap that is broadcast, in rows of 64 bits.
 FILTER_WORDS = 1 << 18
+#: Copies of one row that one task makes.
+LOT = 4096
 
 _own_dir: list[str] = []
 _staged: list[str] = []
@@ -113,5 +115,17 @@ def maybe_in(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
     return marked.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__slot", "__word", "__bits")
 
 
+def copies(rows: DataFrame, most: int, n: str = "n", copy: str = "copy") -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in ``copy``; ``most`` is the largest n.
+
+    Where it is above ``LOT``, rows are first cut into lots, which are dealt out, so no task makes all copies of one row.
+    """
+    last = F.col(n) - 1
+    if most <= LOT:
+        return rows.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    lots = rows.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(LOT).cast("long")))).repartition(partitions(rows.sparkSession))
+    return lots.withColumn(copy, F.explode(F.sequence(F.col("__lot"), F.least(last.cast("long"), F.col("__lot") + LOT - 1)))).drop("__lot")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -17,6 +17,7 @@ table gives no rows; of other columns only the id is kept.  Models are BPE: othe
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -29,7 +30,9 @@ from ._common import bounded_batches
 
 SPACE = "▁"
 #: Words that a worker remembers, and the longest of them in characters.
-CACHE, LONGEST = 400_000, 48
+CACHE, LONGEST = 150_000, 48
+#: Texts of at most so many bytes together are encoded before they are handed on, or a single longer one.
+HELD_BYTES = 1 << 20
 _REPLACEMENT = "�".encode()
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 
@@ -91,6 +94,11 @@ class PieceModel:
         self.kinds = [p.type for p in model.pieces]
         self.pieces = [p.piece for p in model.pieces]
         self._scores = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type in (_NORMAL, _USER, _UNUSED)}
+        # For merging short words: pieces of equal scores share a rank, the best is 0.
+        levels = {x: r for r, x in enumerate(sorted({x for x, _ in self._scores.values()}))}
+        self._ranks = {p: levels[x] for p, (x, _) in self._scores.items()}
+        self._ids = {p: i for p, (_, i) in self._scores.items()}
+        self._sizes = [len(p.encode()) for p in self.pieces]
         self._unused = {p.piece for p in model.pieces if p.type == _UNUSED}
         self._bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
         self.unknown = self.kinds.index(_UNKNOWN)
@@ -103,7 +111,10 @@ class PieceModel:
         unk = model.trainer_spec.unk_surface.encode()
         self._surfaces = [b"" if k == _CONTROL else unk if k == _UNKNOWN else bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for k, p in zip(self.kinds, self.pieces)]
         self._bare = [s if k in (_CONTROL, _UNKNOWN, _BYTE) or not s.startswith(b" ") else s[1:] for s, k in zip(self._surfaces, self.kinds)]
+        self._plain = cuts and self.dummy and not self.suffix and not self.squeeze and self.map is None
+        # What merging gave for a word: ids, and how many bytes of the normalised text each takes, in two generations.
         self._known: dict[str, tuple[bytes, bytes]] = {}
+        self._older: dict[str, tuple[bytes, bytes]] = {}
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the place in ``text`` that it comes from."""
@@ -153,8 +164,27 @@ class PieceModel:
             return (raw := m[0].encode()), len(raw)
         return (self.map and self.map.longest(text, at)) or _character(text, at)
 
+    def _short(self, word: str) -> list[str]:
+        """The pieces and unknown characters of a short word: the leftmost pair of the best rank is merged until none is left."""
+        get, parts = self._ranks.get, list(word)
+        none = len(self._ranks)
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i] += parts[i + 1]
+            del parts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+        return parts
+
     def _merge(self, word: str) -> tuple[list[int], list[int]]:
         """Ids of a normalised word, and how many of its bytes each takes."""
+        if len(word) <= LONGEST and self._users is None and not self._unused:
+            parts = self._short(word)
+            ids = list(map(self._ids.get, parts))
+            return (ids, [self._sizes[i] for i in ids]) if None not in ids else self._found(parts, {})
         frozen: set[int] = set()
         if self._users is None:
             symbols = list(word)
@@ -194,15 +224,19 @@ class PieceModel:
                     heappush(heap, p)
             if before[a] >= 0 and (p := pair(before[a], a)):
                 heappush(heap, p)
+        return self._found([s for s in symbols if s is not None], taken_apart)
+
+    def _found(self, symbols: list[str], taken_apart: dict[str, tuple[str, str]]) -> tuple[list[int], list[int]]:
+        """Ids and sizes of symbols that nothing merges any more."""
         ids, sizes = [], []
-        parts = [s for s in reversed(symbols) if s is not None]
+        parts = symbols[::-1]
         while parts:
             part = parts.pop()
             if part in taken_apart:
                 parts += reversed(taken_apart[part])
-            elif (found := scores.get(part)) is not None:
-                ids.append(found[1])
-                sizes.append(len(part.encode()))
+            elif (found := self._ids.get(part)) is not None:
+                ids.append(found)
+                sizes.append(self._sizes[found])
             elif self.fallback:
                 raw = part.encode()
                 ids += map(self._bytes.__getitem__, raw)
@@ -212,24 +246,33 @@ class PieceModel:
                 sizes.append(len(part.encode()))
         return ids, sizes
 
+    def _learned(self, word: str, spaced: str) -> tuple[bytes, bytes]:
+        """What merging gives for ``spaced``, kept under ``word``."""
+        got = self._older.get(word)
+        if got is None:
+            ids, sizes = self._merge(spaced)
+            got = array("i", ids).tobytes(), array("i", sizes).tobytes()
+        if len(word) <= LONGEST:
+            if len(self._known) >= CACHE:
+                self._older, self._known = self._known, {}
+            self._known[word] = got
+        return got
+
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text, and begin and end of each in its bytes."""
         flat, places = self.normalise(text)
         if not flat:
             return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-        words, known = self._words.findall(flat.decode()), self._known
-        found = list(map(known.get, words))
+        # Words are kept as they stand in the text where each has just one space before it.
+        plain = self._plain and b"  " not in text and SPACE.encode() not in text and not text.startswith(b" ")
+        words = text.decode(errors="replace").split(" ") if plain else self._words.findall(flat.decode())
+        if not plain:
+            words = ["\0" + w for w in words]
+        found = list(map(self._known.get, words))
         for i, got in enumerate(found):
             if got is None:
                 word = words[i]
-                if (got := known.get(word)) is None:
-                    ids, sizes = self._merge(word)
-                    got = np.array(ids, np.int32).tobytes(), np.array(sizes, np.int32).tobytes()
-                    if len(word) <= LONGEST:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        known[word] = got
-                found[i] = got
+                found[i] = self._known.get(word) or self._learned(word, SPACE + word if plain else word[1:])
         ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
         ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), np.int32), dtype=np.int64)
         if not self.fallback:
@@ -285,19 +328,34 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *parts]).astype(np.int32)))
 
 
-def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, begins, ends) of every whole text: its pieces, and the bytes of the original text that each stands for."""
+def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+    """(doc_id, ids, begins, ends) of every whole text: its pieces, and the bytes of the original text that each stands for.
+
+    With ``decode`` there is also ``decoded``, what the ids decode to.
+    """
     bounded_batches(docs.sparkSession)
+    names = ["doc_id", "ids", "begins", "ends", *(["decoded"] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _model(model)
+
+        def encoded(keys: pa.Array, texts: list) -> pa.RecordBatch:
+            done = [pieces.encode(t or b"") for t in texts]
+            text = [pa.array([pieces.decode(d[0]) for d in done], pa.string())] if decode else []
+            return pa.RecordBatch.from_arrays([keys, *(_lists([d[k] for d in done]) for k in range(3)), *text], names)
+
         for batch in batches:
-            done = [pieces.encode(t or b"") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists([d[k] for d in done]) for k in range(3))], ["doc_id", "ids", "begins", "ends"])
+            texts, first, held = batch.column(1).to_pylist(), 0, 0
+            for i, t in enumerate(texts):
+                if held and held + len(t or b"") > HELD_BYTES:
+                    yield encoded(batch.column(0).slice(first, i - first), texts[first:i])
+                    first, held = i, 0
+                held += len(t or b"")
+            yield encoded(batch.column(0).slice(first), texts[first:])
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>")
+    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>" + (", decoded string" if decode else ""))
 
 
 def decoded(ids: Column, model: str) -> Column:

@@ -77,7 +77,7 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = pieces.encode(table(spark, sf_dir, "documents"), model).withColumn("decoded", pieces.decoded(F.col("ids"), model))
+    found = pieces.encode(table(spark, sf_dir, "documents"), model, decode=True)
     hexed = lambda text: F.sha2(text, 256)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hexed(F.array_join("ids", ",")).alias("ids_sha256"), hexed(F.col("decoded")).alias("decoded_sha256"),
                         hexed(F.concat_ws(" ", F.array_join("begins", ","), F.array_join("ends", ","))).alias("spans_sha256"))

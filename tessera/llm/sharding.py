@@ -10,7 +10,7 @@ shard, which a heap gives.  Every group is scheduled, in a number of steps that
 Groups of a class are numbered in the order of their hash, over key ranges and prefix sums, and the numbers cut into as many for each
 shard.  A group larger than a shard's even part can't be split without separating equal texts: it then fills a shard of its own.
 
-Null texts count as empty ones (size 8, CRC 0) and group with them.  Repeated rows each get a slot.  An empty table gives
+Null texts count as empty ones (size 8, CRC 0) and group with them.  Repeated rows are counted before they are dealt, and each gets a slot.  An empty table gives
 no rows; other columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import copies, staged
 
 FINENESS = 256
 SIZE_BITS = 8
@@ -65,13 +65,15 @@ def assign_shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text:
     """(doc_id, size, text_crc32, shard, slot) of every row; slots of a shard count from 0 without gaps."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    slim = staged(docs.select(
+    slim = docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"), F.md5(body).alias("group")), "shard")
-    total, rows = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)).alias("n")).first()
+        F.crc32(body).alias("text_crc32"), F.md5(body).alias("group"))
+    # Rows of one id and text are one row with a number until slots are dealt.
+    slim = staged(slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("copies")), "shard")
+    total, rows, most = slim.agg(F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
     share = fineness * n_shards
     drop = F.greatest(F.lit(0), F.floor(F.log2("bytes")).cast("int") - F.lit(SIZE_BITS - 1))
-    groups = slim.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    groups = slim.groupBy("group").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("n"))
     alone = (F.col("bytes") * F.lit(share) >= F.lit(total)) | (F.col("n") * F.lit(share) >= F.lit(rows))
     size_class = F.floor(F.col("bytes") / F.pow(F.lit(2.0), drop)) * F.pow(F.lit(2.0), drop)
     groups = staged(groups.withColumn("class", F.when(~alone, size_class.cast("long"))).withColumn("range", F.pmod(F.xxhash64("group"), F.lit(max(1, math.isqrt(rows))))), "shard-groups")
@@ -98,9 +100,9 @@ def assign_shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text:
     # A shard's slots are counted in about as many pieces as a piece has rows.
     pieces = max(1, math.isqrt(rows // n_shards))
     out = staged(out.withColumn("piece", F.pmod(F.xxhash64("doc_id", "group"), F.lit(pieces))), "shard-rows")
-    counts = out.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("in_piece"))
+    counts = out.groupBy("shard", "piece").agg(F.sum("copies").alias("in_piece"))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "piece", F.coalesce(F.sum("in_piece").over(before), F.lit(0)).alias("ahead"))
-    place = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("doc_id", "group"))
-    return out.withColumn("nth", place).join(counts, ["shard", "piece"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("ahead") + F.col("nth") - 1).cast("long").alias("slot"))
+    upto = F.sum("copies").over(Window.partitionBy("shard", "piece").orderBy("doc_id", "group").rowsBetween(Window.unboundedPreceding, 0))
+    first = out.withColumn("upto", upto).join(counts, ["shard", "piece"]).withColumn("first", F.col("ahead") + F.col("upto") - F.col("copies"))
+    return copies(first, most, "copies").select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("copy")).cast("long").alias("slot"))

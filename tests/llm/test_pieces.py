@@ -29,6 +29,7 @@ def assert_same(path, texts):
 
 def test_the_model_s_own_texts(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE", 50)
+    monkeypatch.setattr(pieces, "LONGEST", 12)
     odd = ["", " ", "  a ", "▁a", "x" * 3000, " " * 100, "é😀" * 50, "<s></s><unk><0x41>", "\x00"]
     assert_same(PATH, odd + strings(" \n\t\r aaBs'é1!<s>▁ 日本.,;ñ😀\x00e​", 1500, 60))
 
@@ -107,5 +108,7 @@ def test_the_query(spark, tmp_path):
     for i, t, _ in rows:
         ids = library.encode(t or "")
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hexed(",".join(map(str, ids))), hexed(library.decode(ids)))
+    some = pieces.encode(spark.read.parquet(str(tmp_path / "documents.parquet")), PATH)
+    assert {r["doc_id"]: r["t"] for r in some.select("doc_id", pieces.decoded(some["ids"], PATH).alias("t")).collect()} == {i: t or "" for i, t, _ in rows}
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e" / "documents.parquet"))
     assert queries.op11_sentencepiece(spark, str(tmp_path / "e")).collect() == []

@@ -155,10 +155,10 @@ def test_mix_meets_its_targets(spark, seed):
 def test_a_source_s_mix_follows_its_keys(spark):
     """The last epoch of a source is a prefix of its documents by key, cut at a word."""
     rows = [(i, "w " * (i % 13), "hot" if i % 3 else "b") for i in range(600)]
-    source = {i: s for i, _, s in rows}
+    source, text = {i: s for i, _, s in rows}, {i: t for i, t, _ in rows}
     got = mixing.mix(frame(spark, rows)).collect()
     for name in ("hot", "b"):
-        own = sorted((hashlib.md5(f"{r['doc_id']}:mix".encode()).hexdigest(), r["taken"] - int(r["target"]) // r["source_size"] * r["size"], r["size"]) for r in got if source[r["doc_id"]] == name)
+        own = sorted((hashlib.md5(f"{r['doc_id']}:mix:{hashlib.md5(text[r['doc_id']].encode()).hexdigest()}".encode()).hexdigest(), r["taken"] - int(r["target"]) // r["source_size"] * r["size"], r["size"]) for r in got if source[r["doc_id"]] == name)
         left = int(own and next(int(r["target"]) % r["source_size"] for r in got if source[r["doc_id"]] == name))
         for _, part, size in own:
             assert part == min(size, left)
@@ -196,3 +196,56 @@ def test_word_counts(spark):
     texts = ["a b", " a\x0b b\r\n", "a b", None, "", "日本 x", "a\x1cb"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(F.col("t")).alias("n"))
     assert [r["n"] for r in rows.collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "some"])
+def test_mixed_rows_without_ids_meet_their_targets(spark, ids):
+    """Rows whose ids are null or repeated come or go one by one, equal ones too."""
+    rng = random.Random(7)
+    texts = [f"{'w ' * rng.randint(0, 9)}t{i}" for i in range(150)] + ["same text of five words"] * 120 + [None, ""] * 3
+    rows = [(None if ids == "none" else 7 if ids == "one" else i % 3, t, "abc"[i % 3]) for i, t in enumerate(texts)]
+    docs = frame(spark, rows).repartition(5)
+    sizes = [len((t or "").split()) for t in texts]
+    for weights in ((5, 2, 1), (1, 5, 2), (1, 1, 9)):
+        words, target = Counter(), plain_targets_of(rows, sizes, weights)
+        for r in mixing.mixed_rows(docs, weights=weights).collect():
+            words[r["source"]] += len((r["text"] or "").split())
+        for s in "abc":
+            assert abs(words[s] - target[s]) <= max(sizes), (weights, s, words, target)
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r["source_size"], int(r["target"])] += r["taken"]
+    assert all(sum(n for (a, b), n in taken.items() if (a, b) == k) % k[1] == 0 for k in taken)
+
+
+def plain_targets_of(rows, sizes, weights):
+    of = Counter()
+    for (_, _, s), n in zip(rows, sizes):
+        of[s] += n
+    target, left, open_ = {}, 1.5 * sum(of.values()), sorted(of)
+    weight = dict(zip(sorted(of), weights))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if 2 * of[s] <= level * weight[s]]
+        for s in over:
+            target[s] = 2.0 * of[s]
+            left -= target[s]
+        if not over:
+            return target | {s: level * weight[s] for s in open_}
+        open_ = [s for s in open_ if s not in over]
+    return target
+
+
+def test_copies_in_bulk_are_dealt_in_lots(spark, monkeypatch):
+    from tessera.llm import _common
+
+    monkeypatch.setattr(_common, "LOT", 16)
+    rows = [(None, None, "a")] * 300 + [(None, "equal", "a")] * 200 + [(i, f"t {i} x", "b") for i in range(100)]
+    got = sharding.assign_shards(frame(spark, rows), 4).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert len({r["shard"] for r in got if r["size"] == 8}) == 1
+    assert sum(r["taken"] for r in mixing.mix(frame(spark, rows)).collect()) == sum(int(t) for t in {r["source_size"]: r["target"] for r in mixing.mix(frame(spark, rows)).collect()}.values())
