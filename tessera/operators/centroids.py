@@ -73,7 +73,17 @@ def probed_batch(assigned: DataFrame, centroids: DataFrame, queries: DataFrame,
     if len(found) > most:
         raise ValueError(f"more than {most} centroids; cluster the centroids first")
     ids, vectors = [r["centroid_id"] for r in found], np.array([r["centroid"] for r in found], np.float64).reshape(len(found), -1)
-    return search_batch(assigned, queries, k, key, probes=(ids, vectors, default_probes(len(ids)) if n_probe is None else n_probe))
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    n = default_probes(len(ids)) if n_probe is None else n_probe
+
+    def nearest(_: list, unit: np.ndarray) -> np.ndarray:
+        near = unit @ vectors.T
+        chosen = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :n]
+        marks = np.zeros(near.shape, bool)
+        np.put_along_axis(marks, chosen, True, 1)
+        return marks
+
+    return search_batch(assigned, queries, k, key, probes=(ids, nearest))
 
 
 def refresh(spark: SparkSession, path: str, k: int, seed: int = 1, key: str = "document_id") -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from ..sources.scratch import scratch_path
 
 #: Query vectors that one pass over the embeddings holds.
 QUERY_BLOCK = 1024
+#: Embeddings that a round of a search for documents takes at most.
+ROUND_ROWS = 65_536
 #: Ids that are pushed into a scan at most; a larger page is joined alone.
 PUSHED_IDS = 1000
 
@@ -48,8 +50,29 @@ def best_by_document(similarities: DataFrame, document_id: str = "document_id")
 
 
 def search_documents(embeddings: DataFrame, vector: Sequence[float], count: int = 20, offset: int = 0) -> DataFrame:
-    """The nearest documents, each by the nearest of its embeddings; all are compared, and each task keeps one row a document."""
-    return top(best_by_document(scored(embeddings, vector)), count, offset)
+    """The nearest documents, each by the nearest of its embeddings; all are compared, and nothing is shuffled.
+
+    The best embeddings are taken, and documents that have been found are left out of the next round, until there are enough: what stands first
+    among embeddings is in the order of documents.  A round takes twice the rows of the one before, up to ``ROUND_ROWS``, so documents of
+    very many embeddings cost few rounds.
+    """
+    if count < 0 or offset < 0:
+        raise ValueError("count and offset must not be negative")
+    key = embeddings.schema["document_id"].dataType.simpleString()
+    rows = scored(embeddings, vector).select("document_id", "similarity")
+    best: dict = {}
+    need = (offset + count) if count else 0
+    take = need + 8
+    while len(best) < need:
+        left = rows.where(~F.col("document_id").isin(list(best))) if best else rows
+        found = top(left, take).collect()
+        for r in found:
+            best.setdefault(r["document_id"], r["similarity"])
+        if len(found) < take:
+            break
+        take = min(2 * take, max(ROUND_ROWS, need + 8))
+    page = list(best.items())[offset:need]
+    return embeddings.sparkSession.createDataFrame(page, f"document_id {key}, similarity double")
 
 
 def with_documents(found: DataFrame, documents: DataFrame) -> DataFrame:
@@ -65,15 +88,15 @@ def with_documents(found: DataFrame, documents: DataFrame) -> DataFrame:
         "name", "external_id", "document", "document_id", F.col("similarity").alias("document_similarity"))
 
 
-def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding", probes: tuple[list[int], np.ndarray, int] | None = None) -> DataFrame:
+def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding", probes: tuple[list, Callable[[list, np.ndarray], np.ndarray]] | None = None) -> DataFrame:
     """(query_id, key, similarity, rank) of the k nearest of every query.
 
     Queries go out in blocks of ``QUERY_BLOCK`` vectors, whatever their number; all blocks but the last write their results to
     the shared folder before the next goes out.  A task multiplies Arrow batches by the block and
     keeps k rows a query, so what is shuffled is k rows a query and task.
 
-    ``probes``: ids of centroids, their vectors, and how many of them a query probes; embeddings then have a ``centroid_id``, and a
-    query is multiplied with those of its centroids alone.
+    ``probes``: ids of centroids, and a function from a block's query ids and unit vectors to marks, a row a query and a column a centroid; embeddings then
+    have a ``centroid_id``, a query is multiplied with those of its centroids alone, and embeddings that no query of the block marks aren't read.
     """
     spark = embeddings.sparkSession
 
@@ -83,10 +106,9 @@ def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: st
         unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
         asks: dict[int, np.ndarray] = {}  # centroid -> the queries that probe it
         if probes:
-            names, vectors, n = probes
-            near = unit @ (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)).T
-            chosen = np.lexsort((np.broadcast_to(names, near.shape), -near), axis=1)[:, :n]
-            asks = {names[c]: np.flatnonzero((chosen == c).any(1)) for c in range(len(names))}
+            names, chosen = probes
+            marks = chosen(ids, unit)
+            asks = {names[c]: np.flatnonzero(marks[:, c]) for c in np.flatnonzero(marks.any(0)).tolist()}
         shared = spark.sparkContext.broadcast((ids, unit, asks))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +121,8 @@ def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: st
                 rows = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)
                 rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
                 if probes:
-                    got, of = np.full((len(ids), len(keys)), -np.inf), batch.column(2).to_numpy(zero_copy_only=False)
-                    for c in np.unique(of).tolist():
+                    got, of = np.full((len(ids), len(keys)), -np.inf), np.array(batch.column(2).to_pylist(), object)
+                    for c in set(of.tolist()):
                         q, r = asks.get(c, ()), np.flatnonzero(of == c)
                         if len(q):
                             got[np.ix_(q, r)] = unit[q] @ rows[r].T
@@ -114,7 +136,12 @@ def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: st
             asked = np.isfinite(best.reshape(-1))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)[asked]), pa.array(best_key.reshape(-1)[asked]), pa.array(best.reshape(-1)[asked])], [query_key, key, "similarity"])
 
-        slim = embeddings.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column, *(["centroid_id"] if probes else []))
+        rows = embeddings.where(F.col(column).isNotNull())
+        if probes and len(asks) <= PUSHED_IDS:
+            named = [c for c in asks if c is not None]
+            wanted = F.col("centroid_id").isin(named) if named else F.lit(False)
+            rows = rows.where(wanted | F.col("centroid_id").isNull() if None in asks else wanted)
+        slim = rows.select(F.col(key).cast("long").alias(key), column, *(["centroid_id"] if probes else []))
         return slim.mapInArrow(run, f"{query_key} long, {key} long, similarity double")
 
     def ranked(found: DataFrame) -> DataFrame:

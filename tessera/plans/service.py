@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cells import Cells, bounded_documents
 from ..operators.centroids import probed
 from ..operators.embed import Embedder
 from ..operators.search import search_documents, with_documents
@@ -132,14 +133,14 @@ def encoded_answer(answer: bytes, accept_encoding: str = "") -> tuple[bytes, str
 class SearchService:
     """Search, counts and summaries over three tables of one tenant."""
 
-    def __init__(self, documents: DataFrame, embeddings: DataFrame, centroids: DataFrame, embedder: Embedder, chat: Callable[[str], Iterable[str]] | None = None, owner: str = "wikipedia", category: str = "wikipedia", n_probe: int | None = None, counts: Callable[[], dict[str, int]] | None = None):
+    def __init__(self, documents: DataFrame, embeddings: DataFrame, centroids: DataFrame, embedder: Embedder, chat: Callable[[str], Iterable[str]] | None = None, owner: str = "wikipedia", category: str = "wikipedia", n_probe: int | None = None, counts: Callable[[], dict[str, int]] | None = None, cells: Cells | None = None):
         """Embeddings that have the tenant's columns are filtered by them, which prunes partitions; others are joined with the tenant's documents.
 
         With ``n_probe`` a search reads the embeddings of so many centroids (they then have a ``centroid_id``); without it all are compared.
-        ``counts`` counts the tables in another way than by scanning them, such as `stored_counts` of two stores.
+        With ``cells`` a search reads what can matter alone and finds what comparing all does.  ``counts`` counts the tables in another way than by scanning them, such as `stored_counts` of two stores.
         """
         tenant = (F.col("owner") == owner) & (F.col("category") == category)
-        self.documents, self.embedder, self.chat, self.centroids, self.n_probe = documents.where(tenant), embedder, chat, centroids, n_probe
+        self.documents, self.embedder, self.chat, self.centroids, self.n_probe, self.cells = documents.where(tenant), embedder, chat, centroids, n_probe, cells
         own = {"owner", "category"} <= set(embeddings.columns)
         self.embeddings = embeddings.where(tenant) if own else embeddings.join(self.documents.select("document_id"), "document_id", "left_semi")
         spark = documents.sparkSession
@@ -147,6 +148,8 @@ class SearchService:
 
     def search(self, request: SearchRequest) -> DataFrame:
         vector = self.embedder([request.text])[0]
+        if self.cells is not None and self.n_probe is None:
+            return with_documents(bounded_documents(self.embeddings, self.cells, vector, request.count, request.offset)[0], self.documents)
         rows = self.embeddings if self.n_probe is None else probed(self.embeddings, self.centroids, vector, self.n_probe)
         return with_documents(search_documents(rows, vector, request.count, request.offset), self.documents)
 
