@@ -6,7 +6,8 @@
 2. **Merging.**  Adjacent symbols are merged, best score first, leftmost among equals, as long as their union is a piece; pieces marked unused are taken
    apart again; characters without a piece become byte pieces or the unknown piece.  No piece of such a vocabulary has white space behind another
    character, so a text is cut before each run of white space, and words that repeat are merged once.  Where a vocabulary has such a piece, or
-   user-defined symbols, texts are merged whole.
+   user-defined symbols, texts are merged whole.  Where normalisation changes nothing but spaces, the library merges the words that a worker hasn't
+   met yet, many at once; everywhere else they are merged here.
 3. **Projection.**  Ends of pieces in the normalised text, looked up in the alignment, are the byte spans of the pieces in the original text.  They are
    contiguous and cover the text but for white space that normalisation removed at its ends.  Of byte pieces of one character the last has its span.
 
@@ -98,7 +99,8 @@ class PieceModel:
         levels = {x: r for r, x in enumerate(sorted({x for x, _ in self._scores.values()}))}
         self._ranks = {p: levels[x] for p, (x, _) in self._scores.items()}
         self._ids = {p: i for p, (_, i) in self._scores.items()}
-        self._sizes = [len(p.encode()) for p in self.pieces]
+        self._sizes = [1 if k == _BYTE else len(p.encode()) for k, p in zip(self.kinds, self.pieces)]
+        self._path, self._library = path, None
         self._unused = {p.piece for p in model.pieces if p.type == _UNUSED}
         self._bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
         self.unknown = self.kinds.index(_UNKNOWN)
@@ -258,16 +260,43 @@ class PieceModel:
             self._known[word] = got
         return got
 
+    def _split(self, text: bytes) -> list[str] | None:
+        """The words of a text in which each word has just one space before it; None for other texts."""
+        if not self._plain or b"  " in text or text.startswith(b" ") or SPACE.encode() in text:
+            return None
+        try:
+            return text.decode().split(" ")
+        except UnicodeDecodeError:
+            return None
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Let the library merge the new words of some texts at once, for a model whose normalisation changes nothing but spaces."""
+        if not self._plain:
+            return
+        new: set[str] = set()
+        for text in texts:
+            new.update(self._split(text) or ())
+        new = [w for w in new if w and len(w) <= LONGEST and w not in self._known]
+        if len(self._known) + len(new) > CACHE:
+            self._older, self._known = self._known, {}
+        if self._library is None:
+            import sentencepiece
+
+            self._library = sentencepiece.SentencePieceProcessor(model_file=self._path)
+        sizes = self._sizes
+        for word, ids in zip(new, self._library.encode(new, num_threads=1)):
+            self._known[word] = array("i", ids).tobytes(), array("i", [sizes[i] for i in ids]).tobytes()
+
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text, and begin and end of each in its bytes."""
         flat, places = self.normalise(text)
         if not flat:
             return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         # Words are kept as they stand in the text where each has just one space before it.
-        plain = self._plain and b"  " not in text and SPACE.encode() not in text and not text.startswith(b" ")
-        words = text.decode(errors="replace").split(" ") if plain else self._words.findall(flat.decode())
+        words = self._split(text)
+        plain = words is not None
         if not plain:
-            words = ["\0" + w for w in words]
+            words = ["\0" + w for w in self._words.findall(flat.decode())]
         found = list(map(self._known.get, words))
         for i, got in enumerate(found):
             if got is None:
@@ -340,6 +369,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
         pieces = _model(model)
 
         def encoded(keys: pa.Array, texts: list) -> pa.RecordBatch:
+            pieces.learn([t for t in texts if t])
             done = [pieces.encode(t or b"") for t in texts]
             text = [pa.array([pieces.decode(d[0]) for d in done], pa.string())] if decode else []
             return pa.RecordBatch.from_arrays([keys, *(_lists([d[k] for d in done]) for k in range(3)), *text], names)
