@@ -4,11 +4,14 @@ What is counted covers every training document: the count of every word, and the
 
 * The ``CORE`` most frequent words move one at a time between ``CLASSES`` classes, from the transitions among all of them and the end
   of a document, for as long as a move raises the likelihood of the class transitions.
-* All other words of at least ``LEAST`` occurrences among the ``HEAD`` most frequent then exchange classes in passes over the corpus: a pass
-  sums, for each word, the classes before and after it, and moves it to the class under which these are likeliest; all
-  words move at once, against the transitions of the last pass.  Passes end when fewer than ``STILL`` of the words move, or after ``PASSES``.
+* All other words of the head exchange classes in passes over the corpus: a pass sums, for each word, the classes before and after it, and moves it to the class
+  under which these are likeliest.  All move at once, against the transitions of the last pass, to the first order, so a pass counts the transitions anew and
+  is taken back if they have become less likely.  Words that a pass leaves where they are don't take part in the next one.  Passes end when one raises the likelihood by
+  less than ``RISE`` of what all have raised it by, or moves fewer than ``STILL`` of the words.
 
-Rarer and unknown words have fixed classes by their ending (the last letter and whether a mark follows it), and the end has its own.  Then
+The head is every word of at least ``LEAST`` occurrences, up to ``HEAD`` words, a bound on what is broadcast.  Words outside it, however many and however frequent, are
+clustered by their form: those of one ending (the last letter and whether a mark follows it) and the same last bytes are a bucket, and buckets move in the same passes among
+classes of their own, which start as the endings.  A word that was never seen is in a bucket, too.  So every word's class comes from clustering, and the end has its own.  Then
 
     P(word | word before) = P(class | class before) * (c + 1) / (n + v + 1)
 
@@ -25,6 +28,7 @@ Repeated rows are scored as often; ties in counts are ordered by the words' byte
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,15 +47,19 @@ HEAD = 200_000
 LEAST = 2
 #: Rounds of the core at most; it has always been still long before.
 ROUNDS = 200
-PASSES = 4
-STILL = 0.01
+RISE = 0.01
+STILL = 0.001
 SMOOTH = 5.0
-#: Codes that a task counts at a time.
+#: Codes that a task counts at a time, and contexts that it holds before it hands on their counts.
 HELD_CODES = 1_000_000
+HELD_CONTEXTS = 4_000_000
 #: Different words that a task holds before it hands on their counts.
 HELD_WORDS = 300_000
 #: 26 letters, other letters, digits, anything else; without and with a mark after it.
 ENDINGS = 58
+#: Buckets of each ending, by the last bytes.
+FORMS = 282
+BUCKETS = ENDINGS * FORMS
 _MARKS = b".,;:!?\"')]}"
 
 
@@ -66,6 +74,17 @@ def ending(word: bytes) -> int:
     return kind + 29 * (len(body) < len(word))
 
 
+def bucket(word: bytes) -> int:
+    """The bucket of a word outside the head: its number holds the ending."""
+    return ending(word) * FORMS + zlib.crc32(word.rstrip(_MARKS)[-3:]) % FORMS
+
+
+def likelihood(n: np.ndarray) -> float:
+    """What of the training text's log likelihood follows from the classes: their transitions against their shares."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    return f(n) - f(n.sum(1)) - f(n.sum(0))
+
+
 def exchange(pairs: np.ndarray, core: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Class of every symbol of a square table of transition counts; the first ``core`` symbols move between ``classes`` classes."""
     size = len(pairs)
@@ -122,10 +141,10 @@ class Vocabulary:
     floor: int  # words of this count or more are in the head
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        """Places of words in the head; of others -1 less their ending."""
+        """Places of words in the head; of others -1 less their bucket."""
         out = np.fromiter(map(self.head.get, words, [-1] * len(words)), np.int32, len(words))
         for i in np.flatnonzero(out < 0).tolist():
-            out[i] = -1 - ending(words[i])
+            out[i] = -1 - bucket(words[i])
         return out
 
 
@@ -134,12 +153,16 @@ class BrownModel:
     """Everything that scoring needs but the counts of words outside the head."""
 
     words: Vocabulary
-    classes: np.ndarray  # by code: of the head's places, then of endings from the last to the first
+    classes: np.ndarray  # by code: of the head's places, then of buckets from the last to the first
     transition: np.ndarray  # log10, by class before and class
     spread: np.ndarray  # log10(n + v + 1) by class
-    clustered_share: float  # of all training words, the tokens whose class comes from clustering
-    passes: int
-    moved: int  # words that the last pass moved
+    head_share: float  # of all training words, the tokens of words in the head
+    likelihoods: tuple[float, ...]  # before the passes, and after each that was kept
+    moved: tuple[int, ...]  # words and buckets that each of them moved
+
+    @property
+    def passes(self) -> int:
+        return len(self.moved)
 
     @property
     def end(self) -> int:
@@ -188,15 +211,15 @@ def _added_rows(rows: DataFrame, size: int) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "symbol").sortWithinPartitions("symbol").mapInArrow(run, "symbol int, counts binary")
 
 
-def vocabulary(train: DataFrame, text: str = "text", head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
+def vocabulary(train: DataFrame, text: str = "text", head: int = HEAD, least: int = LEAST) -> tuple[Vocabulary, DataFrame]:
     """The head, and the table (word, c) of all words."""
     counts = _word_counts(train, text)
     ends = train.count()
     types, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    # The head ends at the count at which one step further down would hold too many words.
+    # The head ends at the count at which one step further down would hold too many words, or rarer ones.
     floor, held = 1 << 62, 0
     for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).sort(F.desc("c")).toLocalIterator():
-        if held + r["n"] > head:
+        if held + r["n"] > head or r["c"] < least:
             break
         floor, held = r["c"], held + r["n"]
     found = counts.where(F.col("c") >= floor).sort(F.desc("c"), "word").toArrow()
@@ -252,7 +275,8 @@ def _flat(batches: Iterator[pa.RecordBatch], lut: np.ndarray, end: int) -> Itera
 
 
 _END = np.iinfo(np.int32).min
-_CONTEXT = np.dtype([("context", "<u2"), ("n", "<u4")])
+_CONTEXT = np.dtype([("context", "<u2"), ("n", "<u2")])
+_MOST = np.iinfo(np.uint16).max
 
 
 def _transitions(rows: DataFrame, lut: np.ndarray, size: int) -> np.ndarray:
@@ -273,37 +297,64 @@ def _transitions(rows: DataFrame, lut: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def affinity(n: np.ndarray, classes: int) -> np.ndarray:
-    """By context (a class after, then a class before) and class: what one such context adds to the likelihood of the transitions, to the first order."""
+def affinity(n: np.ndarray) -> np.ndarray:
+    """By context (a class after, then a class before) and class but the end: what one such context adds to the likelihood of the transitions, to the first order."""
     share = (n.sum(0) + 1) / (n.sum() + len(n))
     p = (n + SMOOTH * share) / (n.sum(1, keepdims=True) + SMOOTH)  # P(class | class before)
     lift = np.log(p / share)
-    return np.concatenate([lift[:classes].T, lift[:, :classes]])
+    return np.concatenate([lift[:-1].T, lift[:, :-1]])
+
 
+def _exchange_pass(rows: DataFrame, lut: np.ndarray, n: np.ndarray, classes: int, head: int, movable: np.ndarray) -> np.ndarray:
+    """The class of every movable place under which the classes beside it are likeliest; others keep theirs.
 
-def _exchange_pass(rows: DataFrame, lut: np.ndarray, n: np.ndarray, classes: int, movable: np.ndarray) -> np.ndarray:
-    """The class of every movable place under which the classes beside it are likeliest, by (place, class) rows; others keep theirs."""
-    spark, size = rows.sparkSession, len(n)
-    shared = spark.sparkContext.broadcast((lut, movable, affinity(n, classes).astype(np.float32)))
+    Places are those of the head, then the buckets'.  Words of the head move among the first ``classes``, buckets among the others but the end.
+    """
+    spark, size, places = rows.sparkSession, len(n), len(lut)
+    shared = spark.sparkContext.broadcast((lut, movable, affinity(n).astype(np.float32)))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(place, packed contexts and counts): a row for each word of some documents."""
+        """(place, packed contexts and counts): a row for each word of all the documents that fit."""
         lut, movable, _ = shared.value
-        for codes, flat in _flat(batches, lut, size - 1):
-            at = np.flatnonzero(codes >= 0)
-            at = at[movable[codes[at]]]
-            key = codes[at].astype(np.int64) * (2 * size)
-            key, n = np.unique(np.concatenate([key + flat[at + 1], key + size + flat[at - 1]]), return_counts=True)
-            packed, place = np.empty(len(key), _CONTEXT), key // (2 * size)
-            packed["context"], packed["n"] = key % (2 * size), n
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            # Large counts are several entries.
+            times = -(-n // _MOST)
+            key, last = np.repeat(key, times), np.cumsum(times) - 1
+            out = np.empty(len(key), _CONTEXT)
+            out["context"], out["n"] = key % (2 * size), _MOST
+            out["n"][last] = n - (times - 1) * _MOST
+            place = key // (2 * size)
             starts = np.flatnonzero(np.diff(place, prepend=-1))
             offsets = (np.append(starts, len(key)) * _CONTEXT.itemsize).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(place[starts].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])], ["place", "contexts"])
+            return pa.RecordBatch.from_arrays([pa.array(place[starts].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])], ["place", "contexts"])
+
+        for codes, flat in _flat(batches, lut, size - 1):
+            at = np.flatnonzero(codes != _END)
+            place = codes[at].astype(np.int64)
+            place[place < 0] += places
+            at, place = at[movable[place]], place[movable[place]] * (2 * size)
+            held.append(np.unique(np.concatenate([place + flat[at + 1], place + size + flat[at - 1]]), return_counts=True))
+            if sum(len(k) for k, _ in held) > HELD_CONTEXTS:
+                held = [summed()]
+                if len(held[0][0]) > HELD_CONTEXTS // 2:
+                    yield packed(*held.pop())
+        if held and sum(len(k) for k, _ in held):
+            yield packed(*summed())
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sums of log likelihoods; a word's rows may go on in the next batch.
-        weight, now, total = shared.value[2], -1, np.zeros(classes)
+        weight, now, total = shared.value[2], -1, np.zeros(size - 1)
         done: tuple[list[int], list[int]] = ([], [])
+        theirs = np.arange(size - 1) >= classes
+
+        def chosen(place: np.ndarray, sums: np.ndarray) -> list[int]:
+            return np.where((place >= head)[:, None] == theirs, sums, -np.inf).argmax(1).tolist()
         for batch in batches:
             raw = batch.column(1).to_pylist()
             packed = np.frombuffer(b"".join(raw), _CONTEXT)
@@ -317,13 +368,13 @@ def _exchange_pass(rows: DataFrame, lut: np.ndarray, n: np.ndarray, classes: int
                     sums[0] += total
                 elif now >= 0:
                     done[0].append(now)
-                    done[1].append(int(total.argmax()))
+                    done[1].extend(chosen(np.array([now]), total[None]))
                 done[0].extend(own[:-1].tolist())
-                done[1].extend(sums[:-1].argmax(1).tolist())
+                done[1].extend(chosen(own[:-1], sums[:-1]))
                 now, total = int(own[-1]), sums[-1]
         if now >= 0:
             done[0].append(now)
-            done[1].append(int(total.argmax()))
+            done[1].extend(chosen(np.array([now]), total[None]))
         yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int32()), pa.array(done[1], pa.int32())], ["place", "class"])
 
     dealt = rows.select("codes").mapInArrow(contexts, "place int, contexts binary").repartition(partitions(spark), "place").sortWithinPartitions("place")
@@ -333,48 +384,55 @@ def _exchange_pass(rows: DataFrame, lut: np.ndarray, n: np.ndarray, classes: int
     return out
 
 
-def cluster(rows: DataFrame, words: Vocabulary, counts: DataFrame, core: int = CORE, classes: int = CLASSES, least: int = LEAST) -> BrownModel:
+def cluster(rows: DataFrame, words: Vocabulary, counts: DataFrame, core: int = CORE, classes: int = CLASSES) -> BrownModel:
     """The model from encoded training rows."""
     size = len(words.counts)
     core = min(core, size)
     classes = max(1, min(classes, core))
-    lut = np.concatenate([np.arange(core), core + words.endings[core:], core + np.arange(ENDINGS)[::-1]])
+    lut = np.concatenate([np.arange(core), core + words.endings[core:], core + np.arange(BUCKETS)[::-1] // FORMS])
     pairs = _transitions(rows, lut, core + ENDINGS + 1)
     of = exchange(pairs, core, classes)
     member = np.zeros((len(of), classes + ENDINGS + 1))
     member[np.arange(len(of)), of] = 1
     lut, n = of[lut], member.T @ pairs @ member
-    movable = (np.arange(size) >= core) & (words.counts >= least)
-    passes = moved = 0
-    while movable.any() and passes < PASSES and (not passes or moved > STILL * movable.sum()):
-        new = _exchange_pass(rows, lut, n, classes, movable)
-        passes, moved, lut = passes + 1, int((new != lut).sum()), new
-        n = _transitions(rows, lut, len(n))
+    movable = np.arange(len(lut)) >= core
+    scores, moves = [likelihood(n)], []
+    while movable.any():
+        new = _exchange_pass(rows, lut, n, classes, size, movable)
+        counted = _transitions(rows, new, len(n))
         release(rows.sparkSession)  # the pass's shuffle files
+        if (raised := likelihood(counted)) <= scores[-1]:
+            break
+        movable &= new != lut
+        lut, n = new, counted
+        scores.append(raised)
+        moves.append(int(movable.sum()))
+        if moves[-1] < STILL * len(lut) or scores[-1] - scores[-2] < RISE * (scores[-1] - scores[0]):
+            break
     total, tokens_in = len(n), n.sum(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[int] = Counter()
         for batch in batches:
-            found.update(map(ending, batch.column(0).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["ending", "n"])
+            found.update(map(bucket, batch.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["bucket", "n"])
 
-    # Words in each class: those of the head, and the others by their endings, counted over the table of all words.
+    # Words in each class: those of the head, and the others by their buckets, counted over the table of all words.
     words_in = np.bincount(lut[:size], minlength=total).astype(float)
-    for r in counts.where(F.col("c") < words.floor).select("word").mapInArrow(run, "ending int, n long").groupBy("ending").agg(F.sum("n").alias("n")).collect():
-        words_in[classes + r["ending"]] += r["n"]
+    for r in counts.where(F.col("c") < words.floor).select("word").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        words_in[lut[-1 - r["bucket"]]] += r["n"]
     words_in[-1] += words.ends > 0
     share = (tokens_in + 1) / (tokens_in.sum() + total)
     transition = np.log10((n + SMOOTH * share) / (n.sum(1, keepdims=True) + SMOOTH))
-    clustered = words.counts[(np.arange(size) < core) | movable].sum() / max(1, words.train_tokens - words.ends)
-    return BrownModel(words, lut, transition, np.log10(tokens_in + words_in + 1), float(clustered), passes, moved)
+    share = words.counts.sum() / max(1, words.train_tokens - words.ends)
+    return BrownModel(words, lut, transition, np.log10(tokens_in + words_in + 1), float(share), tuple(scores), tuple(moves))
 
 
 def fit(docs: DataFrame, trainable: Column | None = None, text: str = "text", core: int = CORE, classes: int = CLASSES, head: int = HEAD, least: int = LEAST) -> tuple[BrownModel, DataFrame]:
     """The model, and the table of all words' counts, from the rows for which ``trainable`` holds."""
     train = docs.where(trainable) if trainable is not None else docs
-    words, counts = vocabulary(train, text, head)
-    return cluster(encode(train.select(F.lit(0).alias("__id"), text), words, doc_id="__id", text=text), words, counts, core, classes, least), counts
+    words, counts = vocabulary(train, text, head, least)
+    return cluster(encode(train.select(F.lit(0).alias("__id"), text), words, doc_id="__id", text=text), words, counts, core, classes), counts
 
 
 def scores(docs: DataFrame, model: BrownModel, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -411,7 +469,7 @@ def encoded_scores(rows: DataFrame, model: BrownModel, counts: DataFrame) -> Dat
 
 def fit_and_score(docs: DataFrame, trainable: Column, doc_id: str = "doc_id", text: str = "text", **options) -> tuple[BrownModel, DataFrame]:
     """`fit` on the rows for which ``trainable`` holds and `scores` of all, with one encoding."""
-    words, counts = vocabulary(docs.where(trainable), text, options.pop("head", HEAD))
+    words, counts = vocabulary(docs.where(trainable), text, options.pop("head", HEAD), options.pop("least", LEAST))
     rows = encode(docs, words, trainable, doc_id, text)
     model = cluster(rows.where("train"), words, counts, **options)
     return model, encoded_scores(rows, model, counts)

@@ -23,7 +23,7 @@ def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-based and unigram log probabilities of every document; ids whose CRC-32 leaves 2 modulo 7 are held out of all counts."""
     model, found = brown.fit_and_score(table(spark, sf_dir, "documents"), id_crc32("doc_id") % 7 != 2)
     return found.select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.words.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.words.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity", F.lit(model.passes).alias("passes"), F.lit(model.likelihoods[-1] - model.likelihoods[0]).alias("likelihood_rise"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
