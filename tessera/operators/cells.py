@@ -81,14 +81,14 @@ def stored_cells(spark: SparkSession, path: str) -> Cells:
     snapshot = table.snapshot()
     centroids = table.read_centroids(CENTROID, snapshot)
     jvm = spark._jvm
-    folders = []
+    radii = spark.createDataFrame([], _CELL)
     for part in snapshot.parts:
         folder = f"{path}/cells/{part.folder}"
         done = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             store_radii(table.read(snapshot, [part]), centroids, path, part.folder)
-        folders.append(folder)
-    radii = spark.read.schema(_CELL).parquet(*folders) if folders else spark.createDataFrame([], _CELL)
+        own = spark.read.schema(_CELL).parquet(folder)
+        radii = radii.unionByName(own.where(F.col("centroid_id").isNull() | ~F.col("centroid_id").isin(list(part.without))) if part.without else own)
     return read_cells(radii, centroids)
 
 

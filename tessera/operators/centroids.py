@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine
+from ..functions.vector import cosine, norm
+from ..schema import CENTROID
 from ..sources.commits import Table
 from ..sources.store import write_version
 from .assign import assign
+from .cells import MARGIN, stored_cells
 from .search import literal_vector, search, search_batch
 
 #: Share of all centroids that are probed by default.
@@ -36,7 +39,8 @@ def kmeans(embeddings: DataFrame, k: int, seed: int = 1, iterations: int = 20, c
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    vectors = embeddings.where(F.col(column).isNotNull()).select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
+    # A vector of no length has no direction to learn from.
+    vectors = embeddings.where(norm(F.col(column)) > 0).select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(vectors)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return embeddings.sparkSession.createDataFrame(rows, "centroid_id long, centroid array<double>")
@@ -97,3 +101,62 @@ def refresh(spark: SparkSession, path: str, k: int, seed: int = 1, key: str = "d
     rows = table.read(base)
     centroids = kmeans(rows, k, seed)
     return write_version(assign(rows.drop("centroid_id"), centroids, key), centroids, path, base, key)
+
+
+def refresh_changed(spark: SparkSession, path: str, grown: float = 0.2, most: int | None = None, least: int = 0, seed: int = 1, key: str = "document_id", column: str = "embedding") -> dict[str, int]:
+    """Bring centroids up to date where embeddings were added, and rewrite only the cells that this can change.
+
+    A cell that has grown by the share ``grown`` since its centroids were made moves its centroid towards the mean of what is new, by their shares of the cell; one of
+    more than ``most`` embeddings is split in two; one of fewer than ``least`` is given up.  Another cell is read and assigned anew only if
+    a centroid that is new or has moved lies within twice the cell's radius, since no member can be nearer to one beyond that.  So the store holds what
+    assigning every embedding to these centroids gives.  Returns how many cells there are, changed and were rewritten, and the version.
+    """
+    table = Table(spark, path)
+    base = table.snapshot()
+    if base.centroids is None:
+        raise ValueError("the store has no centroids yet")
+    cells = stored_cells(spark, path)
+    centroids = table.read_centroids(CENTROID, base)
+    since = next(s for v in table.versions() if (s := table.snapshot(v)).centroids == base.centroids)
+    fresh = table.read(base, base.since(since))
+    new = {r["centroid_id"]: r["n"] for r in fresh.groupBy("centroid_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = dict(zip(cells.ids, cells.rows.tolist()))
+    vectors = {r["centroid_id"]: np.array(r["centroid"], float) for r in centroids.collect()}
+    now, changed = dict(vectors), set()
+    large = [c for c, n in rows.items() if c is not None and most is not None and n > most]
+    moved = [c for c, n in new.items() if c is not None and c not in large and n >= grown * max(1, rows[c] - n)]
+    if moved:
+        scaled = F.transform(column, lambda x: x.cast("double") / F.nullif(norm(F.col(column)), F.lit(0.0)))
+        means = as_vectors(group_means(fresh.where(F.col("centroid_id").isin(moved)).withColumn(column, scaled).where(F.col(column)[0].isNotNull()), "centroid_id", column))
+        for r in means.collect():
+            c, share = r["centroid_id"], new[r["centroid_id"]] / rows[r["centroid_id"]]
+            was = vectors[c] / max(float(np.linalg.norm(vectors[c])), 1e-300)
+            now[c] = (1 - share) * was + share * np.array(r["centroid"], float)
+            changed.add(c)
+    for c in large:
+        halves = kmeans(table.read(base).where(F.col("centroid_id") == c), 2, seed, column=column).orderBy("centroid_id").collect()
+        if len(halves) == 2:
+            now[c], now[max(now) + 1] = (np.array(h["centroid"], float) for h in halves)
+            changed |= {c, max(now)}
+    gone = sorted(c for c in now if c not in changed and rows.get(c, 0) < least)[: len(now) - 1]
+    for c in gone:
+        del now[c]
+    if not changed and not gone:
+        return {"cells": len(vectors), "changed": 0, "rewritten": 0, "version": base.version}
+    # Cells that may lose a member to a centroid that is new or has moved.
+    unit = lambda v: v / max(float(np.linalg.norm(v)), 1e-300)
+    targets = np.array([unit(now[c]) for c in sorted(changed)])
+    touched = {c for c in cells.ids if c is not None and (c in changed or c in gone)}
+    for c, radius in zip(cells.ids, cells.radii.tolist()):
+        if c is not None and c not in touched and len(targets):
+            nearest = float(np.arccos(np.clip(targets @ unit(vectors[c]), -1, 1)).min())
+            if nearest / 2 <= radius + MARGIN:
+                touched.add(c)
+    after = spark.createDataFrame([(c, [float(x) for x in v]) for c, v in sorted(now.items())], CENTROID)
+    stays = F.col("centroid_id").isin(sorted(touched))
+    part = table.write(assign(table.read(base).where(stays).drop("centroid_id"), after, key, column).select(*[f for f in table.read(base).columns]), base.by)
+    swapped = table.write(after, folder="centroids")
+    left = {f"part={r['part']}": r["n"] for r in table.counts(base, "centroid_id").where(F.col("centroid_id").isNull() | ~stays).groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    parts = [replace(p, rows=left.get(p.folder, 0), without=tuple(sorted({*p.without, *touched}))) for p in base.parts]
+    version = table.commit(base, [*parts, part], centroids=swapped).version
+    return {"cells": len(vectors), "changed": len(changed) + len(gone), "rewritten": len(touched), "version": version}

@@ -38,6 +38,16 @@ class HashEmbedder:
         return out
 
 
+class CharacterCounts:
+    """How often each of some characters stands in a text: a model that SQL can compute as well."""
+
+    def __init__(self, characters: str = "abcdefghijklmnopqrstuvwxyz"):
+        self.characters = characters
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        return np.array([[text.count(c) for c in self.characters] for text in texts], np.float32).reshape(len(texts), len(self.characters))
+
+
 class InTurn:
     """Several models of the same kind, such as servers at several addresses, each called in turn; where one fails the next one is asked."""
 

@@ -10,15 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paragraphs as P
 from ..functions import text as T
+from ..functions.vector import cosine
 from ..operators import centroids as C
 from ..operators import importer as I
-from ..operators import lsh, progress, search, stats, summary
-from ..operators.embed import HashEmbedder, embed
+from ..operators import cells, lsh, progress, quantise, search, stats, summary
+from ..operators import paragraphs as G
+from ..operators.embed import CharacterCounts, HashEmbedder, embed
 from ..operators.upload import import_pages
 from ..sources.dump import read_pages
 from ..sources.scratch import scratch_path
-from ..sources.store import append_documents, append_embeddings, read_centroids, read_documents, read_embeddings, write_version
+from ..sources.store import append_documents, append_embeddings, read_centroids, read_documents, read_embeddings, read_rows, stored_counts, write_version
 from ..streaming.incremental import start_import
 from .service import answer_json, parsed_requests
 
@@ -253,9 +256,9 @@ def dump_bad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dump in which every seventh page has a number that isn't one; these are skipped and the next ones read."""
     path = scratch_path(spark, "dump")
     number = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
-    page = _table(spark, sf_dir, "documents").select(F.concat(F.lit("Article "), F.col("doc_id").cast("string")).alias("title"), F.lit("0").alias("ns"), number.alias("id"), F.struct(F.lit("1").alias("id"), F.lit("t").alias("text")).alias("revision"))
+    page = _table(spark, sf_dir, "documents").select(F.concat(F.lit("Article "), F.col("doc_id").cast("string")).alias("title"), F.lit("0").alias("ns"), number.alias("id"), F.struct(F.lit("1").alias("id"), "text").alias("revision"))
     page.write.format("xml").options(rowTag="page", rootTag="mediawiki", declaration="").save(path)
-    return read_pages(spark, path).select("page_id", "title")
+    return read_pages(spark, path).select("page_id", "title", "text")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,31 +270,117 @@ def ivf_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings stored by centroid; probing reads the partitions of the nearest centroids alone."""
     means, path = _label_centroids(spark, sf_dir), scratch_path(spark, "embeddings")
     append_embeddings(C.assign(_table(spark, sf_dir, "embeddings"), means), path)
-    return _rounded(C.probed_search(spark.read.parquet(path), means, _first_vector(spark, sf_dir)))
+    return _rounded(C.probed_search(read_embeddings(spark, path), means, _first_vector(spark, sf_dir)))
+
+
+def _against_every_centroid(rows: DataFrame, centroids: DataFrame, key: str) -> DataFrame:
+    """(key, centroid_id, best): whether the centroid that a row has is as similar to it as any, by a join with each of them."""
+    pairs = rows.join(F.broadcast(centroids.select(F.col("centroid_id").alias("of"), "centroid")), F.lit(True))
+    s = cosine(F.col("embedding"), F.col("centroid"))
+    found = pairs.groupBy(key, "centroid_id").agg(F.max(s).alias("most"), F.max(F.when(F.col("of") == F.col("centroid_id"), s)).alias("own"))
+    return found.select(key, "centroid_id", (F.col("own") >= F.col("most") - 1e-12).alias("best"))
 
 
 def refresh_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store whose centroids are trained anew and swapped in: its version, and what it holds then."""
+    """A store whose centroids are trained anew and swapped in: what it holds then, and whether each embedding has its nearest centroid."""
     path = scratch_path(spark, "versions")
     rows, means = _embeddings(spark, sf_dir), _label_centroids(spark, sf_dir)
     write_version(C.assign(rows, means, "document_id"), means, path)
     version = C.refresh(spark, path, 10)
     fresh, centroids = read_embeddings(spark, path), read_centroids(spark, path)
-    near = fresh.join(centroids, "centroid_id").select("document_id", F.size("centroid").alias("dims"))
-    return near.select("document_id", F.lit(version).alias("version"), "dims")
+    sums = fresh.select("document_id", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("sum"))
+    return _against_every_centroid(fresh, centroids, "document_id").join(sums, "document_id").select("document_id", F.lit(version).alias("version"), "best", F.round("sum", 6).alias("sum"))
+
+
+def refresh_grown_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that grows after its centroids were made and is refreshed where it grew: each embedding has the nearest of the new centroids."""
+    path = scratch_path(spark, "grown")
+    rows, means = _embeddings(spark, sf_dir), _label_centroids(spark, sf_dir)
+    old = F.col("document_id") % 3 != 0
+    write_version(C.assign(rows.where(old), means, "document_id"), means, path)
+    append_embeddings(rows.where(~old), path)
+    C.refresh_changed(spark, path, grown=0.5, most=rows.count() // 8)
+    return _against_every_centroid(read_embeddings(spark, path), read_centroids(spark, path), "document_id").select("document_id", "best")
 
 
 def import_embed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dump imported to the end: documents, their vectors, and the second run that adds nothing."""
     documents, vectors = scratch_path(spark, "documents"), scratch_path(spark, "vectors")
     dump, model = _dump(spark, sf_dir), HashEmbedder()
-    means = _label_centroids(spark, sf_dir)
     for _ in range(2):
-        import_pages(read_pages(spark, dump), documents, vectors, model, means)
-    stored = spark.read.parquet(vectors)
+        import_pages(read_pages(spark, dump), documents, vectors, model)
+    stored = read_embeddings(spark, vectors)
     return read_documents(spark, documents).join(stored, ["document_id", "owner", "category"]).select("name", "owner", "category", F.size("embedding").alias("dims"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("length"))
 
 
+def import_refresh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part of a dump imported, centroids trained, the whole dump imported, and a search that reads the cells that matter; with the stores' counts."""
+    documents, vectors = scratch_path(spark, "documents"), scratch_path(spark, "vectors")
+    pages, model = read_pages(spark, _dump(spark, sf_dir)), CharacterCounts()
+    import_pages(pages.where("page_id % 2 = 0"), documents, vectors, model)
+    C.refresh(spark, vectors, 8)
+    import_pages(pages, documents, vectors, model)
+    vector = [float(x) for x in model([_QUESTION])[0]]
+    found, _ = cells.bounded_documents(read_embeddings(spark, vectors), cells.stored_cells(spark, vectors), vector, 20)
+    counts = stored_counts(spark, documents, vectors)
+    rows = search.with_documents(found, read_documents(spark, documents))
+    return rows.select("name", F.length("document").cast("long").alias("chars"), F.round("document_similarity", 6).alias("similarity"), *[F.lit(counts[c]).cast("long").alias(c) for c in ("documents", "embeddings", "centroids")])
+
+
+def failed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump imported with a model that refuses some texts: what is stored, and what is reported to be tried again."""
+    documents, vectors, failed = (scratch_path(spark, x) for x in ("documents", "vectors", "failed"))
+    import_pages(read_pages(spark, _dump(spark, sf_dir)), documents, vectors, Refusing("ou"), failed=failed, attempts=1, parallel=4)
+    state = read_embeddings(spark, vectors).select("document_id", F.lit(None).cast("string").alias("error")).unionByName(read_rows(spark, failed).select("document_id", "error"))
+    return read_documents(spark, documents).join(state, "document_id").select("name", "error")
+
+
+class Refusing(CharacterCounts):
+    """A model that fails on texts with a certain string in them."""
+
+    def __init__(self, refused: str):
+        super().__init__()
+        self.refused = refused
+
+    def __call__(self, texts):
+        if any(self.refused in t for t in texts):
+            raise ValueError(f"refused: {self.refused}")
+        return super().__call__(texts)
+
+
+_QUESTION = "which of these documents says the most about it"
+
+
+def bounded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 finds what it finds among all, and reads only the cells that can hold it."""
+    rows, means = _table(spark, sf_dir, "embeddings"), _label_centroids(spark, sf_dir)
+    assigned = C.assign(rows, means)
+    found, _ = cells.bounded_batch(assigned, cells.read_cells(cells.cell_radii(assigned, means), means), _asked(spark, sf_dir))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def quantised_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against codes of 16 bytes, the shortlist ranked by the vectors."""
+    rows = _table(spark, sf_dir, "embeddings")
+    books = quantise.fit_codebooks(rows)
+    return quantise.quantised_batch(quantise.quantised(rows, books), rows, books, _asked(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+
+
+def paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.paragraph_rows(_documents(spark, sf_dir), 500)
+
+
+def best_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest documents by their nearest paragraphs, with these."""
+    documents, model = _documents(spark, sf_dir), CharacterCounts()
+    best = G.best_paragraphs(G.embed_paragraphs(documents, model, 500), [float(x) for x in model([_QUESTION])[0]])
+    return G.read_paragraphs(best, documents).select("document_id", F.round("similarity", 6).alias("similarity"), "start", "paragraph")
+
+
+def prompt_within_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.prompts_within(_documents(spark, sf_dir), "what is this about", 120)
+
+
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return stats.table_counts(rows, _table(spark, sf_dir, "documents"), rows.select("label").distinct())
@@ -344,17 +433,19 @@ def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many centroids a training gives, of how many dimensions, and how many embeddings they share out."""
+    """Every embedding assigned to trained centroids, and whether it has the nearest of them."""
     rows = _table(spark, sf_dir, "embeddings")
-    trained = C.kmeans(rows, 10)
-    shared = C.assign(rows, trained).groupBy("centroid_id").agg(F.count(F.lit(1)).alias("n"))
-    return trained.join(shared, "centroid_id", "left").agg(F.count(F.lit(1)).alias("centroids"), F.max(F.size("centroid")).cast("long").alias("dims"), F.sum("n").alias("embeddings"))
+    path = scratch_path(spark, "centroids")
+    C.kmeans(rows, 10).write.parquet(path)
+    trained = spark.read.parquet(path)
+    found = _against_every_centroid(C.assign(rows, trained), trained, "vec_id")
+    return found.join(F.broadcast(trained.agg(F.count(F.lit(1)).alias("centroids"), F.max(F.size("centroid")).cast("long").alias("dims"))), F.lit(True)).select("vec_id", "best", "centroids", "dims")
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's vector, by its number of dimensions and its length."""
+    """Every document's vector, by its places that aren't zero."""
     rows = embed(_documents(spark, sf_dir), HashEmbedder())
-    return rows.select("document_id", F.size("embedding").cast("long").alias("dims"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("length"))
+    return rows.select("document_id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0").select("document_id", F.col("dim").cast("long").alias("dim"), F.col("value").cast("double").alias("value"))
 
 
 def hash_embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,11 +463,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         search_exact_topk, search_offset_page, search_batch_topk, search_tenant_filter, search_score_percent, doc_score_max, clean_markup, strip_page_entities,
         namespace_filter, disambiguation_filter, article_url, dedup_first_title, anti_join_imported, import_pipeline, import_funnel, dump_scan, dump_bad_pages, document_store, stream_import, import_embed_store, ivf_store, refresh_centroids, table_counts, counts_display,
-        centroid_means, centroid_assign, ivf_search, prompt_build, doc_lookup, request_json, response_json, kmeans_refresh, hash_embed, hash_embed_search, lsh_approximate,
+        centroid_means, centroid_assign, ivf_search, prompt_build, doc_lookup, refresh_grown_cells, import_refresh_search, failed_uploads, bounded_search, quantised_search, paragraph_rows, best_paragraph, prompt_within_context, request_json, response_json, kmeans_refresh, hash_embed, hash_embed_search, lsh_approximate,
     )
 } | {name: _step(function) for name, function in _STEPS.items()}
 
 _NAME = f"'Article ' || doc_id::VARCHAR"
+_LETTERS = [chr(c) for c in range(97, 123)]
+_ASKED = "[" + ", ".join(f"{_QUESTION.count(c)}" for c in _LETTERS) + "]"
+
+
+def _sql_letters(text: str) -> str:
+    """What `CharacterCounts` gives."""
+    return f"list_transform({_LETTERS}, lambda c: length({text}) - length(replace({text}, c, '')))"
+
+
+# CRC-32 of the words of all documents and of a question, by its table; signed counts by place, scaled in single precision.
+_HASHED = f"""bytes AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, (s & 1) * 3988292384))) AS steps),
+words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\\s\\x0b\\x1c-\\x1f' || {_WS} || ']+')) AS word FROM documents),
+known AS (SELECT word, hex(encode(word)) AS digits FROM (SELECT DISTINCT word FROM words UNION SELECT unnest(['the', 'of', 'and', 'thing']) AS word) WHERE word <> ''),
+hashes AS (SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(digits) // 2), lambda i: ('0x' || digits[2 * i + 1:2 * i + 2])::BIGINT)), lambda s, b: xor(s >> 8, steps[(xor(s, b) & 255) + 1])), 4294967295) AS h FROM known, bytes),
+places AS (SELECT doc_id, h % 64 AS dim, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::REAL AS n FROM words JOIN hashes USING (word) GROUP BY doc_id, h % 64),
+hashed AS (SELECT doc_id, dim, (n / (sqrt(sum((n * n)::DOUBLE) OVER (PARTITION BY doc_id)))::REAL)::REAL::DOUBLE AS value FROM places)"""
+_CUT = f"""windows AS (SELECT doc_id, regexp_extract_all(text, '(?s).{{1,500}}') AS w FROM documents WHERE text <> ''),
+cuts AS (SELECT doc_id, w, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = 1 THEN 0 ELSE length(regexp_extract(w[i], '(?s)^.*?{P.SENTENCE_END}')) END) AS h FROM windows),
+pieces AS (SELECT doc_id, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'start': (i - 1) * 500 + h[i], 'paragraph': substring(w[i], h[i] + 1) || coalesce(w[i + 1][:h[i + 1]], '')}})) AS p FROM cuts),
+paragraphs AS (SELECT doc_id, p.start AS start, p.paragraph AS paragraph FROM pieces WHERE p.paragraph <> '')"""
+_IMPORTED = f"""titles AS (SELECT doc_id, 'Article ' || (doc_id // 3)::VARCHAR AS name, {_sql_clean('text')} AS document FROM documents WHERE NOT {_sql_disambiguation('text')}),
+imported AS (SELECT name, min_by(document, doc_id) AS document FROM titles WHERE document <> '' GROUP BY name)"""
 ORACLE_SQL: dict[str, str] = {
     "search_exact_topk": f"WITH {_SCORED}, best AS (SELECT vec_id, s FROM scored ORDER BY s DESC, vec_id LIMIT 20) SELECT {_NAME} AS name, {_sql_url(_NAME)} AS external_id, text AS document, doc_id AS document_id, round(s, 6) AS document_similarity FROM best JOIN documents ON vec_id = doc_id",
     "search_offset_page": f"WITH {_SCORED} SELECT vec_id, round(s, 6) AS similarity FROM scored ORDER BY s DESC, vec_id LIMIT 20 OFFSET 20",
@@ -416,15 +529,34 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM ranked WHERE rank <= 20""",
     "ivf_store": f"""WITH {_ASSIGNED}, {_Q0}, probes AS (SELECT c.centroid_id FROM centroids c, q ORDER BY {_COS.format('c.centroid', 'q.v')} DESC, c.centroid_id LIMIT (SELECT ceil(0.8 * count(*))::BIGINT FROM centroids))
         SELECT vec_id, round({_COS.format('embedding', 'q.v')}, 6) AS similarity FROM near, q WHERE n = 1 AND centroid_id IN (SELECT centroid_id FROM probes) ORDER BY {_COS.format('embedding', 'q.v')} DESC, vec_id LIMIT 20""",
-    "dump_bad_pages": "SELECT doc_id AS page_id, 'Article ' || doc_id::VARCHAR AS title FROM documents WHERE doc_id % 7 <> 0",
-    "refresh_centroids": "SELECT vec_id AS document_id, 2 AS version, len(embedding)::INT AS dims FROM embeddings",
-    "kmeans_refresh": "SELECT 10::BIGINT AS centroids, max(len(embedding)) AS dims, count(*) AS embeddings FROM embeddings",
-    "hash_embed": "SELECT doc_id AS document_id, 64::BIGINT AS dims, CASE WHEN trim(coalesce(text, '')) = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS length FROM documents",
+    "dump_bad_pages": "SELECT doc_id AS page_id, 'Article ' || doc_id::VARCHAR AS title, text FROM documents WHERE doc_id % 7 <> 0",
+    "refresh_centroids": "SELECT vec_id AS document_id, 2 AS version, true AS best, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS sum FROM embeddings",
+    "refresh_grown_cells": "SELECT vec_id AS document_id, true AS best FROM embeddings",
+    "kmeans_refresh": "SELECT vec_id, true AS best, 10::BIGINT AS centroids, len(embedding)::BIGINT AS dims FROM embeddings",
+    "hash_embed": f"WITH {_HASHED} SELECT doc_id AS document_id, dim, value FROM hashed WHERE value <> 0",
+    "hash_embed_search": f"""WITH {_HASHED}, asked AS (SELECT dim, sum(sign)::DOUBLE AS x FROM (SELECT h % 64 AS dim, CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END AS sign FROM hashes JOIN (SELECT unnest(['the', 'of', 'and', 'thing']) AS word) USING (word)) GROUP BY dim),
+        scored AS (SELECT doc_id, sum(value * coalesce(x, 0)) / sqrt(sum(value * value)) / (SELECT sqrt(sum(x * x)) FROM asked) AS s FROM hashed LEFT JOIN asked USING (dim) GROUP BY doc_id HAVING sum(value * value) > 0)
+        SELECT doc_id AS document_id, round(s, 6) AS similarity FROM scored ORDER BY s DESC, doc_id LIMIT 20""",
     "lsh_approximate": f"WITH {_SCORED} SELECT vec_id, round(s, 6) AS similarity FROM scored ORDER BY s DESC, vec_id LIMIT 20",
     "response_json": f"WITH {_SCORED}, best AS (SELECT vec_id, s FROM scored ORDER BY s DESC, vec_id LIMIT 5) SELECT row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS place, {_NAME} AS name, {_sql_url(_NAME)} AS external_id, text AS document, doc_id AS document_id, round(s, 6) AS document_similarity FROM best JOIN documents ON vec_id = doc_id",
     "prompt_build": f"SELECT doc_id AS document_id, concat_ws(chr(10), 'what is this about', '{T.SUMMARY_REQUEST}', text) AS prompt FROM documents",
     "doc_lookup": "SELECT doc_id AS document_id, text AS document FROM documents WHERE doc_id IN (3, 5, 8, 99999999)",
     "request_json": "WITH b AS (SELECT event_id, to_json({'text': event_type, 'count': user_id, 'offset': event_id})::VARCHAR AS body FROM events) SELECT event_id, body, body->>'$.text' AS text, (body->>'$.count')::BIGINT AS \"count\", (body->>'$.offset')::BIGINT AS \"offset\" FROM b",
 } | {name: f"WITH {_MARKED} SELECT doc_id, {step('text')} AS document FROM marked" for name, step in _SQL_STEPS.items()}
+ORACLE_SQL["bounded_search"] = ORACLE_SQL["search_batch_topk"]
+ORACLE_SQL["paragraph_rows"] = f"WITH {_CUT} SELECT doc_id AS document_id, start, paragraph FROM paragraphs"
+ORACLE_SQL["best_paragraph"] = f"""WITH {_CUT}, scored AS (SELECT doc_id, start, paragraph, {_COS.format(_sql_letters('paragraph'), _ASKED)} AS s FROM paragraphs WHERE list_sum({_sql_letters('paragraph')}) > 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, start) AS n FROM scored)
+    SELECT doc_id AS document_id, round(s, 6) AS similarity, start, paragraph FROM ranked WHERE n = 1 ORDER BY s DESC, doc_id LIMIT 20"""
+ORACLE_SQL["prompt_within_context"] = f"""WITH sentences AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?s).+?(?:{P.SENTENCE_END}|\\z)')) AS sentence, generate_subscripts(regexp_extract_all(text, '(?s).+?(?:{P.SENTENCE_END}|\\z)'), 1) AS n FROM documents),
+    counted AS (SELECT *, len(regexp_extract_all(sentence, '{P.TOKEN}')) AS tokens FROM sentences), sums AS (SELECT *, sum(tokens) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM counted),
+    kept AS (SELECT doc_id, coalesce(sum(length(sentence)) FILTER (WHERE upto <= {120 - 4 - len(T.SUMMARY_REQUEST.split())}), 0)::BIGINT AS chars, any_value(sentence) FILTER (WHERE n = 1) AS first FROM sums GROUP BY doc_id),
+    cut AS (SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN '' WHEN k.chars > 0 THEN d.text[:k.chars] ELSE array_to_string(regexp_extract_all(k.first, '[ \\t\\n\\r\\f]*{P.TOKEN}')[:{120 - 4 - len(T.SUMMARY_REQUEST.split())}], '') END AS document FROM documents d LEFT JOIN kept k USING (doc_id)),
+    prompts AS (SELECT doc_id, concat_ws(chr(10), 'what is this about', '{T.SUMMARY_REQUEST}', document) AS prompt FROM cut)
+    SELECT doc_id AS document_id, prompt, len(regexp_extract_all(prompt, '{P.TOKEN}')) AS tokens FROM prompts"""
+ORACLE_SQL["failed_uploads"] = f"WITH {_IMPORTED} SELECT name, CASE WHEN contains(document, 'ou') THEN 'ValueError: refused: ou' END AS error FROM imported"
+ORACLE_SQL["import_refresh_search"] = f"""WITH {_IMPORTED.replace("min_by(document, doc_id)", "coalesce(min_by(document, doc_id) FILTER (WHERE doc_id % 2 = 0), min_by(document, doc_id))")},
+    scored AS (SELECT name, document, {_COS.format(_sql_letters('document'), _ASKED)} AS s FROM imported WHERE list_sum({_sql_letters('document')}) > 0)
+    SELECT name, length(document) AS chars, round(s, 6) AS similarity, (SELECT count(*) FROM imported) AS documents, (SELECT count(*) FROM imported) AS embeddings, 8::BIGINT AS centroids FROM scored ORDER BY s DESC LIMIT 20"""
 ORACLE_SQL["import_embed_store"] = f"SELECT name, 'wikipedia' AS owner, 'wikipedia' AS category, 64 AS dims, 1.0::DOUBLE AS length FROM ({ORACLE_SQL['stream_import']})"
 ORACLE_SQL["document_store"] = f"SELECT name, external_id, document FROM ({ORACLE_SQL['import_pipeline']})"

@@ -1,0 +1,177 @@
+"""Product quantisation, incremental refreshes, paragraphs and prompts against plain versions."""
+
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import paragraphs as P
+from tessera.functions.text import SUMMARY_REQUEST
+from tessera.operators import cells as X
+from tessera.operators import centroids as C
+from tessera.operators import paragraphs as G
+from tessera.operators import quantise as Q
+from tessera.operators import search as S
+from tessera.operators.embed import CharacterCounts
+from tessera.operators.summary import prompts_within, summary_stream
+from tessera.sources import store
+from tessera.sources.commits import Table
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_recall_of_codes_with_exact_ranks(spark, kind, monkeypatch):
+    monkeypatch.setattr(Q, "QUERY_BLOCK", 10)
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(12, 32)) * (0 if kind == "random" else 2)
+    rows = [(i, (middle[i % 12] + rng.normal(size=32)).tolist()) for i in range(1600)]
+    frame = spark.createDataFrame([*rows, (2000, None), (2001, [0.0] * 32), (2002, rows[5][1])], "vec_id long, embedding array<double>").repartition(4)
+    books = Q.fit_codebooks(frame, parts=8)
+    codes = Q.quantised(frame, books)
+    # Every row that has a vector is coded, in 8 bytes for 256.
+    assert codes.count() == 1602 and {len(r["code"]) for r in codes.collect()} == {8}
+    queries = frame.where("vec_id % 100 = 0 AND vec_id < 1600").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r["query_id"], r["vec_id"]): r["similarity"] for r in S.search_batch(frame, queries, 20).collect()}
+    got = Q.quantised_batch(codes, frame, books, queries, 20).collect()
+    hits = [r for r in got if (r["query_id"], r["vec_id"]) in exact]
+    assert len(hits) / len(exact) >= 0.9
+    assert all(abs(r["similarity"] - exact[r["query_id"], r["vec_id"]]) < 1e-9 for r in hits)
+    every = Q.quantised_batch(codes, frame, books, queries, 20, shortlist=5000).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in every} == set(exact)
+    assert Q.quantised_batch(codes, frame, books, queries.limit(0), 20).count() == 0 and Q.fit_codebooks(frame.limit(0)) == []
+
+
+def test_codes_are_the_nearest_entries(spark):
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(50, 6))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    books = Q.fit_codebooks(frame, parts=3, entries=7)
+    assert [b.shape for b in books] == [(7, 2)] * 3
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = {i: bytes(int(((b - u[2 * m : 2 * m + 2]) ** 2).sum(1).argmin()) for m, b in enumerate(books)) for i, u in enumerate(unit)}
+    assert {r["vec_id"]: bytes(r["code"]) for r in Q.quantised(frame, books).collect()} == want
+
+
+def clustered(spark, n, seed, first=0, spread=0.3, middles=10):
+    rng = np.random.default_rng(seed)
+    middle = np.random.default_rng(99).normal(size=(10, 12)) * 3
+    return spark.createDataFrame([(first + i, [float(x) for x in middle[i % middles] + spread * rng.normal(size=12)]) for i in range(n)], "document_id long, embedding array<float>")
+
+
+def assert_fully_assigned(spark, path, count):
+    got = store.read_embeddings(spark, path)
+    near = {r["document_id"]: r["centroid_id"] for r in C.assign(got.drop("centroid_id"), store.read_centroids(spark, path), "document_id").collect()}
+    held = {r["document_id"]: r["centroid_id"] for r in got.collect()}
+    assert held == near and len(held) == count == Table(spark, path).snapshot().rows
+
+
+def test_only_changed_cells_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = clustered(spark, 300, 1)
+    middle = np.random.default_rng(99).normal(size=(10, 12)) * 3
+    ten = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(middle)], "centroid_id long, centroid array<double>")
+    store.write_version(C.assign(rows, ten, "document_id"), ten, path)
+    assert C.refresh_changed(spark, path)["rewritten"] == 0
+    # Rows that come near two of ten middles move two centroids.
+    store.append_embeddings(clustered(spark, 60, 2, 1000, middles=2), path)
+    before = {r["f"] for r in store.read_embeddings(spark, path).select(F.input_file_name().alias("f")).collect()}
+    done = C.refresh_changed(spark, path)
+    after = {r["f"] for r in store.read_embeddings(spark, path).select(F.input_file_name().alias("f")).collect()}
+    assert (done["cells"], done["changed"], done["rewritten"]) == (10, 2, 2)
+    kept = {f for f in before if not re.search("centroid_id=[01]/", f)}
+    assert kept < after and all(re.search("centroid_id=[01]/", f) for f in after - kept)
+    assert_fully_assigned(spark, path, 360)
+    # A split, and cells that are given up, beside rows that come later.
+    store.append_embeddings(clustered(spark, 40, 3, 2000), path)
+    done = C.refresh_changed(spark, path, grown=9, most=60, least=34)
+    assert done["changed"] > 2 and store.read_centroids(spark, path).count() != 10
+    assert_fully_assigned(spark, path, 400)
+    stored, cells = store.read_embeddings(spark, path), X.stored_cells(spark, path)
+    vector = [float(x) for x in rows.first()["embedding"]]
+    assert int(cells.rows.sum()) == 400
+    assert [r[0] for r in X.bounded_documents(stored, cells, vector, 15)[0].collect()] == [r[0] for r in S.search_documents(stored, vector, 15).collect()]
+    C.refresh(spark, path, 6)
+    assert_fully_assigned(spark, path, 400)
+
+
+def test_changed_cells_of_spread_vectors(spark, tmp_path):
+    """Where cells overlap, members of cells that didn't change can belong to others now."""
+    path = str(tmp_path / "v")
+    store.append_embeddings(clustered(spark, 200, 5, spread=4.0), path)
+    C.refresh(spark, path, 8)
+    store.append_embeddings(clustered(spark, 150, 6, 1000, spread=4.0, middles=1), path)
+    C.refresh_changed(spark, path, grown=0.3, most=80, least=12)
+    assert_fully_assigned(spark, path, 350)
+
+
+def plain_paragraphs(text, length):
+    windows = [text[i : i + length] for i in range(0, len(text), length)]
+    heads = [0 if i == 0 else (m.end() if (m := re.match(r"(?s).*?(?:[.!?][ \t\n]|\n)", w)) else 0) for i, w in enumerate(windows)]
+    starts = [i * length + h for i, h in enumerate(heads)] + [len(text)]
+    return [(a, text[a:b]) for a, b in zip(starts, starts[1:]) if b > a]
+
+
+def test_paragraphs_are_the_text_in_order(spark):
+    rng = random.Random(1)
+    texts = [None, "", "a", ". ", "x" * 100, "é. 😀! b\n" * 30, "\n" * 50] + ["".join(rng.choice("ab. !?\n😀é") for _ in range(rng.randint(0, 120))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "document_id long, document string")
+    for length in (1, 7, 20, 1000):
+        got = {}
+        for r in G.paragraph_rows(frame, length).collect():
+            got.setdefault(r["document_id"], []).append((r["start"], r["paragraph"]))
+        for i, t in enumerate(texts):
+            own = sorted(got.get(i, []))
+            assert own == plain_paragraphs(t or "", length) and "".join(p for _, p in own) == (t or "") and all(len(p) <= 2 * length for _, p in own)
+
+
+def test_the_best_paragraph(spark):
+    model, rng = CharacterCounts("abcdefgh"), random.Random(2)
+    docs = [(i, "".join(rng.choice("abcdefgh. ") for _ in range(rng.randint(60, 300)))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "document_id long, document string")
+    rows = G.embed_paragraphs(frame, model, 40)
+    query = [1.0, 2.0, 0.3, 0.7, 1.1, 0.2, 2.3, 0.9]
+    want = []
+    for i, t in docs:
+        own = []
+        for start, p in plain_paragraphs(t, 40):
+            v = model([p])[0].astype(float)
+            if v.any():
+                own.append((float(v @ query / np.linalg.norm(v) / np.linalg.norm(query)), -start, len(p)))
+        if own:
+            s, start, n = max(own)
+            want.append((-s, i, -start, n))
+    best = G.best_paragraphs(rows, query, 10, 2)
+    got = sorted((-r["similarity"], r["document_id"], r["start"], r["length"]) for r in best.collect())
+    assert [(i, a, n) for _, i, a, n in got] == [(i, a, n) for _, i, a, n in sorted(want)[2:12]]
+    texts = dict(docs)
+    assert all(r["paragraph"] == texts[r["document_id"]][r["start"] : r["start"] + r["length"]] for r in G.read_paragraphs(best, frame).collect())
+
+
+def plain_cut(text, budget):
+    sentences = re.findall(r"(?s).+?(?:[.!?][ \t\n]|\n|\Z)", text)
+    kept, used = "", 0
+    for s in sentences:
+        used += len(re.findall(r"[^ \t\n\r\f]+", s))
+        if used > budget:
+            break
+        kept += s
+    return kept if kept or not text else "".join(re.findall(r"[ \t\n\r\f]*[^ \t\n\r\f]+", sentences[0])[: max(0, budget)])
+
+
+def test_prompts_stay_within_the_context(spark):
+    rng = random.Random(3)
+    texts = ["", "one", "no end of it " * 50, "a. b! c? d\ne"] + ["".join(rng.choice(["ab ", "c. ", "d", "\n", "é!", " "]) for _ in range(rng.randint(0, 90))) for _ in range(200)] + [None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "document_id long, document string")
+    fixed = len(f"what is it {SUMMARY_REQUEST}".split())
+    for context in (fixed, fixed + 1, fixed + 9, 8192):
+        got = {r["document_id"]: r for r in prompts_within(frame, "what is it", context).collect()}
+        for i, t in enumerate(texts):
+            assert got[i]["prompt"] == f"what is it\n{SUMMARY_REQUEST}\n{plain_cut(t or '', context - fixed)}"
+            assert got[i]["tokens"] == len(re.findall(P.TOKEN, got[i]["prompt"])) <= context
+    with pytest.raises(ValueError):
+        prompts_within(frame, "what is it", fixed - 1)
+    said = []
+    list(summary_stream(frame, "q", 2, lambda p: said.append(p) or ["x"], context=30))
+    assert len(said[0].split()) <= 30 and math.isfinite(len(said))
