@@ -23,6 +23,7 @@ from ..sources.dump import read_pages
 from ..sources.scratch import scratch_path
 from ..sources.store import append_documents, append_embeddings, read_centroids, read_documents, read_embeddings, read_rows, stored_counts, write_version
 from ..streaming.incremental import start_import
+from ..streaming.stateful import start_stateful_import
 from .service import answer_json, parsed_requests
 
 _PREFIXES = [p.capitalize() for p in T.NAMESPACE_PREFIXES]
@@ -252,6 +253,13 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path).select("name", "external_id")
 
 
+def stream_import_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of dumps imported by a stream that keeps the names it has seen as state; all are one batch."""
+    path = scratch_path(spark, "state-store")
+    start_stateful_import(spark, _dump(spark, sf_dir), path, scratch_path(spark, "state-progress"), files=100_000).awaitTermination()
+    return read_documents(spark, path).select("name", "external_id")
+
+
 def dump_bad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dump in which every seventh page has a number that isn't one; these are skipped and the next ones read."""
     path = scratch_path(spark, "dump")
@@ -462,7 +470,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         search_exact_topk, search_offset_page, search_batch_topk, search_tenant_filter, search_score_percent, doc_score_max, clean_markup, strip_page_entities,
-        namespace_filter, disambiguation_filter, article_url, dedup_first_title, anti_join_imported, import_pipeline, import_funnel, dump_scan, dump_bad_pages, document_store, stream_import, import_embed_store, ivf_store, refresh_centroids, table_counts, counts_display,
+        namespace_filter, disambiguation_filter, article_url, dedup_first_title, anti_join_imported, import_pipeline, import_funnel, dump_scan, dump_bad_pages, document_store, stream_import, stream_import_by_state, import_embed_store, ivf_store, refresh_centroids, table_counts, counts_display,
         centroid_means, centroid_assign, ivf_search, prompt_build, doc_lookup, refresh_grown_cells, import_refresh_search, failed_uploads, bounded_search, quantised_search, paragraph_rows, best_paragraph, prompt_within_context, request_json, response_json, kmeans_refresh, hash_embed, hash_embed_search, lsh_approximate,
     )
 } | {name: _step(function) for name, function in _STEPS.items()}
@@ -543,6 +551,7 @@ ORACLE_SQL: dict[str, str] = {
     "doc_lookup": "SELECT doc_id AS document_id, text AS document FROM documents WHERE doc_id IN (3, 5, 8, 99999999)",
     "request_json": "WITH b AS (SELECT event_id, to_json({'text': event_type, 'count': user_id, 'offset': event_id})::VARCHAR AS body FROM events) SELECT event_id, body, body->>'$.text' AS text, (body->>'$.count')::BIGINT AS \"count\", (body->>'$.offset')::BIGINT AS \"offset\" FROM b",
 } | {name: f"WITH {_MARKED} SELECT doc_id, {step('text')} AS document FROM marked" for name, step in _SQL_STEPS.items()}
+ORACLE_SQL["stream_import_by_state"] = ORACLE_SQL["stream_import"]
 ORACLE_SQL["bounded_search"] = ORACLE_SQL["search_batch_topk"]
 ORACLE_SQL["paragraph_rows"] = f"WITH {_CUT} SELECT doc_id AS document_id, start, paragraph FROM paragraphs"
 ORACLE_SQL["best_paragraph"] = f"""WITH {_CUT}, scored AS (SELECT doc_id, start, paragraph, {_COS.format(_sql_letters('paragraph'), _ASKED)} AS s FROM paragraphs WHERE list_sum({_sql_letters('paragraph')}) > 0),

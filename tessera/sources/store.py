@@ -23,7 +23,7 @@ def document_id(owner: str = "owner", category: str = "category", name: str = "n
     return F.xxhash64(owner, category, name).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def append_documents(documents: DataFrame, path: str, base: Snapshot | None = None) -> Snapshot:
+def append_documents(documents: DataFrame, path: str, base: Snapshot | None = None, batch: tuple[str, int] | None = None) -> Snapshot:
     """Add (name, external_id, document, owner, category).
 
     ``base`` is the version that the rows were compared with.  Names that another import has committed since then are left out,
@@ -37,7 +37,17 @@ def append_documents(documents: DataFrame, path: str, base: Snapshot | None = No
         added = newer.since(older)
         return rows.join(table.read(newer, added).select(*keys), keys, "left_anti") if added else rows
 
-    return table.append(documents.withColumn("document_id", document_id()).select(*DOCUMENT.names), TENANT, again, base)
+    return table.append(documents.withColumn("document_id", document_id()).select(*DOCUMENT.names), TENANT, again, base, batch)
+
+
+def append_batch(documents: DataFrame, path: str, stream: str, number: int) -> None:
+    """Add a stream's batch of new documents, once however often it is run; an empty batch leaves the store as it is."""
+    table = Table(documents.sparkSession, path)
+    base = table.snapshot()
+    if base.batches.get(stream, -1) < number:
+        append_documents(documents, path, base, (stream, number))
+    else:
+        documents.write.format("noop").mode("overwrite").save()  # its state is still to be stored
 
 
 def _layout(embeddings: DataFrame) -> tuple[DataFrame, list[str]]:
