@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions import text as T
 
@@ -14,6 +17,66 @@ def observed(rows: DataFrame, text: str = "document") -> tuple[DataFrame, Observ
     return rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("characters")), seen
 
 
+def file_bytes(spark: SparkSession, files: list[str]) -> int:
+    """Bytes of some files, as they are stored."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    return sum((p := path(f)).getFileSystem(conf).getFileStatus(p).getLen() for f in files)
+
+
+def consumed(rows: DataFrame) -> tuple[DataFrame, Observation, int]:
+    """``rows`` of a dump, an observation of their number, and the bytes of the files that they are read from."""
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen, file_bytes(rows.sparkSession, rows.inputFiles())
+
+
+class StreamConsumed(StreamingQueryListener):
+    """Adds up what a stream over a folder of dumps has read: pages, the bytes of their files, and both by batch.
+
+    Rows are those of the query's progress; a batch's files stand in the log of the stream's checkpoint.
+    """
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self.spark, self.checkpoint = spark, checkpoint
+        self.batches: dict[int, tuple[int, int]] = {}  # batch -> rows, bytes
+
+    @property
+    def rows(self) -> int:
+        return sum(r for r, _ in self.batches.values())
+
+    @property
+    def bytes(self) -> int:
+        return sum(b for _, b in self.batches.values())
+
+    def _files(self, batch: int) -> list[str]:
+        log = f"{self.checkpoint}/sources/0"
+        for name in (f"{log}/{batch}", f"{log}/{batch}.compact"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if fs.exists(path):
+                stream = fs.open(path)
+                try:
+                    lines = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")[1:]
+                finally:
+                    stream.close()
+                return [e["path"] for e in map(json.loads, filter(None, lines)) if e["batchId"] == batch]
+        return []
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        ends = [json.loads(s.endOffset).get("logOffset") for s in p.sources if s.endOffset]
+        if p.numInputRows and ends:
+            self.batches[p.batchId] = (p.numInputRows, file_bytes(self.spark, self._files(int(ends[0]))))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def import_funnel(pages: DataFrame, stored: DataFrame, sequence: str = "ingest_seq") -> DataFrame:
     """(step, rows) left after each step of an import, in the importer's order.
 

@@ -1,10 +1,15 @@
 """First pages of names by keyed state, with restarts in the middle."""
 
+import time
+
 import pytest
 
+from tessera.operators.progress import StreamConsumed, consumed
+from tessera.sources.dump import read_pages
 from tessera.sources.commits import Table
 from tessera.sources.store import append_documents, read_documents
 from tessera.streaming import stateful
+from tessera.streaming.incremental import start_import
 
 PAGE = "<page><title>{}</title><ns>0</ns><id>{}</id><revision><text>{}</text></revision></page>"
 
@@ -48,3 +53,24 @@ def test_names_are_state(spark, tmp_path, monkeypatch):
     versions = Table(spark, store).versions()
     run()
     assert Table(spark, store).versions() == versions
+
+
+def test_bytes_and_pages_consumed(spark, tmp_path):
+    folder, store, checkpoint = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "progress")
+    folder.mkdir()
+    for i in range(4):
+        dump(folder, f"{i}.xml", *[(f"T{i}x{k}", 10 * i + k, "text " * (k + 1)) for k in range(i + 2)])
+    sizes = [f.stat().st_size for f in sorted(folder.iterdir())]
+    listener = StreamConsumed(spark, checkpoint)
+    spark.streams.addListener(listener)
+    try:
+        start_import(spark, str(folder), store, checkpoint).awaitTermination(180)
+        until = time.time() + 20
+        while len(listener.batches) < 4 and time.time() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert (listener.rows, listener.bytes) == (14, sum(sizes)) and sorted(listener.batches.values()) == sorted((i + 2, n) for i, n in enumerate(sizes))
+    rows, seen, size = consumed(read_pages(spark, str(folder)))
+    rows.write.format("noop").mode("overwrite").save()
+    assert (seen.get["rows"], size) == (14, sum(sizes))
