@@ -17,8 +17,9 @@ def article_candidates(pages: DataFrame, drop_redirects: bool = False) -> DataFr
 
 
 def clean_articles(pages: DataFrame, **options) -> DataFrame:
-    """Candidates with their cleaned ``document``, where something is left of it."""
-    return article_candidates(pages, **options).withColumn("document", T.clean_markup(F.coalesce("text", F.lit("")))).where("document <> ''")
+    """Candidates with their cleaned ``document``, where something is left of it; a generator cleans and filters, so a text is cleaned once."""
+    cleaned = F.filter(F.array(T.clean_markup(F.coalesce("text", F.lit("")))), lambda d: d != "")
+    return article_candidates(pages, **options).withColumn("document", F.explode(cleaned))
 
 
 def first_by_name(rows: DataFrame, name: str = "name", sequence: str = "ingest_seq") -> DataFrame:

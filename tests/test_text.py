@@ -111,3 +111,13 @@ def test_tables_that_are_never_closed_take_linear_time(spark):
     rows.select(F.length(T.strip_wiki_tables(F.col("t"))), F.length(T.strip_html_tables(F.col("t")))).collect()
     assert time.time() - began < 10
     rows.unpersist()
+
+
+def test_a_text_stands_in_the_plan_once(spark):
+    """Steps that use their input several times bind it; an import cleans a text once."""
+    from tessera.operators.importer import new_documents
+
+    pages = spark.createDataFrame([("A", "see http://a/b {| x |} y", 1, None)], "title string, text string, ingest_seq long, redirect string")
+    for rows in (pages.select(T.clean_markup(F.col("text")).alias("document")), new_documents(pages)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("http[s]") == 1
+        assert [r["document"] for r in rows.collect()] == ["see   y"]
