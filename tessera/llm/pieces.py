@@ -21,6 +21,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from ._common import bounded_batches
 
 SPACE = "▁"
 #: Words that a worker remembers, and the longest of them in characters.
-CACHE, LONGEST = 150_000, 48
+CACHE, LONGEST = 300_000, 48
 #: Texts of at most so many bytes together are encoded before they are handed on, or a single longer one.
 HELD_BYTES = 1 << 20
 _REPLACEMENT = "�".encode()
@@ -100,6 +101,7 @@ class PieceModel:
         self._ranks = {p: levels[x] for p, (x, _) in self._scores.items()}
         self._ids = {p: i for p, (_, i) in self._scores.items()}
         self._sizes = [1 if k == _BYTE else len(p.encode()) for k, p in zip(self.kinds, self.pieces)]
+        self._width = np.array(self._sizes, np.int32)
         self._path, self._library = path, None
         self._unused = {p.piece for p in model.pieces if p.type == _UNUSED}
         self._bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
@@ -114,9 +116,9 @@ class PieceModel:
         self._surfaces = [b"" if k == _CONTROL else unk if k == _UNKNOWN else bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for k, p in zip(self.kinds, self.pieces)]
         self._bare = [s if k in (_CONTROL, _UNKNOWN, _BYTE) or not s.startswith(b" ") else s[1:] for s, k in zip(self._surfaces, self.kinds)]
         self._plain = cuts and self.dummy and not self.suffix and not self.squeeze and self.map is None
-        # What merging gave for a word: ids, and how many bytes of the normalised text each takes, in two generations.
-        self._known: dict[str, tuple[bytes, bytes]] = {}
-        self._older: dict[str, tuple[bytes, bytes]] = {}
+        # What merging gave for a word, packed, in two generations.
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the place in ``text`` that it comes from."""
@@ -181,12 +183,12 @@ class PieceModel:
                 ranks[i - 1] = get(parts[i - 1] + parts[i], none)
         return parts
 
-    def _merge(self, word: str) -> tuple[list[int], list[int]]:
-        """Ids of a normalised word, and how many of its bytes each takes."""
+    def _merge(self, word: str) -> list[int]:
+        """Packed ids of a normalised word: above 24 bits an unknown piece has how many of the word's bytes it takes; all others take as many as they have."""
         if len(word) <= LONGEST and self._users is None and not self._unused:
             parts = self._short(word)
             ids = list(map(self._ids.get, parts))
-            return (ids, [self._sizes[i] for i in ids]) if None not in ids else self._found(parts, {})
+            return ids if None not in ids else self._found(parts, {})
         frozen: set[int] = set()
         if self._users is None:
             symbols = list(word)
@@ -228,32 +230,26 @@ class PieceModel:
                 heappush(heap, p)
         return self._found([s for s in symbols if s is not None], taken_apart)
 
-    def _found(self, symbols: list[str], taken_apart: dict[str, tuple[str, str]]) -> tuple[list[int], list[int]]:
-        """Ids and sizes of symbols that nothing merges any more."""
-        ids, sizes = [], []
-        parts = symbols[::-1]
+    def _found(self, symbols: list[str], taken_apart: dict[str, tuple[str, str]]) -> list[int]:
+        """Packed ids of symbols that nothing merges any more."""
+        ids, parts = [], symbols[::-1]
         while parts:
             part = parts.pop()
             if part in taken_apart:
                 parts += reversed(taken_apart[part])
             elif (found := self._ids.get(part)) is not None:
                 ids.append(found)
-                sizes.append(self._sizes[found])
             elif self.fallback:
-                raw = part.encode()
-                ids += map(self._bytes.__getitem__, raw)
-                sizes += [1] * len(raw)
+                ids += map(self._bytes.__getitem__, part.encode())
             else:
-                ids.append(self.unknown)
-                sizes.append(len(part.encode()))
-        return ids, sizes
+                ids.append(self.unknown | len(part.encode()) << 24)
+        return ids
 
-    def _learned(self, word: str, spaced: str) -> tuple[bytes, bytes]:
+    def _learned(self, word: str, spaced: str) -> bytes:
         """What merging gives for ``spaced``, kept under ``word``."""
         got = self._older.get(word)
         if got is None:
-            ids, sizes = self._merge(spaced)
-            got = array("i", ids).tobytes(), array("i", sizes).tobytes()
+            got = array("i", self._merge(spaced)).tobytes()
         if len(word) <= LONGEST:
             if len(self._known) >= CACHE:
                 self._older, self._known = self._known, {}
@@ -269,45 +265,64 @@ class PieceModel:
         except UnicodeDecodeError:
             return None
 
-    def learn(self, texts: list[bytes]) -> None:
-        """Let the library merge the new words of some texts at once, for a model whose normalisation changes nothing but spaces."""
-        if not self._plain:
-            return
+    def learn(self, texts: list[list[str] | None]) -> None:
+        """Let the library merge the new ones among the words of some texts at once, for a model whose normalisation changes nothing but spaces."""
         new: set[str] = set()
-        for text in texts:
-            new.update(self._split(text) or ())
-        new = [w for w in new if w and len(w) <= LONGEST and w not in self._known]
+        for words in texts:
+            new.update(words or ())
+        new -= self._known.keys()
         if len(self._known) + len(new) > CACHE:
             self._older, self._known = self._known, {}
+        known, older, unmet = self._known, self._older, []
+        for word in new:
+            if (got := older.get(word)) is not None:
+                known[word] = got
+            elif word and len(word) <= LONGEST:
+                unmet.append(word)
+        if not unmet:
+            return
         if self._library is None:
             import sentencepiece
 
             self._library = sentencepiece.SentencePieceProcessor(model_file=self._path)
-        sizes = self._sizes
-        for word, ids in zip(new, self._library.encode(new, num_threads=1)):
-            self._known[word] = array("i", ids).tobytes(), array("i", [sizes[i] for i in ids]).tobytes()
-
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of a text, and begin and end of each in its bytes."""
+        found = self._library.encode(unmet, num_threads=1)
+        raw, at = array("i", chain.from_iterable(found)).tobytes(), 0
+        for word, ids in zip(unmet, found):
+            end = at + 4 * len(ids)
+            known[word] = raw[at:end]
+            at = end
+
+    def encode_all(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What `encode` gives for each of some texts."""
+        words = list(map(self._split, texts))
+        self.learn(words)
+        return [self.encode(text, own) for text, own in zip(texts, words)]
+
+    def encode(self, text: bytes, words: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a text, and begin and end of each in its bytes; ``words`` are those of `_split`."""
         flat, places = self.normalise(text)
         if not flat:
             return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         # Words are kept as they stand in the text where each has just one space before it.
-        words = self._split(text)
+        words = self._split(text) if words is None else words
         plain = words is not None
         if not plain:
             words = ["\0" + w for w in self._words.findall(flat.decode())]
         found = list(map(self._known.get, words))
-        for i, got in enumerate(found):
-            if got is None:
-                word = words[i]
-                found[i] = self._known.get(word) or self._learned(word, SPACE + word if plain else word[1:])
-        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-        ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), np.int32), dtype=np.int64)
+        if None in found:
+            for i, got in enumerate(found):
+                if got is None:
+                    word = words[i]
+                    found[i] = self._known.get(word) or self._learned(word, SPACE + word if plain else word[1:])
+        ids = np.frombuffer(b"".join(found), np.int32)
         if not self.fallback:
+            extra, ids = ids >> 24, ids & 0xFFFFFF
+            ends = np.cumsum(np.where(extra > 0, extra, self._width[ids]), dtype=np.int64)
             # Neighbouring unknown pieces are one.
             last = np.append((ids[1:] != self.unknown) | (ids[:-1] != self.unknown), True)
             ids, ends = ids[last], ends[last]
+        else:
+            ends = np.cumsum(self._width[ids], dtype=np.int64)
         begins = np.append(0, ends[:-1])
         if self.fallback:
             # All byte pieces of a character begin where it does, and the last ends where it does.
@@ -369,8 +384,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
         pieces = _model(model)
 
         def encoded(keys: pa.Array, texts: list) -> pa.RecordBatch:
-            pieces.learn([t for t in texts if t])
-            done = [pieces.encode(t or b"") for t in texts]
+            done = pieces.encode_all([t or b"" for t in texts])
             text = [pa.array([pieces.decode(d[0]) for d in done], pa.string())] if decode else []
             return pa.RecordBatch.from_arrays([keys, *(_lists([d[k] for d in done]) for k in range(3)), *text], names)
 
