@@ -98,21 +98,22 @@ def text_key(text: str | Column) -> Column:
     return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit("").cast("binary")))
 
 
-def maybe_in(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
-    """``df`` with a column ``__maybe``: true wherever ``key`` is in ``members`` (one column ``key`` of hashes), and by chance elsewhere.
+def maybe_in(df: DataFrame, key: Column, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: the rows whose ``key`` may be in ``members`` (one column ``key`` of hashes), all that are and some by chance, and the rows whose key isn't.
 
     A bitmap of 16 bits a member, of at most ``FILTER_WORDS`` words of 64 bits, is broadcast, so its size is bounded whatever the data; the fuller it
-    is the more rows are true by chance.  What needs an exact answer joins the rows that are true, and all others are spared that shuffle.
+    is the more rows are among the first by chance.  What needs an exact answer joins those, and all others are spared that shuffle.
     """
     n = members.count()
     words = 1024
     while words < FILTER_WORDS and words * 4 < n:
         words *= 2
     slot = lambda c: F.pmod(c, F.lit(64 * words).cast("long"))
-    place, bit = F.floor(F.col("__slot") / 64).cast("int").alias("__word"), F.expr("shiftleft(1L, cast(__slot % 64 as int))").alias("__bit")
-    bitmap = members.select(slot(F.col("key")).alias("__slot")).select(place, bit).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    marked = df.withColumn("__slot", slot(key)).withColumn("__word", place).join(F.broadcast(bitmap), "__word", "left")
-    return marked.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__slot", "__word", "__bits")
+    place, bit = F.floor(F.col("__slot") / 64).cast("int"), F.expr("shiftleft(1L, cast(__slot % 64 as int))")
+    bitmap = members.select(slot(F.col("key")).alias("__slot")).select(place.alias("__at"), bit.alias("__bit")).groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))
+    marked = df.withColumn("__slot", slot(key)).withColumn("__word", place)
+    met = (F.col("__word") == F.col("__at")) & (F.col("__bits").bitwiseAND(bit) != 0)
+    return tuple(marked.join(F.broadcast(bitmap), met, how).select(df.columns) for how in ("left_semi", "left_anti"))
 
 
 def copies(rows: DataFrame, most: int, n: str = "n", copy: str = "copy") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import maybe_in, staged, text_key
+from ._common import maybe_in, release, staged, text_key
 
 #: Links that one task joins at most.
 ONE_TASK = 1 << 20
@@ -92,13 +92,15 @@ def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: s
     gone = member.join(best, "component").where("key != best").select("key", F.lit(True).alias("gone"))
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     texts = staged(texts.join(gone, "key", "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "decided")
+    release(docs.sparkSession)
     open_texts = texts.where("gone OR rows > 1").select("key")
     # The bitmap lets the same texts through on both sides, some by chance.
-    kept = maybe_in(texts.where("NOT gone"), F.col("key"), open_texts).where("__maybe")
+    kept, _ = maybe_in(texts.where("NOT gone"), F.col("key"), open_texts)
     kept = staged(kept.select(F.col("key").alias("__text"), named("id").alias("__id"), F.col("n").alias("__n")), "kept")
     hot = F.broadcast(kept.where(F.col("__n") > F.greatest(F.lit(1), F.lit(docs.count() * HOT_SHARE))).select("__text", "__id"))
-    keyed, both = maybe_in(docs.withColumns({"__text": text_key(text), "__id": named(doc_id)}), F.col("__text"), open_texts), ["__text", "__id"]
-    unsure = keyed.where("__maybe")
+    release(docs.sparkSession)
+    unsure, sure = maybe_in(docs.withColumns({"__text": text_key(text), "__id": named(doc_id)}), F.col("__text"), open_texts)
+    both = ["__text", "__id"]
     many = unsure.join(hot, both).dropDuplicates(both)
     few = unsure.join(hot, both, "left_anti").join(kept.select(both), both).dropDuplicates(both)
-    return keyed.where("NOT __maybe").select(docs.columns).unionByName(few.select(docs.columns)).unionByName(many.select(docs.columns))
+    return sure.select(docs.columns).unionByName(few.select(docs.columns)).unionByName(many.select(docs.columns))

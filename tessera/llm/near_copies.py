@@ -276,7 +276,7 @@ def _sets(slim: DataFrame, keys: DataFrame) -> DataFrame:
         for key, texts in _fresh(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["key", "shingles"])
 
-    wanted = maybe_in(slim, F.col("key"), keys).where("__maybe").select("key", "body")
+    wanted = maybe_in(slim, F.col("key"), keys)[0].select("key", "body")
     return wanted.mapInArrow(run, "key long, shingles binary").dropDuplicates(["key"])
 
 
