@@ -30,6 +30,9 @@ COLUMNS = {
     "op8": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9": "doc_id held_out score predicted",
     "op10": "doc_id size source_size target taken",
+    "op11": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op12": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op13": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 
@@ -98,7 +101,7 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(name.split("_")[0][2:]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name.split("_")[0][2:]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert corpus_pipeline.ORACLE_SQL is None
 
@@ -110,12 +113,13 @@ def test_query(spark, name):
     rows = df.collect()
     wanted = COLUMNS[name.split("_")[0]].split()
     assert df.columns[: len(wanted)] == wanted
-    if name.split("_")[0] not in ("op4", "op6"):
+    if name.split("_")[0] not in ("op4", "op6", "op12"):
         ids = [r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()]
         assert sorted(r["doc_id"] for r in rows) == sorted(ids)
     if name in ORACLE_SQL:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+        for of in ("documents", "conversations"):
+            con.execute(f"CREATE VIEW {of} AS SELECT * FROM read_parquet('{DATA}/{of}.parquet')")
         found = con.execute(ORACLE_SQL[name])
         assert [c[0] for c in found.description] == df.columns
         assert sorted(map(tuple, rows)) == sorted(found.fetchall())
