@@ -36,17 +36,18 @@ def embed_and_store(documents: DataFrame, embedder: Embedder, path: str, failed:
         replace_rows(rows.where("error IS NOT NULL").select("document_id", *TENANT, "error"), failed)
 
 
-def import_pages(pages: DataFrame, documents: str, embeddings: str, embedder: Embedder, owner: str = "wikipedia", category: str = "wikipedia", service=None, failed: str | None = None, parallel: int | None = None, attempts: int = 3, seconds: float = UPLOAD_SECONDS) -> None:
+def import_pages(pages: DataFrame, documents: str, embeddings: str, embedder: Embedder, owner: str = "wikipedia", category: str = "wikipedia", service=None, failed: str | None = None, parallel: int | None = None, attempts: int = 3, seconds: float = UPLOAD_SECONDS, sequence: str = "ingest_seq") -> None:
     """Add the pages' new documents to the store at ``documents`` and their vectors to the one at ``embeddings``.
 
     A second run on the same pages adds nothing, and one after an interruption embeds what the first one left.  Imports can run at once and
-    beside a refresh.  ``parallel`` bounds how many tasks call the model at once (`Settings.upload_parallelism`).  A ``service`` keeps no counts meanwhile.
+    beside a refresh.  Of pages of one name the first by ``sequence`` counts; a dump of several files has no order among them, so ``page_id`` is the one
+    to take there.  ``parallel`` bounds how many tasks call the model at once (`Settings.upload_parallelism`).  A ``service`` keeps no counts meanwhile.
     """
     spark = pages.sparkSession
     mine = lambda df: df.where((F.col("owner") == owner) & (F.col("category") == category))
     with service.importing() if service is not None else nullcontext():
         before = Table(spark, documents).snapshot()
-        append_documents(new_documents(pages, mine(read_documents(spark, documents, before)), owner, category), documents, before)
+        append_documents(new_documents(pages, mine(read_documents(spark, documents, before)), owner, category, sequence), documents, before)
         rows, vectors = mine(read_documents(spark, documents)), Table(spark, embeddings)
         base = vectors.snapshot()
         embed_and_store(missing_embeddings(rows, mine(vectors.read(base))) if base.version else rows, embedder, embeddings, failed, parallel, attempts, seconds, base)

@@ -31,7 +31,7 @@ def _kept(pages: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str, skip_corrupt_files: bool = False) -> DataFrame:
-    """(title, text, page_id, ns, redirect, ingest_seq) of a dump; ``ingest_seq`` follows the order of the file.
+    """(title, text, page_id, ns, redirect, ingest_seq) of a dump; ``ingest_seq`` follows the order within a file, and no order among several.
 
     A file that ends inside a compressed block fails the read, or with ``skip_corrupt_files`` gives the pages before that place.
     """
