@@ -14,6 +14,8 @@ from ..sources.scratch import scratch_path
 
 #: Query vectors that one pass over the embeddings holds.
 QUERY_BLOCK = 1024
+#: Embeddings that a task compares with a block of queries at once; a block and so many make 8 MB of similarities.
+TILE_ROWS = 1024
 #: Embeddings that a round of a search for documents takes at most.
 ROUND_ROWS = 65_536
 #: Ids that are pushed into a scan at most; a larger page is joined alone.
@@ -92,8 +94,8 @@ def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: st
     """(query_id, key, similarity, rank) of the k nearest of every query.
 
     Queries go out in blocks of ``QUERY_BLOCK`` vectors, whatever their number; all blocks but the last write their results to
-    the shared folder before the next goes out.  A task multiplies Arrow batches by the block and
-    keeps k rows a query, so what is shuffled is k rows a query and task.
+    the shared folder before the next goes out.  A task multiplies ``TILE_ROWS`` embeddings at once by the block and
+    keeps k rows a query, so its memory doesn't grow with either table, and what is shuffled is k rows a query and task.
 
     ``probes``: ids of centroids, and a function from a block's query ids and unit vectors to marks, a row a query and a column a centroid; embeddings then
     have a ``centroid_id``, a query is multiplied with those of its centroids alone, and embeddings that no query of the block marks aren't read.
@@ -113,28 +115,36 @@ def search_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, key: st
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, unit, asks = shared.value
-            best_key, best = np.zeros((len(ids), 0), np.int64), np.empty((len(ids), 0))
+            # The best so far, by place of the query, then by falling similarity and key.
+            of, sim, found = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+            worst = np.full(len(ids), -np.inf)  # what a row must reach to be among a query's k
             for batch in batches:
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
-                if not len(keys):
-                    continue
-                rows = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)
-                rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                if probes:
-                    got, of = np.full((len(ids), len(keys)), -np.inf), np.array(batch.column(2).to_pylist(), object)
-                    for c in set(of.tolist()):
-                        q, r = asks.get(c, ()), np.flatnonzero(of == c)
-                        if len(q):
-                            got[np.ix_(q, r)] = unit[q] @ rows[r].T
-                else:
-                    got = unit @ rows.T
-                best = np.hstack([best, got])
-                best_key = np.hstack([best_key, np.broadcast_to(keys, got.shape)])
-                order = np.lexsort((best_key, -best), axis=1)[:, :k]
-                best, best_key = np.take_along_axis(best, order, 1), np.take_along_axis(best_key, order, 1)
-            n = best.shape[1]
-            asked = np.isfinite(best.reshape(-1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)[asked]), pa.array(best_key.reshape(-1)[asked]), pa.array(best.reshape(-1)[asked])], [query_key, key, "similarity"])
+                for at in range(0, batch.num_rows, TILE_ROWS):
+                    part = batch.slice(at, TILE_ROWS)
+                    keys = part.column(0).to_numpy(zero_copy_only=False)
+                    rows = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)
+                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+                    if probes:
+                        got, cell = np.full((len(ids), len(keys)), -np.inf), np.array(part.column(2).to_pylist(), object)
+                        for c in set(cell.tolist()):
+                            q, r = asks.get(c, ()), np.flatnonzero(cell == c)
+                            if len(q):
+                                got[np.ix_(q, r)] = unit[q] @ rows[r].T
+                    else:
+                        got = unit @ rows.T
+                    least = np.maximum(worst, np.partition(got, len(keys) - k, axis=1)[:, len(keys) - k]) if 0 < k < len(keys) else worst
+                    q, r = np.nonzero((got >= least[:, None]) & np.isfinite(got))
+                    if not len(q):
+                        continue
+                    of, sim, found = np.concatenate([of, q]), np.concatenate([sim, got[q, r]]), np.concatenate([found, keys[r]])
+                    order = np.lexsort((found, -sim, of))
+                    starts = np.searchsorted(of[order], np.arange(len(ids)))
+                    order = order[np.arange(len(order)) - starts[of[order]] < k]
+                    of, sim, found = of[order], sim[order], found[order]
+                    last = np.searchsorted(of, np.arange(len(ids))) + k - 1
+                    full = np.bincount(of, minlength=len(ids)) >= max(k, 1)
+                    worst[full] = sim[last[full]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[of]), pa.array(found, pa.int64()), pa.array(sim, pa.float64())], [query_key, key, "similarity"])
 
         rows = embeddings.where(F.col(column).isNotNull())
         if probes and len(asks) <= PUSHED_IDS:

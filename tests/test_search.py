@@ -283,3 +283,40 @@ def test_many_requests_are_parsed_like_one(spark):
             assert got[body] is None, body
         else:
             assert (got[body]["text"], got[body]["count"], got[body]["offset"]) == (expected.text, expected.count, expected.offset), body
+
+
+def test_batch_search_in_tiles_with_ties(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = rng.integers(-1, 2, (300, 3)).astype(float)  # very many equal vectors
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(values)], "vec_id long, embedding array<double>").repartition(3)
+    queries = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    monkeypatch.setattr(S, "TILE_ROWS", 16)
+    found = {}
+    for r in S.search_batch(rows, queries, 7).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r
+    lengths = np.maximum(np.linalg.norm(values, axis=1), 1e-300)
+    assert len(found) == 30
+    for q, ranks in found.items():
+        near = np.round((values @ values[q]) / lengths / lengths[q], 9)
+        assert [round(ranks[i + 1]["similarity"], 9) for i in range(7)] == sorted(near.tolist(), reverse=True)[:7]
+        assert len({r["vec_id"] for r in ranks.values()}) == 7
+
+
+def test_batch_search_keeps_its_memory(spark):
+    """What a task holds follows the tile, not the rows of an Arrow batch times the queries."""
+    import resource
+
+    import pyarrow as pa
+
+    def most(rows):
+        def run(batches):
+            for _ in batches:
+                pass
+            yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss])], ["kb"])
+
+        return max(r["kb"] for r in rows.mapInArrow(run, "kb long").collect()) // 1024
+
+    rows = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("vec_id"), F.array(*[F.xxhash64("id", F.lit(i)) / 1e18 for i in range(8)]).alias("embedding"))
+    before = most(rows)
+    assert S.search_batch(rows, rows.where("vec_id < 1000").withColumnRenamed("vec_id", "query_id"), 5).count() == 5000
+    assert most(rows) - before < 200
