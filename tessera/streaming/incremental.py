@@ -25,8 +25,11 @@ def import_batch(pages: DataFrame, store: str, owner: str, category: str, embedd
     append_documents(new_documents(pages, stored, owner, category), store, before)
 
 
-def start_import(spark: SparkSession, folder: str, store: str, checkpoint: str, owner: str = "wikipedia", category: str = "wikipedia", once: bool = True, embeddings: str | None = None, embedder: Embedder | None = None) -> StreamingQuery:
-    """A streaming query over a folder of dumps; ``once`` ends it when all that is there is imported."""
-    writer = stream_pages(spark, folder).writeStream.option("checkpointLocation", checkpoint)
+def start_import(spark: SparkSession, folder: str, store: str, checkpoint: str, owner: str = "wikipedia", category: str = "wikipedia", once: bool = True, embeddings: str | None = None, embedder: Embedder | None = None, files: int = 1) -> StreamingQuery:
+    """A streaming query over a folder of dumps, ``files`` of them a batch; ``once`` ends it when all that is there is imported.
+
+    Each batch is compared with the names of the whole store, so of many small files many should make a batch.
+    """
+    writer = stream_pages(spark, folder, files).writeStream.option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(lambda pages, _: import_batch(pages, store, owner, category, embeddings, embedder))
     return (writer.trigger(availableNow=True) if once else writer).start()

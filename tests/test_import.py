@@ -82,3 +82,28 @@ def test_a_dump_that_ends_too_early(spark, tmp_path):
         read_pages(spark, str(tmp_path)).collect()
     titles = [r["title"] for r in read_pages(spark, str(tmp_path), skip_corrupt_files=True).collect()]
     assert "Second" in titles and titles.count("Redirect") <= 2
+
+
+def test_a_stream_takes_several_files_a_batch(spark, tmp_path):
+    """Batches are as many as the files ask for, not as many as the files, and each reads the store once."""
+    folder, store = tmp_path / "dumps", str(tmp_path / "store")
+    folder.mkdir()
+    for i in range(5):
+        (folder / f"{i}.xml").write_text(DUMP.replace("Twice", f"Twice {i}"))
+    query = start_import(spark, str(folder), store, str(tmp_path / "checkpoint"), files=3)
+    query.awaitTermination(120)
+    assert query.lastProgress["batchId"] == 1
+    rows = read_documents(spark, store).collect()
+    assert sorted(r["name"] for r in rows) == sorted({*EXPECTED, *[f"Twice {i}" for i in range(5)]} - {"Twice"})
+
+
+def test_the_stream_query_is_one_batch(spark, tmp_path, monkeypatch):
+    from tessera.plans import queries as Q
+
+    text = "text " * 20
+    for i in range(3):
+        spark.createDataFrame([(3 * i + k, f"{text}{i} {k}") for k in range(3)], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    started, real = [], Q.start_import
+    monkeypatch.setattr(Q, "start_import", lambda *a, **b: started.append(real(*a, **b)) or started[-1])
+    assert sorted(r["name"] for r in Q.stream_import(spark, str(tmp_path)).collect()) == ["Article 0", "Article 1", "Article 2"]
+    assert started[0].lastProgress["batchId"] == 0
