@@ -74,3 +74,18 @@ def test_bytes_and_pages_consumed(spark, tmp_path):
     rows, seen, size = consumed(read_pages(spark, str(folder)))
     rows.write.format("noop").mode("overwrite").save()
     assert (seen.get["rows"], size) == (14, sum(sizes))
+
+
+def test_a_name_costs_no_data_frame():
+    """Rows of a name come as they are; the first is that of the lowest file and id, one without an id last."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    values = []
+    seen = SimpleNamespace(exists=lambda: bool(values), update=values.append)
+    first = stateful.FirstOfName()
+    first.init(SimpleNamespace(getValueState=lambda *_: seen))
+    rows = [Row(name="A", document=d, file=f, page_id=p) for d, f, p in (("x", "2", 1), ("none", "1", None), ("y", "1", 9), ("z", "1", 3))]
+    assert list(first.handleInputRows(("A",), iter(rows), None)) == [Row(name="A", document="z")]
+    assert list(first.handleInputRows(("A",), iter(rows), None)) == []
