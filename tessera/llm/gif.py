@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +28,11 @@ FRAME_ROWS = 340
 DELAY_CS = 4
 BINS = 8
 _FULL = 4096
+_GREY = bytes(v for i in range(256) for v in (i, i, i))
 #: Pixels that a byte stands for at most: a code stands for under 4096, and one for many takes more than a byte.
 PIXELS_A_BYTE = 4096
+#: Bytes of code streams that are decoded in the same steps.
+TOGETHER = 1 << 17
 
 
 def _widths(minimum: int, n: int) -> np.ndarray:
@@ -49,36 +52,43 @@ def _starts(minimum: int, n: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
     return _STARTS[minimum, n]
 
 
+#: At 256 times a code plus a byte: 256 times the code of both, 0 if there is none. All of it is 0 between calls.
+_LONGER: list[int] = []
+
+
 def lzw_encode(data: bytes, minimum: int = 8) -> bytes:
     """Variable-width LZW; the table is cleared when it is full."""
     clear, end, first = 1 << minimum, (1 << minimum) + 1, (1 << minimum) + 2
+    if not _LONGER:
+        _LONGER.extend([0] * (_FULL << 8))
     limit = _FULL - first
-    codes: list[int] = []
     segments: list[np.ndarray] = []
-    known: dict[int, int] = {}
-    add, get = codes.append, known.get
-    new, now = first, -1
-    for byte in data:
-        if now < 0:
-            now = byte
-            continue
-        key = now << 8 | byte
-        code = get(key)
-        if code is not None:
+    keys: list[int] = []
+    longer, add = _LONGER, keys.append
+    new, full = first << 8, _FULL << 8
+
+    def cut(*last: int) -> None:
+        for key in keys:
+            longer[key] = 0
+        segments.append(np.array([*keys, *last], np.int64) >> 8)
+        keys.clear()
+
+    rest = iter(data)
+    now = next(rest, -1) << 8
+    for byte in rest:
+        key = now + byte
+        code = longer[key]
+        if code:
             now = code
             continue
-        add(now)
-        known[key] = new
-        new += 1
-        now = byte
-        if new == _FULL:
-            segments.append(np.array(codes, np.int64))
-            codes.clear()
-            known.clear()
-            new = first
-    if now >= 0:
-        codes.append(now)
-    segments.append(np.array(codes, np.int64))
+        add(key)
+        longer[key] = new
+        new += 256
+        now = byte << 8
+        if new == full:
+            cut()
+            new = first << 8
+    cut(*([now] if data else []))
     # The clear code before each segment is the last code of the table before it; the first one has the starting width.
     values, sizes = [np.array([clear])], [np.array([minimum + 1])]
     offsets, widths = _starts(minimum)
@@ -95,17 +105,13 @@ def lzw_encode(data: bytes, minimum: int = 8) -> bytes:
     return out[:total].astype(np.uint8).tobytes()
 
 
-def lzw_decode(raw: bytes, minimum: int, limit: int) -> bytes:
-    """At most ``limit`` bytes of the code stream; it ends at the end code or where the codes stop."""
-    if not 1 <= minimum <= 11:
-        raise ValueError("LZW minimum code size out of range")
+def _code_blocks(raw: bytes, minimum: int) -> Iterator[np.ndarray]:
+    """The codes between clear codes, up to the end code or where the codes stop."""
     clear, end = 1 << minimum, (1 << minimum) + 1
     b = np.frombuffer(raw + b"\0\0\0", np.uint8).astype(np.int64)
-    bits, at, out, got = len(raw) * 8, 0, [], 0
-    base = [bytes([i]) for i in range(min(clear, 256))] + [b""] * (max(0, clear - 256) + 2)
+    bits, at, position, parts = len(raw) * 8, 0, 0, []
     offsets, widths = _starts(minimum)
-    table, last, position = list(base), b"", 0
-    while at < bits and got < limit:
+    while at < bits:
         if position + 1 >= len(offsets) - 2048:
             off, w = np.arange(2048) * 12, np.full(2048, 12)
         else:
@@ -118,22 +124,7 @@ def lzw_decode(raw: bytes, minimum: int, limit: int) -> bytes:
         codes = ((b[byte] | b[byte + 1] << 8 | b[byte + 2] << 16) >> (off & 7)) & ((1 << w) - 1)
         special = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(special[0]) if len(special) else len(codes)
-        parts: list[bytes] = []
-        add, grow, size = parts.append, table.append, len(table)
-        for code in codes[:stop].tolist():
-            if code < size:
-                entry = table[code]
-            elif code == size and last and size < _FULL:
-                entry = last + last[:1]
-            else:
-                raise ValueError("LZW code outside the table")
-            add(entry)
-            if last and size < _FULL:
-                grow(last + entry[:1])
-                size += 1
-            last = entry
-        out.append(b"".join(parts))
-        got += len(out[-1])
+        parts.append(codes[:stop])
         position += stop
         if stop == len(codes):
             at = int(off[-1] + w[-1])
@@ -141,8 +132,66 @@ def lzw_decode(raw: bytes, minimum: int, limit: int) -> bytes:
         at = int(off[stop] + w[stop])
         if codes[stop] == end:
             break
-        table, last, position = list(base), b"", 0
-    return b"".join(out)[:limit]
+        yield np.concatenate(parts)
+        parts, position = [], 0
+    if parts:
+        yield np.concatenate(parts)
+
+
+def lzw_decode_all(streams: list[tuple[bytes, int, int]]) -> list[bytes]:
+    """What `lzw_decode` gives for each (code stream, minimum, limit), all of them in the same numpy steps.
+
+    Code i after a clear code adds the entry of its own bytes and the first byte of code i + 1, so a code beyond the literals leads to an earlier code of one
+    byte less, and on to a literal. First bytes come from there; then all codes put their last byte, go to the code before and put its last byte before that.
+    """
+    blocks, of_stream, clears = [], [], []
+    for k, (raw, minimum, limit) in enumerate(streams):
+        if not 1 <= minimum <= 11:
+            raise ValueError("LZW minimum code size out of range")
+        got = 0
+        for codes in _code_blocks(raw, minimum):
+            if got >= limit:
+                break
+            if len(codes):
+                blocks.append(codes)
+                of_stream.append(k)
+                clears.append(1 << minimum)
+                got += len(codes)
+    if not blocks:
+        return [b""] * len(streams)
+    n, codes, of_stream = np.array(list(map(len, blocks))), np.concatenate(blocks), np.array(of_stream)
+    head, clear, own = np.cumsum(n) - n, np.repeat(clears, n), np.arange(len(codes))
+    of = np.where(codes < clear, own, codes - clear - 2 + np.repeat(head, n))
+    wrong = np.where(codes < clear, codes > 255, of >= own)
+    of[wrong] = own[wrong]
+    entry = of != own
+    size, first = 1 + entry, of
+    while ((further := first[first]) != first).any():
+        size += size[first] - 1
+        first = further
+    last = codes.astype(np.uint8)
+    last[entry] = codes[first[of[entry] + 1]]
+    start = np.cumsum(size) - size
+    start -= np.repeat(start[head[np.searchsorted(of_stream, of_stream)]], n)
+    limits = np.array([limit for *_, limit in streams])[of_stream]
+    if np.logical_or.reduceat(wrong, head)[start[head] < limits].any():
+        raise ValueError("LZW code outside the table")
+    size[start >= np.repeat(limits, n)] = 0
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]), np.uint8)
+    # Longest first, so the codes with bytes left are always the first ones.
+    now = np.argsort(-size.astype(np.int16), kind="stable")
+    place, left = ends[now] - 1, len(now) - np.cumsum(np.bincount(size))
+    for step, m in enumerate(left[:-1].tolist()):
+        now = of[now[:m]] if step else now[:m]
+        out[place[:m] - step] = last[now]
+    bounds = np.concatenate(([0], ends))[np.concatenate((head, [len(codes)]))[np.searchsorted(of_stream, np.arange(len(streams) + 1))]].tolist()
+    return [out[a:b].tobytes()[:limit] for a, b, (*_, limit) in zip(bounds, bounds[1:], streams)]
+
+
+def lzw_decode(raw: bytes, minimum: int, limit: int) -> bytes:
+    """At most ``limit`` bytes of the code stream; it ends at the end code or where the codes stop."""
+    return lzw_decode_all([(raw, minimum, limit)])[0]
 
 
 @dataclass
@@ -180,13 +229,27 @@ def _palette(raw: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     n = 2 << (flags & 7)
     if at + 3 * n > len(raw):
         raise ValueError("a GIF palette is cut short")
-    colours = np.zeros((256, 3), np.uint8)
-    colours[:n] = np.frombuffer(raw, np.uint8, 3 * n, at).reshape(n, 3)
+    colours = np.full((256, 4), (0, 0, 0, 255), np.uint8)
+    colours[:n, :3] = np.frombuffer(raw, np.uint8, 3 * n, at).reshape(n, 3)
     return colours, at + 3 * n
 
 
-def decode(raw: bytes) -> Iterator[Frame]:
-    """The timed frames of a GIF; ValueError if it isn't whole."""
+@dataclass
+class _Image:
+    """A frame before it is drawn."""
+
+    wide: int
+    high: int
+    place: tuple[int, int, int, int]
+    woven: bool
+    colours: np.ndarray
+    disposal: int
+    delay: int
+    clear_index: int | None
+    stream: tuple[bytes, int, int]
+
+
+def _images(raw: bytes) -> Iterator[_Image]:
     if raw[:6] not in (b"GIF87a", b"GIF89a") or len(raw) < 13:
         raise ValueError("not a GIF")
     word = lambda i: raw[i] | raw[i + 1] << 8
@@ -194,8 +257,7 @@ def decode(raw: bytes) -> Iterator[Frame]:
     if wide * high > PIXELS_A_BYTE * len(raw):
         raise ValueError("a GIF canvas is larger than its data can fill")
     shared, at = _palette(raw, 13, raw[10])
-    canvas = None
-    disposal, delay, clear_index, clock, number = 0, 0, None, 0, 0
+    disposal, delay, clear_index = 0, 0, None
     try:
         while raw[at] != 0x3B:
             if raw[at] == 0x21:
@@ -212,38 +274,76 @@ def decode(raw: bytes) -> Iterator[Frame]:
             if colours is None or x + w > wide or y + h > high:
                 raise ValueError("a GIF frame has no palette or leaves the canvas")
             body, after = _blocks(raw, at + 1)
-            if canvas is None:
-                canvas = np.zeros((high, wide, 4), np.uint8)
-            pixels = np.frombuffer(lzw_decode(body, raw[at], w * h), np.uint8)
-            if len(pixels) < w * h:
-                raise ValueError("a GIF frame is cut short")
-            pixels = pixels.reshape(h, w)
-            if flags & 64:
-                rows = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
-                pixels = pixels[np.argsort(rows)]
-            before = canvas.copy() if disposal == 3 else None
-            area = canvas[y : y + h, x : x + w]
-            shown = slice(None) if clear_index is None else pixels != clear_index
-            area[shown] = np.dstack([colours[pixels], np.full((h, w), 255, np.uint8)])[shown]
-            yield Frame(number, x, y, w, h, delay * 10, clock, disposal, clear_index, canvas.copy())
-            if disposal == 2:
-                area[:] = 0
-            elif disposal == 3:
-                canvas = before
-            number, clock, at = number + 1, clock + delay * 10, after
-            disposal, delay, clear_index = 0, 0, None
+            yield _Image(wide, high, (x, y, w, h), bool(flags & 64), colours, disposal, delay, clear_index, (body, raw[at], w * h))
+            at, disposal, delay, clear_index = after, 0, 0, None
     except IndexError as e:
         raise ValueError("a GIF is cut short") from e
 
 
+def _drawn(images: Iterable[tuple[_Image, bytes]]) -> Iterator[Frame]:
+    canvas, clock = None, 0
+    for number, (image, samples) in enumerate(images):
+        x, y, w, h = image.place
+        if canvas is None:
+            canvas = np.zeros((image.high, image.wide, 4), np.uint8)
+        pixels = np.frombuffer(samples, np.uint8)
+        if len(pixels) < w * h:
+            raise ValueError("a GIF frame is cut short")
+        pixels = pixels.reshape(h, w)
+        if image.woven:
+            rows = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
+            pixels = pixels[np.argsort(rows)]
+        before = canvas.copy() if image.disposal == 3 else None
+        area = canvas.view(np.uint32)[y : y + h, x : x + w, 0]
+        shown = slice(None) if image.clear_index is None else pixels != image.clear_index
+        area[shown] = image.colours.view(np.uint32)[:, 0].take(pixels)[shown]
+        yield Frame(number, x, y, w, h, image.delay * 10, clock, image.disposal, image.clear_index, canvas.copy())
+        if image.disposal == 2:
+            area[:] = 0
+        elif image.disposal == 3:
+            canvas = before
+        clock += image.delay * 10
+
+
+def decode(raw: bytes) -> Iterator[Frame]:
+    """The timed frames of a GIF; ValueError if it isn't whole."""
+    return _drawn((image, lzw_decode(*image.stream)) for image in _images(raw))
+
+
+def decode_all(raws: Iterable[bytes]) -> Iterator[Iterator[Frame]]:
+    """`decode` of each GIF, many code streams at once; each has to be read to its end before the next. ValueError if any isn't whole."""
+    def samples(gifs: list[list[_Image]]) -> Iterator[bytes]:
+        streams, size = [], 0
+        for image in (image for images in gifs for image in images):
+            streams.append(image.stream)
+            size += len(image.stream[0])
+            if size > TOGETHER:
+                yield from lzw_decode_all(streams)
+                streams, size = [], 0
+        yield from lzw_decode_all(streams)
+
+    def drawn(gifs: list[list[_Image]]) -> Iterator[Iterator[Frame]]:
+        found = samples(gifs)
+        for images in gifs:
+            yield _drawn((image, next(found)) for image in images)
+
+    held, size = [], 0
+    for raw in raws:
+        held.append(list(_images(raw)))
+        size += len(raw)
+        if size > TOGETHER:
+            yield from drawn(held)
+            held, size = [], 0
+    yield from drawn(held)
+
+
 def encode(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS) -> bytes:
     """8-bit samples as the pixels of grey frames, ``width`` samples a line; the length must be a multiple of it."""
     lines = len(payload) // width
     if not lines or len(payload) % width:
         raise ValueError("the payload must be a positive multiple of the width")
     little = lambda n: n.to_bytes(2, "little")
-    grey = bytes(v for i in range(256) for v in (i, i, i))
-    out = [b"GIF89a", little(width), little(min(lines, frame_rows)), b"\xf7\0\0", grey]
+    out = [b"GIF89a", little(width), little(min(lines, frame_rows)), b"\xf7\0\0", _GREY]
     for at in range(0, lines, frame_rows):
         rows = min(frame_rows, lines - at)
         out += [b"\x21\xf9\x04\x04", little(delay_cs), b"\0\0", b"\x2c\0\0\0\0", little(width), little(rows), b"\0\x08"]
@@ -257,7 +357,9 @@ def encode(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, del
 def histogram(pixels: np.ndarray, bins: int = BINS) -> list[list[int]]:
     """Counts of equal bins of red, green and blue over the opaque pixels."""
     seen = pixels[..., 3] > 0
-    return [np.bincount(pixels[..., c][seen].astype(np.int64) * bins >> 8, minlength=bins).tolist() for c in range(3)]
+    flat = pixels.reshape(-1, 4) if seen.all() else pixels[seen]
+    place = np.arange(256) * bins >> 8
+    return [np.bincount(place, np.bincount(flat[:, c], minlength=256), bins).astype(np.int64).tolist() for c in range(3)]
 
 
 FRAME_SCHEMA = "frame int, x int, y int, width int, height int, delay_ms int, start_ms long, disposal int, transparent int, canvas_width int, canvas_height int, red array<long>, green array<long>, blue array<long>, rgba binary, error string"
@@ -317,9 +419,10 @@ def read_digests(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw in batch.column(2).to_pylist():
+            raws = batch.column(2).to_pylist()
+            for raw, drawn in zip(raws, decode_all(raws)):
                 digest, tail, size, length, count, grey, shown = hashlib.sha256(), b"", 0, 0, 0, np.zeros(BINS, np.int64), []
-                for f in decode(raw):
+                for f in drawn:
                     samples = f.area()[..., 0].tobytes()
                     digest.update(samples)
                     tail, size, length, count = (tail + samples)[-16:], size + len(samples), f.start_ms + f.delay_ms, count + 1
