@@ -114,3 +114,15 @@ def test_prefixes_lose_no_pair():
     for n in range(1, 200):
         # Of n shingles ceil(0.8 n) are shared at least; one of them is in the prefix wherever they stand.
         assert near_copies.prefix_length(n) + -(-4 * n // 5) == n + 1
+
+
+def test_a_step_leaves_nothing_in_the_driver(spark, monkeypatch):
+    """Every step that is written lets go of what it held before the next one is planned."""
+    from tessera.llm import _common, mixing
+
+    done, let_go = _common.staged_count(), []
+    monkeypatch.setattr(_common, "release", lambda s, f=_common.release: (f(s), let_go.append(_common.staged_count())))
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 3}", "en", "s", 15) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_copies.keep_first(docs).count() == 3
+    mixing.mixed_rows(docs).count()
+    assert let_go == list(range(done + 1, _common.staged_count() + 1)) and len(let_go) > 8
